@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamwork.llm import bpe
+from loamwork.llm import bpe, huffman, packing
 from loamwork.llm.common import documents
 
 
@@ -22,9 +22,19 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Best-fit packing of every document into sequences of 2048 ids."""
+    return packing.pack(documents(spark, sf_dir), tokenizer("word_bpe_49k.json"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Huffman-coded id files of every document, read back."""
+    return huffman.write_and_read(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {f.__name__: f for f in (op1_bpe,)}
+    return {f.__name__: f for f in (op1_bpe, op2_best_fit_packing, op3_token_files)}
 
 
 def oracle_sql() -> dict[str, str]:
