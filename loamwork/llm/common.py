@@ -8,6 +8,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Rows handled at once inside a worker, whatever the Arrow batch holds.
 SLICE_ROWS = 512
@@ -64,6 +66,33 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
     return df.mapInArrow(run, schema)
 
 
+def append_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], added: str, replaced: tuple[str, ...] = ()) -> DataFrame:
+    """df with the columns that make()'s function returns added at its end; all other columns pass through.
+
+    replaced names columns of df that the function returns anew in their place.
+    """
+    extra = arrow_schema(added) if added else pa.schema([])
+
+    def run(batches):
+        apply = make()
+        for part in slices(batches):
+            new = apply(part)
+            columns = [pa.array(new[c], part.schema.field(c).type) if c in replaced else part.column(i) for i, c in enumerate(part.schema.names)]
+            columns += [pa.array(new[f.name], f.type) for f in extra]
+            yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *extra.names])
+
+    fields = [*df.schema.fields, *(StructType.fromDDL(added).fields if added else [])]
+    return df.mapInArrow(run, StructType(fields))
+
+
+def with_flag(df: DataFrame, ids: DataFrame, key: str, flag: str) -> DataFrame:
+    """df with a boolean column: is its key among ids? Ids are broadcast only below BROADCAST_IDS rows."""
+    marked = ids.select(F.col(key)).where(F.col(key).isNotNull()).distinct().withColumn(flag, F.lit(True))
+    few = marked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    joined = df.join(F.broadcast(marked) if few else marked, key, "left")
+    return joined.withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
 _ARROW = {"long": pa.int64(), "bigint": pa.int64(), "int": pa.int32(), "double": pa.float64(), "float": pa.float32(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
 
 
