@@ -20,14 +20,14 @@ import regex
 from pyspark.sql import DataFrame
 
 from loamwork.llm.common import check_columns, map_slices, texts_of
-from loamwork.llm.tokenize import ChunkMemo
+from loamwork.llm.tokenize import ChunkMemo, kept
 
 #: Fixed value: the pre-tokenizer's published pattern.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _RUNS = tuple(regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", r"\s+"))
 #: Characters that may still change a match which ends before them.
 _MARGIN = 4
-_NONE = (1 << 60, 0)
+_NONE, _ID = 1 << 60, (1 << 30) - 1
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -51,6 +51,7 @@ class MergeList:
         self.byte = [vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.rule = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.order = {pair: rank << 30 | new for pair, (rank, new) in self.rule.items()}
         self.lookahead = self._lookahead()
 
     def _lookahead(self) -> int:
@@ -76,15 +77,19 @@ class MergeList:
         ids, rule = [self.byte[b] for b in data], self.rule
         if len(ids) > 24:
             return self._merge_long(ids)
-        while len(ids) > 1:
-            best, at, i, a = _NONE, 0, 0, ids[0]
-            for b in ids[1:]:
-                if (x := rule.get((a, b), _NONE)) < best:
-                    best, at = x, i
-                i, a = i + 1, b
-            if best is _NONE:
+        get = self.order.get
+        ranks = [get(p, _NONE) for p in zip(ids, ids[1:], strict=False)]
+        while ranks:
+            best = min(ranks)
+            if best == _NONE:
                 break
-            ids[at : at + 2] = (best[1],)
+            i = ranks.index(best)
+            ids[i : i + 2] = (new := best & _ID,)
+            del ranks[i]
+            if i:
+                ranks[i - 1] = get((ids[i - 1], new), _NONE)
+            if i < len(ranks):
+                ranks[i] = get((new, ids[i + 1]), _NONE)
         return ids
 
     def _merge_long(self, ids: list[int]) -> list[int]:
@@ -238,6 +243,12 @@ def encode_text(merges: MergeList, text: str, step: int = 65536) -> list[int]:
     return out
 
 
+def _encoder(path: str) -> tuple[MergeList, ChunkMemo]:
+    merges = MergeList(path)
+    words = WordMemo(merges)
+    return merges, ChunkMemo(lambda chunks: list(map(words.encode, chunks)))
+
+
 def encode_decode(docs: DataFrame, tokenizer_path: str, block: int = 65536) -> DataFrame:
     """Encodes each whole text, decodes the ids again and returns counts and digests of both.
 
@@ -247,9 +258,7 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, block: int = 65536) -> D
     check_columns(docs, "doc_id", "text")
 
     def make():
-        merges = MergeList(tokenizer_path)
-        words = WordMemo(merges)
-        memo = ChunkMemo(lambda chunks: list(map(words.encode, chunks)))
+        merges, memo = kept(("bpe", tokenizer_path), lambda: _encoder(tokenizer_path))
         decimal = {i: str(i) for i in merges.text}.__getitem__
 
         def apply(part):

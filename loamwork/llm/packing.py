@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from loamwork.llm.common import check_columns, map_slices, texts_of
-from loamwork.llm.tokenize import BlankMemo, library_encoder
+from loamwork.llm.tokenize import BlankMemo, kept, library_encoder
 
 CAPACITY = 2048
 OPEN_BINS = 1024
@@ -71,7 +71,7 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, open_bi
     check_columns(docs, "doc_id", "text")
 
     def make():
-        memo = BlankMemo(encoder(tokenizer_path))
+        memo = kept(("blank", tokenizer_path, encoder), lambda: BlankMemo(encoder(tokenizer_path)))
         bins = BestFit(capacity, open_bins, TaskContext.get().partitionId() << 40)
         end = np.uint32(end_id).tobytes()
         width = 4 * capacity

@@ -14,13 +14,23 @@ from collections.abc import Callable
 import numpy as np
 
 #: Chunks kept by a worker before its memo starts afresh.
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 1_000_000
 #: Longer chunks are encoded each time and never kept.
 MEMO_CHARS = 64
 _UNSAFE = re.compile(r" (?:\s|$)")
 _BOUNDARY = re.compile(r"(?= \S)")
 
 
+_KEPT: dict = {}
+
+
+def kept(key: tuple, build: Callable):
+    """What build() makes, once for each worker process: later tasks of the worker find its memo filled."""
+    if key not in _KEPT:
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
 class ChunkMemo:
     """ids of chunks as bytes; encode_many maps a list of chunks to a list of id sequences."""
 
@@ -51,9 +61,8 @@ class ChunkMemo:
             inners.update(p[1:])
         for whole in odd.values():
             firsts.update(whole)
-        keep = [memo_of for memo_of in (firsts, inners)]
-        self._fill(self.first, keep[0], "")
-        self._fill(self.inner, keep[1], " ")
+        self._fill(self.first, firsts, "")
+        self._fill(self.inner, inners, " ")
         first, inner = self.first, self.inner
         out = [first[p[0]] + b"".join(map(inner.__getitem__, p[1:])) for p in cut]
         for i, whole in odd.items():
