@@ -13,6 +13,7 @@ import codecs
 import hashlib
 import heapq
 import json
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -221,17 +222,17 @@ class WordMemo(dict):
         super().__init__()
         self.merges, self.limit, self.split = merges, limit, regex.compile(SPLIT)
 
-    def __missing__(self, word: str) -> list[int]:
+    def __missing__(self, word: str) -> bytes:
         if len(self) > self.limit:
             self.clear()
-        ids = self[word] = self.merges.merge(word.encode())
+        ids = self[word] = array("I", self.merges.merge(word.encode())).tobytes()
         return ids
 
-    def encode(self, chunk: str) -> list[int]:
-        """A short chunk at once, any other by the stream."""
+    def encode(self, chunk: str) -> bytes:
+        """The ids of a chunk as bytes: of a short one at once, of any other by the stream."""
         if len(chunk) > 256 or any(s in chunk for s in self.merges.special):
-            return encode_text(self.merges, chunk)
-        return [i for word in self.split.findall(chunk) for i in self[word]]
+            return array("I", encode_text(self.merges, chunk)).tobytes()
+        return b"".join([self[word] for word in self.split.findall(chunk)])
 
 
 def encode_text(merges: MergeList, text: str, step: int = 65536) -> list[int]:

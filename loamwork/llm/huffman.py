@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.llm.common import arrow_schema, check_columns, map_slices, materialize, slices, texts_of
-from loamwork.llm.tokenize import ChunkMemo, kept, library_encoder
+from loamwork.llm.tokenize import ChunkMemo, kept, LibraryEncoder
 
 #: Longest code in bits.
 MAX_BITS = 18
@@ -120,7 +120,7 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     check_columns(docs, "doc_id", "text")
 
     def make():
-        memo = kept(("library", tokenizer_path), lambda: ChunkMemo(library_encoder(tokenizer_path)))
+        memo = kept(("library", tokenizer_path), lambda: ChunkMemo(LibraryEncoder(tokenizer_path)))
         end = np.uint32(end_id).tobytes()
 
         def apply(part):

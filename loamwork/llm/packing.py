@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from loamwork.llm.common import check_columns, map_slices, texts_of
-from loamwork.llm.tokenize import BlankMemo, kept, library_encoder
+from loamwork.llm.tokenize import BlankMemo, kept, LibraryEncoder
 
 CAPACITY = 2048
 OPEN_BINS = 1024
@@ -61,7 +61,7 @@ class BestFit:
         return bin_id, self.capacity - free
 
 
-def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, end_id: int = 0, encoder: Callable[[str], Callable] = library_encoder) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, open_bins: int = OPEN_BINS, end_id: int = 0, encoder: Callable[[str], Callable] = LibraryEncoder) -> DataFrame:
     """Packs the ids of all documents, each followed by end_id, into sequences of at most capacity ids.
 
     Only longer documents are cut, into pieces of capacity ids. A null or empty text is

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from collections.abc import Callable
 
 import numpy as np
@@ -32,18 +33,20 @@ def kept(key: tuple, build: Callable):
 
 
 class ChunkMemo:
-    """ids of chunks as bytes; encode_many maps a list of chunks to a list of id sequences."""
+    """ids of chunks; encode_many maps chunks to their ids as little-endian uint32 bytes."""
 
     def __init__(self, encode_many: Callable[[list[str]], list], limit: int = MEMO_CHUNKS):
         self.encode_many, self.limit = encode_many, limit
         self.first: dict[str, bytes] = {"": b""}
         self.inner: dict[str, bytes] = {}
 
-    def _fill(self, memo: dict[str, bytes], wanted: set[str], prefix: str) -> None:
-        missing = [c for c in wanted if c not in memo]
-        if missing:
-            for chunk, ids in zip(missing, self.encode_many([prefix + c for c in missing]), strict=True):
-                memo[chunk] = np.asarray(ids, "<u4").tobytes()
+    def _fill(self, memo: dict[str, bytes], wanted: set[str], prefix: str) -> list[str]:
+        """Adds what memo lacks; returns the chunks too long to stay."""
+        missing = list(wanted - memo.keys())
+        if not missing:
+            return []
+        memo.update(zip(missing, self.encode_many([prefix + c for c in missing] if prefix else missing), strict=True))
+        return [c for c in missing if len(c) > MEMO_CHARS]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes an id."""
@@ -61,21 +64,17 @@ class ChunkMemo:
             inners.update(p[1:])
         for whole in odd.values():
             firsts.update(whole)
-        self._fill(self.first, firsts, "")
-        self._fill(self.inner, inners, " ")
+        long_firsts, long_inners = self._fill(self.first, firsts, ""), self._fill(self.inner, inners, " ")
         first, inner = self.first, self.inner
         out = [first[p[0]] + b"".join(map(inner.__getitem__, p[1:])) for p in cut]
         for i, whole in odd.items():
             out[i] = b"".join(map(first.__getitem__, whole))
-        self._drop_long(firsts, inners)
+        for c in long_firsts:
+            del first[c]
+        for c in long_inners:
+            del inner[c]
         return out
 
-    def _drop_long(self, firsts: set[str], inners: set[str]) -> None:
-        for memo, used in ((self.first, firsts), (self.inner, inners)):
-            for c in used:
-                if len(c) > MEMO_CHARS:
-                    memo.pop(c, None)
-
 
 class BlankMemo:
     """As ChunkMemo, for tokenizers that drop white space: chunks between blanks or line ends stand alone."""
@@ -91,22 +90,73 @@ class BlankMemo:
         wanted: set[str] = set()
         for p in cut:
             wanted.update(p)
-        if missing := [c for c in wanted if c not in memo]:
-            for chunk, ids in zip(missing, self.encode_many(missing), strict=True):
-                memo[chunk] = np.asarray(ids, "<u4").tobytes()
+        missing = list(wanted - memo.keys())
+        if missing:
+            memo.update(zip(missing, self.encode_many(missing), strict=True))
         out = [b"".join(map(memo.__getitem__, p)) for p in cut]
-        for c in wanted:
+        for c in missing:
             if len(c) > MEMO_CHARS:
-                memo.pop(c, None)
+                del memo[c]
         return out
 
 
-def library_encoder(path: str) -> Callable[[list[str]], list]:
-    """encode_many of the tokenizers library, without truncation, padding or added special tokens."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    from tokenizers import Tokenizer
-
-    tokenizer = Tokenizer.from_file(path)
-    tokenizer.no_truncation()
-    tokenizer.no_padding()
-    return lambda chunks: [e.ids for e in tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+class LibraryEncoder:
+    """encode_many of the tokenizers library: chunks to ids as bytes, four an id.
+
+    No truncation, padding or added special tokens. A chunk that is one word, maybe with
+    a full stop or comma, is put together from its parts; new words go to the library
+    many at a time, since its ids show where each word begins or ends.
+    """
+
+    def __init__(self, path: str, words: int = 500_000):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer.no_truncation()
+        self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab()
+        self.suffix = next((s for s in ("</w>",) if f"a{s}" in vocab), "")
+        self.lead = "" if self.suffix else " "
+        edge = np.zeros(max(vocab.values()) + 1, bool)
+        edge[[i for s, i in vocab.items() if (s.endswith(self.suffix) if self.suffix else s.startswith("\u0120"))]] = True
+        self.edge, self.limit, self.words = edge, words, {}
+        self.tails = {t: self._library([t])[0] for t in ".,"}
+
+    def _library(self, chunks: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+
+    def _learn(self, words: list[str], step: int = 4096) -> None:
+        """Encodes plain words, all in one text; self.edge tells them apart again."""
+        for k in range(0, len(words), step):
+            some = words[k : k + step]
+            ids = np.array(self.tokenizer.encode_batch_fast([self.lead + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            at = np.flatnonzero(self.edge[ids])
+            ends = at + 1 if self.suffix else np.append(at[1:], len(ids))
+            if len(ends) != len(some):  # a word that isn't one word to the library
+                self.words.update(zip(some, self._library([self.lead + w for w in some]), strict=True))
+                continue
+            raw, begin = ids.tobytes(), 0
+            for word, end in zip(some, (4 * ends).tolist(), strict=True):
+                self.words[word] = raw[begin:end]
+                begin = end
+
+    def __call__(self, chunks: list[str]) -> list[bytes]:
+        if len(self.words) > self.limit:
+            self.words = {}
+        n, words = len(self.lead), self.words
+        cores = [c[n:] for c in chunks] if n else chunks
+        if self.suffix:
+            cores = [w.lower() if w.isascii() else w for w in cores]
+        # plain words at once; then those with one tail mark; the library has the rest
+        plain = {w for w in cores if w.isalpha()}
+        marked = {w: (w[:-1], w[-1]) for w in cores if w[-1:] in self.tails and w[:-1].isalpha()}
+        plain.update(w for w, _ in marked.values())
+        self._learn(list(plain - words.keys()))
+        marks = {w: words[core] + self.tails[tail] for w, (core, tail) in marked.items()}
+        known = [words.get(w) or marks.get(w) for w in cores]
+        lead = self.lead
+        odd = [i for i, ids in enumerate(known) if ids is None or (n and chunks[i][0] != lead)]
+        for i, ids in zip(odd, self._library([chunks[i] for i in odd]), strict=True):
+            known[i] = ids
+        return known
