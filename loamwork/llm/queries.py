@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamwork.llm import bpe, huffman, packing
-from loamwork.llm.common import documents
+from loamwork.llm import bpe, huffman, packing, pii, quality, toxicity
+from loamwork.llm.common import documents, labels
 
 
 def tokenizer(name: str) -> str:
@@ -32,9 +32,24 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return huffman.write_and_read(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document."""
+    return toxicity.score(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality statistics and verdict of every document."""
+    return quality.judge(documents(spark, sf_dir), labels(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with pseudonyms, and counts of what they replace."""
+    return pii.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {f.__name__: f for f in (op1_bpe, op2_best_fit_packing, op3_token_files)}
+    return {f.__name__: f for f in (op1_bpe, op2_best_fit_packing, op3_token_files, op4_toxicity, op8_quality_rules, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -13,8 +13,10 @@ from loamwork.llm.common import check_columns, map_slices, texts_of
 
 BITS = 20
 #: Labelled rows that the model is fitted on at most, by lowest hash of doc_id.
-MAX_ROWS = 8_000
+MAX_ROWS = 12_000
 EPOCHS = 4
+#: L1 strengths to choose from.
+PENALTIES = (2.0, 5.0, 10.0, 20.0, 40.0, 80.0, 160.0)
 _WORD = re.compile(r"\w+")
 
 
@@ -59,12 +61,9 @@ class Ftrl:
         self.n[at] += g * g
 
 
-def fit(examples: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
-    """(slots, weights, bias) of the coordinates that are not zero. Without both labels the bias alone decides."""
-    model, positive = Ftrl(bits), sum(y for _, y in examples)
-    if not positive or positive == len(examples):
-        return np.zeros(0, np.uint32), np.zeros(0), -4.0 if not positive else 4.0
-    heavy = min(8.0, (len(examples) - positive) / positive)
+def _train(examples: list[tuple[np.ndarray, int]], l1: float, bits: int, epochs: int) -> tuple[np.ndarray, np.ndarray, float]:
+    model, positive = Ftrl(bits, l1=l1), sum(y for _, y in examples)
+    heavy = min(8.0, (len(examples) - positive) / max(1, positive))
     for epoch in range(epochs):
         for i in np.random.default_rng(epoch).permutation(len(examples)):
             at, label = examples[i]
@@ -74,6 +73,27 @@ def fit(examples: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int =
     return slots.astype(np.uint32), w[slots], float(w[-1])
 
 
+def _loss(model: tuple[np.ndarray, np.ndarray, float], examples: list[tuple[np.ndarray, int]], bits: int) -> float:
+    dense = np.zeros(1 << bits)
+    dense[model[0]] = model[1]
+    total = np.array([model[2] + dense[at].sum() for at, _ in examples])
+    label = np.array([y for _, y in examples])
+    return float(np.logaddexp(0, np.where(label == 1, -total, total)).mean())
+
+
+def fit(examples: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
+    """(slots, weights, bias) of the coordinates that are not zero. Without both labels the bias alone decides.
+
+    The L1 strength comes from PENALTIES by log loss on every fourth example.
+    """
+    positive = sum(y for _, y in examples)
+    if not positive or positive == len(examples):
+        return np.zeros(0, np.uint32), np.zeros(0), 4.0 if positive else -4.0
+    check, grow = examples[::4], [x for i, x in enumerate(examples) if i % 4]
+    best = min(PENALTIES, key=lambda l1: _loss(_train(grow, l1, bits, epochs), check, bits))
+    return _train(examples, best, bits, epochs)
+
+
 def held_out(doc: str = "doc_id"):
     """crc32 of the decimal doc_id modulo five is zero."""
     return F.crc32(F.col(doc).cast("string").cast("binary")) % 5 == 0
