@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamwork.llm import bpe, huffman, packing, pii, quality, toxicity
+from loamwork.llm import bpe, huffman, lm, media, packing, pii, quality, toxicity
 from loamwork.llm.common import documents, labels
 
 
@@ -37,11 +37,22 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document stored as media in tar shards and read back."""
+    return media.media_columns(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality statistics and verdict of every document."""
     return quality.judge(documents(spark, sf_dir), labels(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cross-entropy difference of every document; documents labelled as good are the target."""
+    good = labels(spark, sf_dir).where("quality = 1").select("doc_id")
+    return lm.score(documents(spark, sf_dir), good)
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with pseudonyms, and counts of what they replace."""
     return pii.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"))
@@ -49,7 +60,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {f.__name__: f for f in (op1_bpe, op2_best_fit_packing, op3_token_files, op4_toxicity, op8_quality_rules, op10_pii)}
+    return {f.__name__: f for f in (op1_bpe, op2_best_fit_packing, op3_token_files, op4_toxicity, op6_media_columns, op8_quality_rules, op9_lm_scoring, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
