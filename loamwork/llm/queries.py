@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamwork.llm import bpe, huffman, lm, media, packing, pii, quality, toxicity
+from loamwork.llm import bpe, huffman, jaccard, lm, media, packing, pii, quality, toxicity
 from loamwork.llm.common import documents, labels
 
 
@@ -42,6 +42,11 @@ def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_columns(documents(spark, sf_dir))
 
 
+def op7_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shingle-set size and component of every document."""
+    return jaccard.join(documents(spark, sf_dir))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality statistics and verdict of every document."""
     return quality.judge(documents(spark, sf_dir), labels(spark, sf_dir)).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -60,7 +65,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {f.__name__: f for f in (op1_bpe, op2_best_fit_packing, op3_token_files, op4_toxicity, op6_media_columns, op8_quality_rules, op9_lm_scoring, op10_pii)}
+    return {f.__name__: f for f in (op1_bpe, op2_best_fit_packing, op3_token_files, op4_toxicity, op6_media_columns, op7_jaccard_join, op8_quality_rules, op9_lm_scoring, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
