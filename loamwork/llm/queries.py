@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamwork.llm import bpe, huffman, jaccard, lm, media, packing, pii, quality, toxicity
+from loamwork.llm import bpe, huffman, jaccard, lm, media, packing, pii, quality, suffix, toxicity
 from loamwork.llm.common import documents, labels
 
 
@@ -37,6 +37,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(documents(spark, sf_dir), labels(spark, sf_dir))
 
 
+def op5_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that 400-byte repeats cover."""
+    return suffix.removal(documents(spark, sf_dir))
+
+
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document stored as media in tar shards and read back."""
     return media.media_columns(documents(spark, sf_dir))
@@ -65,7 +70,7 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {f.__name__: f for f in (op1_bpe, op2_best_fit_packing, op3_token_files, op4_toxicity, op6_media_columns, op7_jaccard_join, op8_quality_rules, op9_lm_scoring, op10_pii)}
+    return {f.__name__: f for f in (op1_bpe, op2_best_fit_packing, op3_token_files, op4_toxicity, op5_suffix_array_dedup, op6_media_columns, op7_jaccard_join, op8_quality_rules, op9_lm_scoring, op10_pii)}
 
 
 def oracle_sql() -> dict[str, str]:
