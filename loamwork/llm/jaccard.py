@@ -4,8 +4,8 @@ Words become 5-word shingles, shingles 64-bit tokens in one global order: rare f
 counts of all documents in a sketch of bounded size. Sets that are Jaccard-similar share
 a token of their prefixes. Documents with equal sets form a class; classes with equal
 prefix and size form a group, which is indexed once. Runs of groups that share a token
-are candidates. A first round verifies a star or chain of each; what it leaves apart is
-then verified in full, so that no link between different components is missed.
+are candidates. Rounds pair a few classes of each run with all others; what they leave
+apart is then verified in full, so that no link between components is missed.
 """
 
 from __future__ import annotations
@@ -25,11 +25,15 @@ from loamwork.llm.components import components
 WORDS = 5
 #: Similarity as a fraction of whole numbers.
 SHARE = (75, 100)
-SKETCH_BITS = 20
+#: The sketch has a slot for every SLOT_SHINGLES shingles, within these bits; a slot is a byte in the broadcast.
+SKETCH_BITS = (20, 27)
+SLOT_SHINGLES = 8
+#: Classes of a run that each round pairs with the others; the last round leaves no pair out.
+PIVOTS = (8, 32, 64, None)
 #: Tokens that a task holds before it sends them.
 FLUSH = 4_000_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
-_PREFIXES = "doc_id long, n int, class binary, grp long, bucket int, grps binary, sizes binary, counts binary, tokens binary"
+_PREFIXES = "doc_id long, n int, class binary, grp long, bits binary, bucket int, grps binary, sizes binary, counts binary, tokens binary"
 _SETS = "class_id long, n int, tokens binary"
 
 
@@ -65,39 +69,81 @@ def similar(common: int, n: int, m: int) -> bool:
     return SHARE[1] * common >= SHARE[0] * (n + m - common)
 
 
+def sketch_bits(docs: DataFrame) -> int:
+    """Bits of the sketch for these documents: shingles are about as many as words, words about six characters."""
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return min(max(int(np.ceil(np.log2(chars / 6 / SLOT_SHINGLES + 1))), SKETCH_BITS[0]), SKETCH_BITS[1])
+
+
 def ranks(docs: DataFrame) -> np.ndarray:
-    """For each slot of the sketch the binary logarithm of how many documents hold its shingles."""
-    part_bits = 14
+    """For each slot of the sketch the binary logarithm of how many documents hold its shingles.
+
+    A task counts up to 255 in a slot, which is enough to order shingles.
+    """
+    bits, part_bits = sketch_bits(docs), 16
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingles, total = Shingles(), np.zeros(1 << SKETCH_BITS, np.uint32)
+        shingles, total = Shingles(), np.zeros(1 << bits, np.uint8)
         for part in slices(batches):
-            sets = [shingles.of(t) for t in texts_of(part)]
-            total += np.bincount((np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint32)
-        rows = total.reshape(-1, 1 << part_bits)
-        yield pa.RecordBatch.from_pydict({"part": list(range(len(rows))), "counts": [x.tobytes() for x in rows]}, schema=arrow_schema("part int, counts binary"))
+            slots = (np.concatenate([shingles.of(t) for t in texts_of(part)]) >> np.uint64(64 - bits)).astype(np.int64)
+            slots, counts = np.unique(slots, return_counts=True)
+            total[slots] = np.minimum(total[slots].astype(np.int64) + counts, 255)
+        for k, x in enumerate(total.reshape(-1, 1 << part_bits)):
+            if x.any():
+                yield pa.RecordBatch.from_pydict({"part": [k], "counts": [x.tobytes()]}, schema=arrow_schema("part int, counts binary"))
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                total[k] = total.get(k, np.uint64(0)) + np.frombuffer(raw, "<u4").astype(np.uint64)
+                total[k] = total.get(k, np.uint32(0)) + np.frombuffer(raw, np.uint8).astype(np.uint32)
         logs = [np.log2(np.maximum(x, 1)).astype(np.uint8).tobytes() for x in total.values()]
         yield pa.RecordBatch.from_pydict({"part": list(total), "counts": logs}, schema=arrow_schema("part int, counts binary"))
 
-    out = np.zeros(1 << SKETCH_BITS, np.uint8)
+    out = np.zeros(1 << bits, np.uint8)
     sent = docs.select("text").mapInArrow(local, "part int, counts binary").repartition("part")
-    for k, raw in ((r["part"], r["counts"]) for r in sent.mapInArrow(add, "part int, counts binary").collect()):  # one byte a slot
+    for k, raw in ((r["part"], r["counts"]) for r in sent.mapInArrow(add, "part int, counts binary").toLocalIterator()):  # one byte a slot
         out[k << part_bits : (k + 1) << part_bits] = np.frombuffer(raw, np.uint8)
     return out
 
 
 def ordered(shingle_set: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Tokens in global order: the rank in the highest bits, the hash below."""
-    high = rank[(shingle_set >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)].astype(np.uint64)
+    high = rank[(shingle_set >> np.uint64(64 - (len(rank).bit_length() - 1))).astype(np.int64)].astype(np.uint64)
     return np.sort(high << np.uint64(58) | shingle_set >> np.uint64(6))
 
 
+def bitmap(shingle_set: np.ndarray) -> bytes:
+    """A set's bits: two or more a shingle, a power of two in number."""
+    width = max(64, 1 << (2 * len(shingle_set) - 1).bit_length())
+    bits = np.zeros(width, bool)
+    bits[(shingle_set & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(bits, bitorder="little").tobytes()
+
+
+def folded(bits: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (rows) with fewer bytes; a bit is set where any that falls on it was."""
+    while bits.shape[1] > width:
+        half = bits.shape[1] // 2
+        bits = bits[:, :half] | bits[:, half:]
+    return bits
+
+
+def possible(bits: list[bytes], n: np.ndarray, i: int, others: np.ndarray) -> np.ndarray:
+    """Those of others that could be similar to i: a set lacks every shingle whose bit it lacks, which bounds the overlap."""
+    out = []
+    widths = np.array([len(bits[j]) for j in others.tolist()])
+    for width in np.unique(widths).tolist():
+        some = others[widths == width]
+        rows = np.frombuffer(b"".join([bits[j] for j in some.tolist()]), np.uint8).reshape(len(some), width)
+        mine = np.frombuffer(bits[i], np.uint8).reshape(1, -1)
+        both = min(width, mine.shape[1])
+        rows, mine = folded(rows, both), folded(mine, both)
+        most = np.minimum(n[i] - np.bitwise_count(mine & ~rows).sum(1, dtype=np.int64), n[some] - np.bitwise_count(rows & ~mine).sum(1, dtype=np.int64))
+        out.append(some[SHARE[1] * most >= SHARE[0] * (n[i] + n[some] - most)])
+    return np.concatenate(out) if out else others[:0]
+
+
 def prefixes(docs: DataFrame, shared: Broadcast, buckets: int) -> DataFrame:
     """Rows of documents (doc_id, n, class, grp) and rows of prefix tokens by bucket, in one table."""
 
@@ -122,13 +168,14 @@ def prefixes(docs: DataFrame, shared: Broadcast, buckets: int) -> DataFrame:
                 if len(mine):
                     who, counts = np.unique(owner[mine], return_counts=True)
                     rows.append((k, grp[who].tobytes(), n[who].tobytes(), counts.astype("<u4").tobytes(), np.ascontiguousarray(mixed[mine].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5]).tobytes()))
-            cells = dict(zip(schema.names[4:], zip(*rows, strict=True), strict=True))
+            cells = dict(zip(schema.names[5:], zip(*rows, strict=True), strict=True))
             return pa.RecordBatch.from_pydict({c: cells.get(c) or [None] * len(rows) for c in schema.names}, schema=schema)
 
         for part in slices(batches):
             out: dict[str, list] = {c: [] for c in schema.names}
             for doc, text in zip(part.column("doc_id").to_pylist(), texts_of(part), strict=True):
-                tokens = ordered(shingles.of(text), rank)
+                shingle_set = shingles.of(text)
+                tokens = ordered(shingle_set, rank)
                 n = len(tokens)
                 lead = tokens[: n - required(n) + 1] if n else tokens
                 grp = int.from_bytes(hashlib.blake2b(lead.tobytes() + n.to_bytes(8, "little"), digest_size=8).digest(), "little", signed=True)
@@ -138,7 +185,7 @@ def prefixes(docs: DataFrame, shared: Broadcast, buckets: int) -> DataFrame:
                     sent.add(grp)
                     held.append((grp, n, lead))
                     size += len(lead)
-                for c, v in zip(schema.names, (doc, n, hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), grp, *[None] * 5), strict=True):
+                for c, v in zip(schema.names, (doc, n, hashlib.blake2b(tokens.tobytes(), digest_size=16).digest(), grp, bitmap(shingle_set), *[None] * 5), strict=True):
                     out[c].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
             if size >= FLUSH:
@@ -188,18 +235,6 @@ def runs(postings: DataFrame, buckets: int) -> DataFrame:
     return lists.distinct()
 
 
-def _chains(lists: DataFrame) -> DataFrame:
-    """Neighbours in each list."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches):
-            lists = [np.frombuffer(raw, "<i8").tolist() for raw in part.column("grps").to_pylist()]
-            pairs = {p for g in lists for p in zip(g, g[1:], strict=False)}
-            yield pa.RecordBatch.from_pydict({"g": [p[0] for p in pairs], "h": [p[1] for p in pairs]}, schema=arrow_schema("g long, h long"))
-
-    return lists.mapInArrow(run, "g long, h long").distinct()
-
-
 def _members(lists: DataFrame) -> DataFrame:
     """run (a digest of the list), grp."""
 
@@ -251,17 +286,49 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(joined.mapInArrow(run, "a long, b long"), "similar")
 
 
-def _crossing(lists: DataFrame, classes: DataFrame, parts: DataFrame, tried: DataFrame) -> DataFrame:
-    """Candidate pairs of classes in a common run or group that are not yet in one component."""
-    inside = classes.select(F.col("grp").alias("run"), "class_id", "n")
-    members = _members(lists).join(classes.select("grp", "class_id", "n"), "grp").select("run", "class_id", "n").union(inside)
-    placed = members.join(parts, members.class_id == parts.node, "left").select("run", "class_id", "n", F.coalesce("component", "class_id").alias("component"))
-    open_runs = placed.groupBy("run").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("run")
-    x = placed.join(open_runs, "run")
-    y = x.select("run", F.col("class_id").alias("other"), F.col("n").alias("m"), F.col("component").alias("apart"))
-    near = (SHARE[1] * F.least("n", "m") >= SHARE[0] * F.greatest("n", "m")) & (F.col("class_id") < F.col("other")) & (F.col("component") != F.col("apart"))
-    pairs = x.join(y, "run").where(near).select(F.col("class_id").alias("a"), F.col("other").alias("b")).distinct()
-    return pairs.join(tried, ["a", "b"], "left_anti")
+def _candidates(lists: DataFrame, classes: DataFrame, parts: DataFrame | None, complete: int, pivots: int | None) -> DataFrame:
+    """Pairs (a, b) of classes in a common run or group that are of fitting size and not yet in one component.
+
+    With pivots, only the classes of a run with the lowest hashes are paired with the
+    others: runs of one near-copy cluster then choose the same few. Without, all pairs
+    come, for each class outside the run's largest component. Runs of at most complete
+    classes were paired in full before.
+    """
+    inside = classes.select(F.col("grp").alias("run"), "class_id", "n", "bits")
+    members = _members(lists).join(classes.select("grp", "class_id", "n", "bits"), "grp").select("run", "class_id", "n", "bits").union(inside)
+    if parts is None:
+        placed = members.withColumn("component", F.col("class_id"))
+    else:
+        placed = members.join(parts, members.class_id == parts.node, "left").select("run", "class_id", "n", "bits", F.coalesce("component", "class_id").alias("component"))
+    found = placed.groupBy("run").agg(F.collect_list(F.struct("class_id", "n", "component", "bits")).alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
+    found = found.where((F.col("low") < F.col("high")) & (F.size("m") > complete))
+    seed = np.uint64(2 * (pivots or 0) + 0x9E3779B97F4A7C15)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple[int, int]] = set()
+        for part in slices(batches, 64):
+            new: set[tuple[int, int]] = set()
+            for cell in part.column("m"):
+                flat = cell.values
+                c, n, group = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
+                bits = flat.field(3).to_pylist()
+                if pivots:
+                    mixed = (c.astype(np.uint64) + np.uint64(1)) * seed
+                    chosen = np.argsort(mixed ^ mixed >> np.uint64(32), kind="stable")[:pivots]
+                else:
+                    names, counts = np.unique(group, return_counts=True)
+                    chosen = np.flatnonzero(group != names[counts.argmax()])
+                for i in chosen.tolist():
+                    fits = (group != group[i]) & (SHARE[1] * np.minimum(n, n[i]) >= SHARE[0] * np.maximum(n, n[i]))
+                    other = c[possible(bits, n, i, np.flatnonzero(fits))]
+                    new.update(zip(np.minimum(other, c[i]).tolist(), np.maximum(other, c[i]).tolist(), strict=True))
+            new -= sent
+            if len(sent) < 1_000_000:
+                sent |= new
+            yield pa.RecordBatch.from_pydict({"a": [x for x, _ in new], "b": [x for _, x in new]}, schema=arrow_schema("a long, b long"))
+
+    near = found.select("low", F.pmod("run", F.lit(4)).alias("salt"), "m").repartition("low", "salt").select("m")
+    return near.mapInArrow(run, "a long, b long").distinct()
 
 
 def join(docs: DataFrame) -> DataFrame:
@@ -276,21 +343,23 @@ def join(docs: DataFrame) -> DataFrame:
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shared = spark.sparkContext.broadcast(ranks(docs))
     table = materialize(prefixes(docs, shared, buckets), "prefixes")
-    rows = table.where("doc_id is not null").select("doc_id", "n", "class", "grp")
-    classes = materialize(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min("n").alias("n"), F.min("grp").alias("grp")), "classes")
+    rows = table.where("doc_id is not null").select("doc_id", "n", "class", "grp", "bits")
+    classes = materialize(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min("n").alias("n"), F.min("grp").alias("grp"), F.min("bits").alias("bits")), "classes")
     lists = materialize(runs(table.where("bucket is not null").select("bucket", "grps", "sizes", "counts", "tokens"), buckets), "runs")
-    heads = classes.groupBy("grp").agg(F.min("class_id").alias("head"), F.count("*").alias("k"))
-    chain = _chains(lists).join(heads.select(F.col("grp").alias("g"), F.col("head").alias("x")), "g").join(heads.select(F.col("grp").alias("h"), F.col("head").alias("y")), "h").select("x", "y")
-    star = classes.join(heads.where("k > 1"), "grp").where("class_id <> head").select(F.col("head").alias("x"), F.col("class_id").alias("y"))
-    first = materialize(chain.union(star).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a < b").distinct(), "candidates")
-    links = _verified(docs, first)
-    parts = materialize(components(links), "components")
-    second = materialize(_crossing(lists, classes, parts, first), "candidates")
-    if second.limit(1).count():
-        links = links.union(_verified(docs, second))
+    links = tried = parts = None
+    complete = 1
+    for pivots in PIVOTS:
+        pairs = _candidates(lists, classes, parts, complete, pivots)
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
+        complete = pivots + 1 if pivots else complete
+        if tried is not None and not pairs.limit(1).count():
+            continue
+        tried = pairs if tried is None else tried.union(pairs)
+        similar_pairs = _verified(docs, pairs)
+        links = similar_pairs if links is None else links.union(similar_pairs)
         parts = materialize(components(links), "components")
     placed = classes.join(parts, classes.class_id == parts.node, "left").select("class", F.coalesce("component", "class_id").alias("component_id"))
-    return rows.join(placed, "class", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    return rows.select("doc_id", "n", "class").join(placed, "class", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def representatives(docs: DataFrame) -> DataFrame:
