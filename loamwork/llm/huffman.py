@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import arrow_schema, check_columns, map_slices, materialize, slices, texts_of
+from loamwork.llm.common import arrow_schema, check_columns, map_slices, materialize, scratch, slices, texts_of
 from loamwork.llm.tokenize import ChunkMemo, kept, LibraryEncoder
 
 #: Longest code in bits.
@@ -250,9 +250,10 @@ def write_and_read(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> Dat
     Null and empty texts hold end_id alone. Rows with equal doc_id stay separate, in any
     order among themselves. An empty table gives an empty file and no rows.
     """
-    tokens = materialize(token_table(docs, tokenizer_path, end_id), "tokens")
-    lengths = code_lengths(global_counts(tokens))
-    file = materialize(encode_file(tokens, lengths), "token-file")
+    with scratch(docs.sparkSession):
+        tokens = materialize(token_table(docs, tokenizer_path, end_id), "tokens")
+        lengths = code_lengths(global_counts(tokens))
+        file = materialize(encode_file(tokens, lengths), "token-file", keep=True)
 
     def make():
         def apply(part):

@@ -19,7 +19,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import BROADCAST_IDS, arrow_schema, check_columns, map_slices, materialize, slices, texts_of
+from loamwork.llm.common import BROADCAST_IDS, arrow_schema, check_columns, map_slices, materialize, scratch, slices, texts_of
 from loamwork.llm.components import components
 
 WORDS = 5
@@ -339,6 +339,11 @@ def join(docs: DataFrame) -> DataFrame:
     gives no rows.
     """
     check_columns(docs, "doc_id", "text")
+    with scratch(docs.sparkSession):
+        return materialize(_joined(docs), "joined", keep=True)
+
+
+def _joined(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shared = spark.sparkContext.broadcast(ranks(docs))
@@ -364,7 +369,7 @@ def join(docs: DataFrame) -> DataFrame:
 
 def representatives(docs: DataFrame) -> DataFrame:
     """docs without all but the smallest doc_id of each component; columns stay."""
-    found = materialize(join(docs), "joined")
+    found = join(docs)
     dropped = found.where("doc_id <> component_id").select("doc_id").distinct()
     few = dropped.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
     return docs.join(F.broadcast(dropped) if few else dropped, "doc_id", "left_anti").select(*docs.columns)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import append_columns, arrow_schema, check_columns, materialize, slices, texts_of
+from loamwork.llm.common import append_columns, arrow_schema, check_columns, materialize, scratch, slices, texts_of
 
 LENGTH = 400
 GRAM = 64
@@ -266,6 +266,11 @@ def _covered(contexts: DataFrame, classes: DataFrame, length: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """doc_id, start, stop of spans that together cover exactly the bytes of repeated strings."""
+    with scratch(docs.sparkSession):
+        return materialize(_repeated_spans(docs, length, hot), "spans", keep=True)
+
+
+def _repeated_spans(docs: DataFrame, length: int, hot: int) -> DataFrame:
     found = materialize(anchors(docs, length), "anchors")
     classes, keys = _classes(found)
     spans = _covered(found, classes, length)
