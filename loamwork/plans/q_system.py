@@ -1 +1,173 @@
-"""Queries on resources, runs and density clustering."""
+"""Queries on parsers, resources, runs, density clustering, merging and encoders."""
+
+from __future__ import annotations
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from loamwork.functions import vectors as V
+from loamwork.operators import density, encoder, merge
+from loamwork.operators.neighbours import knn, knn_approximate
+from loamwork.plans import fixtures as fx
+from loamwork.plans import runs
+from loamwork.plans.q_bins import BINS, rows
+from loamwork.plans.registry import query
+from loamwork.plans.workspace import workspace
+from loamwork.sources import tables
+from loamwork.streaming import resources
+
+_LINE = "concat_ws('\t', l_partkey, l_returnflag, {p}, l_linenumber, 1, 0, l_suppkey, l_suppkey + 9, 1, 9, 0.001, l_extendedprice)"
+
+
+@query("SELECT l_linenumber <> 3 AS ok, count(*) AS n, CAST(sum(CASE WHEN l_linenumber <> 3 THEN l_suppkey ELSE 0 END) AS BIGINT) AS starts FROM lineitem WHERE l_linenumber <> 5 GROUP BY 1")
+def hit_lines(spark, sf_dir):
+    """A10: hits parsed from text; blank lines are skipped, malformed ones counted."""
+    li = fx.table(spark, sf_dir, "lineitem")
+    line = F.when(F.col("l_linenumber") == 5, "  ").when(F.col("l_linenumber") == 3, F.expr(_LINE.format(p="'x'"))).otherwise(F.expr(_LINE.format(p="l_discount")))
+    x = tables.parse_hits(li.select(line.alias("value")))
+    return x.groupBy("ok").agg(F.count("*").alias("n"), F.sum(F.when(F.col("ok"), F.col("qstart")).otherwise(0)).cast("long").alias("starts"))
+
+
+@query("SELECT 'p' || p_partkey AS bin, p_retailprice AS completeness, CAST(p_size AS DOUBLE) AS contamination FROM part WHERE p_size > 5")
+def bin_scores(spark, sf_dir):
+    """Completeness scores; paths, negative and unreadable numbers."""
+    p = fx.table(spark, sf_dir, "part")
+    bad = F.when(F.col("p_size") <= 2, "-1").when(F.col("p_size") <= 5, "oops").otherwise(F.col("p_size").cast("string"))
+    return tables.parse_scores(p.select(F.concat(F.lit("/a/b/p"), "p_partkey", F.lit(".fa")).alias("Bin path"), F.col("p_retailprice").cast("string").alias("Completeness"), bad.alias("Contamination %")))
+
+
+@query(f"WITH {fx.SAMPLES} SELECT pid, event_id, greatest(0.0, counter - lag(counter) OVER (PARTITION BY pid ORDER BY at_us, event_id)) AS delta FROM samples WHERE counter IS NOT NULL")
+def counter_deltas(spark, sf_dir):
+    """Growth of counters."""
+    return resources.deltas(fx.samples(spark, sf_dir)).select("pid", "event_id", "delta")
+
+
+@query(f"""WITH {fx.SAMPLES}, r AS (SELECT stage, counter, row_number() OVER (PARTITION BY stage ORDER BY counter) - 1 AS k, count(*) OVER (PARTITION BY stage) AS n FROM samples),
+p AS (SELECT stage, max(counter) FILTER (k = floor(0.5 * (n - 1) + 0.5)) AS p50, max(counter) FILTER (k = floor(0.95 * (n - 1) + 0.5)) AS p95 FROM r GROUP BY 1)
+SELECT s.stage, count(*) AS n, avg(counter) AS mean, min(counter) AS min, max(counter) AS max, arg_min(counter, {'a': at_us, 'b': event_id}) AS first, arg_max(counter, {'a': at_us, 'b': event_id}) AS last, any_value(p50) AS p50, any_value(p95) AS p95 FROM samples s JOIN p ON s.stage = p.stage GROUP BY 1""")
+def stage_statistics(spark, sf_dir):
+    """Statistics of stages."""
+    return resources.stage_statistics(fx.samples(spark, sf_dir))
+
+
+@query(f"WITH {fx.SAMPLES}, b AS (SELECT stage, (max(at_us) - min(at_us)) / 1e6 AS seconds FROM samples GROUP BY 1) SELECT stage, seconds, seconds / sum(seconds) OVER () AS share, seconds = max(seconds) OVER () AS bottleneck FROM b")
+def stage_shares(spark, sf_dir):
+    """Shares of stages."""
+    return resources.stage_shares(fx.samples(spark, sf_dir))
+
+
+@query("WITH v AS (SELECT event_type AS metric, user_id % 12 AS ord, sum(value) AS value FROM events GROUP BY 1, 2) SELECT metric, ord, round((value - b) / greatest(abs(b), 1e-9), 6) AS change FROM (SELECT *, lag(value) OVER (PARTITION BY metric ORDER BY ord) AS b FROM v)")
+def stage_changes(spark, sf_dir):
+    """Change from stage to stage."""
+    v = fx.table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("metric"), (F.col("user_id") % 12).alias("ord")).agg(F.sum("value").alias("value"))
+    return resources.stage_changes(v).select("metric", "ord", F.round("change", 6).alias("change"))
+
+
+@query(f"WITH {fx.SAMPLES}, o AS (SELECT *, CASE WHEN at_us - lag(at_us) OVER (PARTITION BY pid ORDER BY at_us) < 21600000000 THEN 0 ELSE 1 END AS opens FROM samples), n AS (SELECT *, sum(opens) OVER (PARTITION BY pid ORDER BY at_us ROWS UNBOUNDED PRECEDING) AS s FROM o) SELECT pid, min(at_us) AS start_us, count(*) AS n FROM n GROUP BY pid, s")
+def sample_sessions(spark, sf_dir):
+    """Section 2.12 extension: sessions of processes."""
+    return resources.sessions(fx.samples(spark, sf_dir))
+
+
+@query()
+def streamed_windows(spark, sf_dir):
+    """Section 2.12 extension: the windowed aggregate run as a stream over files until it has read all."""
+    base = workspace(spark)
+    source = fx.samples(spark, sf_dir)
+    source.write.parquet(f"{base}/in")
+    stream = spark.readStream.schema(source.schema).parquet(f"{base}/in")
+    q = resources.windowed(stream).writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema("start timestamp, stage string, n bigint, mean double").parquet(f"{base}/out")
+
+
+@query(BINS + ", b AS (SELECT total_bp, sum(total_bp) OVER (ORDER BY total_bp DESC ROWS UNBOUNDED PRECEDING) AS run, sum(total_bp) OVER () AS t FROM sz) SELECT 'all' AS run, count(*) AS n_bins, CAST(sum(n_contigs) AS BIGINT) AS n_binned, CAST(sum(total_bp) AS BIGINT) AS binned_bp, max(total_bp) AS largest_bp, (SELECT max(total_bp) FROM b WHERE run >= t / 2.0) AS n50 FROM sz")
+def run_comparison(spark, sf_dir):
+    """A line for each run."""
+    return runs.comparison({"all": rows(spark, sf_dir)})
+
+
+@query("WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT a.id, list_distance(a.v, b.v) AS d, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS k FROM v a, v b WHERE a.id <> b.id) SELECT id AS contig_id, round(d, 6) AS core FROM d WHERE k = 9")
+def core_distances(spark, sf_dir):
+    """M8: core distances."""
+    c = density.core_distances(rows(spark, sf_dir), 10)
+    return c.select("contig_id", F.round("core", 6).alias("core"))
+
+
+@query()
+def density_parts(spark, sf_dir):
+    """Density clusters inside each bin, on three of the dimensions."""
+    r = rows(spark, sf_dir).where("label >= 0").withColumn("vec", F.slice("vec", 1, 3))
+    return density.cluster_groups(r, "label", 4, 2)
+
+
+@query()
+def neighbours_approximate(spark, sf_dir):
+    """K1: hashed neighbours with exact distances."""
+    return knn_approximate(rows(spark, sf_dir).select("contig_id", "vec"), 5, 1.3)
+
+
+@query()
+def merged_groups(spark, sf_dir):
+    """Greedy merging of bins; a row a bin goes through the driver, its vectors bounded by bins of a sample."""
+    r = rows(spark, sf_dir).where("label >= 0").select("label", "contig_id", "u", "shape", "gc").orderBy("label", F.xxhash64("contig_id")).limit(5000).toPandas()
+    groups = {int(k): merge.Group(np.stack(g["u"].to_list()), np.stack(g["shape"].to_list()), g["gc"].to_numpy()) for k, g in r.groupby("label")}
+    home, _ = merge.merge_groups(groups, merge.Guards(separation=0.62, coverage=3.0, gc_difference=0.05, misfit=0.9))
+    return spark.createDataFrame(sorted(home.items()), "label int, bin int")
+
+
+@query()
+def bin_dedup(spark, sf_dir):
+    """Redundant bins; one row a bin."""
+    sizes = {r["bin"]: r["n"] for r in fx.table(spark, sf_dir, "nation").join(fx.table(spark, sf_dir, "customer"), F.col("n_nationkey") == F.col("c_nationkey")).groupBy(F.col("n_name").alias("bin")).agg(F.count("*").alias("n")).collect()}
+    names = sorted(sizes)
+    pairs = [(a, b, 98.5 + (i * 5 + j) % 3, 75.0 + (i + j) % 30, 80.0 + (i * j) % 20) for i, a in enumerate(names) for j, b in enumerate(names) if i < j and (i + j) % 3 == 0]
+    kept, absorbed = merge.redundant_bins(sizes, pairs)
+    return spark.createDataFrame([(k, ",".join(absorbed.get(k, []))) for k in kept], "bin string, absorbed string")
+
+
+@query()
+def encoded_latents(spark, sf_dir):
+    """M1-M3: latents by a variational autoencoder."""
+    mu = encoder.encode(rows(spark, sf_dir), encoder.Vae(latent=8, epochs=5))
+    return mu.select("contig_id", F.size("mu").alias("width"), V.norm(F.col("mu")).alias("size"))
+
+
+@query()
+def principal_components(spark, sf_dir):
+    """M1: the linear baseline."""
+    return encoder.principal_components(rows(spark, sf_dir), 8).select("contig_id", F.size("mu").alias("width"))
+
+
+_GATES = f"""WITH {fx.LATENT}, g AS (SELECT contig_id, vec[1:16] AS a, vec[17:32] AS b, prob AS ra, 1 - prob AS rb FROM lat), f AS (SELECT *, CASE WHEN ra + rb > 0 THEN ra / (ra + rb) ELSE 0.5 END AS ga FROM g),
+w AS (SELECT *, list_transform(list_zip(a, b), lambda p: ga * p[1] + (1 - ga) * p[2]) AS z FROM f)"""
+
+
+@query(_GATES + " SELECT contig_id, round(ga, 6) AS gate, round(z[1], 6) AS first, round(z[16], 6) AS last FROM w")
+def gated_fusion(spark, sf_dir):
+    """M5: fusion by reliability gates."""
+    r = rows(spark, sf_dir).select("contig_id", F.slice("vec", 1, 16).alias("a"), F.slice("vec", 17, 16).alias("b"), F.col("prob").alias("ra"), (1 - F.col("prob")).alias("rb"))
+    g = encoder.gates({"a": F.col("ra"), "b": F.col("rb")})
+    z = encoder.fused({"a": F.col("a"), "b": F.col("b")}, g)
+    return r.select("contig_id", F.round(g["a"], 6).alias("gate"), F.round(F.element_at(z, 1), 6).alias("first"), F.round(F.element_at(z, 16), 6).alias("last"))
+
+
+@query(_GATES + ", i AS (SELECT avg(list_distance(z, b)) / avg(sqrt(list_dot_product(z, z))) AS a, avg(list_distance(z, a)) / avg(sqrt(list_dot_product(z, z))) AS b FROM w) SELECT 'a' AS modality, round(a / (a + b), 6) AS influence FROM i UNION ALL SELECT 'b', round(b / (a + b), 6) FROM i")
+def modality_influence(spark, sf_dir):
+    """M7: influence by leaving a modality out."""
+    r = rows(spark, sf_dir).select("contig_id", F.slice("vec", 1, 16).alias("a"), F.slice("vec", 17, 16).alias("b"), F.col("prob").alias("ra"), (1 - F.col("prob")).alias("rb"))
+    return encoder.influence(r, {"a": "a", "b": "b"}, {"a": "ra", "b": "rb"}).select("modality", F.round("influence", 6).alias("influence"))
+
+
+@query("WITH n AS (SELECT l_suppkey AS piece, l_linenumber AS bin, count(*) AS n, avg(l_discount) AS d FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2), t AS (SELECT piece, sum(n) AS f, min(d) AS m FROM n GROUP BY 1), w AS (SELECT *, row_number() OVER (PARTITION BY piece ORDER BY n DESC, bin) AS k FROM n) SELECT w.piece, w.bin FROM w JOIN t USING (piece) WHERE k = 1 AND n >= 0.35 * f AND d <= 1.05 * m")
+def best_homes(spark, sf_dir):
+    """Where a piece belongs."""
+    n = fx.table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").groupBy(F.col("l_suppkey").alias("piece"), F.col("l_linenumber").alias("bin")).agg(F.count("*").alias("n"), F.avg("l_discount").alias("d"))
+    return merge.best_home(n.select("piece", "bin", "n"), n.select("piece", "bin", "d"), 0.35, 1.05).select("piece", F.col("bin").cast("int").alias("bin"))
+
+
+@query("WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT a.id AS query_id, b.id AS ref_id, list_distance(a.v, b.v) AS distance, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS rank FROM v a, v b WHERE a.id <> b.id AND a.id % 50 = 0) SELECT query_id, ref_id, round(distance, 6) AS distance, CAST(rank AS INT) AS rank FROM d WHERE rank <= 10")
+def nearest_rows(spark, sf_dir):
+    """K1, K2: ten nearest of each query, exactly, in blocks."""
+    r = rows(spark, sf_dir).select("contig_id", "vec")
+    return knn(r.where("contig_id % 50 = 0"), r, 10).select("query_id", "ref_id", F.round("distance", 6).alias("distance"), "rank")
