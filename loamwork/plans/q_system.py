@@ -44,7 +44,7 @@ def counter_deltas(spark, sf_dir):
 
 @query(f"""WITH {fx.SAMPLES}, r AS (SELECT stage, counter, row_number() OVER (PARTITION BY stage ORDER BY counter) - 1 AS k, count(*) OVER (PARTITION BY stage) AS n FROM samples),
 p AS (SELECT stage, max(counter) FILTER (k = floor(0.5 * (n - 1) + 0.5)) AS p50, max(counter) FILTER (k = floor(0.95 * (n - 1) + 0.5)) AS p95 FROM r GROUP BY 1)
-SELECT s.stage, count(*) AS n, avg(counter) AS mean, min(counter) AS min, max(counter) AS max, arg_min(counter, {'a': at_us, 'b': event_id}) AS first, arg_max(counter, {'a': at_us, 'b': event_id}) AS last, any_value(p50) AS p50, any_value(p95) AS p95 FROM samples s JOIN p ON s.stage = p.stage GROUP BY 1""")
+SELECT s.stage, count(*) AS n, avg(counter) AS mean, min(counter) AS min, max(counter) AS max, arg_min(counter, {{'a': at_us, 'b': event_id}}) AS first, arg_max(counter, {{'a': at_us, 'b': event_id}}) AS last, any_value(p50) AS p50, any_value(p95) AS p95 FROM samples s JOIN p ON s.stage = p.stage GROUP BY 1""")
 def stage_statistics(spark, sf_dir):
     """Statistics of stages."""
     return resources.stage_statistics(fx.samples(spark, sf_dir))
