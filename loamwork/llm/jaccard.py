@@ -30,10 +30,11 @@ SKETCH_BITS = (20, 27)
 SLOT_SHINGLES = 8
 #: Classes of a run that each round pairs with the others; the last round leaves no pair out.
 PIVOTS = (8, 32, 64, None)
-#: Tokens that a task holds before it sends them.
-FLUSH = 4_000_000
+#: Tokens or pairs that a task holds before it sends them.
+FLUSH = 1_000_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _PREFIXES = "doc_id long, n int, class binary, grp long, bits binary, bucket int, grps binary, sizes binary, counts binary, tokens binary"
+_PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])
 _SETS = "class_id long, n int, tokens binary"
 
 
@@ -41,7 +42,7 @@ class Shingles(dict):
     """64-bit hashes of words; bounded by starting afresh."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return h
@@ -304,10 +305,19 @@ def _candidates(lists: DataFrame, classes: DataFrame, parts: DataFrame | None, c
     found = found.where((F.col("low") < F.col("high")) & (F.size("m") > complete))
     seed = np.uint64(2 * (pivots or 0) + 0x9E3779B97F4A7C15)
 
+    buckets = max(1, int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+    def dealt(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        pairs = np.unique(np.concatenate(found))
+        bucket = ((pairs["a"] * 31 + pairs["b"]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
+        order = np.argsort(bucket, kind="stable")
+        ends = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        rows = [(k, pairs[order[ends[k] : ends[k + 1]]].tobytes()) for k in range(buckets) if ends[k] < ends[k + 1]]
+        yield pa.RecordBatch.from_pydict({"bucket": [k for k, _ in rows], "pairs": [x for _, x in rows]}, schema=arrow_schema("bucket int, pairs binary"))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[tuple[int, int]] = set()
+        found, size = [], 0
         for part in slices(batches, 64):
-            new: set[tuple[int, int]] = set()
             for cell in part.column("m"):
                 flat = cell.values
                 c, n, group = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
@@ -321,14 +331,27 @@ def _candidates(lists: DataFrame, classes: DataFrame, parts: DataFrame | None, c
                 for i in chosen.tolist():
                     fits = (group != group[i]) & (SHARE[1] * np.minimum(n, n[i]) >= SHARE[0] * np.maximum(n, n[i]))
                     other = c[possible(bits, n, i, np.flatnonzero(fits))]
-                    new.update(zip(np.minimum(other, c[i]).tolist(), np.maximum(other, c[i]).tolist(), strict=True))
-            new -= sent
-            if len(sent) < 1_000_000:
-                sent |= new
-            yield pa.RecordBatch.from_pydict({"a": [x for x, _ in new], "b": [x for _, x in new]}, schema=arrow_schema("a long, b long"))
+                    if len(other):
+                        pairs = np.empty(len(other), _PAIR)
+                        pairs["a"], pairs["b"] = np.minimum(other, c[i]), np.maximum(other, c[i])
+                        found.append(pairs)
+                        size += len(other)
+            if size >= FLUSH:
+                yield from dealt(found)
+                found, size = [], 0
+        if found:
+            yield from dealt(found)
+
+    def once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw = [np.frombuffer(x, _PAIR) for b in batches for x in b.column("pairs").to_pylist()]
+        if raw:
+            pairs = np.unique(np.concatenate(raw))
+            for at in range(0, len(pairs), 65536):
+                some = pairs[at : at + 65536]
+                yield pa.RecordBatch.from_pydict({"a": np.ascontiguousarray(some["a"]), "b": np.ascontiguousarray(some["b"])}, schema=arrow_schema("a long, b long"))
 
     near = found.select("low", F.pmod("run", F.lit(4)).alias("salt"), "m").repartition("low", "salt").select("m")
-    return near.mapInArrow(run, "a long, b long").distinct()
+    return near.mapInArrow(run, "bucket int, pairs binary").repartition(buckets, "bucket").mapInArrow(once, "a long, b long")
 
 
 def join(docs: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ class Words(dict):
     """Vocabulary numbers of lower-cased words; bounded by starting afresh."""
 
     def __missing__(self, word: str) -> int:
-        if len(self) > 500_000:
+        if len(self) > 200_000:
             self.clear()
         h = self[word] = zlib.crc32(word.encode()) & ((1 << WORD_BITS) - 1)
         return h

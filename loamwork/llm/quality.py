@@ -34,7 +34,7 @@ RATIOS = {"symbol_ratio": ("n_symbols", "n_words"), "word_length": ("word_chars"
 class TextStats:
     """Statistics of texts; words are numbered by a memo that is bounded by starting afresh."""
 
-    def __init__(self, limit: int = 500_000):
+    def __init__(self, limit: int = 200_000):
         self.limit = limit
         self.memo: dict[bytes, int] = {}
 
