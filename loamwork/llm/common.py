@@ -87,9 +87,10 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
 def append_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], added: str, replaced: tuple[str, ...] = ()) -> DataFrame:
     """df with the columns that make()'s function returns added at its end; all other columns pass through.
 
-    replaced names columns of df that the function returns anew in their place.
+    An added column takes the place of one of df with the same name. replaced names columns of df that the function returns anew in their place.
     """
     extra = arrow_schema(added) if added else pa.schema([])
+    df = df.drop(*(n for n in extra.names if n not in replaced))
 
     def run(batches):
         apply = make()

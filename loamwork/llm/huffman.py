@@ -130,7 +130,7 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 
         return apply
 
-    return map_slices(docs.select("doc_id", "text"), make, "doc_id long, n_tokens long, ids binary")
+    return map_slices(docs.select("doc_id", "text").where("doc_id is not null"), make, "doc_id long, n_tokens long, ids binary")
 
 
 def wide_ids(ids: bytes, n: int) -> np.ndarray:
@@ -248,7 +248,8 @@ def write_and_read(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> Dat
     """Encodes all documents into a file and reads it back: doc_id, start, n_tokens, ids_crc32.
 
     Null and empty texts hold end_id alone. Rows with equal doc_id stay separate, in any
-    order among themselves. An empty table gives an empty file and no rows.
+    order among themselves; rows without a doc_id have no place in the order and are left
+    out; other columns are ignored. An empty table gives an empty file and no rows.
     """
     with scratch(docs.sparkSession):
         tokens = materialize(token_table(docs, tokenizer_path, end_id), "tokens")

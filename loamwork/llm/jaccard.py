@@ -102,7 +102,8 @@ def ranks(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"part": list(total), "counts": logs}, schema=arrow_schema("part int, counts binary"))
 
     out = np.zeros(1 << bits, np.uint8)
-    sent = docs.select("text").mapInArrow(local, "part int, counts binary").repartition("part")
+    cores = docs.sparkSession.sparkContext.defaultParallelism  # a sketch a core, however many splits there are
+    sent = docs.select("text").coalesce(max(1, cores)).mapInArrow(local, "part int, counts binary").repartition("part")
     for k, raw in ((r["part"], r["counts"]) for r in sent.mapInArrow(add, "part int, counts binary").toLocalIterator()):  # one byte a slot
         out[k << part_bits : (k + 1) << part_bits] = np.frombuffer(raw, np.uint8)
     return out
@@ -195,7 +196,7 @@ def prefixes(docs: DataFrame, shared: Broadcast, buckets: int) -> DataFrame:
         if held:
             yield flush()
 
-    return docs.select("doc_id", "text").mapInArrow(run, _PREFIXES)
+    return docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, _PREFIXES)
 
 
 def runs(postings: DataFrame, buckets: int) -> DataFrame:
@@ -287,25 +288,32 @@ def _verified(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return materialize(joined.mapInArrow(run, "a long, b long"), "similar")
 
 
-def _candidates(lists: DataFrame, classes: DataFrame, parts: DataFrame | None, complete: int, pivots: int | None) -> DataFrame:
-    """Pairs (a, b) of classes in a common run or group that are of fitting size and not yet in one component.
+def _grouped(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """run, m: the classes (class_id, n, bits) of each run, and of each group with several classes."""
+    inside = classes.select(F.col("grp").alias("run"), "class_id", "n", "bits")
+    members = _members(lists).join(classes.select("grp", "class_id", "n", "bits"), "grp").select("run", "class_id", "n", "bits").union(inside)
+    return members.groupBy("run").agg(F.collect_list(F.struct("class_id", "n", "bits")).alias("m")).where(F.size("m") > 1)
+
+
+def _placed(runs_: DataFrame, parts: DataFrame) -> DataFrame:
+    """The runs with classes of several components; each class has its component."""
+    members = runs_.select("run", F.inline("m"))
+    placed = members.join(parts, members.class_id == parts.node, "left").select("run", "class_id", "n", "bits", F.coalesce("component", "class_id").alias("component"))
+    found = placed.groupBy("run").agg(F.collect_list(F.struct("class_id", "n", "bits", "component")).alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
+    # runs of one cluster mostly meet in a few tasks, which then see their common pairs once
+    return found.where("low < high").select("low", F.pmod("run", F.lit(4)).alias("salt"), "m").repartition("low", "salt").select("m")
+
+
+def _candidates(runs_: DataFrame, pivots: int | None) -> DataFrame:
+    """Pairs (a, b) of classes in a common run, of fitting size and, where components are known, of different ones.
 
     With pivots, only the classes of a run with the lowest hashes are paired with the
     others: runs of one near-copy cluster then choose the same few. Without, all pairs
-    come, for each class outside the run's largest component. Runs of at most complete
-    classes were paired in full before.
+    come, for each class outside the run's largest component.
     """
-    inside = classes.select(F.col("grp").alias("run"), "class_id", "n", "bits")
-    members = _members(lists).join(classes.select("grp", "class_id", "n", "bits"), "grp").select("run", "class_id", "n", "bits").union(inside)
-    if parts is None:
-        placed = members.withColumn("component", F.col("class_id"))
-    else:
-        placed = members.join(parts, members.class_id == parts.node, "left").select("run", "class_id", "n", "bits", F.coalesce("component", "class_id").alias("component"))
-    found = placed.groupBy("run").agg(F.collect_list(F.struct("class_id", "n", "component", "bits")).alias("m"), F.min("component").alias("low"), F.max("component").alias("high"))
-    found = found.where((F.col("low") < F.col("high")) & (F.size("m") > complete))
     seed = np.uint64(2 * (pivots or 0) + 0x9E3779B97F4A7C15)
 
-    buckets = max(1, int(lists.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    buckets = max(1, int(runs_.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def dealt(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         pairs = np.unique(np.concatenate(found))
@@ -320,14 +328,15 @@ def _candidates(lists: DataFrame, classes: DataFrame, parts: DataFrame | None, c
         for part in slices(batches, 64):
             for cell in part.column("m"):
                 flat = cell.values
-                c, n, group = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3))
-                bits = flat.field(3).to_pylist()
+                names = [f.name for f in flat.type]
+                c, n, group = (flat.field(names.index(x if x in names else "class_id")).to_numpy(zero_copy_only=False).astype(np.int64) for x in ("class_id", "n", "component"))
+                bits = flat.field(names.index("bits")).to_pylist()
                 if pivots:
                     mixed = (c.astype(np.uint64) + np.uint64(1)) * seed
                     chosen = np.argsort(mixed ^ mixed >> np.uint64(32), kind="stable")[:pivots]
                 else:
-                    names, counts = np.unique(group, return_counts=True)
-                    chosen = np.flatnonzero(group != names[counts.argmax()])
+                    own, counts = np.unique(group, return_counts=True)
+                    chosen = np.flatnonzero(group != own[counts.argmax()])
                 for i in chosen.tolist():
                     fits = (group != group[i]) & (SHARE[1] * np.minimum(n, n[i]) >= SHARE[0] * np.maximum(n, n[i]))
                     other = c[possible(bits, n, i, np.flatnonzero(fits))]
@@ -350,15 +359,15 @@ def _candidates(lists: DataFrame, classes: DataFrame, parts: DataFrame | None, c
                 some = pairs[at : at + 65536]
                 yield pa.RecordBatch.from_pydict({"a": np.ascontiguousarray(some["a"]), "b": np.ascontiguousarray(some["b"])}, schema=arrow_schema("a long, b long"))
 
-    near = found.select("low", F.pmod("run", F.lit(4)).alias("salt"), "m").repartition("low", "salt").select("m")
-    return near.mapInArrow(run, "bucket int, pairs binary").repartition(buckets, "bucket").mapInArrow(once, "a long, b long")
+    return runs_.select("m").mapInArrow(run, "bucket int, pairs binary").repartition(buckets, "bucket").mapInArrow(once, "a long, b long")
 
 
 def join(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id (the smallest doc_id reachable by links) of every document.
 
     Null, empty and blank texts have no shingles and stay alone. Repeated rows are equal
-    documents; a repeated doc_id is one node. Other columns are ignored; an empty table
+    documents; a repeated doc_id is one node; a row without a doc_id has no place in a
+    result of ids and is left out. Other columns are ignored; an empty table
     gives no rows.
     """
     check_columns(docs, "doc_id", "text")
@@ -374,18 +383,16 @@ def _joined(docs: DataFrame) -> DataFrame:
     rows = table.where("doc_id is not null").select("doc_id", "n", "class", "grp", "bits")
     classes = materialize(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min("n").alias("n"), F.min("grp").alias("grp"), F.min("bits").alias("bits")), "classes")
     lists = materialize(runs(table.where("bucket is not null").select("bucket", "grps", "sizes", "counts", "tokens"), buckets), "runs")
-    links = tried = parts = None
-    complete = 1
-    for pivots in PIVOTS:
-        pairs = _candidates(lists, classes, parts, complete, pivots)
-        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
-        complete = pivots + 1 if pivots else complete
-        if tried is not None and not pairs.limit(1).count():
-            continue
-        tried = pairs if tried is None else tried.union(pairs)
-        similar_pairs = _verified(docs, pairs)
-        links = similar_pairs if links is None else links.union(similar_pairs)
-        parts = materialize(components(links), "components")
+    grouped = materialize(_grouped(lists, classes), "grouped")
+    tried = materialize(_candidates(grouped, PIVOTS[0]), "candidates")
+    links = _verified(docs, tried)
+    parts = materialize(components(links), "components")
+    for before, pivots in zip(PIVOTS, PIVOTS[1:], strict=False):
+        large = grouped.where(F.size("m") > before + 1)  # the others have been paired in full
+        pairs = materialize(_candidates(_placed(large, parts), pivots).join(tried, ["a", "b"], "left_anti"), "candidates")
+        if pairs.limit(1).count():
+            tried, links = tried.union(pairs), links.union(_verified(docs, pairs))
+            parts = materialize(components(links), "components")
     placed = classes.join(parts, classes.class_id == parts.node, "left").select("class", F.coalesce("component", "class_id").alias("component_id"))
     return rows.select("doc_id", "n", "class").join(placed, "class", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 

@@ -88,15 +88,13 @@ class Shard:
 
 
 def write_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """A table of tar shards with the payloads of all documents; a null doc_id is refused."""
+    """A table of tar shards with the payloads of all documents that have a doc_id."""
     check_columns(docs, "doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, shard = TaskContext.get().partitionId() << 32, Shard()
         for part in slices(batches):
             for doc, text in zip(part.column("doc_id").to_pylist(), texts_of(part), strict=True):
-                if doc is None:
-                    raise ValueError("a document has no doc_id")
                 shard.add(doc, *payload(text))
                 if shard.size >= shard_bytes:
                     yield shard.batch(number)
@@ -104,7 +102,7 @@ def write_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
         if shard.rows:
             yield shard.batch(number)
 
-    return materialize(docs.select("doc_id", "text").mapInArrow(run, SHARDS), "media-shards")
+    return materialize(docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, SHARDS), "media-shards")
 
 
 def _rows(row: dict) -> Iterator[tuple[int, int, int, int, str]]:
@@ -155,6 +153,7 @@ def media_columns(docs: DataFrame) -> DataFrame:
     """Stores every text as media and returns what reading it back gives.
 
     Null and empty texts become one unit of bytes 255. Equal texts give equal values,
-    wherever they are stored. An empty table gives no shards and no rows.
+    wherever they are stored; repeated rows point to one payload. Rows without a doc_id
+    are left out, other columns ignored. An empty table gives no shards and no rows.
     """
     return features(write_shards(docs))

@@ -36,7 +36,7 @@ _NUMBERS = (
     ("date", re.compile(r"(?:([0-9]{4})([-/.])([0-9]{2})\2([0-9]{2})|([0-9]{2})([-/.])([0-9]{2})\6([0-9]{4}))(?![0-9A-Za-z]|[./-][0-9])")),
     ("ip", re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])")),
     ("ssn", re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])")),
-    ("phone", re.compile(r"(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z]|[.-][0-9])|\+[0-9]{8,15}(?![0-9A-Za-z])")),
+    ("phone", re.compile(r"(?<![0-9][ .-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z]|[ .-][0-9])|\+[0-9]{8,15}(?![0-9A-Za-z])")),
 )
 
 
@@ -219,7 +219,8 @@ def pseudonymize(docs: DataFrame, key: bytes = KEY, counts: bool = True) -> Data
     """docs with pseudonyms in text; with counts, also n_<kind> columns and n_found.
 
     A null text stays null, an empty one empty; a text without valid values is returned
-    unchanged. Rows are handled one by one, in place: nothing is shuffled.
+    unchanged. Count columns take the place of columns of the same name; all others pass
+    through. Rows are handled one by one, in place: nothing is shuffled.
     """
     check_columns(docs, "text")
     added = ", ".join(f"n_{k} long" for k in (*KINDS, "found")) if counts else ""

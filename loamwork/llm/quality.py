@@ -83,8 +83,8 @@ class Test:
     def holds(self, rows: dict[str, np.ndarray]) -> np.ndarray:
         return rows[self.name] > self.threshold if self.above else rows[self.name] <= self.threshold
 
-    def column(self) -> Column:
-        value = ratio(self.name)
+    def column(self, prefix: str = "") -> Column:
+        value = ratio(self.name, prefix)
         return value > F.lit(self.threshold) if self.above else value <= F.lit(self.threshold)
 
 
@@ -194,13 +194,13 @@ def base_failed(prefix: str = "") -> Column:
     return (words < 50) | (100 * repeated > 50 * words)
 
 
-def verdict(rules: list[list[Test]]) -> Column:
+def verdict(rules: list[list[Test]], prefix: str = "") -> Column:
     """The list as one ordered conditional expression: true keeps."""
     out = F.lit(True)
     for rule in reversed(rules):
         condition = F.lit(True)
         for t in rule:
-            condition &= t.column()
+            condition &= t.column(prefix)
         out = F.when(condition, F.lit(False)).otherwise(out)
     return out
 
@@ -216,12 +216,13 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that base rules and the learned list keep, with all their columns; nothing is shuffled."""
+    """The documents that base rules and the learned list keep, with all their columns; nothing is shuffled.
+
+    Columns named _q_<statistic> are used up. Null and empty texts go; an empty table stays empty.
+    """
     rules = fit(docs, labels)
-    names = [c.split()[0] for c in STATS.split(",")]
-    clash = [c for c in names if c in docs.columns]
-    if clash:
-        raise ValueError(f"documents already have columns {clash}")
+    names = ["_q_" + c.split()[0] for c in STATS.split(", ")]
+    added = ", ".join(f"{n} long" for n in names)
 
     def make():
         stats = TextStats()
@@ -232,4 +233,5 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
         return apply
 
-    return append_columns(docs, make, STATS).where(~base_failed() & verdict(rules)).select(*docs.columns)
+    kept = ~base_failed("_q_") & verdict(rules, "_q_")
+    return append_columns(docs, make, added).where(kept).select(*docs.columns)

@@ -291,8 +291,8 @@ def _repeated_spans(docs: DataFrame, length: int, hot: int) -> DataFrame:
 
 
 def _with_spans(docs: DataFrame, length: int, hot: int) -> DataFrame:
-    spans = repeated_spans(docs, length, hot).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    return docs.join(spans, "doc_id", "left")
+    spans = repeated_spans(docs, length, hot).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
+    return docs.drop("_spans").join(spans, "doc_id", "left")
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
@@ -319,7 +319,7 @@ def removal(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
 
     A text shorter than length loses nothing; null counts as empty. Equal rows repeat
     each other, so they lose all their strings; rows that share a doc_id must share
-    their text. Other columns are ignored; an empty table gives no rows.
+    their text. A row without a doc_id stays whole. Other columns are ignored; an empty table gives no rows.
     """
     check_columns(docs, "doc_id", "text")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -327,7 +327,7 @@ def removal(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
             out = []
-            for doc, text, spans in zip(part.column("doc_id").to_pylist(), texts_of(part), part.column("spans").to_pylist(), strict=True):
+            for doc, text, spans in zip(part.column("doc_id").to_pylist(), texts_of(part), part.column("_spans").to_pylist(), strict=True):
                 raw, runs = text.encode(), merged(spans)
                 out.append((doc, len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(_kept(raw, runs)).hexdigest()))
             names = [c.split()[0] for c in schema.split(", ")]
@@ -337,16 +337,19 @@ def removal(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """docs with repeated bytes taken out of text; characters that lose a byte go whole. Texts that lose nothing stay as they are."""
+    """docs with repeated bytes taken out of text; characters that lose a byte go whole.
+
+    Texts that lose nothing, null ones among them, stay as they are; other columns too.
+    """
 
     def make():
         def apply(part):
             out = []
-            for text, spans in zip(part.column("text").to_pylist(), part.column("spans").to_pylist(), strict=True):
+            for text, spans in zip(part.column("text").to_pylist(), part.column("_spans").to_pylist(), strict=True):
                 runs = merged(spans) if text else []
                 out.append(_kept(text.encode(), runs).decode("utf-8", "ignore") if runs else text)
             return {"text": out}
 
         return apply
 
-    return append_columns(_with_spans(docs, length, hot), make, "", ("text",)).select(*docs.columns)
+    return append_columns(_with_spans(docs, length, hot), make, "", ("text",)).select(*(c for c in docs.columns if c != "_spans"))
