@@ -14,10 +14,17 @@ from pyspark.sql.types import StructType
 
 #: Rows handled at once inside a worker, whatever the Arrow batch holds.
 SLICE_ROWS = 512
+#: Largest Arrow batch between the JVM and Python; rows are never split, so one long text may exceed it.
+BATCH_BYTES = 8 << 20
 #: Largest number of ids that is broadcast; beyond it joins shuffle.
 BROADCAST_IDS = 2_000_000
 
 
+def bounded(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch size to BATCH_BYTES, so that memory doesn't follow the length of texts."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The documents table."""
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -57,6 +64,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
 
 def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Writes df as a Parquet table in the shared folder and reads it back; later stages survive lost executors."""
+    bounded(df.sparkSession)
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if scopes := _scopes[:-1] if keep else _scopes:
@@ -74,6 +82,7 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
 
 def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
     """Applies make()'s function to slices of df. It returns a dict of columns, and make runs once per task."""
+    bounded(df.sparkSession)
     arrow = arrow_schema(schema)
 
     def run(batches):
@@ -89,6 +98,7 @@ def append_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
 
     An added column takes the place of one of df with the same name. replaced names columns of df that the function returns anew in their place.
     """
+    bounded(df.sparkSession)
     extra = arrow_schema(added) if added else pa.schema([])
     df = df.drop(*(n for n in extra.names if n not in replaced))
 
