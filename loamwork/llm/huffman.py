@@ -21,7 +21,7 @@ from loamwork.llm.tokenize import ChunkMemo, kept, LibraryEncoder
 #: Longest code in bits.
 MAX_BITS = 18
 #: A block closes at the first document end beyond so many ids.
-BLOCK_IDS = 1 << 16
+BLOCK_IDS = 1 << 18
 CHECKPOINT = 128
 FILE_SCHEMA = "part int, block int, doc_ids binary, sizes binary, payload binary, checkpoints binary"
 
@@ -76,18 +76,28 @@ class Coder:
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
         """(bits from the highest down, bit offset of every CHECKPOINT-th id)."""
-        if not len(ids):
-            return b"", np.zeros(0, "<u8")
-        size = self.lengths[ids].astype(np.uint64)
-        ends = np.cumsum(size)
-        starts = ends - size
-        word, within = (starts >> np.uint64(5)).astype(np.int64), starts & np.uint64(31)
-        wide = self.codes[ids].astype(np.uint64) << (np.uint64(64) - size - within)
-        heads = np.flatnonzero(np.diff(word, prepend=-1))
-        out = np.zeros(int(ends[-1] >> np.uint64(5)) + 2, np.uint32)
-        out[word[heads]] += np.add.reduceat(wide >> np.uint64(32), heads).astype(np.uint32)
-        out[word[heads] + 1] += np.add.reduceat(wide & np.uint64(0xFFFFFFFF), heads).astype(np.uint32)
-        return out.astype(">u4").tobytes()[: int(ends[-1] + np.uint64(7)) >> 3], starts[::CHECKPOINT].astype("<u8")
+        return self.encode_many([ids])[0]
+
+    def encode_many(self, lists: list[np.ndarray]) -> list[tuple[bytes, np.ndarray]]:
+        """encode() of several lists at once; each begins at a byte of its own."""
+        count = np.array([len(x) for x in lists], np.int64)
+        ids = np.concatenate([*lists, np.zeros(0, np.uint32)]).astype(np.int64)
+        size = self.lengths[ids].astype(np.int64)
+        ends = np.append(0, np.cumsum(size))
+        last = np.cumsum(count)
+        bits = ends[last] - ends[last - count]
+        width = (bits + 7) >> 3
+        begin = np.cumsum(width) - width
+        starts = ends[:-1] + np.repeat(8 * begin - ends[last - count], count)
+        out = np.zeros(int(width.sum()) // 4 + 3, np.uint32)
+        if len(ids):
+            word, within = starts >> 5, (starts & 31).astype(np.uint64)
+            wide = self.codes[ids].astype(np.uint64) << (np.uint64(64) - size.astype(np.uint64) - within)
+            heads = np.flatnonzero(np.diff(word, prepend=-1))
+            out[word[heads]] += np.add.reduceat(wide >> np.uint64(32), heads).astype(np.uint32)
+            out[word[heads] + 1] += np.add.reduceat(wide & np.uint64(0xFFFFFFFF), heads).astype(np.uint32)
+        raw = out.astype(">u4").tobytes()
+        return [(raw[b : b + w], (starts[e - n : e : CHECKPOINT] - 8 * b).astype("<u8")) for b, w, n, e in zip(begin.tolist(), width.tolist(), count.tolist(), last.tolist(), strict=True)]
 
     def _decoding_table(self) -> np.ndarray:
         if self.table is None:
@@ -116,7 +126,7 @@ class Coder:
 
 
 def token_table(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
-    """doc_id, n_tokens and ids (uint32 bytes deflated by the table's own codec) of every document."""
+    """doc_id, n_tokens and ids (two bytes an id where all fit, else four) of every document."""
     check_columns(docs, "doc_id", "text")
 
     def make():
@@ -125,7 +135,13 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 
         def apply(part):
             ids = [x + end for x in memo.encode(texts_of(part))]
-            short = [np.frombuffer(x, "<u4").astype("<u2").tobytes() if narrow else x for x, narrow in ((x, np.frombuffer(x, "<u4").max() < 65536) for x in ids)]
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            if flat.max(initial=0) < 65536:
+                narrow = flat.astype("<u2").tobytes()
+                ends = np.cumsum([len(x) // 2 for x in ids]).tolist()
+                short = [narrow[a:b] for a, b in zip([0, *ends], ends, strict=False)]
+            else:
+                short = ids
             return {"doc_id": part.column("doc_id"), "n_tokens": [len(x) // 4 for x in ids], "ids": short}
 
         return apply
@@ -144,10 +160,10 @@ def global_counts(tokens: DataFrame) -> np.ndarray:
     def run(batches):
         total = np.zeros(0, np.int64)
         for part in slices(batches):
-            for n, ids in zip(part.column("n_tokens").to_pylist(), part.column("ids").to_pylist(), strict=True):
-                some = np.bincount(wide_ids(ids, n), minlength=len(total))
-                some[: len(total)] += total
-                total = some
+            some = np.concatenate([wide_ids(ids, n) for n, ids in zip(part.column("n_tokens").to_pylist(), part.column("ids").to_pylist(), strict=True)])
+            counts = np.bincount(some, minlength=len(total))
+            counts[: len(total)] += total
+            total = counts
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": seen, "n": total[seen]}, schema=arrow_schema("id long, n long"))
 
@@ -166,7 +182,7 @@ def encode_file(tokens: DataFrame, lengths: np.ndarray) -> DataFrame:
         coder = Coder(shared.value)
 
         def apply(part):
-            coded = [coder.encode(wide_ids(ids, n)) for n, ids in zip(part.column("n_tokens").to_pylist(), part.column("ids").to_pylist(), strict=True)]
+            coded = coder.encode_many([wide_ids(ids, n) for n, ids in zip(part.column("n_tokens").to_pylist(), part.column("ids").to_pylist(), strict=True)])
             return {"doc_id": part.column("doc_id"), "n_tokens": part.column("n_tokens"), "payload": [c[0] for c in coded], "checkpoints": [c[1].tobytes() for c in coded]}
 
         return apply

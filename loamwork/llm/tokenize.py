@@ -1,7 +1,8 @@
 """Whole-text tokenising with a bounded memo of text chunks.
 
 A text is cut only where every pre-tokenizer in use has a boundary anyway: before a
-blank that a non-white character follows. Chunks repeat a lot, so each worker keeps
+blank that a non-white character follows, and around a line end between non-white
+characters. Chunks repeat a lot, so each worker keeps
 their ids as little-endian uint32 bytes and looks most of them up.
 """
 
@@ -13,15 +14,27 @@ from array import array
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Chunks kept by a worker before its memo starts afresh.
-MEMO_CHUNKS = 1_000_000
+MEMO_CHUNKS = 800_000
 #: Longer chunks are encoded each time and never kept.
 MEMO_CHARS = 64
-_UNSAFE = re.compile(r" (?:\s|$)")
+#: Characters that are split and put together at once.
+BATCH_CHARS = 16 << 20
+#: Marks a key that stands at the start of a text or line.
+FIRST = "\0"
+_LINE_END = f" \n {FIRST}"
+_OTHER_WHITE = re.compile(r"[^\S \n]")
 _BOUNDARY = re.compile(r"(?= \S)")
 
 
+def plain(text: str) -> bool:
+    """Is every white character a lone blank or line end, and the last one no blank?"""
+    return not ("  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[-1:] == " " or _OTHER_WHITE.search(text))
+
+
 _KEPT: dict = {}
 
 
@@ -32,74 +45,87 @@ def kept(key: tuple, build: Callable):
     return _KEPT[key]
 
 
-class ChunkMemo:
-    """ids of chunks; encode_many maps chunks to their ids as little-endian uint32 bytes."""
+class _Memo:
+    """ids of chunks as little-endian uint32 bytes, by key; encode_many maps chunks to such bytes.
 
-    def __init__(self, encode_many: Callable[[list[str]], list], limit: int = MEMO_CHUNKS):
+    Arrow splits texts into keys and numbers the different ones; only those are looked up,
+    and numpy puts every text's ids together.
+    """
+
+    def __init__(self, encode_many: Callable[[list[str]], list[bytes]], limit: int = MEMO_CHUNKS):
         self.encode_many, self.limit = encode_many, limit
-        self.first: dict[str, bytes] = {"": b""}
-        self.inner: dict[str, bytes] = {}
+        self.memo: dict[str, bytes] = {}
 
-    def _fill(self, memo: dict[str, bytes], wanted: set[str], prefix: str) -> list[str]:
-        """Adds what memo lacks; returns the chunks too long to stay."""
-        missing = list(wanted - memo.keys())
-        if not missing:
-            return []
-        memo.update(zip(missing, self.encode_many([prefix + c for c in missing] if prefix else missing), strict=True))
-        return [c for c in missing if len(c) > MEMO_CHARS]
+    def _chunk(self, key: str) -> str:
+        """The text that a key stands for."""
+        return key
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, four bytes an id."""
-        if len(self.first) + len(self.inner) > self.limit:
-            self.first, self.inner = {"": b""}, {}
-        cut, odd = [], {}
-        for i, text in enumerate(texts):
-            parts = text.split(" ")
-            if len(parts) > 1 and _UNSAFE.search(text):
-                odd[i] = _BOUNDARY.split(text)
-                parts = [""]
-            cut.append(parts)
-        firsts, inners = {p[0] for p in cut}, set()
-        for p in cut:
-            inners.update(p[1:])
-        for whole in odd.values():
-            firsts.update(whole)
-        long_firsts, long_inners = self._fill(self.first, firsts, ""), self._fill(self.inner, inners, " ")
-        first, inner = self.first, self.inner
-        out = [first[p[0]] + b"".join(map(inner.__getitem__, p[1:])) for p in cut]
-        for i, whole in odd.items():
-            out[i] = b"".join(map(first.__getitem__, whole))
-        for c in long_firsts:
-            del first[c]
-        for c in long_inners:
-            del inner[c]
+    def _known(self, keys: list[str]) -> list[bytes]:
+        if len(self.memo) > self.limit:
+            self.memo = {}
+        memo = self.memo
+        found = list(map(memo.get, keys))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if missing:
+            for i, ids in zip(missing, self.encode_many([self._chunk(keys[i]) for i in missing]), strict=True):
+                found[i] = ids
+                if len(keys[i]) <= MEMO_CHARS:
+                    memo[keys[i]] = ids
+        return found
+
+    def _joined(self, prepared: list[str]) -> list[bytes]:
+        """The ids of texts whose keys stand between blanks."""
+        out: list[bytes] = []
+        at = 0
+        while at < len(prepared):
+            upto, size = at, 0
+            while upto < len(prepared) and (upto == at or size + len(prepared[upto]) <= BATCH_CHARS):
+                size += len(prepared[upto])
+                upto += 1
+            parts = pc.split_pattern(pa.array(prepared[at:upto], pa.large_string()), " ")
+            words = pc.list_flatten(parts).dictionary_encode()
+            ids = self._known(words.dictionary.to_pylist())
+            flat = np.frombuffer(b"".join(ids), "<u4")
+            size_of = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            begin_of = np.cumsum(size_of) - size_of
+            which = words.indices.to_numpy()
+            sizes = size_of[which]
+            ends = np.cumsum(sizes)
+            where = np.repeat(begin_of[which] - (ends - sizes), sizes)
+            where += np.arange(len(where))
+            raw = memoryview(flat[where].tobytes())
+            bounds = np.append(0, ends)[np.append(0, np.cumsum(pc.list_value_length(parts).to_numpy()))] * 4
+            out += [bytes(raw[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+            at = upto
         return out
 
 
-class BlankMemo:
-    """As ChunkMemo, for tokenizers that drop white space: chunks between blanks or line ends stand alone."""
+class ChunkMemo(_Memo):
+    """For tokenizers that keep white space. A key is a chunk after a blank, or one at a line's start with FIRST before it."""
 
-    def __init__(self, encode_many: Callable[[list[str]], list], limit: int = MEMO_CHUNKS):
-        self.encode_many, self.limit, self.memo = encode_many, limit, {"": b""}
+    def _chunk(self, key: str) -> str:
+        return key[1:] if key[:1] == FIRST else key if key == "\n" else " " + key
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > self.limit:
-            self.memo = {"": b""}
-        memo = self.memo
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        wanted: set[str] = set()
-        for p in cut:
-            wanted.update(p)
-        missing = list(wanted - memo.keys())
-        if missing:
-            memo.update(zip(missing, self.encode_many(missing), strict=True))
-        out = [b"".join(map(memo.__getitem__, p)) for p in cut]
-        for c in missing:
-            if len(c) > MEMO_CHARS:
-                del memo[c]
+        """The ids of each text, four bytes an id."""
+        fine = [i for i, t in enumerate(texts) if plain(t) and FIRST not in t]
+        out: list[bytes] = [b""] * len(texts)
+        for i, ids in zip(fine, self._joined([FIRST + texts[i].replace("\n", _LINE_END) for i in fine]), strict=True):
+            out[i] = ids
+        for i in sorted(set(range(len(texts))) - set(fine)):
+            chunks = _BOUNDARY.split(texts[i])
+            out[i] = b"".join(self._known([FIRST + c for c in chunks]))
         return out
 
 
+class BlankMemo(_Memo):
+    """For tokenizers that drop white space: chunks between blanks or line ends stand alone."""
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text, four bytes an id."""
+        return self._joined([t.replace("\n", " ") for t in texts])
+
+
 class LibraryEncoder:
     """encode_many of the tokenizers library: chunks to ids as bytes, four an id.
 
@@ -108,7 +134,7 @@ class LibraryEncoder:
     many at a time, since its ids show where each word begins or ends.
     """
 
-    def __init__(self, path: str, words: int = 500_000):
+    def __init__(self, path: str, words: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -156,7 +182,7 @@ class LibraryEncoder:
         marks = {w: words[core] + self.tails[tail] for w, (core, tail) in marked.items()}
         known = [words.get(w) or marks.get(w) for w in cores]
         lead = self.lead
-        odd = [i for i, ids in enumerate(known) if ids is None or (n and chunks[i][0] != lead)]
+        odd = [i for i, ids in enumerate(known) if ids is None or (n and chunks[i][:1] != lead)]
         for i, ids in zip(odd, self._library([chunks[i] for i in odd]), strict=True):
             known[i] = ids
         return known
