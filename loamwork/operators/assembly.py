@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamwork.plans.workspace import settled
+
 
 def n50(lengths: DataFrame, keys: list[str], length: str = "length") -> DataFrame:
     """Keys, n50, l50: the first length, longest first, at which half of the total is reached.
@@ -83,7 +85,8 @@ def final_representatives(best: DataFrame, rounds: int = 20) -> DataFrame:
     now = best.select("loser", F.col("winner").alias("final"))
     for _ in range(rounds):
         step = now.select(F.col("loser").alias("final"), F.col("final").alias("further"))
-        new = now.join(step, "final", "left").select("loser", F.coalesce("further", "final").alias("final"), F.col("further").isNotNull().alias("moved")).checkpoint()
+        new = now.join(step, "final", "left").select("loser", F.coalesce("further", "final").alias("final"), F.col("further").isNotNull().alias("moved"))
+        new = settled(new)  # lineage would grow with every round
         now = new.drop("moved")
         if not new.where("moved").limit(1).count():
             break

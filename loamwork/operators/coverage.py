@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -77,8 +77,8 @@ def feature_rows(contigs: DataFrame, vectors: DataFrame, present_: DataFrame, di
 
 
 def final_table(coverage: DataFrame, kept: DataFrame) -> DataFrame:
-    """The coverage of the final contigs, in their order."""
-    return coverage.join(kept.select("contig_id", "ord"), "contig_id").withColumn("row", F.dense_rank().over(Window.orderBy("ord")))
+    """The coverage of the final contigs with their place in the contig order; a writer sorts by it in parallel ranges."""
+    return coverage.join(kept.select("contig_id", "ord"), "contig_id")
 
 
 def aligned(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -88,11 +88,11 @@ def coverage_features(spark, sf_dir):
     return rows.select("contig_id", F.posexplode("features").alias("pos", "x")).withColumn("x", F.round("x", 5))
 
 
-@query(D + " SELECT contig_id, sample, depth, dense_rank() OVER (ORDER BY contig_id) AS row FROM cov JOIN ids USING (contig_id) WHERE length >= 6000")
+@query(D + " SELECT contig_id, sample, depth, contig_id AS ord FROM cov JOIN ids USING (contig_id) WHERE length >= 6000")
 def coverage_final(spark, sf_dir):
     """Coverage of the final contigs."""
     kept = fx.part_contigs(spark, sf_dir).where("length >= 6000").withColumn("ord", F.col("contig_id"))
-    return coverage.final_table(fx.depth(spark, sf_dir), kept).select("contig_id", "sample", "depth", F.col("row").cast("long").alias("row"))
+    return coverage.final_table(fx.depth(spark, sf_dir), kept).select("contig_id", "sample", "depth", "ord")
 
 
 @query("WITH a AS (SELECT p_partkey AS ord, p_partkey AS contig_id FROM part), b AS (SELECT p_partkey AS ord, CASE WHEN p_partkey % 400 = 0 THEN -1 ELSE p_partkey END AS contig_id FROM part) SELECT *, 'first' AS only_in FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL SELECT *, 'second' FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)")
