@@ -31,11 +31,14 @@ HOT = 1024
 SPLITS = (32, 8, 1)
 #: Bytes of contexts that are sorted together.
 SORT_BYTES = 1 << 18
+#: Places or spans that are broadcast to the texts at most; beyond it texts and places meet in a shuffle.
+PLACES = 400_000
 _POSITION = 20
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
 _ANCHORS = "key long, digest binary, doc_id long, start long, owned int, inside int"
 _CONTEXTS = "key long, digest binary, doc_id long, start long, owned int, inside int, context binary"
 _SPANS = "doc_id long, start long, stop long"
+_RUNS = "doc_id long, _spans array<struct<start:long,stop:long>>"
 
 
 def owners(raw: bytes, bounds: list[tuple[int, int]], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -223,7 +226,13 @@ def _with_text(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                         out[c].append(v)
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    return docs.select("doc_id", "text").join(by_doc, "doc_id").mapInArrow(run, _CONTEXTS)
+    return _beside(docs.select("doc_id", "text"), materialize(by_doc, "places"), "places", "inner").mapInArrow(run, _CONTEXTS)
+
+
+def _beside(docs: DataFrame, lists: DataFrame, column: str, how: str) -> DataFrame:
+    """docs joined with a table of lists by doc_id; lists are broadcast only if their entries are counted to be few."""
+    entries = lists.agg(F.sum(F.size(column))).first()[0] or 0
+    return docs.join(F.broadcast(lists) if entries <= PLACES else lists, "doc_id", how)
 
 
 def _split(contexts: DataFrame, most: int, length: int) -> DataFrame:
@@ -265,9 +274,17 @@ def _covered(contexts: DataFrame, classes: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """doc_id, start, stop of spans that together cover exactly the bytes of repeated strings."""
+    """doc_id and _spans, the maximal runs of bytes that repeated strings cover."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
+        for part in slices(batches):
+            runs = [[{"start": a, "stop": b} for a, b in merged(x)] for x in part.column("s").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(runs, kind)], names=["doc_id", "_spans"])
+
     with scratch(docs.sparkSession):
-        return materialize(_repeated_spans(docs, length, hot), "spans", keep=True)
+        spans = _repeated_spans(docs, length, hot).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("s"))
+        return materialize(spans.mapInArrow(run, _RUNS), "spans", keep=True)
 
 
 def _repeated_spans(docs: DataFrame, length: int, hot: int) -> DataFrame:
@@ -291,8 +308,7 @@ def _repeated_spans(docs: DataFrame, length: int, hot: int) -> DataFrame:
 
 
 def _with_spans(docs: DataFrame, length: int, hot: int) -> DataFrame:
-    spans = repeated_spans(docs, length, hot).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("_spans"))
-    return docs.drop("_spans").join(spans, "doc_id", "left")
+    return _beside(docs.drop("_spans"), repeated_spans(docs, length, hot), "_spans", "left")
 
 
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
