@@ -21,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame
 
 from loamwork.llm.common import check_columns, map_slices, texts_of
-from loamwork.llm.tokenize import ChunkMemo, kept
+from loamwork.llm.tokenize import TOGETHER, ChunkMemo, kept
 
 #: Fixed value: the pre-tokenizer's published pattern.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -278,4 +278,4 @@ def encode_decode(docs: DataFrame, tokenizer_path: str, block: int = 65536) -> D
 
         return apply
 
-    return map_slices(docs.select("doc_id", "text"), make, SCHEMA)
+    return map_slices(docs.select("doc_id", "text"), make, SCHEMA, TOGETHER)

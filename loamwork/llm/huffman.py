@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.llm.common import arrow_schema, check_columns, map_slices, materialize, scratch, slices, texts_of
-from loamwork.llm.tokenize import ChunkMemo, kept, LibraryEncoder
+from loamwork.llm.tokenize import TOGETHER, ChunkMemo, LibraryEncoder, kept
 
 #: Longest code in bits.
 MAX_BITS = 18
@@ -146,7 +146,7 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 
         return apply
 
-    return map_slices(docs.select("doc_id", "text").where("doc_id is not null"), make, "doc_id long, n_tokens long, ids binary")
+    return map_slices(docs.select("doc_id", "text").where("doc_id is not null"), make, "doc_id long, n_tokens long, ids binary", TOGETHER)
 
 
 def wide_ids(ids: bytes, n: int) -> np.ndarray:

@@ -15,12 +15,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from loamwork.llm.common import check_columns, map_slices, texts_of
-from loamwork.llm.tokenize import BlankMemo, kept, LibraryEncoder
+from loamwork.llm.tokenize import TOGETHER, BlankMemo, LibraryEncoder, kept
 
 CAPACITY = 2048
 OPEN_BINS = 1024
-#: Documents whose pieces are placed together, longest first.
-WINDOW_ROWS = 2048
 SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
@@ -90,4 +88,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, open_bi
 
         return apply
 
-    return map_slices(docs.select("doc_id", "text"), make, SCHEMA, WINDOW_ROWS)
+    return map_slices(docs.select("doc_id", "text"), make, SCHEMA, TOGETHER)

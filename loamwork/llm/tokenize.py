@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+#: Texts that are tokenised together: the more, the fewer different chunks to look up.
+TOGETHER = 2048
 #: Chunks kept by a worker before its memo starts afresh.
 MEMO_CHUNKS = 800_000
 #: Longer chunks are encoded each time and never kept.
