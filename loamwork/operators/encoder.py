@@ -6,6 +6,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -142,3 +143,70 @@ def influence(rows: DataFrame, vectors: dict[str, str], reliabilities: dict[str,
         moved.append((F.avg(V.distance(F.col("whole"), without)) / F.avg(V.norm(F.col("whole")))).alias(m))
     total = sum((F.col(m) for m in vectors), F.lit(0.0))
     return x.agg(*moved).select(F.explode(F.array(*(F.struct(F.lit(m).alias("modality"), (F.col(m) / total).alias("influence")) for m in vectors))).alias("r")).select("r.*")
+
+
+def split_coverage(features: Column, n_samples_as_feature: bool = False) -> tuple[Column, Column]:
+    """(weight, features) of a coverage row [valid_mask, n_samples_present, mean_dist, std_dist, cov...]."""
+    first = 2 if n_samples_as_feature else 3
+    return F.element_at(features, 1), F.slice(features, first, F.size(features) - (first - 1))
+
+
+def encode_modalities(rows: DataFrame, model: Vae, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """M4: modality, contig_id, mu: each modality (rows: modality, contig_id, vec) is trained in a task of its own.
+
+    A modality's training sample is bounded; its parameters, a row a modality, then encode all rows.
+    """
+    from pyspark.sql import Window
+
+    order = Window.partitionBy("modality").orderBy(F.xxhash64("contig_id"), "contig_id")
+    sample = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= train_rows).drop("k")
+
+    def train(pdf: pd.DataFrame) -> pd.DataFrame:
+        import pickle
+        from dataclasses import replace
+
+        m = replace(model).fit(np.stack(pdf["vec"].to_list()))
+        return pd.DataFrame({"modality": [pdf["modality"].iloc[0]], "params": [pickle.dumps(m.p)]})
+
+    trained = {r["modality"]: r["params"] for r in sample.select("modality", "vec").groupBy("modality").applyInPandas(train, "modality string, params binary").collect()}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import pickle
+        from dataclasses import replace
+
+        models = {}
+        for m, raw in trained.items():
+            models[m] = replace(model)
+            models[m].p = pickle.loads(raw)
+        for b in batches:
+            mus = [models[m].encode(np.array([v], float))[0].tolist() for m, v in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), pa.array(mus, pa.list_(pa.float64()))], names=["modality", "contig_id", "mu"])
+
+    return rows.select("modality", F.col("contig_id").cast("long").alias("contig_id"), "vec").mapInArrow(run, "modality string, contig_id long, mu array<double>")
+
+
+def learn_gates(mus: dict[str, np.ndarray], reliabilities: dict[str, np.ndarray], steps: int = 100, rate: float = 0.5, entropy: float = 0.01) -> dict[str, float]:
+    """M6: global gate scores on frozen latents: each modality is read back from the fused vector by ridge regression.
+
+    The loss is the reliability-weighted squared error less an entropy bonus; scores
+    follow its numerical gradient, which has one entry a modality.
+    """
+    names = sorted(mus)
+    scores = np.zeros(len(names))
+    x = np.stack([mus[m] for m in names])
+    r = np.stack([np.clip(reliabilities[m], 0, None) for m in names])
+
+    def loss(s: np.ndarray) -> float:
+        g = np.exp(s)[:, None] * r
+        g = g / np.maximum(g.sum(0), 1e-12)
+        z = (g[:, :, None] * x).sum(0)
+        inverse = np.linalg.inv(z.T @ z + np.eye(z.shape[1]))
+        error = sum((w[:, None] * (z @ (inverse @ (z.T @ y)) - y) ** 2).mean() for y, w in zip(x, r, strict=True))
+        p = np.exp(s) / np.exp(s).sum()
+        return float(error + entropy * (p * np.log(p + 1e-12)).sum())
+
+    for _ in range(steps):
+        base = loss(scores)
+        gradient = np.array([(loss(scores + 1e-4 * e) - base) / 1e-4 for e in np.eye(len(names))])
+        scores = np.clip(scores - rate * gradient, -10, 10)
+    return dict(zip(names, (scores - scores.mean()).tolist(), strict=True))

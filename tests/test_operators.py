@@ -7,11 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from loamwork.functions import kmers, sequence
-from loamwork.operators import assembly, bins, classify, density, encoder, merge, quality, repeats, scoring
+from loamwork.operators import assembly, bins, classify, density, encoder, merge, quality, repeats, sampling, scoring
 from loamwork.operators.intervals import merged_spans
 from loamwork.operators.neighbours import knn, votes
 from loamwork.plans import runs, search
-from loamwork.sources import fasta, fastq, sinks, tables
+from loamwork.sources import fasta, fastq, npy, sinks, tables
 
 
 def slow_tnf(seq):
@@ -304,3 +304,48 @@ def test_partitions_do_not_matter(spark):
     df = spark.createDataFrame(rows, "contig_id long, target string, pident double, qstart int, qend int")
     results = [sorted(map(tuple, repeats.summarize(df.repartition(n)).collect())) for n in (1, 7)]
     assert results[0] == results[1]
+
+
+def test_hash_samples_do_not_depend_on_partitions(spark):
+    df = spark.range(1000).withColumnRenamed("id", "contig_id")
+    a, b = ({r[0] for r in sampling.hash_sample(df.repartition(n), 50, 3).collect()} for n in (1, 9))
+    assert a == b and len(a) == 50 and a != {r[0] for r in sampling.hash_sample(df, 50, 4).collect()}
+    assert [r[0] for r in sampling.top(df, F.desc("contig_id"), 3).collect()] == [999, 998, 997]
+
+
+def test_npy(spark, tmp_path):
+    np.save(tmp_path / "x.npy", np.arange(12, dtype=np.float32).reshape(4, 3))
+    rows = npy.read_npy(spark, str(tmp_path / "x.npy")).orderBy("ord").collect()
+    assert [r.vec for r in rows] == [[0, 1, 2], [3, 4, 5], [6, 7, 8], [9, 10, 11]]
+
+
+def test_modalities_train_apart(spark):
+    rnd = np.random.default_rng(6)
+    rows = [(m, i, rnd.normal(size=d).tolist()) for m, d in (("tnf", 6), ("cov", 3)) for i in range(40)]
+    out = encoder.encode_modalities(spark.createDataFrame(rows, "modality string, contig_id long, vec array<double>"), encoder.Vae(latent=2, epochs=2)).collect()
+    assert len(out) == 80 and all(len(r.mu) == 2 for r in out)
+
+
+def test_gates_favour_what_can_be_read_back():
+    rnd = np.random.default_rng(7)
+    z = rnd.normal(size=(300, 4))
+    scores = encoder.learn_gates({"good": 3 * z, "poor": 0.1 * rnd.normal(size=(300, 4))}, {"good": np.ones(300), "poor": np.ones(300)}, steps=20)
+    assert scores["good"] > scores["poor"]
+
+
+def test_coverage_split(spark):
+    df = spark.createDataFrame([([1.0, 2.0, 3.0, 4.0, 5.0, 6.0],)], "f array<double>")
+    w, x = encoder.split_coverage(F.col("f"))
+    assert tuple(df.select(w, x).first()) == (1.0, [3.0, 4.0, 5.0, 6.0])
+    assert df.select(encoder.split_coverage(F.col("f"), True)[1]).first()[0] == [2.0, 3.0, 4.0, 5.0, 6.0]
+
+
+def test_command_line(spark, sf, tmp_path, capsys):
+    from loamwork.__main__ import main
+
+    main([])
+    assert "te_features" in capsys.readouterr().out
+    main(["--query", "te_classes", "--data", sf, "--out", str(tmp_path / "o")])
+    assert spark.read.parquet(str(tmp_path / "o")).count() == 4
+    with pytest.raises(SystemExit):
+        main(["--query", "none"])
