@@ -218,7 +218,7 @@ class TextDecoder:
 class WordMemo(dict):
     """ids of pre-tokens, each merged once; bounded by starting afresh."""
 
-    def __init__(self, merges: MergeList, limit: int = 200_000):
+    def __init__(self, merges: MergeList, limit: int = 100_000):
         super().__init__()
         self.merges, self.limit, self.split = merges, limit, regex.compile(SPLIT)
 

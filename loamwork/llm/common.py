@@ -14,6 +14,8 @@ from pyspark.sql.types import StructType
 
 #: Rows handled at once inside a worker, whatever the Arrow batch holds.
 SLICE_ROWS = 512
+#: Bytes of input files for each part of an explicit shuffle.
+PART_BYTES = 10 << 20
 #: Largest Arrow batch between the JVM and Python; rows are never split, so one long text may exceed it.
 BATCH_BYTES = 8 << 20
 #: Largest number of ids that is broadcast; beyond it joins shuffle.
@@ -73,6 +75,12 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def parts(docs: DataFrame) -> int:
+    """Into how many parts to deal what is made of docs: one for PART_BYTES of input files; the session's number where their size isn't known."""
+    known = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return max(4, known // PART_BYTES) if known < 1 << 56 else max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
     """Cuts Arrow batches into slices of a bounded number of rows."""
     for batch in batches:

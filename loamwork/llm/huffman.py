@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import arrow_schema, check_columns, map_slices, materialize, scratch, slices, texts_of
+from loamwork.llm.common import arrow_schema, check_columns, map_slices, materialize, parts, scratch, slices, texts_of
 from loamwork.llm.tokenize import TOGETHER, ChunkMemo, LibraryEncoder, kept
 
 #: Longest code in bits.
@@ -211,8 +211,7 @@ def encode_file(tokens: DataFrame, lengths: np.ndarray) -> DataFrame:
             yield close(docs, sizes, payload, points)
 
     coded = map_slices(tokens, make, "doc_id long, n_tokens long, payload binary, checkpoints binary")
-    parts = max(1, int(tokens.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    return coded.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id").mapInArrow(blocks, FILE_SCHEMA)
+    return coded.repartitionByRange(parts(tokens), "doc_id").sortWithinPartitions("doc_id").mapInArrow(blocks, FILE_SCHEMA)
 
 
 def decode_file(file: DataFrame, lengths: np.ndarray) -> DataFrame:
@@ -245,9 +244,9 @@ def block_starts(file: DataFrame) -> DataFrame:
 
     sizes = file.select("part", "block", "sizes").mapInArrow(run, "part int, block int, ids long")
     inside = F.sum("ids").over(_window("part", "block")) - F.col("ids")
-    parts = sizes.groupBy("part").agg(F.sum("ids").alias("ids")).orderBy("part").collect()  # one row a partition
+    totals = sizes.groupBy("part").agg(F.sum("ids").alias("ids")).orderBy("part").collect()  # one row a partition
     before, rows = 0, []
-    for p in parts:
+    for p in totals:
         rows.append((p["part"], before))
         before += p["ids"]
     base = file.sparkSession.createDataFrame(rows, "part int, base long")

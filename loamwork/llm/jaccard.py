@@ -19,7 +19,7 @@ from pyspark.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import BROADCAST_IDS, arrow_schema, check_columns, map_slices, materialize, scratch, slices, texts_of
+from loamwork.llm.common import BROADCAST_IDS, arrow_schema, check_columns, map_slices, materialize, parts, scratch, slices, texts_of
 from loamwork.llm.components import components
 
 WORDS = 5
@@ -304,7 +304,7 @@ def _placed(runs_: DataFrame, parts: DataFrame) -> DataFrame:
     return found.where("low < high").select("low", F.pmod("run", F.lit(4)).alias("salt"), "m").repartition("low", "salt").select("m")
 
 
-def _candidates(runs_: DataFrame, pivots: int | None) -> DataFrame:
+def _candidates(runs_: DataFrame, pivots: int | None, buckets: int) -> DataFrame:
     """Pairs (a, b) of classes in a common run, of fitting size and, where components are known, of different ones.
 
     With pivots, only the classes of a run with the lowest hashes are paired with the
@@ -313,8 +313,6 @@ def _candidates(runs_: DataFrame, pivots: int | None) -> DataFrame:
     """
     seed = np.uint64(2 * (pivots or 0) + 0x9E3779B97F4A7C15)
 
-    buckets = max(1, int(runs_.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-
     def dealt(found: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         pairs = np.unique(np.concatenate(found))
         bucket = ((pairs["a"] * 31 + pairs["b"]).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
@@ -377,23 +375,23 @@ def join(docs: DataFrame) -> DataFrame:
 
 def _joined(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
-    buckets = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    buckets = parts(docs)
     shared = spark.sparkContext.broadcast(ranks(docs))
     table = materialize(prefixes(docs, shared, buckets), "prefixes")
     rows = table.where("doc_id is not null").select("doc_id", "n", "class", "grp", "bits")
     classes = materialize(rows.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min("n").alias("n"), F.min("grp").alias("grp"), F.min("bits").alias("bits")), "classes")
     lists = materialize(runs(table.where("bucket is not null").select("bucket", "grps", "sizes", "counts", "tokens"), buckets), "runs")
     grouped = materialize(_grouped(lists, classes), "grouped")
-    tried = materialize(_candidates(grouped, PIVOTS[0]), "candidates")
+    tried = materialize(_candidates(grouped, PIVOTS[0], buckets), "candidates")
     links = _verified(docs, tried)
-    parts = materialize(components(links), "components")
+    homes = materialize(components(links), "components")
     for before, pivots in zip(PIVOTS, PIVOTS[1:], strict=False):
         large = grouped.where(F.size("m") > before + 1)  # the others have been paired in full
-        pairs = materialize(_candidates(_placed(large, parts), pivots).join(tried, ["a", "b"], "left_anti"), "candidates")
+        pairs = materialize(_candidates(_placed(large, homes), pivots, buckets).join(tried, ["a", "b"], "left_anti"), "candidates")
         if pairs.limit(1).count():
             tried, links = tried.union(pairs), links.union(_verified(docs, pairs))
-            parts = materialize(components(links), "components")
-    placed = classes.join(parts, classes.class_id == parts.node, "left").select("class", F.coalesce("component", "class_id").alias("component_id"))
+            homes = materialize(components(links), "components")
+    placed = classes.join(homes, classes.class_id == homes.node, "left").select("class", F.coalesce("component", "class_id").alias("component_id"))
     return rows.select("doc_id", "n", "class").join(placed, "class", "left").select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 

@@ -20,11 +20,11 @@ import pyarrow.compute as pc
 #: Texts that are tokenised together: the more, the fewer different chunks to look up.
 TOGETHER = 2048
 #: Chunks kept by a worker before its memo starts afresh.
-MEMO_CHUNKS = 800_000
+MEMO_CHUNKS = 400_000
 #: Longer chunks are encoded each time and never kept.
 MEMO_CHARS = 64
 #: Characters that are split and put together at once.
-BATCH_CHARS = 16 << 20
+BATCH_CHARS = 4 << 20
 #: Marks a key that stands at the start of a text or line.
 FIRST = "\0"
 _LINE_END = f" \n {FIRST}"
@@ -136,7 +136,7 @@ class LibraryEncoder:
     many at a time, since its ids show where each word begins or ends.
     """
 
-    def __init__(self, path: str, words: int = 300_000):
+    def __init__(self, path: str, words: int = 100_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
