@@ -20,11 +20,11 @@ import pyarrow.compute as pc
 #: Texts that are tokenised together: the more, the fewer different chunks to look up.
 TOGETHER = 2048
 #: Chunks kept by a worker before its memo starts afresh.
-MEMO_CHUNKS = 400_000
+MEMO_CHUNKS = 500_000
 #: Longer chunks are encoded each time and never kept.
 MEMO_CHARS = 64
 #: Characters that are split and put together at once.
-BATCH_CHARS = 4 << 20
+BATCH_CHARS = 8 << 20
 #: Marks a key that stands at the start of a text or line.
 FIRST = "\0"
 _LINE_END = f" \n {FIRST}"
@@ -93,8 +93,9 @@ class _Memo:
             which = words.indices.to_numpy()
             sizes = size_of[which]
             ends = np.cumsum(sizes)
-            where = np.repeat(begin_of[which] - (ends - sizes), sizes)
-            where += np.arange(len(where))
+            narrow = np.int32 if max(len(flat), int(sizes.sum())) < 1 << 31 else np.int64
+            where = np.repeat((begin_of[which] - (ends - sizes)).astype(narrow), sizes)
+            where += np.arange(len(where), dtype=narrow)
             raw = memoryview(flat[where].tobytes())
             bounds = np.append(0, ends)[np.append(0, np.cumsum(pc.list_value_length(parts).to_numpy()))] * 4
             out += [bytes(raw[x:y]) for x, y in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
