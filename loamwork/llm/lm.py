@@ -1,23 +1,28 @@
 """LM scoring by cross-entropy difference of two matched n-gram models.
 
 Target and background models have the same order, the same smoothing and one shared
-vocabulary: words hashed to 2**WORD_BITS numbers. Word pairs are counted over all
-documents in 2**PAIR_BITS slots. Each task sends its counts in ranges, which are added
-up range by range, so what is gathered grows with the input while the model does not.
+vocabulary: all words of all documents. Words and word pairs are counted over all
+documents under 64-bit keys, so vocabulary and counts grow with the input. Documents
+are tokenised once, into slices of nearly a million tokens; a slice sends the counts of its
+distinct n-grams to the ranges of keys they belong to and gets the totals back.
 """
 
 from __future__ import annotations
 
 import re
+import secrets
 import zlib
 from collections.abc import Iterator
+from hashlib import blake2b
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import arrow_schema, check_columns, map_slices, slices, texts_of, with_flag
+from loamwork.llm.common import arrow_schema, check_columns, materialize, parts, scratch, slices, texts_of, with_flag
 
 WORD_BITS = 18
 PAIR_BITS = 20
@@ -28,6 +33,14 @@ RANGE = 1 << 14
 _WORD = re.compile(r"\w+")
 _SIZE = (1 << WORD_BITS) + (1 << PAIR_BITS)
 _COUNTS = "model int, part int, counts binary"
+#: Tokens and documents at which a slice is closed; a longer document is a slice of its own.
+SLICE_TOKENS, SLICE_DOCS = 3 << 18, 1 << 17
+#: Bytes of answers that leave a task together.
+_SEND = 4 << 20
+_SLICES = "slice long, ids array<long>, lens array<int>, flags array<boolean>, words binary, seq binary, n_all long, n_target long"
+_ASKED = "bucket int, slice long, data binary"
+_ANSWERS = "slice long, bucket int, counts binary, n_words long"
+_SCORES = "doc_id long, n_tokens long, target_bits double, background_bits double"
 
 
 class Words(dict):
@@ -51,7 +64,10 @@ def pairs(ids: np.ndarray) -> np.ndarray:
 
 
 def count(docs: DataFrame, flag: str = "is_target") -> np.ndarray:
-    """Word and pair counts, shape (2, slots): row 0 of target documents, row 1 of all documents."""
+    """Word and pair counts in a fixed number of slots, shape (2, slots): row 0 of target documents, row 1 of all documents.
+
+    A sketch of bounded size, in which n-grams share slots; score() doesn't use it.
+    """
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, total = Words(), np.zeros((2, _SIZE), np.int64)
@@ -96,42 +112,177 @@ def bits(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return word_p, PAIR_WEIGHT / np.maximum(words, 1)
 
 
+class Keys(dict):
+    """64-bit keys of lower-cased words, all odd; the memo is bounded by starting afresh."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 200_000:
+            self.clear()
+        h = self[word] = int.from_bytes(blake2b(word.encode(), digest_size=8).digest(), "little") | 1
+        return h
+
+    def of(self, text: str) -> np.ndarray:
+        words = _WORD.findall(text.lower())
+        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
+
+
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """The 64-bit keys of word pairs, all even."""
+    x = first * np.uint64(0x9E3779B97F4A7C15) + (second ^ second >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(31)) * np.uint64(0x94D049BB133111EB)
+    return (x ^ x >> np.uint64(29)) & np.uint64((1 << 64) - 2)
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of one length, compressed by the places of their bytes."""
+    planes = b"".join(x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes() for x in map(np.ascontiguousarray, columns))
+    return len(columns[0]).to_bytes(4, "little") + pa.compress(planes, codec="zstd", asbytes=True)
+
+
+def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
+    n, widths = int.from_bytes(data[:4], "little"), [np.dtype(k).itemsize for k in kinds]
+    raw = pa.decompress(data[4:], n * sum(widths), codec="zstd", asbytes=True)
+    return [np.ascontiguousarray(np.frombuffer(raw, np.uint8, n * w, n * sum(widths[:i])).reshape(w, n).T).view(k).reshape(n) for i, (k, w) in enumerate(zip(kinds, widths, strict=True))]
+
+
+def _steps(keys: np.ndarray) -> np.ndarray:
+    """Differences of keys in order; cumulative sums give the keys back."""
+    return np.diff(keys, prepend=np.uint64(0)).astype("<u8")
+
+
+def _sliced(flagged: DataFrame) -> DataFrame:
+    """Documents in slices: ids, lengths, target flags, the slice's distinct words and its tokens as places among them."""
+    schema = arrow_schema(_SLICES)
+
+    def row(ids: list, flags: list, found: list[np.ndarray]) -> pa.RecordBatch:
+        words, seq = np.unique(np.concatenate(found), return_inverse=True)
+        lens = list(map(len, found))
+        target = sum(n for n, f in zip(lens, flags, strict=True) if f)
+        values = (secrets.randbits(63), ids, lens, flags, _pack(_steps(words)), _pack(seq.astype("<u4")), sum(lens), target)
+        return pa.RecordBatch.from_pydict({f.name: [v] for f, v in zip(schema, values, strict=True)}, schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, held = Keys(), 0
+        ids, flags, found = [], [], []
+        for part in slices(batches):
+            for doc, flag, text in zip(part.column("doc_id").to_pylist(), part.column("is_target").to_pylist(), texts_of(part), strict=True):
+                ids.append(doc)
+                flags.append(flag)
+                found.append(keys.of(text))
+                held += len(found[-1])
+                if held >= SLICE_TOKENS or len(ids) >= SLICE_DOCS:
+                    yield row(ids, flags, found)
+                    held, ids, flags, found = 0, [], [], []
+        if ids:
+            yield row(ids, flags, found)
+
+    return flagged.select("doc_id", "is_target", "text").mapInArrow(run, _SLICES)
+
+
+def _grams(lens: np.ndarray, words: bytes, seq: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(a slice's keys in order, the place of each token's word, the place of each pair, the tokens that end a pair)."""
+    known, at = np.cumsum(_unpack(words, "<u8")[0], dtype=np.uint64), _unpack(seq, "<u4")[0]
+    inner = np.ones(len(at), bool)
+    inner[(np.cumsum(lens) - lens)[lens > 0]] = False
+    second = np.flatnonzero(inner)
+    keys, place = np.unique(np.concatenate([known, pair_keys(known[at[second - 1]], known[at[second]])]), return_inverse=True)
+    return keys, place[: len(known)][at], place[len(known) :], second
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for part in slices([batch], 16):
+            yield from zip(*(c.to_pylist() for c in part.columns), strict=True)
+
+
+def _asked(sliced: DataFrame, buckets: int) -> DataFrame:
+    """Each slice's distinct n-grams and their counts in all and in target documents, by range of keys."""
+    bounds = np.array([-(-(b << 64) // buckets) for b in range(1, buckets)], np.uint64)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for name, lens, flags, words, seq in _rows(batches):
+            lens = np.array(lens, np.int64)
+            keys, word, pair, second = _grams(lens, words, seq)
+            target = np.repeat(np.array(flags, bool), lens)
+            n = [np.bincount(w, minlength=len(keys)) + np.bincount(p, minlength=len(keys)) for w, p in ((word, pair), (word[target], pair[target[second]]))]
+            cuts = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
+            full = [(b, i, j) for b, (i, j) in enumerate(zip(cuts, cuts[1:], strict=False)) if i < j]
+            data = [_pack(_steps(keys[i:j]), *(x[i:j].astype("<u4") for x in n)) for _, i, j in full]
+            yield pa.RecordBatch.from_pydict({"bucket": [b for b, _, _ in full], "slice": [name] * len(full), "data": data}, schema=arrow_schema(_ASKED))
+
+    return sliced.select("slice", "lens", "flags", "words", "seq").mapInArrow(run, _ASKED)
+
+
+def _answers(asked: DataFrame, n_parts: int) -> DataFrame:
+    """Totals for each slice's n-grams, in the order of its keys; and a row a range, of slice -1, with the number of its distinct words."""
+
+    def batch(rows: list[tuple]) -> pa.RecordBatch:
+        schema = arrow_schema(_ANSWERS)
+        return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for bucket, group in groupby(_rows(batches), itemgetter(0)):
+            names, steps, *n = zip(*((name, *_unpack(d, "<u8", "<u4", "<u4")) for _, name, d in group), strict=True)
+            sizes = list(map(len, steps))
+            keys, at = np.unique(np.concatenate([np.cumsum(x, dtype=np.uint64) for x in steps]), return_inverse=True)
+            total = [np.bincount(at, weights=np.concatenate(x), minlength=len(keys)).astype("<u8") for x in n]
+            rows, held, end = [(-1, bucket, None, int((keys & np.uint64(1)).sum()))], 0, 0
+            for name, k in zip(names, sizes, strict=True):
+                mine, end = at[end : end + k], end + k
+                rows.append((name, bucket, _pack(*(x[mine] for x in total)), None))
+                held += len(rows[-1][2])
+                if held >= _SEND:
+                    yield batch(rows)
+                    rows, held = [], 0
+            if rows:
+                yield batch(rows)
+
+    return asked.repartition(n_parts, "bucket").sortWithinPartitions("bucket").mapInArrow(run, _ANSWERS)
+
+
+def _scored(sliced: DataFrame, answers: DataFrame, n_parts: int) -> DataFrame:
+    """Costs of every document: a slice meets its answers, which come in the order of its keys."""
+    n_all, n_target = (x or 0 for x in sliced.agg(F.sum("n_all"), F.sum("n_target")).first())
+    n_words = answers.agg(F.sum("n_words")).first()[0] or 0
+
+    def bits_of(n: np.ndarray, of: int, word: np.ndarray, pair: np.ndarray, second: np.ndarray) -> np.ndarray:
+        seen = n[word].astype(np.float64)
+        p = (seen + 1) / (of + n_words)
+        p[second] = (1 - PAIR_WEIGHT) * p[second] + PAIR_WEIGHT * n[pair] / np.maximum(seen[second - 1], 1)
+        return -np.log2(p)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, group in groupby(_rows(batches), itemgetter(0)):
+            _, _, ids, lens, words, seq, _ = next(group)
+            lens = np.array(lens, np.int64)
+            keys, word, pair, second = _grams(lens, words, seq)
+            got = [_unpack(r[-1], "<u8", "<u8") for r in group]
+            n = [np.concatenate(x) for x in zip(*got, strict=True)] or [np.zeros(0, np.uint64)] * 2
+            if len(n[0]) != len(keys):
+                raise ValueError(f"{len(n[0])} counts for {len(keys)} n-grams")
+            doc = np.repeat(np.arange(len(lens)), lens)
+            cost = [np.bincount(doc, bits_of(x, of, word, pair, second), len(lens)) / np.maximum(lens, 1) for x, of in zip(n, (n_all, n_target), strict=True)]
+            yield pa.RecordBatch.from_pydict({"doc_id": ids, "n_tokens": lens, "target_bits": cost[1], "background_bits": cost[0]}, schema=arrow_schema(_SCORES))
+
+    own = sliced.select("slice", F.lit(-1).alias("bucket"), "ids", "lens", "words", "seq")
+    both = own.unionByName(answers.where("slice >= 0").select("slice", "bucket", "counts"), allowMissingColumns=True)
+    return both.repartition(n_parts, "slice").sortWithinPartitions("slice", "bucket").mapInArrow(run, _SCORES)
+
+
 def score(docs: DataFrame, targets: DataFrame) -> DataFrame:
     """Cross-entropies in bits a token of every document and their difference (lower: nearer the target).
 
+    A pair's probability is PAIR_WEIGHT times its share of its first word's count, plus the
+    rest times the word's probability, which is smoothed by one over the shared vocabulary.
     targets has the doc_ids of target documents. A null or empty text has no tokens and
     the scores 0. Repeated rows count and score once each; an empty table gives no rows;
     without targets the target model is uniform.
     """
     check_columns(docs, "doc_id", "text")
+    n_parts = parts(docs)
     flagged = with_flag(docs.select("doc_id", "text"), targets, "doc_id", "is_target")
-    model = count(flagged).astype(np.uint32) if docs.limit(1).count() else np.zeros((2, _SIZE), np.uint32)
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def make():
-        words, models = Words(), []
-        for counts in shared.value:
-            models.append((*bits(counts), counts[1 << WORD_BITS :]))
-
-        def cost(model, ids: np.ndarray, slots: np.ndarray) -> float:
-            word_p, factor, pair_n = model
-            alone = word_p[ids]
-            p = (1 - PAIR_WEIGHT) * alone
-            p[1:] += factor[ids[:-1]] * np.minimum(pair_n[slots], 1 / factor[ids[:-1]] * PAIR_WEIGHT)
-            p[0] = alone[0]
-            return float(-np.log2(p).sum() / len(ids))
-
-        def apply(part):
-            n, found = [], ([], [])
-            for text in texts_of(part):
-                ids = words.ids(text)
-                n.append(len(ids))
-                slots = pairs(ids) if len(ids) else ids
-                for model, out in zip(models, found, strict=True):
-                    out.append(cost(model, ids, slots) if len(ids) else 0.0)
-            return {"doc_id": part.column("doc_id"), "n_tokens": n, "target_bits": found[0], "background_bits": found[1]}
-
-        return apply
-
-    out = map_slices(docs.select("doc_id", "text"), make, "doc_id long, n_tokens long, target_bits double, background_bits double")
+    with scratch(docs.sparkSession):
+        sliced = materialize(_sliced(flagged), "lm_slices")
+        answers = materialize(_answers(_asked(sliced, 2 * n_parts), n_parts), "lm_counts")
+        out = materialize(_scored(sliced, answers, n_parts), "lm_scores", keep=True)
     return out.withColumn("bits_difference", F.col("target_bits") - F.col("background_bits"))
