@@ -23,20 +23,37 @@ KEY = b"loamwork-pseudonyms"
 _LOWER, _UPPER, _DIGIT, _HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST_DAY
-#: IBAN lengths by country.
-IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+#: IBAN lengths by country (ISO 13616 registry).
+IBAN_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BI": 27, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22, "DJ": 27,
+    "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FK": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HN": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "LY": 25, "MC": 27, "MD": 24, "ME": 22,
+    "MK": 19, "MN": 20, "MR": 27, "MT": 31, "MU": 30, "NI": 28, "NL": 18, "NO": 15, "OM": 23, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "RU": 33, "SA": 24,
+    "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
+}
 
 _AT_LEFT = re.compile(r"[\w.%+-]{1,64}$")
 _AT_RIGHT = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])")
 _SECRET = re.compile(r"(?i:\b(?:token|secret|key|password|passwd|api[_-]?key)\s*[=:]\s*[\"']?)([0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])")
-_IBAN = re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){2,7}(?: ?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")
+_IBAN_START = re.compile(r"(?<![0-9A-Za-z])([A-Z]{2})[0-9]{2}(?= ?[0-9A-Z]{4})")
+#: An IBAN of each length: groups of four with or without blanks between them, and a rest.
+_IBAN = {n: re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){%d}%s(?![0-9A-Za-z])" % (n // 4 - 1, " ?[0-9A-Z]{%d}" % (n % 4) if n % 4 else "")) for n in set(IBAN_LENGTHS.values())}
 _START = re.compile(r"(?<![0-9A-Za-z.])[+(]?[0-9]")
+#: Local and long forms, in groups; a long form with a leading 1; pairs after a leading 0; any groups after an international prefix.
+_PHONES = (
+    r"(?<![0-9][ .-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)[ .-]?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z]|[ .-][0-9])",
+    r"\+[0-9]{8,15}(?![0-9A-Za-z])",
+    r"(?<![0-9][ .-])1(?:[ .-]?\([0-9]{3}\)[ .-]?|[ .-][0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z]|[ .-][0-9])",
+    r"(?<![0-9][ .-])0[0-9]([ .-])[0-9]{2}(?:\1[0-9]{2}){3}(?![0-9A-Za-z]|[ .-][0-9])",
+    r"(?:\+|(?<![0-9][ .-])00)[1-9][0-9]{0,2}(?:[ .-]?\([0-9]{1,4}\)[ .-]?|[ .-])[0-9]{1,8}(?:[ .-][0-9]{1,8}){0,6}(?![0-9A-Za-z])",
+)
+_LEAD = re.compile(r"(?:\+|00)[0-9]{1,3}(?=[ .(-])|1(?=[ .-]?\(|[ .-])|0(?=[0-9](?:[ .-][0-9]{2}){4}$)|\+")
 _NUMBERS = (
     ("card", re.compile(r"(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9A-Za-z]|[.-][0-9])")),
-    ("date", re.compile(r"(?:([0-9]{4})([-/.])([0-9]{2})\2([0-9]{2})|([0-9]{2})([-/.])([0-9]{2})\6([0-9]{4}))(?![0-9A-Za-z]|[./-][0-9])")),
+    ("date", re.compile(r"(?:([0-9]{4})([-/.])([0-9]{1,2})\2([0-9]{1,2})|([0-9]{1,2})([-/.])([0-9]{1,2})\6([0-9]{4}))(?![0-9A-Za-z]|[./-][0-9])")),
     ("ip", re.compile(r"[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?![0-9A-Za-z]|\.[0-9])")),
     ("ssn", re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z]|-[0-9])")),
-    ("phone", re.compile(r"(?<![0-9][ .-])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{2,4}\)|[0-9]{2,4})[ .-][0-9]{3,4}[ .-][0-9]{3,4}(?![0-9A-Za-z]|[ .-][0-9])|\+[0-9]{8,15}(?![0-9A-Za-z])")),
+    ("phone", re.compile("|".join(_PHONES))),
 )
 
 
@@ -110,24 +127,27 @@ def _iban(value: str, key: bytes) -> str | None:
 
 
 def _date(value: str, key: bytes) -> str | None:
-    first = value[4] in "-/."
-    y, m, d = (value[:4], value[5:7], value[8:]) if first else (value[6:], value[3:5], value[:2])
-    swapped = not first and int(m) > 12 and value[2] == "/"  # month first
+    sep = re.search("[-/.]", value)[0]
+    fields = value.split(sep)
+    first = len(fields[0]) == 4
+    y, m, d = fields if first else fields[::-1]
+    swapped = not first and int(m) > 12  # month first
     if swapped:
         m, d = d, m
     try:
-        day = datetime.date(int(y), int(m), int(d)).toordinal() - _FIRST_DAY
+        at = datetime.date(int(y), int(m), int(d))
     except ValueError:
         return None
+    day, late = at.toordinal() - _FIRST_DAY, at.day > 12
     if not 0 <= day < _DAYS:
         return None
-    new = day
-    while True:  # a form that names the month first must still do so
-        new = feistel(new, _DAYS, key, b"date" + bytes([swapped]))
-        at = datetime.date.fromordinal(new + _FIRST_DAY)
-        if not swapped or at.day > 12:
+    while True:  # a date is the same day in all forms, and one that shows which field is the month still does
+        day = feistel(day, _DAYS, key, b"date")
+        at = datetime.date.fromordinal(day + _FIRST_DAY)
+        if (at.day > 12) == late:
             break
-    y, m, d, sep = f"{at.year:04d}", f"{at.month:02d}", f"{at.day:02d}", value[4] if first else value[2]
+    short = any(len(x) == 1 for x in (m, d))  # without leading zeros
+    y, m, d = f"{at.year:04d}", *(str(x) if short else f"{x:02d}" for x in (at.month, at.day))
     return sep.join((y, m, d) if first else (m, d, y) if swapped else (d, m, y))
 
 
@@ -143,8 +163,8 @@ def _phone(value: str, key: bytes) -> str | None:
     digits = sum(c.isdigit() for c in value)
     if not 8 <= digits <= 15:
         return None
-    lead = re.match(r"\+[0-9]{1,3}(?=[ .(-])", value)
-    at = lead.end() if lead else 1 if value[0] == "+" else 0
+    lead = _LEAD.match(value)
+    at = lead.end() if lead else 0
     return value[:at] + permute(value[at:], key, "phone", (_DIGIT,))
 
 
@@ -179,8 +199,15 @@ def pseudonym(kind: str, value: str, key: bytes) -> str | None:
     return _MAKERS[kind](value, key)
 
 
+def _within(phone: str) -> str:
+    """A phone number without the last groups that make it longer than numbers can be."""
+    while sum(c.isdigit() for c in phone) > 15 and (at := max(map(phone.rfind, " .-"))) > 0:
+        phone = phone[:at]
+    return phone
+
+
 def spans(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, kind) of candidates, without overlaps; longer checks come first."""
+    """(start, end, kind) of validated values; longer checks come first."""
     found: list[tuple[int, int, str]] = []
     at = text.find("@")
     while at >= 0:
@@ -190,15 +217,21 @@ def spans(text: str) -> list[tuple[int, int, str]]:
         at = text.find("@", at + 1)
     if "=" in text or ":" in text:
         found += [(*m.span(1), "secret") for m in _SECRET.finditer(text)]
-    found += [(*m.span(), "iban") for m in _IBAN.finditer(text)]
+    for m in _IBAN_START.finditer(text):
+        hit = _IBAN[n].match(text, m.start()) if (n := IBAN_LENGTHS.get(m[1])) else None
+        if hit and iban_rest(hit[0].replace(" ", "")) == 1:
+            found.append((*hit.span(), "iban"))
     end, taken = 0, sorted(found)
     for m in _START.finditer(text):
         if m.start() < end or any(a <= m.start() < b for a, b, _ in taken):
             continue
         for kind, pattern in _NUMBERS:
-            if (hit := pattern.match(text, m.start())) and pseudonym(kind, hit[0], b"?") is not None:
-                found.append((*hit.span(), kind))
-                end = hit.end()
+            if not (hit := pattern.match(text, m.start())):
+                continue
+            value = _within(hit[0]) if kind == "phone" else hit[0]
+            if pseudonym(kind, value, b"?") is not None:
+                end = m.start() + len(value)
+                found.append((m.start(), end, kind))
                 break
     return sorted(found)
 

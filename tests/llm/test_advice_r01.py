@@ -1,10 +1,12 @@
 """What the review of round 1 found."""
 
 import collections
+import re
 
 import numpy as np
+import pytest
 
-from loamwork.llm import lm
+from loamwork.llm import lm, pii
 
 
 def test_lm_counts_are_exact(spark):
@@ -41,3 +43,26 @@ def test_lm_keys_do_not_share_slots():
 def test_lm_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert lm.score(docs, docs.select("doc_id")).collect() == []
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("BE68 5390 0754 7034 EUR", "iban"), ("ES91 2100 0418 4502 0005 1332 BIC", "iban"), ("HU42 1177 3016 1111 1018 0000 0000", "iban"), ("CZ6508000000192000145399", "iban"),
+        ("GR16 0110 1250 0000 0001 2300 695", "iban"), ("RO49 AAAA 1B31 0075 9384 0000", "iban"), ("TR33 0006 1005 1978 6457 8413 26", "iban"), ("PO42 4111 1111 1111 1111", "card"),
+        ("1-800-555-1234", "phone"), ("(555)123-4567", "phone"), ("1 (800) 555-1234", "phone"), ("+33 1 23 45 67 89", "phone"), ("0033 1 23 45 67 89", "phone"), ("01 23 45 67 89", "phone"),
+        ("+33 1 23 45 67 89 2024-01", "phone"), ("3/14/1999", "date"), ("12-31-1999", "date"), ("1999-1-2", "date"), ("1.2.1999", "date"),
+    ],
+)
+def test_pii_is_found_in_all_forms(text, kind):
+    new, counts = pii.mask(f"See {text}, please", b"key")
+    assert counts == {kind: 1} and text not in new
+    assert pii.mask(new, b"key")[1] == counts
+    assert kind == "date" or len(new) == len(f"See {text}, please")
+
+
+def test_dates_stay_linked_in_all_forms():
+    for day, month, year in ((31, 12, 1999), (14, 3, 2020)):
+        forms = f"{year}-{month:02d}-{day:02d}", f"{day:02d}.{month:02d}.{year}", f"{month:02d}/{day:02d}/{year}"
+        a, b, c = (re.split("[-./]", pii.mask(f, b"key")[0]) for f in forms)
+        assert a == b[::-1] == [c[2], c[0], c[1]] and int(a[2]) > 12
