@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from loamwork.functions import vectors as V
@@ -12,7 +11,7 @@ from loamwork.plans import fixtures as fx
 from loamwork.plans import runs
 from loamwork.plans.q_bins import BINS, rows
 from loamwork.plans.registry import query
-from loamwork.plans.workspace import workspace
+from loamwork.plans.workspace import settled, workspace
 from loamwork.sources import tables
 from loamwork.streaming import resources
 
@@ -109,10 +108,9 @@ def neighbours_approximate(spark, sf_dir):
 
 @query()
 def merged_groups(spark, sf_dir):
-    """Greedy merging of bins; a row a bin goes through the driver, its vectors bounded by bins of a sample."""
-    r = rows(spark, sf_dir).where("label >= 0").select("label", "contig_id", "u", "shape", "gc").orderBy("label", F.xxhash64("contig_id")).limit(5000).toPandas()
-    groups = {int(k): merge.Group(np.stack(g["u"].to_list()), np.stack(g["shape"].to_list()), g["gc"].to_numpy()) for k, g in r.groupby("label")}
-    home, _ = merge.merge_groups(groups, merge.Guards(separation=0.62, coverage=3.0, gc_difference=0.05, misfit=0.9))
+    """Greedy merging of bins by statistics of all their rows; a row a bin goes through the driver."""
+    r = settled(rows(spark, sf_dir).where("label >= 0").select("label", "u", "shape", "gc"))
+    home, _ = merge.merge_groups(merge.RowGroup.all_of(r), merge.Guards(separation=0.62, coverage=3.0, gc_difference=0.05, misfit=0.9))
     return spark.createDataFrame(sorted(home.items()), "label int, bin int")
 
 
