@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from loamwork.operators.neighbours import knn
 
-#: Points that one call clusters; a larger set is first cut into groups.
-MAX_POINTS = 20_000
+#: Distances that are held at once; larger sets take smaller blocks.
+MAX_DISTANCES = 20_000 * 1024
 
 
 def auto_params(n: int) -> tuple[int, int]:
@@ -37,9 +37,10 @@ def spanning_tree(x: np.ndarray, min_samples: int) -> np.ndarray:
     n = len(x)
     sq = (x**2).sum(1)
     core = np.empty(n)
-    for at in range(0, n, 1024):
-        d = np.sqrt(np.maximum(sq[at : at + 1024, None] + sq[None] - 2 * x[at : at + 1024] @ x.T, 0))
-        core[at : at + 1024] = np.partition(d, min(min_samples, n) - 1, axis=1)[:, min(min_samples, n) - 1]
+    block = max(1, min(1024, MAX_DISTANCES // n))
+    for at in range(0, n, block):
+        d = np.sqrt(np.maximum(sq[at : at + block, None] + sq[None] - 2 * x[at : at + block] @ x.T, 0))
+        core[at : at + block] = np.partition(d, min(min_samples, n) - 1, axis=1)[:, min(min_samples, n) - 1]
     best, source, inside = np.full(n, np.inf), np.zeros(n, np.int64), np.zeros(n, bool)
     edges, now = np.empty((n - 1, 3)), 0
     inside[0] = True
@@ -89,8 +90,6 @@ def hdbscan(x: np.ndarray, min_cluster: int, min_samples: int, method: str = "eo
     first ancestor born above it.
     """
     n = len(x)
-    if n > MAX_POINTS:
-        raise ValueError(f"{n} points; at most {MAX_POINTS} are clustered in one piece")
     labels, prob = np.full(n, -1), np.zeros(n)
     if n < max(2, min_cluster):
         return labels, prob
@@ -177,7 +176,7 @@ def _below(nodes: list[_Node], c: int, other: int) -> bool:
 
 
 def cluster_groups(rows: DataFrame, key: str, min_cluster: int, min_samples: int, method: str = "leaf", epsilon: float = 0.0) -> DataFrame:
-    """contig_id, part, prob: density clusters inside each group of at most MAX_POINTS rows."""
+    """M8: contig_id, part, prob: density clusters inside each group, exactly; a group is a task's, which takes time by the square of its rows."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("contig_id")

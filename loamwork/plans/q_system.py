@@ -95,8 +95,8 @@ def core_distances(spark, sf_dir):
 
 @query()
 def density_parts(spark, sf_dir):
-    """Density clusters inside each bin, on three of the dimensions."""
-    r = rows(spark, sf_dir).where("label >= 0").withColumn("vec", F.slice("vec", 1, 3))
+    """M8: density clusters of the whole vectors inside each bin, K14's first step."""
+    r = rows(spark, sf_dir).where("label >= 0")
     return density.cluster_groups(r, "label", 4, 2)
 
 

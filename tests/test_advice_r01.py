@@ -3,7 +3,7 @@
 import numpy as np
 
 import __spark_entry__ as entry
-from loamwork.operators import merge
+from loamwork.operators import density, merge
 from loamwork.plans.q_bins import rows
 
 
@@ -33,3 +33,20 @@ def test_merged_groups_is_the_loop_over_all_members(spark, sf):
     groups = {int(k): merge.Group(np.stack(g["u"].to_list()), np.stack(g["shape"].to_list()), g["gc"].to_numpy()) for k, g in r.groupby("label")}
     home, _ = merge.merge_groups(groups, merge.Guards(separation=0.62, coverage=3.0, gc_difference=0.05, misfit=0.9))
     assert {x.label: x.bin for x in entry.queries()["merged_groups"](spark, sf).collect()} == home
+
+
+def test_density_parts_take_whole_vectors(spark, sf):
+    want = {}
+    r = rows(spark, sf).where("label >= 0").toPandas()
+    for _, g in r.groupby("label"):
+        g = g.sort_values("contig_id")
+        want |= dict(zip(g["contig_id"], density.hdbscan(np.stack(g["vec"].to_list()), 4, 2, "leaf")[0], strict=True))
+    assert {x.contig_id: x.part for x in entry.queries()["density_parts"](spark, sf).collect()} == want
+
+
+def test_density_has_no_bound(monkeypatch):
+    x = np.random.default_rng(2).normal(size=(900, 3)) + np.repeat(np.eye(3) * 20, 300, axis=0)
+    want = density.hdbscan(x, 10, 5)[0]
+    monkeypatch.setattr(density, "MAX_DISTANCES", 7 * 900)
+    assert (density.hdbscan(x, 10, 5)[0] == want).all()
+    assert len(density.spanning_tree(np.arange(20_100.0)[:, None], 2)) == 20_099
