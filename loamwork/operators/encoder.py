@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import groupby, islice
+from operator import itemgetter
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwork.functions import vectors as V
+from loamwork.operators import groups as G
 
-#: Rows that a model is trained on at most, by lowest hash of the id; all rows are encoded.
-TRAIN_ROWS = 20_000
+_STATE = "modality string, state binary"
 
 
 def hidden_width(d: int) -> int:
@@ -35,28 +37,40 @@ class Vae:
     free_bits: float = 0.01
     seed: int = 0
 
+    def start(self, mean: np.ndarray) -> Vae:
+        """Parameters before training, for rows of that mean."""
+        d = len(mean)
+        h, k, self.rng = hidden_width(d), self.latent, np.random.default_rng(self.seed)
+        init = lambda i, o: self.rng.normal(0, np.sqrt(2 / i), (i, o))
+        self.p = {"w1": init(d, h), "b1": np.zeros(h), "g": np.ones(h), "s": np.zeros(h), "wm": init(h, k) * 0.5, "bm": np.zeros(k), "wv": init(h, k) * 0.1, "bv": np.zeros(k), "wd": init(k, d) * 0.5, "bd": mean.astype(float)}
+        self.m, self.v = ({a: np.zeros_like(b) for a, b in self.p.items()} for _ in range(2))
+        self.t = 0
+        return self
+
+    def steps(self, n: int) -> int:
+        return max(1, -(-n // self.batch)) * self.epochs
+
+    def step(self, x: np.ndarray, w: np.ndarray, epoch: int, steps: int) -> None:
+        """One batch of an epoch; steps is the number of all batches of all epochs."""
+        grads = self._gradients(x, w, self.beta * min(1.0, (epoch + 1) / max(1, self.anneal)), self.rng)
+        size = np.sqrt(sum((g**2).sum() for g in grads.values()))
+        self.t += 1
+        rate = self.rate * 0.5 * (1 + np.cos(np.pi * self.t / steps))
+        for a, g in grads.items():
+            g = g / max(1.0, size)  # clipped to norm one
+            self.m[a] = 0.9 * self.m[a] + 0.1 * g
+            self.v[a] = 0.999 * self.v[a] + 0.001 * g * g
+            self.p[a] -= rate * (self.m[a] / (1 - 0.9**self.t)) / (np.sqrt(self.v[a] / (1 - 0.999**self.t)) + 1e-8)
+
     def fit(self, x: np.ndarray, w: np.ndarray | None = None) -> Vae:
-        n, d = x.shape
-        h, k, rng = hidden_width(d), self.latent, np.random.default_rng(self.seed)
+        n = len(x)
         w = np.ones(n) if w is None else w
-        init = lambda i, o: rng.normal(0, np.sqrt(2 / i), (i, o))
-        self.p = {"w1": init(d, h), "b1": np.zeros(h), "g": np.ones(h), "s": np.zeros(h), "wm": init(h, k) * 0.5, "bm": np.zeros(k), "wv": init(h, k) * 0.1, "bv": np.zeros(k), "wd": init(k, d) * 0.5, "bd": x.mean(0)}
-        m, v = ({a: np.zeros_like(b) for a, b in self.p.items()} for _ in range(2))
-        steps, t = max(1, -(-n // self.batch)) * self.epochs, 0
+        self.start(x.mean(0))
         for epoch in range(self.epochs):
-            beta = self.beta * min(1.0, (epoch + 1) / max(1, self.anneal))
-            order = rng.permutation(n)
+            order = self.rng.permutation(n)
             for at in range(0, n, self.batch):
                 i = order[at : at + self.batch]
-                grads = self._gradients(x[i], w[i], beta, rng)
-                size = np.sqrt(sum((g**2).sum() for g in grads.values()))
-                t += 1
-                rate = self.rate * 0.5 * (1 + np.cos(np.pi * t / steps))
-                for a, g in grads.items():
-                    g = g / max(1.0, size)  # clipped to norm one
-                    m[a] = 0.9 * m[a] + 0.1 * g
-                    v[a] = 0.999 * v[a] + 0.001 * g * g
-                    self.p[a] -= rate * (m[a] / (1 - 0.9**t)) / (np.sqrt(v[a] / (1 - 0.999**t)) + 1e-8)
+                self.step(x[i], w[i], epoch, self.steps(n))
         return self
 
     def _hidden(self, x: np.ndarray):
@@ -91,10 +105,39 @@ class Vae:
         return float(((self.encode(x) @ self.p["wd"] + self.p["bd"] - x) ** 2).mean())
 
 
-def encode(rows: DataFrame, model: Vae, train_rows: int = TRAIN_ROWS, vec: str = "vec") -> DataFrame:
-    """M3: contig_id, mu: a model trained on a bounded sample of rows (contig_id, vec), applied to all of them."""
-    sample = rows.select("contig_id", vec).orderBy(F.xxhash64("contig_id"), "contig_id").limit(train_rows).toArrow()
-    model.fit(np.array(sample.column(vec).to_pylist(), float))
+def train(rows: DataFrame, model: Vae, train_rows: int | None = None) -> dict[str, Vae]:
+    """M3, M4: a model of each modality (rows: modality, contig_id, vec), trained by batches of all its rows.
+
+    An epoch is a pass in an order of its own; a modality's rows stream through one task,
+    which holds a batch. train_rows, where given, takes only so many rows, by lowest hash.
+    """
+    rows = rows.select("modality", "contig_id", "vec")
+    if train_rows is not None:
+        order = Window.partitionBy("modality").orderBy(F.xxhash64("contig_id"), "contig_id")
+        rows = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= train_rows).drop("k")
+    n = {r["modality"]: r["n"] for r in rows.groupBy("modality").agg(F.count("*").alias("n")).collect()}
+    models = {r["modality"]: replace(model).start(np.array(r["mean"])) for r in G.means(rows, "modality").collect()}
+
+    def one(epoch: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            stream = (r for b in batches for r in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+            for name, group in groupby(stream, itemgetter(0)):
+                m = models[name]
+                while part := [v for _, v in islice(group, m.batch)]:
+                    m.step(np.array(part, float), np.ones(len(part)), epoch, m.steps(n[name]))
+                yield pa.RecordBatch.from_arrays([pa.array([name], pa.string()), pa.array([pickle.dumps(m)], pa.binary())], names=["modality", "state"])
+
+        return rows.repartition("modality").sortWithinPartitions("modality", F.xxhash64(F.lit(epoch), "contig_id"), "contig_id").select("modality", "vec").mapInArrow(run, _STATE)
+
+    for epoch in range(model.epochs):
+        models = {r["modality"]: pickle.loads(r["state"]) for r in one(epoch).collect()}
+    return models
+
+
+def encode(rows: DataFrame, model: Vae, train_rows: int | None = None, vec: str = "vec") -> DataFrame:
+    """M3: contig_id, mu: a model trained on all rows (contig_id, vec), or on train_rows of them, and applied to all."""
+    trained = train(rows.select(F.lit("").alias("modality"), "contig_id", F.col(vec).alias("vec")), model, train_rows)
+    model.__dict__ |= vars(trained.get("", model))
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,33 +194,14 @@ def split_coverage(features: Column, n_samples_as_feature: bool = False) -> tupl
     return F.element_at(features, 1), F.slice(features, first, F.size(features) - (first - 1))
 
 
-def encode_modalities(rows: DataFrame, model: Vae, train_rows: int = TRAIN_ROWS) -> DataFrame:
+def encode_modalities(rows: DataFrame, model: Vae, train_rows: int | None = None) -> DataFrame:
     """M4: modality, contig_id, mu: each modality (rows: modality, contig_id, vec) is trained in a task of its own.
 
-    A modality's training sample is bounded; its parameters, a row a modality, then encode all rows.
+    All rows train it, or train_rows of each modality; its parameters then encode all rows.
     """
-    from pyspark.sql import Window
-
-    order = Window.partitionBy("modality").orderBy(F.xxhash64("contig_id"), "contig_id")
-    sample = rows.withColumn("k", F.row_number().over(order)).where(F.col("k") <= train_rows).drop("k")
-
-    def train(pdf: pd.DataFrame) -> pd.DataFrame:
-        import pickle
-        from dataclasses import replace
-
-        m = replace(model).fit(np.stack(pdf["vec"].to_list()))
-        return pd.DataFrame({"modality": [pdf["modality"].iloc[0]], "params": [pickle.dumps(m.p)]})
-
-    trained = {r["modality"]: r["params"] for r in sample.select("modality", "vec").groupBy("modality").applyInPandas(train, "modality string, params binary").collect()}
+    models = train(rows, model, train_rows)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pickle
-        from dataclasses import replace
-
-        models = {}
-        for m, raw in trained.items():
-            models[m] = replace(model)
-            models[m].p = pickle.loads(raw)
         for b in batches:
             mus = [models[m].encode(np.array([v], float))[0].tolist() for m, v in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.string()), b.column(1), pa.array(mus, pa.list_(pa.float64()))], names=["modality", "contig_id", "mu"])

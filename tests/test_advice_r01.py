@@ -3,7 +3,7 @@
 import numpy as np
 
 import __spark_entry__ as entry
-from loamwork.operators import density, merge
+from loamwork.operators import density, encoder, merge
 from loamwork.plans.q_bins import rows
 
 
@@ -50,3 +50,16 @@ def test_density_has_no_bound(monkeypatch):
     monkeypatch.setattr(density, "MAX_DISTANCES", 7 * 900)
     assert (density.hdbscan(x, 10, 5)[0] == want).all()
     assert len(density.spanning_tree(np.arange(20_100.0)[:, None], 2)) == 20_099
+
+
+def test_training_takes_all_rows(spark):
+    rnd = np.random.default_rng(4)
+    x = rnd.normal(size=(20_600, 3))
+    made = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "contig_id long, vec array<double>").cache()
+    model = encoder.Vae(latent=2, epochs=2)
+    out = encoder.encode(made, model)
+    assert model.t == model.steps(len(x)) == 2 * 81
+    assert out.count() == len(x) and model.loss(x) < encoder.Vae(latent=2).start(x.mean(0)).loss(x)
+    few = encoder.Vae(latent=2, epochs=2)
+    encoder.encode(made, few, train_rows=512)
+    assert few.t == 4
