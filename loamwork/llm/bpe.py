@@ -20,14 +20,18 @@ import numpy as np
 import regex
 from pyspark.sql import DataFrame
 
-from loamwork.llm.common import check_columns, map_slices, texts_of
-from loamwork.llm.tokenize import TOGETHER, ChunkMemo, kept
+from loamwork.llm.common import check_columns, kept, map_slices, texts_of
 
 #: Fixed value: the pre-tokenizer's published pattern.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_SPLIT = regex.compile(SPLIT)
 _RUNS = tuple(regex.compile(p) for p in (r"\p{L}+", r"\p{N}+", r"[^\s\p{L}\p{N}]+", r"\s+"))
 #: Characters that may still change a match which ends before them.
 _MARGIN = 4
+#: Characters that enter the transducer together.
+STEP = 65536
+#: Pre-tokens whose ids a worker keeps, and the characters that they have at most.
+MEMO_WORDS, WORD_CHARS = 200_000, 64
 _NONE, _ID = 1 << 60, (1 << 30) - 1
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -138,69 +142,93 @@ class RunEncoder:
         yield from self.merges.merge(held)
 
 
+class WordMemo(dict):
+    """What the transducer emits for a pre-token, as little-endian uint32 bytes; bounded by starting afresh.
+
+    Only pre-tokens of up to WORD_CHARS characters are kept.
+    """
+
+    def __init__(self, merges: MergeList, limit: int = MEMO_WORDS):
+        super().__init__()
+        self.merges, self.limit = merges, limit
+
+    def __missing__(self, word: str) -> bytes:
+        run = RunEncoder(self.merges)
+        ids = array("I", run.feed(word.encode()))
+        ids.extend(run.finish())
+        if len(word) <= WORD_CHARS:
+            if len(self) >= self.limit:
+                self.clear()
+            self[word] = ids.tobytes()
+        return ids.tobytes()
+
+
 class StreamEncoder:
-    """Encodes a text that arrives in parts; holds a bounded tail, however long a pre-token gets."""
+    """Encodes a text that arrives in parts; holds a bounded tail, however long a pre-token gets.
 
-    def __init__(self, merges: MergeList, hold: int = 4096):
+    feed and finish give the ids that have become stable, as little-endian uint32 bytes.
+    """
+
+    def __init__(self, merges: MergeList, hold: int = 4096, memo: WordMemo | None = None):
         self.merges, self.hold, self.tail = merges, hold, ""
-        self.split = regex.compile(SPLIT)
+        self.memo = WordMemo(merges) if memo is None else memo
+        self.split = _SPLIT
         self.specials = regex.compile("|".join(map(regex.escape, sorted(merges.special, key=len, reverse=True)))) if merges.special else None
         self.widest = max([0, *map(len, merges.special)])
         self.run, self.kind = None, None
 
-    def feed(self, text: str) -> Iterator[int]:
+    def feed(self, text: str) -> bytes:
         self.tail += text
-        yield from self._drain(final=False)
+        return self._drain(final=False)
 
-    def finish(self) -> Iterator[int]:
-        yield from self._drain(final=True)
+    def finish(self, text: str = "") -> bytes:
+        self.tail += text
+        return self._drain(final=True)
 
-    def _drain(self, final: bool) -> Iterator[int]:
+    def _drain(self, final: bool) -> bytes:
+        out: list[bytes] = []
         while self.specials and (m := self.specials.search(self.tail)):
             rest, self.tail = self.tail[m.end() :], self.tail[: m.start()]
-            yield from self._segment(len(self.tail), True)
-            yield self.merges.special[m[0]]
+            self._segment(len(self.tail), True, out)
+            out.append(array("I", [self.merges.special[m[0]]]).tobytes())
             self.tail = rest
-        yield from self._segment(len(self.tail) if final else max(0, len(self.tail) - self.widest), final)
+        self._segment(len(self.tail) if final else max(0, len(self.tail) - self.widest), final, out)
+        return b"".join(out)
 
-    def _segment(self, upto: int, final: bool) -> Iterator[int]:
+    def _segment(self, upto: int, final: bool, out: list[bytes]) -> None:
         """Encodes tail[:upto]; unless final, what may still change stays."""
         head, keep = self.tail[:upto], self.tail[upto:]
-        at = 0
-        if self.run is not None:
-            at = yield from self._extend(head, 0, final)
+        at = self._extend(head, 0, final, out) if self.run is not None else 0
         if self.run is None:
-            for m in self.split.finditer(head, at):
-                if not final and m.end() > upto - _MARGIN:
-                    break
-                yield from self.merges.merge(m[0].encode()) if m.end() - m.start() < 512 else self._whole(m[0])
-                at = m.end()
+            words, end = self.split.findall(head, at), len(head)  # pre-tokens leave no gaps
+            while words and not final and end > upto - _MARGIN:
+                end -= len(words.pop())
+            out += map(self.memo.__getitem__, words)
+            at = end
             if not final and len(head) - at > self.hold:
                 lead = at + (head[at] == " " and not head[at + 1].isspace())
                 self.kind = next(k for k in _RUNS if k.match(head, lead))
                 self.run = RunEncoder(self.merges)
-                yield from self.run.feed(head[at:lead].encode())
-                at = yield from self._extend(head, lead, final)
+                self._emit(head[at:lead], out)
+                at = self._extend(head, lead, final, out)
         self.tail = head[at:] + keep
 
-    def _extend(self, head: str, at: int, final: bool) -> Iterator[int]:
+    def _emit(self, text: str, out: list[bytes]) -> None:
+        out.append(array("I", self.run.feed(text.encode())).tobytes())
+
+    def _extend(self, head: str, at: int, final: bool, out: list[bytes]) -> int:
         m = self.kind.match(head, at)
         end = m.end() if m else at
         closed = final or end < len(head)
         if self.kind is _RUNS[3]:  # the last white character may belong to what follows
             end -= not final or end < len(head)
             end = max(at, end)
-        yield from self.run.feed(head[at:end].encode())
+        self._emit(head[at:end], out)
         if closed:
-            yield from self.run.finish()
+            out.append(array("I", self.run.finish()).tobytes())
             self.run = self.kind = None
         return end
 
-    def _whole(self, text: str) -> Iterator[int]:
-        run = RunEncoder(self.merges)
-        yield from run.feed(text.encode())
-        yield from run.finish()
-
 
 class TextDecoder:
     """Byte-to-text state machine: takes ids in parts and gives text as soon as characters are whole."""
@@ -215,67 +243,48 @@ class TextDecoder:
         return self.state.decode(b"", True)
 
 
-class WordMemo(dict):
-    """ids of pre-tokens, each merged once; bounded by starting afresh."""
-
-    def __init__(self, merges: MergeList, limit: int = 100_000):
-        super().__init__()
-        self.merges, self.limit, self.split = merges, limit, regex.compile(SPLIT)
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) > self.limit:
-            self.clear()
-        ids = self[word] = array("I", self.merges.merge(word.encode())).tobytes()
-        return ids
-
-    def encode(self, chunk: str) -> bytes:
-        """The ids of a chunk as bytes: of a short one at once, of any other by the stream."""
-        if len(chunk) > 256 or any(s in chunk for s in self.merges.special):
-            return array("I", encode_text(self.merges, chunk)).tobytes()
-        return b"".join([self[word] for word in self.split.findall(chunk)])
+def stream(merges: MergeList, text: str, memo: WordMemo | None = None, step: int = STEP) -> Iterator[bytes]:
+    """The ids of a text, block after block, as little-endian uint32 bytes."""
+    encoder = StreamEncoder(merges, memo=memo)
+    for at in range(0, max(1, len(text)), step):
+        yield encoder.finish(text[at:]) if at + step >= len(text) else encoder.feed(text[at : at + step])
 
 
-def encode_text(merges: MergeList, text: str, step: int = 65536) -> list[int]:
+def encode_text(merges: MergeList, text: str, step: int = STEP) -> list[int]:
     """All ids of one text, streamed."""
-    stream, out = StreamEncoder(merges), []
-    for at in range(0, len(text), step):
-        out.extend(stream.feed(text[at : at + step]))
-    out.extend(stream.finish())
-    return out
+    return np.frombuffer(b"".join(stream(merges, text, step=step)), "<u4").tolist()
 
 
-def _encoder(path: str) -> tuple[MergeList, ChunkMemo]:
-    merges = MergeList(path)
-    words = WordMemo(merges)
-    return merges, ChunkMemo(lambda chunks: list(map(words.encode, chunks)))
-
-
-def encode_decode(docs: DataFrame, tokenizer_path: str, block: int = 65536) -> DataFrame:
+def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """Encodes each whole text, decodes the ids again and returns counts and digests of both.
 
-    A null or empty text has no ids and digests of the empty string. Rows are handled
-    one by one, so repeated rows and ids give repeated results; other columns are ignored.
+    A text goes through the transducer, its ids into the digest and the decoder, block by
+    block: neither all ids nor the decoded text of a document are ever held. A null or
+    empty text has no ids and digests of the empty string. Rows are handled one by one, so
+    repeated rows and ids give repeated results; other columns are ignored.
     """
     check_columns(docs, "doc_id", "text")
+    key = ("bpe", tokenizer_path)
 
     def make():
-        merges, memo = kept(("bpe", tokenizer_path), lambda: _encoder(tokenizer_path))
+        merges, memo = kept(key, lambda: (m := MergeList(tokenizer_path), WordMemo(m)))
         decimal = {i: str(i) for i in merges.text}.__getitem__
 
+        def one(text: str) -> tuple[int, str, str]:
+            n, a, b, decoder = 0, hashlib.sha256(), hashlib.sha256(), TextDecoder(merges)
+            for packed in stream(merges, text, memo):
+                if packed:
+                    ids = np.frombuffer(packed, "<u4").tolist()
+                    a.update((("," if n else "") + ",".join(map(decimal, ids))).encode())
+                    b.update(decoder.feed(ids).encode())
+                    n += len(ids)
+            b.update(decoder.finish().encode())
+            return n, a.hexdigest(), b.hexdigest()
+
         def apply(part):
-            n, ids_sha, text_sha = [], [], []
-            for packed in memo.encode(texts_of(part)):
-                ids, a, b, decoder = np.frombuffer(packed, "<u4"), hashlib.sha256(), hashlib.sha256(), TextDecoder(merges)
-                for at in range(0, len(ids), block):
-                    some = ids[at : at + block].tolist()
-                    a.update((("," if at else "") + ",".join(map(decimal, some))).encode())
-                    b.update(decoder.feed(some).encode())
-                b.update(decoder.finish().encode())
-                n.append(len(ids))
-                ids_sha.append(a.hexdigest())
-                text_sha.append(b.hexdigest())
+            n, ids_sha, text_sha = zip(*map(one, texts_of(part)), strict=True) if part.num_rows else ((),) * 3
             return {"doc_id": part.column("doc_id"), "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": text_sha}
 
         return apply
 
-    return map_slices(docs.select("doc_id", "text"), make, SCHEMA, TOGETHER)
+    return map_slices(docs.select("doc_id", "text"), make, SCHEMA, key=key)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -16,10 +18,12 @@ from pyspark.sql.types import StructType
 SLICE_ROWS = 512
 #: Bytes of input files for each part of an explicit shuffle.
 PART_BYTES = 10 << 20
+#: Parts of an explicit shuffle at most; beyond it each part grows with the input.
+MOST_PARTS = 200_000
 #: Largest Arrow batch between the JVM and Python; rows are never split, so one long text may exceed it.
 BATCH_BYTES = 8 << 20
 #: Largest number of ids that is broadcast; beyond it joins shuffle.
-BROADCAST_IDS = 2_000_000
+BROADCAST_IDS = 1_000_000
 
 
 def bounded(spark: SparkSession) -> None:
@@ -59,9 +63,7 @@ def scratch(spark: SparkSession) -> Iterator[None]:
     try:
         yield
     finally:
-        for path in _scopes.pop():
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+        drop_tables(spark, _scopes.pop())
 
 
 def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -71,14 +73,98 @@ def materialize(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     if scopes := _scopes[:-1] if keep else _scopes:
         scopes[-1].append(path)
-    df.write.option("compression", "zstd").parquet(path)
+    else:
+        _finished.add(path)
+    with _setting(spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true"):  # the table stands, its shuffle files go
+        df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def _setting(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """Sets a session setting for a while."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
+_finished: set[str] = set()
+
+
+def keep_until_cleanup(path: str) -> None:
+    """Leaves a folder to cleanup()."""
+    _finished.add(path)
+
+
+def drop_tables(spark: SparkSession, paths: list[str]) -> None:
+    """Deletes tables that materialize() wrote."""
+    for path in paths:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def cleanup(spark: SparkSession) -> None:
+    """Deletes the tables that results of this session are read from (joined classes, spans, files, shards, stages).
+
+    Call it once the results have been written or consumed; they can't be read afterwards.
+    """
+    drop_tables(spark, sorted(_finished))
+    _finished.clear()
+
+
 def parts(docs: DataFrame) -> int:
     """Into how many parts to deal what is made of docs: one for PART_BYTES of input files; the session's number where their size isn't known."""
     known = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    return max(4, known // PART_BYTES) if known < 1 << 56 else max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    return min(max(4, known // PART_BYTES), MOST_PARTS) if known < 1 << 56 else max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """A column name that df doesn't have, made from name."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+_KEPT: dict = {}
+
+
+def kept(key: tuple, build: Callable):
+    """What build() makes, kept by the worker process for later tasks that ask for the same key; there is one such thing a worker."""
+    if key not in _KEPT:
+        _KEPT.clear()
+        _KEPT[key] = build()
+    return _KEPT[key]
+
+
+def forget(key: tuple | None) -> None:
+    """Drops what the worker keeps, unless it is of this key."""
+    if key not in _KEPT:
+        _KEPT.clear()
+
+
+def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], key: tuple | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run for mapInArrow. A task starts without what other work left in its reused worker, and gives its memory back at its end."""
+
+    def tidied(batches):
+        forget(key)
+        yield from run(batches)
+        trim()
+
+    return tidied
+
+
+def trim() -> None:
+    """Gives memory that a finished task held back to the system; a reused worker starts the next one small."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterator[pa.RecordBatch]:
@@ -88,8 +174,8 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = SLICE_ROWS) -> Iterato
             yield batch.slice(at, rows)
 
 
-def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, rows: int = SLICE_ROWS) -> DataFrame:
-    """Applies make()'s function to slices of df. It returns a dict of columns, and make runs once per task."""
+def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str, rows: int = SLICE_ROWS, key: tuple | None = None) -> DataFrame:
+    """Applies make()'s function to slices of df. It returns a dict of columns, and make runs once per task; key is of what it keeps."""
     bounded(df.sparkSession)
     arrow = arrow_schema(schema)
 
@@ -98,7 +184,7 @@ def map_slices(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict
         for part in slices(batches, rows):
             yield pa.RecordBatch.from_pydict(apply(part), schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run, key), schema)
 
 
 def append_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], added: str, replaced: tuple[str, ...] = ()) -> DataFrame:
@@ -119,14 +205,18 @@ def append_columns(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch],
             yield pa.RecordBatch.from_arrays(columns, names=[*part.schema.names, *extra.names])
 
     fields = [*df.schema.fields, *(StructType.fromDDL(added).fields if added else [])]
-    return df.mapInArrow(run, StructType(fields))
+    return df.mapInArrow(tidy(run), StructType(fields))
+
+
+def few(ids: DataFrame) -> bool:
+    """Are there so few rows that they may be broadcast? Counted, not guessed."""
+    return ids.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
 
 
 def with_flag(df: DataFrame, ids: DataFrame, key: str, flag: str) -> DataFrame:
     """df with a boolean column: is its key among ids? Ids are broadcast only below BROADCAST_IDS rows."""
     marked = ids.select(F.col(key)).where(F.col(key).isNotNull()).distinct().withColumn(flag, F.lit(True))
-    few = marked.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
-    joined = df.join(F.broadcast(marked) if few else marked, key, "left")
+    joined = df.join(F.broadcast(marked) if few(marked) else marked, key, "left")
     return joined.withColumn(flag, F.coalesce(flag, F.lit(False)))
 
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import arrow_schema, materialize
+from loamwork.llm.common import arrow_schema, materialize, tidy
 
 _EDGE = "a long, b long"
 
@@ -50,7 +50,7 @@ def components(links: DataFrame, limit: int = 60) -> DataFrame:
     Each round writes its edges to the shared folder, so lineage stays short.
     """
     edges = links.select(F.least("a", "b").cast("long").alias("a"), F.greatest("a", "b").cast("long").alias("b")).where("a < b")
-    edges = materialize(edges.mapInArrow(_stars, _EDGE), "links")
+    edges = materialize(edges.mapInArrow(tidy(_stars), _EDGE), "links")
     seen = None
     for _ in range(limit):
         state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())

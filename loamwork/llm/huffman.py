@@ -15,10 +15,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import arrow_schema, check_columns, map_slices, materialize, parts, scratch, slices, texts_of
-from loamwork.llm.tokenize import TOGETHER, ChunkMemo, LibraryEncoder, kept
+from loamwork.llm.common import arrow_schema, check_columns, kept, map_slices, materialize, parts, scratch, slices, texts_of, tidy
+from loamwork.llm.tokenize import TOGETHER, ChunkMemo, LibraryEncoder
 
-#: Longest code in bits.
+#: Longest code in bits, unless more distinct ids than its codes ask for longer ones.
 MAX_BITS = 18
 #: A block closes at the first document end beyond so many ids.
 BLOCK_IDS = 1 << 18
@@ -33,8 +33,7 @@ def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
     if len(used) <= 1:
         lengths[used] = 1
         return lengths
-    if len(used) > 1 << limit:
-        raise ValueError(f"{len(used)} ids don't fit codes of {limit} bits")
+    limit = max(limit, (len(used) - 1).bit_length())
     order = used[np.argsort(counts[used], kind="stable")]
     weight = counts[order].astype(np.float64)
     levels, items = [], weight
@@ -68,10 +67,11 @@ def canonical_codes(lengths: np.ndarray) -> np.ndarray:
 
 
 class Coder:
-    """Packs ids into bits and, by one table of 2**MAX_BITS entries, ids back."""
+    """Packs ids into bits and, by one table over all bit strings as long as the longest code, ids back."""
 
     def __init__(self, lengths: np.ndarray):
         self.lengths, self.codes = lengths, canonical_codes(lengths)
+        self.width = int(lengths.max(initial=1))
         self.table: np.ndarray | None = None
 
     def encode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
@@ -101,11 +101,11 @@ class Coder:
 
     def _decoding_table(self) -> np.ndarray:
         if self.table is None:
-            self.table = np.zeros(1 << MAX_BITS, np.uint32)
+            self.table = np.zeros(1 << self.width, np.uint32)
             for i in np.flatnonzero(self.lengths):
                 n = int(self.lengths[i])
-                at = int(self.codes[i]) << (MAX_BITS - n)
-                self.table[at : at + (1 << (MAX_BITS - n))] = i << 5 | n
+                at = int(self.codes[i]) << (self.width - n)
+                self.table[at : at + (1 << (self.width - n))] = i << 5 | n
         return self.table
 
     def decode(self, payload: bytes, checkpoints: np.ndarray, n: int) -> np.ndarray:
@@ -119,7 +119,7 @@ class Coder:
         out = np.empty((len(at), CHECKPOINT), np.uint32)
         last = len(windows) - 1
         for k in range(CHECKPOINT):
-            entry = table[(windows[np.minimum(at >> 3, last)] << (at & 7).astype(np.uint32)) >> np.uint32(32 - MAX_BITS)]
+            entry = table[(windows[np.minimum(at >> 3, last)] << (at & 7).astype(np.uint32)) >> np.uint32(32 - self.width)]
             out[:, k] = entry >> 5
             at += entry & 31
         return out.reshape(-1)[:n]
@@ -129,8 +129,10 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     """doc_id, n_tokens and ids (two bytes an id where all fit, else four) of every document."""
     check_columns(docs, "doc_id", "text")
 
+    key = ("library", tokenizer_path)
+
     def make():
-        memo = kept(("library", tokenizer_path), lambda: ChunkMemo(LibraryEncoder(tokenizer_path)))
+        memo = kept(key, lambda: ChunkMemo(LibraryEncoder(tokenizer_path)))
         end = np.uint32(end_id).tobytes()
 
         def apply(part):
@@ -146,7 +148,7 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
 
         return apply
 
-    return map_slices(docs.select("doc_id", "text").where("doc_id is not null"), make, "doc_id long, n_tokens long, ids binary", TOGETHER)
+    return map_slices(docs.select("doc_id", "text").where("doc_id is not null"), make, "doc_id long, n_tokens long, ids binary", TOGETHER, key)
 
 
 def wide_ids(ids: bytes, n: int) -> np.ndarray:
@@ -167,7 +169,7 @@ def global_counts(tokens: DataFrame) -> np.ndarray:
         seen = np.flatnonzero(total)
         yield pa.RecordBatch.from_pydict({"id": seen, "n": total[seen]}, schema=arrow_schema("id long, n long"))
 
-    rows = tokens.select("n_tokens", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    rows = tokens.select("n_tokens", "ids").mapInArrow(tidy(run), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     ids = rows.column("id").to_numpy()
     counts = np.zeros(int(ids.max(initial=-1)) + 1, np.int64)
     counts[ids] = rows.column("n").to_numpy()
@@ -211,27 +213,31 @@ def encode_file(tokens: DataFrame, lengths: np.ndarray) -> DataFrame:
             yield close(docs, sizes, payload, points)
 
     coded = map_slices(tokens, make, "doc_id long, n_tokens long, payload binary, checkpoints binary")
-    return coded.repartitionByRange(parts(tokens), "doc_id").sortWithinPartitions("doc_id").mapInArrow(blocks, FILE_SCHEMA)
+    return coded.repartitionByRange(parts(tokens), "doc_id").sortWithinPartitions("doc_id").mapInArrow(tidy(blocks), FILE_SCHEMA)
+
+
+_DECODED = "part int, block int, doc_id long, inside long, n_tokens long, "
 
 
-def decode_file(file: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """part, doc_id, start (within the part's block), n_tokens and ids of every document in a file."""
+def decode_file(file: DataFrame, lengths: np.ndarray, digests: bool = False) -> DataFrame:
+    """part, block, doc_id, inside (ids of the block before the document), n_tokens and ids of every document in a file; with digests ids_crc32 in place of ids."""
     shared = file.sparkSession.sparkContext.broadcast(lengths)
+    schema = _DECODED + ("ids_crc32 long" if digests else "ids binary")
 
     def run(batches):
-        coder = Coder(shared.value)
-        schema = arrow_schema("part int, block int, doc_id long, inside long, n_tokens long, ids binary")
+        coder, arrow = Coder(shared.value), arrow_schema(schema)
         for part in slices(batches, 1):
             row = part.to_pylist()[0]
             docs, sizes = np.frombuffer(row["doc_ids"], "<i8"), np.frombuffer(row["sizes"], "<i8")
             stretches = -(-sizes // CHECKPOINT)
             flat = coder.decode(row["payload"], np.frombuffer(row["checkpoints"], "<u8"), int(stretches.sum()) * CHECKPOINT)
             at = (np.cumsum(stretches) - stretches) * CHECKPOINT
-            ids = [flat[a : a + n].astype("<u4").tobytes() for a, n in zip(at.tolist(), sizes.tolist(), strict=True)]
+            ids = (flat[a : a + n].astype("<u4", copy=False).tobytes() for a, n in zip(at.tolist(), sizes.tolist(), strict=True))
             k = len(docs)
-            yield pa.RecordBatch.from_pydict({"part": [row["part"]] * k, "block": [row["block"]] * k, "doc_id": docs, "inside": np.cumsum(sizes) - sizes, "n_tokens": sizes, "ids": ids}, schema=schema)
+            last = list(map(zlib.crc32, ids) if digests else ids)
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([row["part"]] * k, [row["block"]] * k, docs, np.cumsum(sizes) - sizes, sizes, last), arrow, strict=True)], schema=arrow)
 
-    return file.mapInArrow(run, "part int, block int, doc_id long, inside long, n_tokens long, ids binary")
+    return file.mapInArrow(tidy(run), schema)
 
 
 def block_starts(file: DataFrame) -> DataFrame:
@@ -242,7 +248,7 @@ def block_starts(file: DataFrame) -> DataFrame:
             total = [int(np.frombuffer(s, "<i8").sum()) for s in part.column("sizes").to_pylist()]
             yield pa.RecordBatch.from_pydict({"part": part.column("part"), "block": part.column("block"), "ids": total}, schema=arrow_schema("part int, block int, ids long"))
 
-    sizes = file.select("part", "block", "sizes").mapInArrow(run, "part int, block int, ids long")
+    sizes = file.select("part", "block", "sizes").mapInArrow(tidy(run), "part int, block int, ids long")
     inside = F.sum("ids").over(_window("part", "block")) - F.col("ids")
     totals = sizes.groupBy("part").agg(F.sum("ids").alias("ids")).orderBy("part").collect()  # one row a partition
     before, rows = 0, []
@@ -271,11 +277,5 @@ def write_and_read(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> Dat
         lengths = code_lengths(global_counts(tokens))
         file = materialize(encode_file(tokens, lengths), "token-file", keep=True)
 
-    def make():
-        def apply(part):
-            return {c: part.column(c) for c in ("part", "block", "doc_id", "inside", "n_tokens")} | {"ids_crc32": [zlib.crc32(x) for x in part.column("ids").to_pylist()]}
-
-        return apply
-
-    read = map_slices(decode_file(file, lengths), make, "part int, block int, doc_id long, inside long, n_tokens long, ids_crc32 long")
+    read = decode_file(file, lengths, digests=True)
     return read.join(block_starts(file), ["part", "block"]).select("doc_id", (F.col("block_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")

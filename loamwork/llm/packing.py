@@ -14,8 +14,8 @@ import numpy as np
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from loamwork.llm.common import check_columns, map_slices, texts_of
-from loamwork.llm.tokenize import TOGETHER, BlankMemo, LibraryEncoder, kept
+from loamwork.llm.common import check_columns, kept, map_slices, texts_of
+from loamwork.llm.tokenize import TOGETHER, BlankMemo, LibraryEncoder
 
 CAPACITY = 2048
 OPEN_BINS = 1024
@@ -65,11 +65,15 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, open_bi
     Only longer documents are cut, into pieces of capacity ids. A null or empty text is
     one piece that holds end_id alone. Repeated rows are packed once each; other columns
     are ignored; an empty table gives no rows. Sequence ids number bins within a task.
+    The pieces of up to TOGETHER documents at a time are placed longest first, of equal
+    ones in the order they came; of bins that fit equally well the last one used is taken.
     """
     check_columns(docs, "doc_id", "text")
 
+    key = ("blank", tokenizer_path, encoder)
+
     def make():
-        memo = kept(("blank", tokenizer_path, encoder), lambda: BlankMemo(encoder(tokenizer_path)))
+        memo = kept(key, lambda: BlankMemo(encoder(tokenizer_path)))
         bins = BestFit(capacity, open_bins, TaskContext.get().partitionId() << 40)
         end = np.uint32(end_id).tobytes()
         width = 4 * capacity
@@ -88,4 +92,4 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, open_bi
 
         return apply
 
-    return map_slices(docs.select("doc_id", "text"), make, SCHEMA, TOGETHER)
+    return map_slices(docs.select("doc_id", "text"), make, SCHEMA, TOGETHER, key)

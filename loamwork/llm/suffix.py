@@ -19,10 +19,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import append_columns, arrow_schema, check_columns, materialize, scratch, slices, texts_of
+from loamwork.llm.common import append_columns, arrow_schema, check_columns, fresh, materialize, scratch, slices, texts_of, tidy
 
 LENGTH = 400
-GRAM = 64
+#: Bytes of an anchor. The longer, the fewer strings share an anchor without being equal, but the more anchors there are.
+GRAM = 128
 #: Bytes that are hashed together.
 BLOCK = 1 << 18
 #: Contexts of an anchor that one suffix array takes; beyond it the anchor is split.
@@ -35,10 +36,14 @@ SORT_BYTES = 1 << 18
 PLACES = 400_000
 _POSITION = 20
 _MIX = np.uint64(0xBF58476D1CE4E5B9)
-_ANCHORS = "key long, digest binary, doc_id long, start long, owned int, inside int"
-_CONTEXTS = "key long, digest binary, doc_id long, start long, owned int, inside int, context binary"
-_SPANS = "doc_id long, start long, stop long"
-_RUNS = "doc_id long, _spans array<struct<start:long,stop:long>>"
+#: A row of documents is known by its doc_id and a hash of its text, so rows that repeat an id with other texts stay apart.
+_ROW = ["doc_id", "h"]
+#: place holds start, owned and inside in one number: the bits of the last two.
+_OWNED, _INSIDE = 16, 16
+_ANCHORS = "key long, digest long, doc_id long, h long, place long"
+_CONTEXTS = "key long, digest long, doc_id long, h long, start long, owned int, inside int, m long, context binary"
+_SPANS = "doc_id long, h long, start long, stop long"
+_RUNS = "doc_id long, h long, spans array<struct<start:long,stop:long>>"
 
 
 def owners(raw: bytes, bounds: list[tuple[int, int]], length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
@@ -68,44 +73,60 @@ def owners(raw: bytes, bounds: list[tuple[int, int]], length: int = LENGTH, gram
     return first, last, anchor, h[anchor].view(np.int64)
 
 
-def _digest(inside: int, context: bytes) -> bytes:
-    return hashlib.blake2b(context, digest_size=16, salt=inside.to_bytes(8, "little")).digest()
+def _digest(inside: int, context: bytes) -> int:
+    """64 bits of a context; with its anchor's 64 they tell classes apart."""
+    return int.from_bytes(hashlib.blake2b(context, digest_size=8, salt=inside.to_bytes(8, "little")).digest(), "little", signed=True)
 
 
-def _pieces(docs: list[tuple[int, bytes]], length: int) -> Iterator[tuple[bytes, list[tuple[int, int, int, int]]]]:
-    """Blocks of bytes with (begin, end, doc, place in doc); long texts are cut with an overlap that loses no string."""
+def _pieces(docs: list[tuple], length: int) -> Iterator[tuple[bytes, list[tuple]]]:
+    """Blocks of bytes with (begin, end, place in doc, doc_id, h); long texts are cut with an overlap that loses no string."""
     held, parts, size = [], [], 0
-    for doc, raw in docs:
+    for raw, *row in docs:
         for at in range(0, max(1, len(raw) - length + 1), BLOCK):
             piece = raw[at : at + BLOCK + length - 1]
             if size + len(piece) > 2 * BLOCK and parts:
                 yield b"".join(parts), held
                 held, parts, size = [], [], 0
-            held.append((size, size + len(piece), doc, at))
+            held.append((size, size + len(piece), at, *row))
             parts.append(piece)
             size += len(piece)
     if parts:
         yield b"".join(parts), held
 
 
+def _named(docs: DataFrame, keep: bool = False) -> DataFrame:
+    """doc_id, h and text of the rows that have a doc_id and a text of LENGTH or more bytes; with keep, of all rows."""
+    out = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    return out if keep else out.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull())
+
+
 def anchors(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """key, digest, doc_id, start, owned and inside (the anchor's place) of every context."""
+    """key, digest, row and place (start, owned and inside, the anchor's place) of every context."""
+    if not GRAM <= length < 1 << _OWNED:
+        raise ValueError(f"strings have {GRAM} to {(1 << _OWNED) - 1} bytes, not {length}")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(_ANCHORS)
         for part in slices(batches):
-            texts = [(d, t.encode()) for d, t in zip(part.column("doc_id").to_pylist(), texts_of(part), strict=True) if d is not None]
-            for raw, held in _pieces(texts, length):
-                first, last, anchor, key = owners(raw, [(a, b) for a, b, _, _ in held], length)
+            texts = ((t.encode(), d, h) for d, h, t in zip(*(part.column(c).to_pylist() for c in (*_ROW, "text")), strict=True))
+            for raw, held in _pieces([x for x in texts if len(x[0]) >= length], length):
+                first, last, anchor, key = owners(raw, [x[:2] for x in held], length)
                 if not len(first):
                     continue
-                begin = np.array([a for a, _, _, _ in held])
+                begin, _, place, doc, h = (np.array(c, np.int64) for c in zip(*held, strict=True))
                 which = np.searchsorted(begin, first, "right") - 1
-                doc, place = np.array([d for _, _, d, _ in held]), np.array([p for _, _, _, p in held])
-                digests = [_digest(c - a, raw[a : b + length]) for a, b, c in zip(first.tolist(), last.tolist(), anchor.tolist(), strict=True)]
-                yield pa.RecordBatch.from_pydict({"key": key, "digest": digests, "doc_id": doc[which], "start": first - begin[which] + place[which], "owned": (last - first + 1).astype(np.int32), "inside": (anchor - first).astype(np.int32)}, schema=schema)
+                digests = np.fromiter((_digest(c - a, raw[a : b + length]) for a, b, c in zip(first.tolist(), last.tolist(), anchor.tolist(), strict=True)), np.int64, len(first))
+                start = first - begin[which] + place[which]
+                yield pa.RecordBatch.from_pydict({"key": key, "digest": digests, "doc_id": doc[which], "h": h[which], "place": ((start << _OWNED) + last - first + 1 << _INSIDE) + anchor - first}, schema=schema)
+
+    return _named(docs).mapInArrow(tidy(run), _ANCHORS)
 
-    return docs.select("doc_id", "text").mapInArrow(run, _ANCHORS)
+
+def _placed(df: DataFrame) -> DataFrame:
+    """df with start, owned and inside in the place of place."""
+    p = F.col("place")
+    parts = [F.shiftright(p, _OWNED + _INSIDE).alias("start"), F.shiftright(p, _INSIDE).bitwiseAND((1 << _OWNED) - 1).cast("int").alias("owned"), p.bitwiseAND((1 << _INSIDE) - 1).cast("int").alias("inside")]
+    return df.select(*(c for c in df.columns if c != "place"), *parts)
 
 
 def suffix_order(contexts: list[bytes], length: int = LENGTH) -> list[tuple[int, int]]:
@@ -189,50 +210,51 @@ def _sorted_spans(contexts: DataFrame, length: int) -> DataFrame:
     """Repeated spans of contexts that come sorted by key; contexts of a key stay in one suffix array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        held: list[tuple] = []
         size, last = 0, None
 
         def flush() -> pa.RecordBatch:
-            rows = [(doc, start + a, start + b) for (doc, start, _), found in zip(held, repeated_starts([c for _, _, c in held], length), strict=True) for a, b in _spans(found, length)]
-            return pa.RecordBatch.from_pydict({k: [r[i] for r in rows] for i, k in enumerate(("doc_id", "start", "stop"))}, schema=arrow_schema(_SPANS))
+            rows = [(doc, h, start + a, start + b) for (doc, h, start, _), found in zip(held, repeated_starts([x[-1] for x in held], length), strict=True) for a, b in _spans(found, length)]
+            schema = arrow_schema(_SPANS)
+            return pa.RecordBatch.from_pydict({k: [r[i] for r in rows] for i, k in enumerate(schema.names)}, schema=schema)
 
         for part in slices(batches):
-            for key, doc, start, context in zip(*(part.column(c).to_pylist() for c in ("key", "doc_id", "start", "context")), strict=True):
+            for key, *row in zip(*(part.column(c).to_pylist() for c in ("key", "doc_id", "h", "start", "context")), strict=True):
                 if size >= SORT_BYTES and key != last:
                     yield flush()
                     held, size = [], 0
-                held.append((doc, start, context))
-                size += len(context)
+                held.append(tuple(row))
+                size += len(row[-1])
                 last = key
         if held:
             yield flush()
 
-    return contexts.select("key", "doc_id", "start", "context").repartition("key").sortWithinPartitions("key").mapInArrow(run, _SPANS)
+    return contexts.select("key", "doc_id", "h", "start", "context").repartition("key").sortWithinPartitions("key").mapInArrow(tidy(run), _SPANS)
 
 
 def _with_text(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """wanted (a part of the anchors table) with the contexts' bytes; texts meet their contexts by doc_id."""
-    by_doc = wanted.groupBy("doc_id").agg(F.collect_list(F.struct("key", "digest", "start", "owned", "inside")).alias("places"))
+    """wanted (classes with m) with the contexts' bytes; texts meet their contexts by row."""
+    by_row = wanted.groupBy(*_ROW).agg(F.collect_list(F.struct("key", "digest", "start", "owned", "inside", "m")).alias("places"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = arrow_schema(_CONTEXTS)
         for part in slices(batches, 64):
             out: dict[str, list] = {c: [] for c in schema.names}
-            for doc, text, places in zip(part.column("doc_id").to_pylist(), texts_of(part), part.column("places").to_pylist(), strict=True):
+            for doc, h, text, places in zip(*(part.column(c).to_pylist() for c in (*_ROW, "text", "places")), strict=True):
                 raw = text.encode()
                 for x in places:
-                    context = raw[x["start"] : x["start"] + x["owned"] + length - 1]
-                    for c, v in zip(schema.names, (x["key"], x["digest"], doc, x["start"], x["owned"], x["inside"], context), strict=True):
-                        out[c].append(v)
+                    x |= {"doc_id": doc, "h": h, "context": raw[x["start"] : x["start"] + x["owned"] + length - 1]}
+                    for c in schema.names:
+                        out[c].append(x[c])
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    return _beside(docs.select("doc_id", "text"), materialize(by_doc, "places"), "places", "inner").mapInArrow(run, _CONTEXTS)
+    return _beside(_named(docs), materialize(by_row, "places"), "places", "inner").mapInArrow(tidy(run), _CONTEXTS)
 
 
 def _beside(docs: DataFrame, lists: DataFrame, column: str, how: str) -> DataFrame:
-    """docs joined with a table of lists by doc_id; lists are broadcast only if their entries are counted to be few."""
+    """docs (with _ROW) joined with a table of lists by row; lists are broadcast only if their entries are counted to be few."""
     entries = lists.agg(F.sum(F.size(column))).first()[0] or 0
-    return docs.join(F.broadcast(lists) if entries <= PLACES else lists, "doc_id", how)
+    return docs.join(F.broadcast(lists) if entries <= PLACES else lists, _ROW, how)
 
 
 def _split(contexts: DataFrame, most: int, length: int) -> DataFrame:
@@ -251,66 +273,63 @@ def _split(contexts: DataFrame, most: int, length: int) -> DataFrame:
                     # all strings of this cell, whole or not, share the bytes from its last start to its first string's end
                     tail = x["context"][at + distance % most : at + length - (most - 1 - distance % most)]
                     core = hashlib.blake2b(tail + x["key"].to_bytes(8, "little", signed=True) + (distance // most).to_bytes(8, "little", signed=True), digest_size=8).digest()
-                    row = (int.from_bytes(core, "little", signed=True), _digest(distance + (1 << 32), context), x["doc_id"], x["start"] + at, n, distance, context)
+                    row = (int.from_bytes(core, "little", signed=True), _digest(distance + (1 << 32), context), x["doc_id"], x["h"], x["start"] + at, n, distance, None, context)
                     for c, v in zip(schema.names, row, strict=True):
                         out[c].append(v)
                     at += n
             yield pa.RecordBatch.from_pydict(out, schema=schema)
 
-    return contexts.mapInArrow(run, _CONTEXTS)
+    return contexts.mapInArrow(tidy(run), _CONTEXTS)
 
 
-def _classes(contexts: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(classes of equal contexts with their number n, keys that have a single context beside others, with m classes)."""
-    first = F.min(F.struct("doc_id", "start", "owned", "inside")).alias("at")
-    classes = materialize(contexts.groupBy("key", "digest").agg(F.count("*").alias("n"), first).select("key", "digest", "n", "at.*"), "classes")
+def _classes(contexts: DataFrame, *columns: str) -> tuple[DataFrame, DataFrame]:
+    """(classes of equal contexts with their number n and the columns of one of them, those whose key has a single context beside others, with m classes).
+
+    first() of each column takes them from one row, and hashes in place of sorting; the table fixes the choice.
+    """
+    classes = materialize(contexts.groupBy("key", "digest").agg(F.count("*").alias("n"), *(F.first(c).alias(c) for c in columns)), "classes")
     keys = classes.groupBy("key").agg(F.count("*").alias("m"), F.min("n").alias("least")).where("m > 1 and least = 1").select("key", "m")
-    return classes, keys
+    return classes, classes.drop("n").join(keys, "key")
 
 
 def _covered(contexts: DataFrame, classes: DataFrame, length: int) -> DataFrame:
-    often = classes.where("n > 1").select("digest")
-    return contexts.join(often, "digest").select("doc_id", "start", (F.col("start") + F.col("owned") + (length - 1)).alias("stop"))
+    often = classes.where("n > 1").select("key", "digest")
+    return contexts.join(often, ["key", "digest"]).select(*_ROW, "start", (F.col("start") + F.col("owned") + (length - 1)).alias("stop"))
 
 
 def repeated_spans(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """doc_id and _spans, the maximal runs of bytes that repeated strings cover."""
+    """doc_id, h and spans, the maximal runs of bytes that repeated strings cover in the rows with that doc_id and text hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         for part in slices(batches):
             runs = [[{"start": a, "stop": b} for a, b in merged(x)] for x in part.column("s").to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(runs, kind)], names=["doc_id", "_spans"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("h"), pa.array(runs, kind)], names=[*_ROW, "spans"])
 
     with scratch(docs.sparkSession):
-        spans = _repeated_spans(docs, length, hot).groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("s"))
-        return materialize(spans.mapInArrow(run, _RUNS), "spans", keep=True)
+        spans = _repeated_spans(docs, length, hot).groupBy(*_ROW).agg(F.collect_list(F.struct("start", "stop")).alias("s"))
+        return materialize(spans.mapInArrow(tidy(run), _RUNS), "spans", keep=True)
 
 
 def _repeated_spans(docs: DataFrame, length: int, hot: int) -> DataFrame:
     found = materialize(anchors(docs, length), "anchors")
-    classes, keys = _classes(found)
-    spans = _covered(found, classes, length)
-    contexts = materialize(_with_text(docs, classes.join(keys, "key").select("key", "digest", "doc_id", "start", "owned", "inside"), length), "contexts")
-    sized = contexts.join(keys, "key")
-    spans = spans.union(_sorted_spans(sized.where(F.col("m") <= hot), length))
-    rest = sized.where(F.col("m") > hot).select(contexts.columns)
+    classes, wanted = _classes(found, *_ROW, "place")
+    spans = _covered(_placed(found), classes, length)
+    contexts = materialize(_with_text(docs, _placed(wanted), length), "contexts")
+    spans = spans.union(_sorted_spans(contexts.where(F.col("m") <= hot), length))
+    rest = contexts.where(F.col("m") > hot)
     for most in SPLITS:
         if not rest.limit(1).count():
             break
-        parts = materialize(_split(rest, most, length), "parts")
-        classes, keys = _classes(parts)
+        parts = materialize(_split(rest, most, length), "parts").drop("m")
+        classes, wanted = _classes(parts, *_ROW, "start")
         spans = spans.union(_covered(parts, classes, length))
-        sized = parts.join(classes.select("key", "digest", "doc_id", "start"), ["key", "digest", "doc_id", "start"]).join(keys, "key")
+        sized = parts.join(wanted, ["key", "digest", *_ROW, "start"])
         spans = spans.union(_sorted_spans(sized.where(F.col("m") <= hot), length))
-        rest = sized.where(F.col("m") > hot).select(parts.columns)
+        rest = sized.where(F.col("m") > hot).select(contexts.columns)
     return spans
 
 
-def _with_spans(docs: DataFrame, length: int, hot: int) -> DataFrame:
-    return _beside(docs.drop("_spans"), repeated_spans(docs, length, hot), "_spans", "left")
-
-
 def merged(spans: list[dict] | None) -> list[tuple[int, int]]:
     """Maximal runs of spans; touching spans are one run."""
     out: list[list[int]] = []
@@ -331,41 +350,50 @@ def _kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
 
 
 def removal(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every document.
+    """doc_id, n_bytes, n_removed, n_spans and kept_sha256 of every row.
 
     A text shorter than length loses nothing; null counts as empty. Equal rows repeat
-    each other, so they lose all their strings; rows that share a doc_id must share
-    their text. A row without a doc_id stays whole. Other columns are ignored; an empty table gives no rows.
+    each other, so they lose all their strings; rows that share a doc_id with other texts
+    are judged apart, each by its own text. A row without a doc_id stays whole and
+    repeats nothing. Other columns are ignored; an empty table gives no rows. Texts may be
+    as long as a cell can hold (2**31 bytes).
     """
     check_columns(docs, "doc_id", "text")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        arrow = arrow_schema(schema)
         for part in slices(batches):
             out = []
-            for doc, text, spans in zip(part.column("doc_id").to_pylist(), texts_of(part), part.column("_spans").to_pylist(), strict=True):
+            for doc, text, spans in zip(part.column("doc_id").to_pylist(), texts_of(part), part.column("spans").to_pylist(), strict=True):
                 raw, runs = text.encode(), merged(spans)
                 out.append((doc, len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(_kept(raw, runs)).hexdigest()))
-            names = [c.split()[0] for c in schema.split(", ")]
-            yield pa.RecordBatch.from_pydict(dict(zip(names, zip(*out, strict=True), strict=True)) if out else {n: [] for n in names}, schema=arrow_schema(schema))
+            yield pa.RecordBatch.from_pydict({n: [r[i] for r in out] for i, n in enumerate(arrow.names)}, schema=arrow)
 
-    return _with_spans(docs.select("doc_id", "text"), length, hot).mapInArrow(run, schema)
+    return _beside(_named(docs, keep=True), repeated_spans(docs, length, hot), "spans", "left").mapInArrow(tidy(run), schema)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """docs with repeated bytes taken out of text; characters that lose a byte go whole.
 
-    Texts that lose nothing, null ones among them, stay as they are; other columns too.
+    Texts that lose nothing, null ones among them, stay as they are; so do all other
+    columns, whatever their names.
     """
+    check_columns(docs, "doc_id", "text")
+    h, runs_of = fresh(docs, "text_hash"), fresh(docs, "text_spans")
+    found = repeated_spans(docs, length, hot).select(F.col("doc_id").alias(f"{h}_id"), F.col("h").alias(f"{h}_of"), F.col("spans").alias(runs_of))
+    entries = found.agg(F.sum(F.size(runs_of))).first()[0] or 0
+    hashed = docs.withColumn(h, F.xxhash64("text"))
+    both = hashed.join(F.broadcast(found) if entries <= PLACES else found, (hashed["doc_id"] == found[f"{h}_id"]) & (hashed[h] == found[f"{h}_of"]), "left")
 
     def make():
         def apply(part):
             out = []
-            for text, spans in zip(part.column("text").to_pylist(), part.column("_spans").to_pylist(), strict=True):
+            for text, spans in zip(part.column("text").to_pylist(), part.column(runs_of).to_pylist(), strict=True):
                 runs = merged(spans) if text else []
                 out.append(_kept(text.encode(), runs).decode("utf-8", "ignore") if runs else text)
             return {"text": out}
 
         return apply
 
-    return append_columns(_with_spans(docs, length, hot), make, "", ("text",)).select(*(c for c in docs.columns if c != "_spans"))
+    return append_columns(both.select(*docs.columns, runs_of), make, "", ("text",)).select(*docs.columns)
