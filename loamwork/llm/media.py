@@ -1,9 +1,10 @@
 """Media columns: content-addressed payloads in tar shards.
 
-A task collects payloads into tar shards of bounded size. Each shard is one row: the tar
-itself, and for every document the digest, offset and length of its payload. Equal
-payloads of a shard are stored once. Readers get metadata from ranges that hold only
-headers, and whole payloads only for features; nothing is shuffled.
+A payload's address is the SHA-256 of its bytes. One row of each address writes the
+payload, as a lossless 8-bit grey image, into a tar shard: a plain file in the shared
+folder, appended to while its task runs. Rows carry digest, shard, offset and length.
+Readers fetch byte ranges of the shards: headers alone for the metadata columns, whole
+members only for features. Only digests and ids are shuffled, never payloads.
 """
 
 from __future__ import annotations
@@ -11,44 +12,69 @@ from __future__ import annotations
 import hashlib
 import struct
 import tarfile
+import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from loamwork.llm.common import arrow_schema, check_columns, materialize, slices, texts_of
+from loamwork.llm.common import arrow_schema, check_columns, few, keep_until_cleanup, materialize, scratch, shared_dir, slices, texts_of, tidy
 
-#: Payloads are padded with bytes 255 to a positive multiple of this.
+#: Payloads are padded with bytes 255 to a positive multiple of this, which is also an image's width.
 UNIT = 576
-SHARD_BYTES = 4 << 20
-SAMPLE_RATE = 8000
-#: Fixed value: bytes of a WAV header with one data chunk.
-HEADER = 44
-SHARDS = "shard long, tar binary, doc_ids binary, n_bytes binary, offsets binary, lengths binary, digests binary"
-METADATA = "doc_id long, digest string, shard long, offset long, length long, n_bytes long, sample_rate int, channels int, sample_bits int, n_samples long"
-FEATURES = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+#: A shard closes at the first member end beyond so many bytes.
+SHARD_BYTES = 256 << 20
+# Fixed values of the PNG format: signature, bytes up to the header chunk's end, grey samples without interlacing.
+SIGNATURE, HEADER, GREY = b"\x89PNG\r\n\x1a\n", 33, (0, 0, 0, 0)
+PLACES = "digest binary, shard string, offset long, length long"
+METADATA = "digest binary, shard string, offset long, length long, width int, height int, sample_bits int, n_samples long"
+FEATURES = "digest binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+COLUMNS = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "shard", "media_offset", "width", "height", "sample_bits", "n_samples"]
+
+
+def payload(text: str) -> bytes:
+    """The text's padded bytes."""
+    raw = text.encode()
+    return raw + b"\xff" * (max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw))
 
 
-def payload(text: str) -> tuple[bytes, int]:
-    """(the text's padded bytes, its own number of bytes)."""
-    raw = text.encode()
-    return raw + b"\xff" * (max(UNIT, -(-len(raw) // UNIT) * UNIT) - len(raw)), len(raw)
+def _chunk(kind: bytes, data: bytes) -> bytes:
+    return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
 
 
-def wav(samples: bytes) -> bytes:
-    """8-bit mono PCM."""
-    return struct.pack("<4sI4s4sIHHIIHH4sI", b"RIFF", 36 + len(samples), b"WAVE", b"fmt ", 16, 1, 1, SAMPLE_RATE, SAMPLE_RATE, 1, 8, b"data", len(samples)) + samples
+def image(samples: bytes) -> bytes:
+    """A grey PNG of UNIT samples a line, none of them filtered."""
+    height = len(samples) // UNIT
+    lines = np.zeros((height, UNIT + 1), np.uint8)
+    lines[:, 1:] = np.frombuffer(samples, np.uint8).reshape(height, UNIT)
+    return SIGNATURE + _chunk(b"IHDR", struct.pack(">II5B", UNIT, height, 8, *GREY)) + _chunk(b"IDAT", zlib.compress(lines.tobytes(), 5)) + _chunk(b"IEND", b"")
 
 
 def header(raw: bytes) -> dict[str, int]:
-    """Metadata from the first HEADER bytes of a WAV."""
-    riff, _, wave, _, _, kind, channels, rate, _, _, depth, data, size = struct.unpack("<4sI4s4sIHHIIHH4sI", raw[:HEADER])
-    if (riff, wave, kind, data) != (b"RIFF", b"WAVE", 1, b"data"):
-        raise ValueError("not a PCM WAV")
-    return {"sample_rate": rate, "channels": channels, "sample_bits": depth, "n_samples": size // (channels * depth // 8)}
+    """Metadata from the first HEADER bytes of an image."""
+    size, kind, width, height, depth, *form = struct.unpack(">I4sII5B", raw[8:29])
+    if raw[:8] != SIGNATURE or (size, kind) != (13, b"IHDR") or tuple(form) != GREY or zlib.crc32(raw[12:29]) != int.from_bytes(raw[29:HEADER], "big"):
+        raise ValueError("not a grey PNG")
+    return {"width": width, "height": height, "sample_bits": depth, "n_samples": width * height}
+
+
+def samples_of(raw: bytes) -> bytes:
+    """The samples of an image() as they were."""
+    about, at, packed = header(raw[:HEADER]), HEADER, []
+    while at < len(raw):
+        size, kind = struct.unpack_from(">I4s", raw, at)
+        if kind == b"IDAT":
+            packed.append(raw[at + 8 : at + 8 + size])
+        at += size + 12
+    lines = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(about["height"], about["width"] + 1)
+    if lines[:, 0].any():
+        raise ValueError("a line is filtered")
+    return lines[:, 1:].tobytes()
 
 
 def feature(samples: np.ndarray) -> str:
@@ -59,101 +85,146 @@ def feature(samples: np.ndarray) -> str:
     return f"mean={int(x.sum()) * 1000 // len(x)};power={int((x * x).sum()) // len(x)};crossings={crossings};envelope={envelope.astype(np.uint8).tobytes().hex()}"
 
 
+def open_folder(folder: str) -> tuple[fs.FileSystem, str]:
+    """The file system and path of a shared folder: a URI that Arrow knows (file, hdfs, s3, ...) or a plain path."""
+    if folder.startswith("file:/"):
+        folder = "/" + folder[5:].lstrip("/")
+    return fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+
+
 class Shard:
-    """A tar that grows in memory, and the rows that point into it."""
-
-    def __init__(self):
-        self.parts: list[bytes] = []
-        self.size, self.place = 0, {}
-        self.rows: list[tuple[int, int, int, int, bytes]] = []
-
-    def add(self, doc_id: int, samples: bytes, n_bytes: int) -> None:
-        digest = hashlib.sha256(samples).digest()
-        if digest not in self.place:
-            media = wav(samples)
-            info = tarfile.TarInfo(f"{digest.hex()}.wav")
-            info.size = len(media)
-            head, pad = info.tobuf(tarfile.USTAR_FORMAT), bytes(-len(media) % 512)
-            self.place[digest] = (self.size + len(head), len(media))
-            self.parts += [head, media, pad]
-            self.size += len(head) + len(media) + len(pad)
-        self.rows.append((doc_id, n_bytes, *self.place[digest], digest))
-
-    def batch(self, number: int) -> pa.RecordBatch:
-        doc, n, offset, length, digest = zip(*self.rows, strict=True)
-        cells = [np.array(x, "<i8").tobytes() for x in (doc, n, offset, length)]
-        row = [number, b"".join([*self.parts, bytes(1024)]), *cells, b"".join(digest)]
-        schema = arrow_schema(SHARDS)
-        return pa.RecordBatch.from_pydict({c: [v] for c, v in zip(schema.names, row, strict=True)}, schema=schema)
-
-
-def write_shards(docs: DataFrame, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """A table of tar shards with the payloads of all documents that have a doc_id."""
+    """A tar file that grows member by member; memory holds one member."""
+
+    def __init__(self, folder: str, name: str):
+        system, path = open_folder(folder)
+        self.name, self.size, self.stream = name, 0, system.open_output_stream(f"{path}/{name}")
+
+    def add(self, digest: bytes, media: bytes) -> int:
+        """Appends a member; returns the offset of its content."""
+        info = tarfile.TarInfo(f"{digest.hex()}.png")
+        info.size = len(media)
+        head = info.tobuf(tarfile.GNU_FORMAT)
+        for part in (head, media, bytes(-len(media) % 512)):
+            self.stream.write(part)
+        at = self.size + len(head)
+        self.size = at + -(-len(media) // 512) * 512
+        return at
+
+    def close(self) -> None:
+        self.stream.write(bytes(1024))
+        self.stream.close()
+
+
+def named(docs: DataFrame) -> DataFrame:
+    """doc_id, text, n_bytes and digest (of the payload) of the rows that have a doc_id; the JVM makes them."""
+    raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    n = F.octet_length(F.coalesce(F.col("text"), F.lit("")))
+    pad = F.greatest(F.lit(UNIT), F.ceil(n / UNIT) * UNIT) - n
+    whole = F.concat(raw, F.unhex(F.repeat(F.lit("FF"), pad.cast("int"))))
+    return docs.where("doc_id is not null").select("doc_id", "text", n.cast("long").alias("n_bytes"), F.unhex(F.sha2(whole, 256)).alias("digest"))
+
+
+def write_shards(docs: DataFrame, folder: str, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """digest, shard, offset and length of every payload, stored once each in tar files of folder.
+
+    Of the rows with a digest, those with the smallest doc_id write it, and a task writes a
+    digest once; which other documents share it is known by ids and digests alone. A
+    task's attempts write files of their own, and the table has the rows of those that
+    ended well.
+    """
     check_columns(docs, "doc_id", "text")
+    rows = named(docs)
+    ids = rows.select("doc_id", "digest")
+    first = ids.groupBy("digest").agg(F.min("doc_id").alias("first"))
+    copies = materialize(ids.join(first, "digest").where("doc_id <> first").select("doc_id", "digest").distinct(), "copies")
+    writers = rows.join(F.broadcast(copies) if few(copies) else copies, ["doc_id", "digest"], "left_anti").select("digest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, shard = TaskContext.get().partitionId() << 32, Shard()
+        task, number, shard = TaskContext.get(), 0, None
+        schema = arrow_schema(PLACES)
+        written: set[bytes] = set()
         for part in slices(batches):
-            for doc, text in zip(part.column("doc_id").to_pylist(), texts_of(part), strict=True):
-                shard.add(doc, *payload(text))
+            out: list[tuple] = []
+            for digest, text in zip(part.column("digest").to_pylist(), texts_of(part), strict=True):
+                if digest in written:
+                    continue
+                written.add(digest)
+                if shard is None:
+                    shard = Shard(folder, f"shard-{task.partitionId():06d}-{task.taskAttemptId()}-{number}.tar")
+                media = image(payload(text))
+                out.append((digest, shard.name, shard.add(digest, media), len(media)))
                 if shard.size >= shard_bytes:
-                    yield shard.batch(number)
-                    number, shard = number + 1, Shard()
-        if shard.rows:
-            yield shard.batch(number)
+                    shard.close()
+                    number, shard = number + 1, None
+            yield pa.RecordBatch.from_pydict({c: [r[i] for r in out] for i, c in enumerate(schema.names)}, schema=schema)
+        if shard:
+            shard.close()
+
+    places = materialize(writers.mapInArrow(tidy(run), PLACES), "places")
+    # rows that repeat an id with one text may have been written by several tasks: one place stands
+    return places.groupBy("digest").agg(F.min(F.struct("shard", "offset", "length")).alias("at")).select("digest", "at.*")
+
 
-    return materialize(docs.select("doc_id", "text").where("doc_id is not null").mapInArrow(run, SHARDS), "media-shards")
+def _ranges(folder: str) -> Callable[[str, int, int], bytes]:
+    """A reader of byte ranges of shards; it holds one shard open."""
+    system, path = open_folder(folder)
+    held: list = [None, None]
 
+    def read(shard: str, offset: int, length: int) -> bytes:
+        if held[0] != shard:
+            held[:] = shard, system.open_input_file(f"{path}/{shard}")
+        return held[1].read_at(length, offset)
 
-def _rows(row: dict) -> Iterator[tuple[int, int, int, int, str]]:
-    cells = [np.frombuffer(row[c], "<i8").tolist() for c in ("doc_ids", "n_bytes", "offsets", "lengths")]
-    digests = row["digests"].hex()
-    for i, values in enumerate(zip(*cells, strict=True)):
-        yield *values, digests[64 * i : 64 * i + 64]
+    return read
 
 
-def metadata(shards: DataFrame) -> DataFrame:
-    """digest, offset, length and header fields of every document; reads HEADER bytes a payload."""
+def _read(places: DataFrame, folder: str, make: Callable[[Callable, dict], dict], schema: str) -> DataFrame:
+    """make(read, row) for every place."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema(METADATA)
-        for part in slices(batches, 1):
-            row = part.to_pylist()[0]
-            out = [{"doc_id": doc, "digest": digest, "shard": row["shard"], "offset": at, "length": length, "n_bytes": n} | header(row["tar"][at : at + HEADER]) for doc, n, at, length, digest in _rows(row)]
-            yield pa.RecordBatch.from_pylist(out, schema=schema)
+        arrow, read = arrow_schema(schema), _ranges(folder)
+        for part in slices(batches):
+            yield pa.RecordBatch.from_pylist([make(read, row) for row in part.to_pylist()], schema=arrow)
 
-    return shards.mapInArrow(run, METADATA)
+    return places.mapInArrow(tidy(run), schema)
 
 
-def features(shards: DataFrame) -> DataFrame:
-    """What the stored bytes hold, for every document; each stored payload is read once."""
+def metadata(places: DataFrame, folder: str) -> DataFrame:
+    """places with the header fields; of each payload HEADER bytes are read."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        schema = arrow_schema(FEATURES)
-        for part in slices(batches, 1):
-            row, known, out = part.to_pylist()[0], {}, []
-            tar = memoryview(row["tar"])
-            for doc, n, at, length, digest in _rows(row):
-                if at not in known:
-                    media = tar[at : at + length]
-                    if header(bytes(media[:HEADER]))["n_samples"] != length - HEADER:
-                        raise ValueError(f"shard {row['shard']} is damaged at {at}")
-                    samples = media[HEADER:]
-                    found = hashlib.sha256(samples).hexdigest()
-                    if found != digest:
-                        raise ValueError(f"shard {row['shard']} holds other bytes than {digest}")
-                    known[at] = (len(samples), found, zlib.crc32(samples[-32:]), length, hashlib.sha256(media).hexdigest(), feature(np.frombuffer(samples, np.uint8)))
-                out.append((doc, n, *known[at]))
-            yield pa.RecordBatch.from_pydict(dict(zip(schema.names, zip(*out, strict=True), strict=True)), schema=schema)
-
-    return shards.mapInArrow(run, FEATURES)
+    def make(read, row):
+        return row | header(read(row["shard"], row["offset"], HEADER))
+
+    return _read(places, folder, make, METADATA)
+
+
+def features(places: DataFrame, folder: str) -> DataFrame:
+    """What the stored bytes hold, once for each payload."""
+
+    def make(read, row):
+        media = read(row["shard"], row["offset"], row["length"])
+        samples = samples_of(media)
+        found = hashlib.sha256(samples)
+        if found.digest() != row["digest"]:
+            raise ValueError(f"{row['shard']} holds other bytes than {row['digest'].hex()} at {row['offset']}")
+        return {"digest": row["digest"], "payload_bytes": len(samples), "payload_sha256": found.hexdigest(), "tail_crc32": zlib.crc32(samples[-32:]), "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": feature(np.frombuffer(samples, np.uint8))}
+
+    return _read(places, folder, make, FEATURES)
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
-    """Stores every text as media and returns what reading it back gives.
+    """Stores every text as media and returns what reading it back gives, with where it is and its header's fields.
 
-    Null and empty texts become one unit of bytes 255. Equal texts give equal values,
-    wherever they are stored; repeated rows point to one payload. Rows without a doc_id
-    are left out, other columns ignored. An empty table gives no shards and no rows.
+    Null and empty texts become one unit of bytes 255. Equal texts are stored once, so all
+    columns but doc_id are equal for them. Rows without a doc_id are left out, other
+    columns ignored. An empty table gives no shards and no rows.
     """
-    return features(write_shards(docs))
+    spark = docs.sparkSession
+    folder = f"{shared_dir(spark)}/media-{uuid.uuid4().hex}"
+    system, path = open_folder(folder)
+    system.create_dir(path)
+    keep_until_cleanup(folder)
+    with scratch(spark):
+        about = materialize(metadata(write_shards(docs, folder), folder), "media")
+        read = features(about.select("digest", "shard", "offset", "length"), folder).join(about.select("digest", "shard", F.col("offset").alias("media_offset"), "width", "height", "sample_bits", "n_samples"), "digest")
+        return materialize(named(docs).select("doc_id", "n_bytes", "digest").join(read, "digest").select(*COLUMNS), "media-columns", keep=True)
