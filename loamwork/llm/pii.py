@@ -18,8 +18,6 @@ from loamwork.llm.common import append_columns, check_columns, texts_of
 
 KINDS = ("email", "secret", "iban", "card", "phone", "ssn", "ip", "date")
 ROUNDS = 8
-#: A deployment passes its own key; this one serves tests and the registered query.
-KEY = b"loamwork-pseudonyms"
 _LOWER, _UPPER, _DIGIT, _HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
 _DAYS = datetime.date(2100, 1, 1).toordinal() - _FIRST_DAY
@@ -32,9 +30,12 @@ IBAN_LENGTHS = {
     "SC": 31, "SD": 18, "SE": 24, "SI": 19, "SK": 24, "SM": 27, "SO": 23, "ST": 25, "SV": 28, "TL": 23, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20, "YE": 30,
 }
 
-_AT_LEFT = re.compile(r"[\w.%+-]{1,64}$")
+#: Country calling codes of one and of two digits (ITU E.164); all others have three.
+SHORT_CODES = {"1", "7"} | set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+
+_MAIL_CHAR = re.compile(r"[\w.%+-]")
 _AT_RIGHT = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])")
-_SECRET = re.compile(r"(?i:\b(?:token|secret|key|password|passwd|api[_-]?key)\s*[=:]\s*[\"']?)([0-9a-f]{32,128}|[0-9A-F]{32,128})(?![0-9A-Za-z])")
+_SECRET = re.compile(r"(?i:\b(?:token|secret|key|password|passwd|api[_-]?key)\s*[=:]\s*[\"']?)([0-9a-f]{32,}(?![0-9A-Za-z])|[0-9A-F]{32,}(?![0-9A-Za-z])|[0-9A-Za-z_+/-]{16,}(?![0-9A-Za-z_+/-]))")
 _IBAN_START = re.compile(r"(?<![0-9A-Za-z])([A-Z]{2})[0-9]{2}(?= ?[0-9A-Z]{4})")
 #: An IBAN of each length: groups of four with or without blanks between them, and a rest.
 _IBAN = {n: re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){%d}%s(?![0-9A-Za-z])" % (n // 4 - 1, " ?[0-9A-Z]{%d}" % (n % 4) if n % 4 else "")) for n in set(IBAN_LENGTHS.values())}
@@ -47,7 +48,7 @@ _PHONES = (
     r"(?<![0-9][ .-])0[0-9]([ .-])[0-9]{2}(?:\1[0-9]{2}){3}(?![0-9A-Za-z]|[ .-][0-9])",
     r"(?:\+|(?<![0-9][ .-])00)[1-9][0-9]{0,2}(?:[ .-]?\([0-9]{1,4}\)[ .-]?|[ .-])[0-9]{1,8}(?:[ .-][0-9]{1,8}){0,6}(?![0-9A-Za-z])",
 )
-_LEAD = re.compile(r"(?:\+|00)[0-9]{1,3}(?=[ .(-])|1(?=[ .-]?\(|[ .-])|0(?=[0-9](?:[ .-][0-9]{2}){4}$)|\+")
+_PAIRS = re.compile(r"0[0-9](?:[ .-][0-9]{2}){4}$")
 _NUMBERS = (
     ("card", re.compile(r"(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4}|[0-9]{4}([ -])[0-9]{6}\2[0-9]{5})(?![0-9A-Za-z]|[.-][0-9])")),
     ("date", re.compile(r"(?:([0-9]{4})([-/.])([0-9]{1,2})\2([0-9]{1,2})|([0-9]{1,2})([-/.])([0-9]{1,2})\6([0-9]{4}))(?![0-9A-Za-z]|[./-][0-9])")),
@@ -160,12 +161,20 @@ def _ip(value: str, key: bytes) -> str | None:
 
 
 def _phone(value: str, key: bytes) -> str | None:
-    digits = sum(c.isdigit() for c in value)
-    if not 8 <= digits <= 15:
+    """The national digits are permuted, whatever stands between them; the calling code or trunk digit before them stays.
+
+    So a number keeps one pseudonym in all its forms: +1 (017) 555-7713, 1-017-555-7713 and (017) 555-7713.
+    """
+    digits = re.sub("[^0-9]", "", value)
+    if not 8 <= len(digits) <= 15:
         return None
-    lead = _LEAD.match(value)
-    at = lead.end() if lead else 0
-    return value[:at] + permute(value[at:], key, "phone", (_DIGIT,))
+    lead = 0
+    if value[0] == "+" or value.startswith("00"):
+        lead = 0 if value[0] == "+" else 2
+        lead += next((n for n in (1, 2) if digits[lead : lead + n] in SHORT_CODES), 3)
+    elif (digits[0] == "1" and len(digits) == 11) or _PAIRS.match(value):
+        lead = 1
+    return _spread(value, digits[:lead] + permute(digits[lead:], key, "phone", (_DIGIT,)))
 
 
 def _ssn(value: str, key: bytes) -> str | None:
@@ -180,14 +189,27 @@ def _ssn(value: str, key: bytes) -> str | None:
             return value
 
 
-def _email(value: str, key: bytes) -> str:
-    name, _, host = value.rpartition("@")
+def _cased(text: str, like: str) -> str:
+    """text with capitals where like has them."""
+    return "".join(c.upper() if o.isupper() else c for c, o in zip(text, like, strict=True))
+
+
+def _email(value: str, key: bytes) -> str | None:
+    """Mails that differ in letter case alone have pseudonyms that do so, too."""
+    low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+    name, _, host = low.rpartition("@")
     labels, _, top = host.rpartition(".")
-    return f"{permute(name, key, 'name')}@{permute(labels, key, 'host')}.{top}"
+    return _cased(f"{permute(name, key, 'name')}@{permute(labels, key, 'host')}.{top}", value)
 
 
-def _secret(value: str, key: bytes) -> str:
-    return permute(value, key, "secret", (_HEX,) if value == value.lower() else (_HEX.upper(),))
+def _secret(value: str, key: bytes) -> str | None:
+    """Hex digits, in either case; other secrets need digits and letters, and each character stays in its class."""
+    if re.fullmatch("[0-9a-f]{32,}|[0-9A-F]{32,}", value):
+        new = permute(value.lower(), key, "secret", (_HEX,))
+        return new if value == value.lower() else new.upper()
+    if not (re.search("[0-9]", value) and re.search("[A-Za-z]", value)):
+        return None
+    return permute(value, key, "secret")
 
 
 _MAKERS = {"card": _card, "iban": _iban, "date": _date, "ip": _ip, "phone": _phone, "ssn": _ssn, "email": _email, "secret": _secret}
@@ -209,14 +231,17 @@ def _within(phone: str) -> str:
 def spans(text: str) -> list[tuple[int, int, str]]:
     """(start, end, kind) of validated values; longer checks come first."""
     found: list[tuple[int, int, str]] = []
-    at = text.find("@")
+    at, before = text.find("@"), 0
     while at >= 0:
-        left, right = _AT_LEFT.search(text[max(0, at - 64) : at]), _AT_RIGHT.match(text, at + 1)
-        if left and right:
-            found.append((at - len(left[0]), right.end(), "email"))
-        at = text.find("@", at + 1)
+        start = at
+        while start > before and _MAIL_CHAR.match(text, start - 1):
+            start -= 1
+        right = _AT_RIGHT.match(text, at + 1)
+        if start < at and right:
+            found.append((start, right.end(), "email"))
+        before, at = at + 1, text.find("@", at + 1)
     if "=" in text or ":" in text:
-        found += [(*m.span(1), "secret") for m in _SECRET.finditer(text)]
+        found += [(*m.span(1), "secret") for m in _SECRET.finditer(text) if pseudonym("secret", m[1], b"?") is not None]
     for m in _IBAN_START.finditer(text):
         hit = _IBAN[n].match(text, m.start()) if (n := IBAN_LENGTHS.get(m[1])) else None
         if hit and iban_rest(hit[0].replace(" ", "")) == 1:
@@ -248,8 +273,8 @@ def mask(text: str, key: bytes) -> tuple[str, dict[str, int]]:
     return "".join([*out, text[at:]]), counts
 
 
-def pseudonymize(docs: DataFrame, key: bytes = KEY, counts: bool = True) -> DataFrame:
-    """docs with pseudonyms in text; with counts, also n_<kind> columns and n_found.
+def pseudonymize(docs: DataFrame, key: bytes, counts: bool = True) -> DataFrame:
+    """docs with pseudonyms in text; with counts, also n_<kind> columns and n_found. Who has the key can find the values again.
 
     A null text stays null, an empty one empty; a text without valid values is returned
     unchanged. Count columns take the place of columns of the same name; all others pass

@@ -17,6 +17,11 @@ def tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    """The key of pseudonyms: the session's setting loamwork.pii.key; a public one where it is unset, as in tests."""
+    return spark.conf.get("loamwork.pii.key", "public-test-key").encode()
+
+
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BPE encoding and decoding of every document."""
     return bpe.encode_decode(documents(spark, sf_dir), tokenizer("byte_bpe_50k.json"))
@@ -65,7 +70,7 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text with pseudonyms, and counts of what they replace."""
-    return pii.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"))
+    return pii.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"), pii_key(spark))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
