@@ -13,6 +13,7 @@ import re
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -157,16 +158,26 @@ def learn(rows: dict[str, np.ndarray], bad: np.ndarray, order: np.ndarray) -> li
     return rules
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[list[Test]]:
-    """Learns a list from at most max_rows labelled documents, those with the lowest hashes.
+def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> pa.Table:
+    """dealt, quality and ratios of at most max_rows labelled rows that pass the base rules, those with the lowest hashes.
 
-    labels has doc_id and quality (0: low); of several labels of a document the lowest
-    counts. Without labels of both kinds the list is empty.
+    Rows that repeat an id share its label; the bound is one of rows.
     """
     sample = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"))
     sample = sample.withColumn("dealt", F.xxhash64("doc_id")).orderBy("dealt", "doc_id").limit(max_rows)
     known = statistics(docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id")), "doc_id"))
-    rows = known.where(~base_failed()).join(F.broadcast(sample), "doc_id").orderBy("dealt", "doc_id").select("dealt", "quality", *(ratio(r).alias(r) for r in RATIOS)).toArrow()
+    names = [c.split()[0] for c in STATS.split(", ")]
+    rows = known.where(~base_failed()).join(F.broadcast(sample), "doc_id").orderBy("dealt", "doc_id", *names).limit(max_rows)
+    return rows.select("dealt", "quality", *(ratio(r).alias(r) for r in RATIOS)).toArrow()
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[list[Test]]:
+    """Learns a list from at most max_rows labelled rows.
+
+    labels has doc_id and quality (0: low); of several labels of a document the lowest
+    counts. Without labels of both kinds the list is empty.
+    """
+    rows = training_rows(docs, labels, max_rows)
     if not rows.num_rows:
         return []
     return learn({r: rows.column(r).to_numpy() for r in RATIOS}, rows.column("quality").to_numpy() == 0, rows.column("dealt").to_numpy())
@@ -218,10 +229,12 @@ def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that base rules and the learned list keep, with all their columns; nothing is shuffled.
 
-    Columns named _q_<statistic> are used up. Null and empty texts go; an empty table stays empty.
+    All columns pass through, whatever their names. Null and empty texts go; an empty table stays empty.
     """
-    rules = fit(docs, labels)
-    names = ["_q_" + c.split()[0] for c in STATS.split(", ")]
+    rules, prefix = fit(docs, labels), "q_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    names = [prefix + c.split()[0] for c in STATS.split(", ")]
     added = ", ".join(f"{n} long" for n in names)
 
     def make():
@@ -233,5 +246,5 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
         return apply
 
-    kept = ~base_failed("_q_") & verdict(rules, "_q_")
+    kept = ~base_failed(prefix) & verdict(rules, prefix)
     return append_columns(docs, make, added).where(kept).select(*docs.columns)

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loamwork.llm.common import check_columns, map_slices, texts_of
+from loamwork.llm.common import check_columns, map_slices, texts_of, tidy
 
 BITS = 20
 #: Labelled rows that the model is fitted on at most, by lowest hash of doc_id.
@@ -81,17 +83,38 @@ def _loss(model: tuple[np.ndarray, np.ndarray, float], examples: list[tuple[np.n
     return float(np.logaddexp(0, np.where(label == 1, -total, total)).mean())
 
 
-def fit(examples: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS) -> tuple[np.ndarray, np.ndarray, float]:
+def fit(examples: list[tuple[np.ndarray, int]], bits: int = BITS, epochs: int = EPOCHS, spark: SparkSession | None = None) -> tuple[np.ndarray, np.ndarray, float]:
     """(slots, weights, bias) of the coordinates that are not zero. Without both labels the bias alone decides.
 
-    The L1 strength comes from PENALTIES by log loss on every fourth example.
+    The L1 strength comes from PENALTIES by log loss on every fourth example; with spark,
+    each strength is tried in a task of its own.
     """
     positive = sum(y for _, y in examples)
     if not positive or positive == len(examples):
         return np.zeros(0, np.uint32), np.zeros(0), 4.0 if positive else -4.0
-    check, grow = examples[::4], [x for i, x in enumerate(examples) if i % 4]
-    best = min(PENALTIES, key=lambda l1: _loss(_train(grow, l1, bits, epochs), check, bits))
-    return _train(examples, best, bits, epochs)
+    losses = _losses(spark, examples, bits, epochs) if spark else [_validated(examples, l1, bits, epochs) for l1 in PENALTIES]
+    return _train(examples, PENALTIES[int(np.argmin(losses))], bits, epochs)
+
+
+def _validated(examples: list[tuple[np.ndarray, int]], l1: float, bits: int, epochs: int) -> float:
+    """The log loss on every fourth example of a model of the others."""
+    return _loss(_train([x for i, x in enumerate(examples) if i % 4], l1, bits, epochs), examples[::4], bits)
+
+
+def _losses(spark: SparkSession, examples: list[tuple[np.ndarray, int]], bits: int, epochs: int) -> list[float]:
+    """_validated() of each of PENALTIES, a task each; the examples are as bounded as the training rows."""
+    shared = spark.sparkContext.broadcast((np.concatenate([x for x, _ in examples]), [len(x) for x, _ in examples], [y for _, y in examples]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            flat, sizes, labels = shared.value
+            known = list(zip(np.split(flat, np.cumsum(sizes)[:-1]), labels, strict=True))
+            for k in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_pydict({"id": [k], "loss": [_validated(known, PENALTIES[k], bits, epochs)]})
+
+    found = spark.range(0, len(PENALTIES), 1, len(PENALTIES)).mapInArrow(tidy(run), "id long, loss double").collect()
+    shared.unpersist()
+    return [r["loss"] for r in sorted(found, key=lambda r: r["id"])]
 
 
 def held_out(doc: str = "doc_id"):
@@ -100,7 +123,7 @@ def held_out(doc: str = "doc_id"):
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> list[tuple[np.ndarray, int]]:
-    """Features and labels of at most max_rows labelled documents that are not held out, in hash order."""
+    """Features and labels of at most max_rows labelled rows that are not held out, in hash order; rows that repeat an id share its label."""
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     sample = known.withColumn("dealt", F.xxhash64("doc_id")).orderBy("dealt", "doc_id").limit(max_rows)
     rows = docs.select("doc_id", "text").join(F.broadcast(sample.select("doc_id")), "doc_id")
@@ -109,7 +132,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
         memo = WordHash()
         return lambda part: {"doc_id": part.column("doc_id"), "slots": [features(t, memo).tobytes() for t in texts_of(part)]}
 
-    found = map_slices(rows, make, "doc_id long, slots binary").join(F.broadcast(sample), "doc_id").orderBy("dealt", "doc_id").select("slots", "toxic").toArrow()
+    found = map_slices(rows, make, "doc_id long, slots binary").join(F.broadcast(sample), "doc_id").orderBy("dealt", "doc_id", "slots").limit(max_rows).select("slots", "toxic").toArrow()
     return [(np.frombuffer(s, np.uint32), int(y)) for s, y in zip(found.column("slots").to_pylist(), found.column("toxic").to_pylist(), strict=True)]
 
 
@@ -121,7 +144,7 @@ def score(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> DataF
     table gives no rows.
     """
     check_columns(docs, "doc_id", "text")
-    shared = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels, max_rows)))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(training_rows(docs, labels, max_rows), spark=docs.sparkSession))
 
     def make():
         slots, weights, bias = shared.value
