@@ -149,26 +149,55 @@ def test_removal_on_documents(spark, sf):
     assert {r.doc_id: tuple(r)[1:] for r in rows} == brute_removal(docs, 400)
 
 
+def _payload(text):
+    raw = (text or "").encode()
+    return raw + b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
+
+
 def test_media(spark, sf):
-    docs = queries.documents(spark, sf)
-    rows = {r.doc_id: r for r in queries.op6_media_columns(spark, sf).collect()}
-    shards = media.write_shards(docs, shard_bytes=100_000)
-    meta = {r.doc_id: r for r in media.metadata(shards).collect()}
-    assert shards.count() > 5
-    for r in docs.collect():
-        raw = (r.text or "").encode()
-        raw += b"\xff" * (max(576, -(-len(raw) // 576) * 576) - len(raw))
-        x, m = rows[r.doc_id], meta[r.doc_id]
-        assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len((r.text or "").encode()), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]))
-        assert x.media_bytes == len(raw) + 44 and x.media_sha256 == hashlib.sha256(media.wav(raw)).hexdigest()
-        assert (m.digest, m.n_samples, m.sample_bits, m.length) == (x.payload_sha256, len(raw), 8, x.media_bytes)
-
-
-def test_shards_are_tar_files(spark, sf):
-    import io
+    docs = {r.doc_id: r.text for r in queries.documents(spark, sf).collect()}
+    rows = queries.op6_media_columns(spark, sf).collect()
+    assert len(rows) == len(docs)
+    places = {}
+    for x in rows:
+        raw = _payload(docs[x.doc_id])
+        stored = media.image(raw)
+        assert (x.n_bytes, x.payload_bytes, x.payload_sha256, x.tail_crc32) == (len((docs[x.doc_id] or "").encode()), len(raw), hashlib.sha256(raw).hexdigest(), zlib.crc32(raw[-32:]))
+        assert (x.media_bytes, x.media_sha256, x.feature) == (len(stored), hashlib.sha256(stored).hexdigest(), media.feature(np.frombuffer(raw, np.uint8)))
+        assert (x.width, x.height, x.sample_bits, x.n_samples) == (576, len(raw) // 576, 8, len(raw))
+        places.setdefault(x.payload_sha256, set()).add((x.shard, x.media_offset))
+    assert all(len(p) == 1 for p in places.values()) and len(places) < len(rows)
+
+
+def test_shards_are_tar_files(spark, sf, tmp_path):
     import tarfile
 
-    row = media.write_shards(queries.documents(spark, sf)).first()
-    with tarfile.open(fileobj=io.BytesIO(row["tar"])) as t:
-        for member in t.getmembers():
-            assert member.name == hashlib.sha256(t.extractfile(member).read()[44:]).hexdigest() + ".wav"
+    docs = queries.documents(spark, sf).repartition(5)
+    places = {bytes(r.digest): r for r in media.write_shards(docs.union(docs.limit(40)), str(tmp_path), shard_bytes=100_000).collect()}
+    want = {hashlib.sha256(_payload(r.text)).digest() for r in docs.collect()}
+    assert set(places) == want and len(list(tmp_path.iterdir())) > 5
+    seen = {}
+    for path in tmp_path.iterdir():
+        with tarfile.open(path) as t:
+            for member in t.getmembers():
+                raw = t.extractfile(member).read()
+                digest = hashlib.sha256(media.samples_of(raw)).digest()
+                assert member.name == digest.hex() + ".png"
+                seen.setdefault(digest, []).append((path.name, member.offset_data, len(raw)))
+    assert set(seen) == want and all((p.shard, p.offset, p.length) in seen[d] for d, p in places.items())
+
+
+def test_metadata_reads_headers_alone(spark, tmp_path):
+    """Everything behind the headers is destroyed: metadata still come, features don't."""
+    docs = spark.createDataFrame([(i, "abc " * (300 * i)) for i in range(6)], "doc_id long, text string")
+    places = media.write_shards(docs, str(tmp_path))
+    rows = places.collect()
+    for path in tmp_path.iterdir():
+        raw, kept = path.read_bytes(), bytearray(path.stat().st_size)
+        for r in rows:
+            if r.shard == path.name:
+                kept[r.offset : r.offset + media.HEADER] = raw[r.offset : r.offset + media.HEADER]
+        path.write_bytes(kept)
+    assert sorted(r.n_samples for r in media.metadata(places, str(tmp_path)).collect()) == sorted(len(_payload("abc " * (300 * i))) for i in range(6))
+    with pytest.raises(Exception, match="truncated|other bytes|zlib"):
+        media.features(places, str(tmp_path)).collect()

@@ -64,6 +64,55 @@ def test_ftrl_learns_words():
     assert np.mean(right) > 0.97 and len(model[0]) < 5000
 
 
+def _slow_features(text):
+    mask, words = 2**64 - 1, [zlib.crc32(w.encode()) for w in re.findall(r"\w+", text.lower())]
+    c1, c2, c3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
+    every = [a * c1 & mask for a in words]
+    every += [(a * c1 ^ b * c2) & mask for a, b in zip(words, words[1:], strict=False)]
+    every += [(a * c1 ^ b * c3) & mask for a, b in zip(words, words[2:], strict=False)]
+    return sorted({((x ^ x >> 29) * 0xBF58476D1CE4E5B9 & mask) >> 44 for x in every})
+
+
+def _slow_train(examples, l1):
+    z, n = collections.Counter(), collections.Counter()
+    positive = sum(y for _, y in examples)
+    heavy = min(8.0, (len(examples) - positive) / max(1, positive))
+
+    def weight(i):
+        return 0.0 if abs(z[i]) <= l1 else -(z[i] - np.sign(z[i]) * l1) / ((1 + n[i] ** 0.5) / 0.3 + 0.5)
+
+    for epoch in range(toxicity.EPOCHS):
+        for k in np.random.default_rng(epoch).permutation(len(examples)):
+            slots, y = examples[k]
+            w = {i: weight(i) for i in [*slots, "bias"]}
+            g = (heavy if y else 1.0) * (1 / (1 + np.exp(-sum(w.values()))) - y)
+            for i, x in w.items():
+                z[i] += g - ((n[i] + g * g) ** 0.5 - n[i] ** 0.5) / 0.3 * x
+                n[i] += g * g
+    return collections.defaultdict(float, {i: weight(i) for i in z})
+
+
+def test_toxicity_query_is_its_slow_twin(spark):
+    """FTRL coordinate by coordinate in dicts, on the whole of the small tables."""
+    sf = "/root/testdata/sf0.001"
+    texts = {r.doc_id: r.text or "" for r in queries.documents(spark, sf).collect()}
+    labels = queries.labels(spark, sf)
+    known = labels.where("toxic is not null and doc_id is not null").selectExpr("doc_id", "toxic", "xxhash64(doc_id) AS dealt").orderBy("dealt", "doc_id").collect()
+    features = {d: _slow_features(t) for d, t in texts.items()}
+    examples = [(features[r.doc_id], r.toxic) for r in known if r.doc_id in features and zlib.crc32(str(r.doc_id).encode()) % 5]
+    logit = lambda m, f: m["bias"] + sum(m[i] for i in f if i in m)
+
+    def loss(l1):
+        m = _slow_train([x for i, x in enumerate(examples) if i % 4], l1)
+        return np.mean([np.logaddexp(0, -logit(m, f) if y else logit(m, f)) for f, y in examples[::4]])
+
+    model = _slow_train(examples, min(toxicity.PENALTIES, key=loss))
+    rows = queries.op4_toxicity(spark, sf).collect()
+    assert len(rows) == len(texts) and any(y for _, y in examples)
+    for r in rows:
+        assert abs(r.score - 1 / (1 + np.exp(-logit(model, features[r.doc_id])))) < 1e-6
+
+
 def test_lm_prefers_its_target(spark, sf):
     labels = {r.doc_id: r.quality for r in queries.labels(spark, sf).collect()}
     by = collections.defaultdict(list)
@@ -72,22 +121,6 @@ def test_lm_prefers_its_target(spark, sf):
     assert np.median(by[1]) < np.median(by[0])
 
 
-def test_lm_counts_and_costs(spark):
-    docs = spark.createDataFrame([(1, "a b a b", True), (2, "a c", False)], "doc_id long, text string, is_target boolean")
-    counts, words = lm.count(docs), lm.Words()
-    a, b, c = (words[w] for w in "abc")
-    assert counts[:, [a, b, c]].tolist() == [[2, 2, 0], [3, 2, 1]]
-    assert counts[:, : 1 << lm.WORD_BITS].sum(1).tolist() == [4, 6] and counts[:, 1 << lm.WORD_BITS :].sum(1).tolist() == [3, 4]
-    ids = words.ids("a b")
-    word_p, factor = lm.bits(counts[1])
-    p1 = (3 + 1) / (6 + 2**lm.WORD_BITS)
-    p2 = 0.3 * (2 + 1) / (6 + 2**lm.WORD_BITS) + 0.7 * 2 / 3
-    row = lm.score(docs.select("doc_id", "text").union(spark.createDataFrame([(3, "")], "doc_id long, text string")), docs.where("doc_id = 1").select("doc_id")).where("doc_id = 1").first()
-    assert abs(word_p[ids[0]] - p1) < 1e-15 and abs(factor[a] - 0.7 / 3) < 1e-15
-    exact = [2 * x for x in (p1, p2)] and -(np.log2(p1) + np.log2(0.3 * 3 / (6 + 2**18) + 0.7 * 2 / 3)) / 2
-    assert abs(exact - (-(np.log2(p1) + np.log2(p2)) / 2)) < 1e-12 and row.n_tokens == 4 and row.target_bits < row.background_bits + 1
-
-
 def test_feistel_is_a_permutation():
     for n in (1, 2, 3, 10, 97, 1000):
         assert sorted(pii.feistel(i, n, b"k", b"t") for i in range(n)) == list(range(n))
@@ -135,6 +168,6 @@ def test_pipeline_is_its_stages(spark, sf):
     for d, t in texts.items():
         assert (left[d].text == t) == (removed[d][1] == 0) and left[d].n_chars == len(left[d].text)
     masked = {r.doc_id: r.text for r in corpus_pipeline.pii_stage(spark, frame, sf).collect()}
-    assert all(masked[d] == pii.mask(left[d].text, pii.KEY)[0] for d in left)
+    assert all(masked[d] == pii.mask(left[d].text, queries.pii_key(spark))[0] for d in left)
     rows = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in rows} == set(texts)
