@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from loamwork.llm import jaccard, packing, pii, quality, suffix
 from loamwork.llm.common import documents, labels, materialize
-from loamwork.llm.queries import tokenizer
+from loamwork.llm.queries import pii_key, tokenizer
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +31,7 @@ def suffix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Validated personal data become pseudonyms of the same format."""
-    return _recounted(pii.pseudonymize(docs, counts=False))
+    return _recounted(pii.pseudonymize(docs, pii_key(spark), counts=False))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
