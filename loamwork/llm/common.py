@@ -21,7 +21,7 @@ PART_BYTES = 10 << 20
 #: Parts of an explicit shuffle at most; beyond it each part grows with the input.
 MOST_PARTS = 200_000
 #: Largest Arrow batch between the JVM and Python; rows are never split, so one long text may exceed it.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 #: Largest number of ids that is broadcast; beyond it joins shuffle.
 BROADCAST_IDS = 1_000_000
 

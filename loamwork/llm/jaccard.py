@@ -33,7 +33,7 @@ PIVOTS = (8, 32, 64, None)
 #: Classes of a run that stay in one row; a longer run is dealt into chunks of about so many.
 CHUNK = 4096
 #: Tokens or pairs that a task holds before it sends them.
-FLUSH = 1_000_000
+FLUSH = 500_000
 _MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64)
 _PREFIXES = "doc_id long, h long, n int, class binary, grp long, bits binary, bucket int, grps binary, sizes binary, counts binary, tokens binary"
 _PAIR = np.dtype([("a", "<i8"), ("b", "<i8")])

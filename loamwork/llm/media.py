@@ -28,7 +28,7 @@ from loamwork.llm.common import arrow_schema, check_columns, few, keep_until_cle
 #: Payloads are padded with bytes 255 to a positive multiple of this, which is also an image's width.
 UNIT = 576
 #: A shard closes at the first member end beyond so many bytes.
-SHARD_BYTES = 256 << 20
+SHARD_BYTES = 64 << 20
 # Fixed values of the PNG format: signature, bytes up to the header chunk's end, grey samples without interlacing.
 SIGNATURE, HEADER, GREY = b"\x89PNG\r\n\x1a\n", 33, (0, 0, 0, 0)
 PLACES = "digest binary, shard string, offset long, length long"
@@ -179,14 +179,14 @@ def _ranges(folder: str) -> Callable[[str, int, int], bytes]:
 
 
 def _read(places: DataFrame, folder: str, make: Callable[[Callable, dict], dict], schema: str) -> DataFrame:
-    """make(read, row) for every place."""
+    """make(read, row) for every place; a shard's places are read in order by one task, and shards are dealt out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         arrow, read = arrow_schema(schema), _ranges(folder)
         for part in slices(batches):
             yield pa.RecordBatch.from_pylist([make(read, row) for row in part.to_pylist()], schema=arrow)
 
-    return places.mapInArrow(tidy(run), schema)
+    return places.repartition("shard").sortWithinPartitions("shard", "offset").mapInArrow(tidy(run), schema)
 
 
 def metadata(places: DataFrame, folder: str) -> DataFrame:
