@@ -11,7 +11,6 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -176,44 +175,59 @@ def global_counts(tokens: DataFrame) -> np.ndarray:
     return counts
 
 
+def part_bounds(tokens: DataFrame, n: int) -> np.ndarray:
+    """Upper doc_ids of all parts but the last; approximate shares suffice, since bounds only balance the parts."""
+    if n < 2:
+        return np.zeros(0, np.int64)
+    at = tokens.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 10 * n))).first()[0]
+    return np.unique(np.array(at or [], np.int64))
+
+
 def encode_file(tokens: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """Codes each document, brings the codes (not the ids) into doc_id order and fills blocks."""
-    shared = tokens.sparkSession.sparkContext.broadcast(lengths)
+    """Codes each document, brings the codes (not the ids) into doc_id order and fills blocks.
+
+    A part of the file holds a range of doc_ids, in order; bounds come from the ids alone.
+    """
+    n_parts = parts(tokens)
+    shared = tokens.sparkSession.sparkContext.broadcast((lengths, part_bounds(tokens, n_parts)))
 
     def make():
-        coder = Coder(shared.value)
+        coder, bounds = Coder(shared.value[0]), shared.value[1]
 
         def apply(part):
             coded = coder.encode_many([wide_ids(ids, n) for n, ids in zip(part.column("n_tokens").to_pylist(), part.column("ids").to_pylist(), strict=True)])
-            return {"doc_id": part.column("doc_id"), "n_tokens": part.column("n_tokens"), "payload": [c[0] for c in coded], "checkpoints": [c[1].tobytes() for c in coded]}
+            own = np.searchsorted(bounds, part.column("doc_id").to_numpy()).astype(np.int32)
+            return {"part": own, "doc_id": part.column("doc_id"), "n_tokens": part.column("n_tokens"), "payload": [c[0] for c in coded], "checkpoints": [c[1].tobytes() for c in coded]}
 
         return apply
 
     def blocks(batches):
-        here, number = TaskContext.get().partitionId(), 0
         schema = arrow_schema(FILE_SCHEMA)
+        here, number = None, 0
+        docs, sizes, payload, points, bits, held = [], [], [], [], 0, 0
 
-        def close(docs, sizes, payload, points):
+        def close():
             return pa.RecordBatch.from_pydict({"part": [here], "block": [number], "doc_ids": [np.array(docs, "<i8").tobytes()], "sizes": [np.array(sizes, "<i8").tobytes()], "payload": [b"".join(payload)], "checkpoints": [b"".join(points)]}, schema=schema)
 
-        docs, sizes, payload, points, bits, held = [], [], [], [], 0, 0
-        for part in slices(batches):
-            for doc, n, coded, cp in zip(*(part.column(c).to_pylist() for c in ("doc_id", "n_tokens", "payload", "checkpoints")), strict=True):
+        for batch in slices(batches):
+            for own, doc, n, coded, cp in zip(*(batch.column(c).to_pylist() for c in ("part", "doc_id", "n_tokens", "payload", "checkpoints")), strict=True):
+                if docs and (held >= BLOCK_IDS or own != here):
+                    yield close()
+                    docs, sizes, payload, points, bits, held = [], [], [], [], 0, 0
+                    number += 1
+                if own != here:
+                    here, number = own, 0
                 docs.append(doc)
                 sizes.append(n)
                 payload.append(coded)
                 points.append((np.frombuffer(cp, "<u8") + np.uint64(bits)).astype("<u8").tobytes())
                 bits += 8 * len(coded)
                 held += n
-                if held >= BLOCK_IDS:
-                    yield close(docs, sizes, payload, points)
-                    docs, sizes, payload, points, bits, held = [], [], [], [], 0, 0
-                    number += 1
         if docs:
-            yield close(docs, sizes, payload, points)
+            yield close()
 
-    coded = map_slices(tokens, make, "doc_id long, n_tokens long, payload binary, checkpoints binary")
-    return coded.repartitionByRange(parts(tokens), "doc_id").sortWithinPartitions("doc_id").mapInArrow(tidy(blocks), FILE_SCHEMA)
+    coded = map_slices(tokens, make, "part int, doc_id long, n_tokens long, payload binary, checkpoints binary")
+    return coded.repartitionById(n_parts, "part").sortWithinPartitions("part", "doc_id").mapInArrow(tidy(blocks), FILE_SCHEMA)
 
 
 _DECODED = "part int, block int, doc_id long, inside long, n_tokens long, "
@@ -250,7 +264,7 @@ def block_starts(file: DataFrame) -> DataFrame:
 
     sizes = file.select("part", "block", "sizes").mapInArrow(tidy(run), "part int, block int, ids long")
     inside = F.sum("ids").over(_window("part", "block")) - F.col("ids")
-    totals = sizes.groupBy("part").agg(F.sum("ids").alias("ids")).orderBy("part").collect()  # one row a partition
+    totals = sizes.groupBy("part").agg(F.sum("ids").alias("ids")).orderBy("part").collect()  # one row a part; parts() bounds them
     before, rows = 0, []
     for p in totals:
         rows.append((p["part"], before))

@@ -21,6 +21,8 @@ import pyarrow.compute as pc
 TOGETHER = 2048
 #: Chunks kept by a worker before its memo starts afresh.
 MEMO_CHUNKS = 500_000
+#: Plain words kept by a worker's encoder besides.
+MEMO_WORDS = 250_000
 #: Longer chunks are encoded each time and never kept.
 MEMO_CHARS = 64
 #: Characters that are split and put together at once.
@@ -127,7 +129,7 @@ class LibraryEncoder:
     many at a time, since its ids show where each word begins or ends.
     """
 
-    def __init__(self, path: str, words: int = 100_000):
+    def __init__(self, path: str, words: int = MEMO_WORDS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
