@@ -74,3 +74,18 @@ def pair_table(rows: DataFrame, profile: str = "shape", key: str = "label") -> D
     p = side("a").join(F.broadcast(side("b")), F.col("a") < F.col("b"))
     diff = V.mean(F.zip_with("ma", "mb", lambda p, q: F.abs(p - q)))
     return p.select("a", "b", (V.distance(F.col("ca"), F.col("cb")) / (0.5 * (F.col("ra") + F.col("rb")))).alias("separation"), diff.alias("coverage"))
+
+
+def pooled_z(rows: DataFrame, pairs: DataFrame, key: str = "label", vec: str = "shape", floor: float = 0.05) -> DataFrame:
+    """A, b, z of each pair of groups: the mean over positions of how far their medians are apart, in pooled deviations.
+
+    A position's deviation is 1.4826 times the median distance of both groups' rows from their own group's median, at least floor.
+    """
+    ends = pairs.select("a", "b", F.explode(F.array("a", "b")).alias(key)).distinct()
+    x = rows.select(key, F.posexplode(vec).alias("pos", "x"))
+    medians = x.groupBy(key, "pos").agg(F.median("x").alias("m"))
+    far = x.join(medians, [key, "pos"]).select(key, "pos", F.abs(F.col("x") - F.col("m")).alias("far"))
+    pooled = far.join(ends, key).groupBy("a", "b", "pos").agg(F.greatest(F.median("far") * 1.4826, F.lit(floor)).alias("sd"))
+    for s in "ab":
+        pooled = pooled.join(medians.select(F.col(key).alias(s), "pos", F.col("m").alias(f"m_{s}")), [s, "pos"])
+    return pooled.groupBy("a", "b").agg(F.avg(F.abs(F.col("m_a") - F.col("m_b")) / F.col("sd")).alias("z"))

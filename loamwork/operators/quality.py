@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamwork.functions import vectors as V
@@ -53,15 +53,79 @@ def neighbour_agreement(rows: DataFrame, ks: tuple[int, ...] = (10, 30, 50)) ->
     return by.agg(*(F.avg(f"a{k}").alias(f"knn_agree@{k}") for k in ks))
 
 
-def changes(before: dict, after: dict) -> dict[str, float]:
-    """The signed change of each metric that both have; more than 0 is better."""
-    out = {}
-    for m, (way, kind) in METRICS.items():
-        a, b = before.get(m), after.get(m)
-        if a is None or b is None or a != a or b != b:
-            continue
-        out[m] = b - a if kind == "pp" else way * (b - a) / max(abs(a), 1e-9)
-    return out
+def _finite(values: str, metric: str) -> Column:
+    """A metric of a map column; null where it is missing, NaN or infinite."""
+    v = F.col(values)[metric]
+    return F.when(~F.isnan(v) & (F.abs(v) < float("inf")), v)
+
+
+def _change(metric: str, relative: bool = False) -> Column:
+    """Q3: the signed change of a metric, more than 0 is better; agreements change in points unless relative."""
+    way, kind = METRICS[metric]
+    before, after = _finite("before", metric), _finite("after", metric)
+    return after - before if kind == "pp" and not relative else way * (after - before) / F.greatest(F.abs(before), F.lit(1e-9))
+
+
+def changes(candidates: DataFrame) -> DataFrame:
+    """Candidates (before, after: maps of metrics) with changes, a map of the metrics that both have."""
+    return candidates.withColumn("changes", F.map_filter(F.create_map(*(x for m in METRICS for x in (F.lit(m), _change(m)))), lambda k, v: v.isNotNull()))
+
+
+@dataclass(frozen=True)
+class Tolerance:
+    """What a candidate may lose; None switches a rule off."""
+
+    relative: float = 0.10
+    points: float = 3.0
+    bp_points: float = 2.0
+    bins: float | None = 0.30
+    bp_weight: float = 0.5
+    collective: bool = False
+    fail: tuple[str, ...] = FAIL_METRICS
+
+
+def _rules(t: Tolerance, collective: Column, gain: Column) -> dict[str, Column]:
+    """Each rule's name and when it is broken; null counts as kept."""
+    least = {"rel": -t.relative - EPS, "pp": -t.points / 100 - EPS}
+    rules = {m: _finite("before", m).isNotNull() & F.coalesce(_change(m) < least[kind], F.lit(True)) for m, (_, kind) in METRICS.items() if m in t.fail}
+    if t.collective:
+        rules["collective"] = collective < -t.relative / 2 - EPS
+    rules["assigned_bp"] = _finite("after", "assigned_bp_pct").isNotNull() & (gain < -t.bp_points - EPS)
+    if t.bins is not None:
+        was, now = (F.coalesce(F.col(c)["n_clusters"], F.lit(0.0)) for c in ("before", "after"))
+        rules["bin_collapse"] = (was >= 5) & (now < (1 - t.bins) * was - EPS)
+    return rules
+
+
+def _gain() -> Column:
+    return F.coalesce(F.col("after")["assigned_bp_pct"], F.lit(0.0)) - F.coalesce(F.col("before")["assigned_bp_pct"], F.lit(0.0))
+
+
+def judged(candidates: DataFrame, t: Tolerance = Tolerance()) -> DataFrame:
+    """Q4: candidates (before, after: maps of metrics) with passed, score, collective, worst and reasons.
+
+    All metrics that both maps have enter the score; the rules that are broken are the
+    reasons. Where metrics were and none is left, the clustering has collapsed.
+    """
+    x = changes(candidates)
+    terms = F.filter(F.array(*(_change(m) if METRICS[m][1] == "rel" else _change(m, relative=True) for m in METRICS)), lambda v: v.isNotNull())
+    x = x.withColumn("known", F.size("changes") > 0).withColumn("had", F.coalesce(*(_finite("before", m) for m in METRICS)).isNotNull())
+    collective, gain = V.mean(terms), _gain()
+    broken = F.filter(F.array(*(F.when(F.coalesce(rule, F.lit(False)), F.lit(name)) for name, rule in _rules(t, collective, gain).items())), lambda v: v.isNotNull())
+    lost = F.col("had") & ~F.col("known")
+    # fixed values: what a collapse and nothing to compare are worth
+    pick = lambda fine, collapse: F.when(F.col("known"), fine).when(lost, F.lit(collapse)).otherwise(F.lit(0.0))
+    reasons = F.when(F.col("known"), broken).when(lost, F.array(F.lit("metrics undefined"))).otherwise(F.array().cast("array<string>"))
+    out = x.withColumn("reasons", reasons).withColumn("score", pick(collective + t.bp_weight * gain / 100, -1e6)).withColumn("collective", pick(collective, -1.0)).withColumn("worst", pick(F.array_min(F.map_values("changes")), -1.0))
+    return out.withColumn("passed", F.size("reasons") == 0).drop("known", "had", "changes")
+
+
+def judged_splits(candidates: DataFrame) -> DataFrame:
+    """Q5: candidates (before, after, weakest: the agreement of the weakest piece) with passed, score and reasons. A split may not lose bins."""
+    was, now = (F.coalesce(F.col(c)["n_clusters"], F.lit(0.0)) for c in ("before", "after"))
+    gone = now + EPS < was
+    reasons = F.when(gone, F.array(F.lit("bins disappeared"))).otherwise(F.array().cast("array<string>"))
+    return candidates.withColumn("reasons", reasons).withColumn("score", F.col("weakest") + 0.5 * _gain() / 100).withColumn("passed", ~gone)
 
 
 @dataclass(frozen=True)
@@ -70,38 +134,11 @@ class Verdict:
 
     passed: bool
     score: float
-    collective: float
-    worst: float
-    reasons: tuple[str, ...] = field(default=())
-
-
-def judge(before: dict, after: dict, tolerance: float = 0.10, bp_weight: float = 0.5, max_knn_drop: float = 3.0, max_bp_loss: float = 2.0, max_bin_loss: float | None = 0.30, fail: tuple[str, ...] = FAIL_METRICS, collective_rule: bool = False) -> Verdict:
-    """Q4: a candidate fails when a metric in fail drops too far, bp are lost, or bins collapse; all metrics enter the score."""
-    ch = changes(before, after)
-    known = [m for m in METRICS if before.get(m) is not None and before[m] == before[m]]
-    if not ch:
-        return Verdict(not known, -1e6 if known else 0.0, -1.0 if known else 0.0, -1.0 if known else 0.0, ("metrics undefined",) if known else ())
-    reasons = [f"{m}: undefined" for m in known if m not in ch and m in fail]
-    terms = []
-    for m, c in ch.items():
-        points = METRICS[m][1] == "pp"
-        terms.append(c / max(abs(before[m]), 1e-9) if points else c)
-        if m in fail and (-c * 100 > max_knn_drop + EPS if points else c < -tolerance - EPS):
-            reasons.append(f"{m}: {100 * c:+.1f}")
-    collective = sum(terms) / len(terms)
-    if collective_rule and collective < -tolerance / 2 - EPS:
-        reasons.append("collective")
-    gain = (after.get("assigned_bp_pct") or 0.0) - (before.get("assigned_bp_pct") or 0.0)
-    if after.get("assigned_bp_pct") is not None and gain < -max_bp_loss - EPS:
-        reasons.append("assigned_bp")
-    n, m = before.get("n_clusters") or 0, after.get("n_clusters") or 0
-    if max_bin_loss is not None and n >= 5 and m < (1 - max_bin_loss) * n - EPS:
-        reasons.append("bin_collapse")
-    return Verdict(not reasons, collective + bp_weight * gain / 100, collective, min(ch.values()), tuple(reasons))
-
-
-def judge_split(before: dict, after: dict, weakest_agreement: float = 0.0) -> Verdict:
-    """Q5: supported splits are ranked by their weakest piece and the sequence they keep; bins must not disappear."""
-    gain = ((after.get("assigned_bp_pct") or 0.0) - (before.get("assigned_bp_pct") or 0.0)) / 100
-    lost = (after.get("n_clusters") or 0) + EPS < (before.get("n_clusters") or 0)
-    return Verdict(not lost, weakest_agreement + 0.5 * gain, 0.0, gain, ("bins disappeared",) if lost else ())
+    reasons: tuple[str, ...] = ()
+
+
+def judge(spark: SparkSession, before: dict, after: dict, t: Tolerance = Tolerance()) -> Verdict:
+    """judged() of one candidate, a row of metrics that is made already."""
+    known = lambda d: {k: float(v) for k, v in d.items() if v is not None}
+    row = judged(spark.createDataFrame([(known(before), known(after))], "before map<string,double>, after map<string,double>"), t).first()
+    return Verdict(row["passed"], row["score"], tuple(row["reasons"]))

@@ -115,3 +115,56 @@ def samples(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SAMPLES = "samples AS (SELECT user_id AS pid, event_type AS stage, epoch_us(ts) AS at_us, event_id, value AS counter FROM events)"
+
+
+def bin_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """F8: (bin, length; a, b, ani, af_a, af_b): suppliers as bins, lines of orders as edges between them."""
+    li = table(spark, sf_dir, "lineitem")
+    bins = li.groupBy(F.concat(F.lit("bin_"), F.col("l_suppkey")).alias("bin")).agg(F.sum("l_quantity").cast("long").alias("length"))
+    n = li.agg(F.max("l_suppkey").alias("n"))
+    k = F.col("l_orderkey")
+    x = li.where("l_linenumber = 1").join(F.broadcast(n))
+    other = F.pmod(F.col("l_partkey") * 7 + k, "n") + 1
+    return bins, x.select(F.concat(F.lit("bin_"), F.col("l_suppkey")).alias("a"), F.concat(F.lit("bin_"), other).alias("b"), (F.lit(97.0) + F.pmod(k, F.lit(23)) / 10.0).alias("ani"), (F.lit(70.0) + F.pmod(k * 3, F.lit(31))).alias("af_a"), (F.lit(70.0) + F.pmod(k * 11, F.lit(31))).alias("af_b"))
+
+
+BIN_EDGES = """bl AS (SELECT 'bin_' || l_suppkey AS bin, CAST(sum(l_quantity) AS BIGINT) AS length FROM lineitem GROUP BY 1),
+be AS (SELECT 'bin_' || l_suppkey AS a, 'bin_' || ((l_partkey * 7 + l_orderkey) % n + 1) AS b, 97.0 + (l_orderkey % 23) / 10.0 AS ani, 70.0 + (l_orderkey * 3) % 31 AS af_a, 70.0 + (l_orderkey * 11) % 31 AS af_b
+  FROM lineitem, (SELECT max(l_suppkey) AS n FROM lineitem) WHERE l_linenumber = 1)"""
+
+
+def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, before, after (maps of metrics), weakest: what a gate compares, from the lines of each supplier. Some metrics are missing."""
+    li = table(spark, sf_dir, "lineitem")
+    some = F.pmod(F.col("name"), F.lit(7))
+    half = lambda odd: F.pmod(F.col("l_linenumber"), F.lit(2)) == odd
+    named = []
+    for name, odd in (("before", 1), ("after", 0)):
+        v = {
+            "calinski_harabasz": F.avg(F.when(half(odd), F.col("l_extendedprice"))), "davies_bouldin": F.avg(F.when(half(odd), F.col("l_quantity"))), "silhouette": F.avg(F.when(half(odd), F.col("l_discount"))),
+            "knn_agree@10": 1 - F.avg(F.when(half(odd), F.col("l_tax"))), "knn_agree@30": 1 - 2 * F.avg(F.when(half(odd), F.col("l_tax"))),
+            "assigned_bp_pct": 60 + 10 * F.avg(F.when(half(odd), F.col("l_discount") * 10)), "n_clusters": F.count(F.when(half(odd), 1)).cast("double"),
+        }
+        named.append((name, v))
+    x = li.groupBy(F.col("l_suppkey").alias("name")).agg(F.avg("l_tax").alias("weakest"), *(c.alias(f"{name}_{m}") for name, v in named for m, c in v.items()))
+    gone = {"before": {"silhouette": some == 1}, "after": {"knn_agree@30": some == 2, "calinski_harabasz": some == 3}}
+    all_gone = {"before": some == 4, "after": some.isin(4, 5)}
+    def cell(name: str, m: str):
+        missing = gone[name].get(m, F.lit(False)) | (all_gone[name] if m not in ("assigned_bp_pct", "n_clusters") else F.lit(False))
+        return F.when(~missing, F.col(f"{name}_{m}"))
+    maps = [F.create_map(*(y for m in v for y in (F.lit(m), cell(name, m)))).alias(name) for name, v in named]
+    return x.select("name", *maps, "weakest")
+
+
+def _half(odd: int, name: str) -> str:
+    w = f"FILTER (l_linenumber % 2 = {odd})"
+    return f"""avg(l_extendedprice) {w} AS {name}_ch, avg(l_quantity) {w} AS {name}_db, avg(l_discount) {w} AS {name}_si, 1 - avg(l_tax) {w} AS {name}_k10, 1 - 2 * avg(l_tax) {w} AS {name}_k30,
+ 60 + 10 * avg(l_discount * 10) {w} AS {name}_bp, CAST(count(*) {w} AS DOUBLE) AS {name}_n"""
+
+
+CANDIDATES = f"""cr AS (SELECT l_suppkey AS name, avg(l_tax) AS weakest, {_half(1, "b")}, {_half(0, "a")} FROM lineitem GROUP BY 1),
+cd AS (SELECT name, weakest, b_bp, a_bp, b_n, a_n, CASE WHEN name % 7 <> 4 THEN b_ch END AS b_ch, CASE WHEN name % 7 NOT IN (3, 4, 5) THEN a_ch END AS a_ch, CASE WHEN name % 7 <> 4 THEN b_db END AS b_db, CASE WHEN name % 7 NOT IN (4, 5) THEN a_db END AS a_db,
+ CASE WHEN name % 7 NOT IN (1, 4) THEN b_si END AS b_si, CASE WHEN name % 7 NOT IN (4, 5) THEN a_si END AS a_si, CASE WHEN name % 7 <> 4 THEN b_k10 END AS b_k10, CASE WHEN name % 7 NOT IN (4, 5) THEN a_k10 END AS a_k10,
+ CASE WHEN name % 7 <> 4 THEN b_k30 END AS b_k30, CASE WHEN name % 7 NOT IN (2, 4, 5) THEN a_k30 END AS a_k30 FROM cr),
+ch AS (SELECT *, (a_ch - b_ch) / greatest(abs(b_ch), 1e-9) AS c_ch, -(a_db - b_db) / greatest(abs(b_db), 1e-9) AS c_db, (a_si - b_si) / greatest(abs(b_si), 1e-9) AS c_si, a_k10 - b_k10 AS c_k10, a_k30 - b_k30 AS c_k30,
+ (a_k10 - b_k10) / greatest(abs(b_k10), 1e-9) AS r_k10, (a_k30 - b_k30) / greatest(abs(b_k30), 1e-9) AS r_k30 FROM cd)"""

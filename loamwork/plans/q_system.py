@@ -5,11 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loamwork.functions import vectors as V
-from loamwork.operators import density, encoder, merge
+from loamwork.operators import density, encoder, groups, merge, quality
 from loamwork.operators.neighbours import knn, knn_approximate
 from loamwork.plans import fixtures as fx
 from loamwork.plans import runs
-from loamwork.plans.q_bins import BINS, rows
+from loamwork.plans.q_bins import BINS, CENTRES, SHAPES, rows
 from loamwork.plans.registry import query
 from loamwork.plans.workspace import settled, workspace
 from loamwork.sources import tables
@@ -106,22 +106,123 @@ def neighbours_approximate(spark, sf_dir):
     return knn_approximate(rows(spark, sf_dir).select("contig_id", "vec"), 5, 1.3)
 
 
+LIMITS = merge.Limits(separation=1.15, coverage=0.35, gc_difference=0.05, gc_outside=0.2, misfit=0.045, misfit_z=1.6, mixing=0.95, reciprocal=True)
+
+GUARDS = CENTRES + """, ma AS (SELECT label, pos, median(abs(x - m)) AS d FROM ex JOIN md USING (label, pos) GROUP BY 1, 2), sc AS (SELECT pos, greatest(median(d) * 1.4826, 1e-3) AS scale FROM ma GROUP BY 1),
+cv AS (SELECT a.label AS a, b.label AS b, avg(abs(a.m - b.m) / scale) AS coverage FROM md a JOIN md b ON a.pos = b.pos AND a.label < b.label JOIN sc ON sc.pos = a.pos GROUP BY 1, 2),
+pt AS (SELECT cv.a, cv.b, list_distance(x.c, y.c) / (0.5 * (r.radius + s.radius)) AS separation, coverage FROM cv JOIN ce x ON x.label = cv.a JOIN ce y ON y.label = cv.b JOIN ra r ON r.label = cv.a JOIN ra s ON s.label = cv.b),
+ok AS (SELECT * FROM pt WHERE separation < 1.15 AND coverage < 0.35), lr AS (SELECT contig_id, label, u, gc FROM nv WHERE label >= 0),
+gs AS (SELECT label, count(*) AS n, median(gc) AS med, quantile_cont(gc, 0.05) AS lo, quantile_cont(gc, 0.95) AS hi FROM lr GROUP BY 1),
+pp AS (SELECT ok.*, CASE WHEN p.n <= q.n THEN a ELSE b END AS small, CASE WHEN p.n <= q.n THEN b ELSE a END AS big, abs(p.med - q.med) AS gc_diff FROM ok JOIN gs p ON p.label = a JOIN gs q ON q.label = b),
+wy AS (SELECT small AS fr, big AS un FROM pp UNION SELECT big, small FROM pp),
+mz AS (SELECT wy.fr, wy.un, e.contig_id, avg(abs(x - s.m) / s.sd) AS z FROM wy JOIN ex e ON e.label = wy.fr JOIN sm s ON s.label = wy.un AND s.pos = e.pos GROUP BY 1, 2, 3), mf AS (SELECT fr, un, avg((z > 1.6)::INT) AS misfit FROM mz GROUP BY 1, 2),
+gb AS (SELECT fr, un, avg((gc < lo OR gc > hi)::INT) AS gc_beyond FROM wy JOIN lr ON lr.label = fr JOIN gs ON gs.label = un GROUP BY 1, 2),
+nn AS (SELECT fr, un, x.contig_id, (y.label = un)::INT AS other, row_number() OVER (PARTITION BY fr, un, x.contig_id ORDER BY list_distance(x.u, y.u), y.contig_id) AS k FROM wy JOIN lr x ON x.label = fr JOIN lr y ON (y.label = fr OR y.label = un) AND y.contig_id <> x.contig_id),
+mx AS (SELECT fr, un, avg(other) / (any_value(q.n) / (any_value(p.n) + any_value(q.n) - 1.0)) AS mix FROM nn JOIN gs p ON p.label = fr JOIN gs q ON q.label = un WHERE k <= 10 GROUP BY 1, 2),
+gd AS (SELECT pp.*, greatest(f.misfit, g.misfit) AS misfit, b.gc_beyond, least(m.mix, o.mix) AS mix FROM pp JOIN mf f ON f.fr = small AND f.un = big JOIN mf g ON g.fr = big AND g.un = small JOIN gb b ON b.fr = small AND b.un = big JOIN mx m ON m.fr = small AND m.un = big JOIN mx o ON o.fr = big AND o.un = small)"""
+
+
+def _members(spark, sf_dir):
+    return settled(rows(spark, sf_dir).where("label >= 0").select("contig_id", "label", "u", "shape", "gc"))
+
+
+@query(f"""WITH {GUARDS} SELECT a, b, small, big, round(separation, 5) AS separation, round(coverage, 5) AS coverage, round(gc_diff, 6) AS gc_diff, round(misfit, 6) AS misfit, round(gc_beyond, 6) AS gc_beyond, round(mix, 6) AS mix,
+ CASE WHEN gc_diff > 0.05 THEN 'gc_diff' WHEN gc_beyond > 0.2 THEN 'gc_outside' WHEN misfit > 0.045 THEN 'misfit' WHEN mix < 0.95 THEN 'tnf_mix' ELSE '' END AS refusal FROM gd""")
+def merge_guards(spark, sf_dir):
+    """The admissible pairs of bins with every guard's measure and verdict."""
+    r = _members(spark, sf_dir)
+    stats = settled(merge.statistics(r))
+    g = merge.guarded(r, stats, merge.admissible(stats, merge.shape_scale(stats), LIMITS), LIMITS)
+    measures = {"separation": 5, "coverage": 5, "gc_diff": 6, "misfit": 6, "gc_beyond": 6, "mix": 6}
+    return g.select("a", "b", "small", "big", *(F.round(c, k).alias(c) for c, k in measures.items()), "refusal")
+
+
+@query(f"""WITH {GUARDS}, ps AS (SELECT small, big, a, b, separation FROM gd WHERE NOT (gc_diff > 0.05 OR gc_beyond > 0.2 OR misfit > 0.045 OR mix < 0.95))
+SELECT a, b FROM ps ORDER BY separation, a, b LIMIT 1""")
+def first_merge(spark, sf_dir):
+    """The pair that greedy merging joins first."""
+    r = _members(spark, sf_dir)
+    stats = settled(merge.statistics(r))
+    g = merge.guarded(r, stats, merge.admissible(stats, merge.shape_scale(stats), LIMITS), LIMITS)
+    return g.where("refusal = ''").orderBy("separation", "a", "b").limit(1).select("a", "b")
+
+
 @query()
 def merged_groups(spark, sf_dir):
-    """Greedy merging of bins by statistics of all their rows; a row a bin goes through the driver."""
-    r = settled(rows(spark, sf_dir).where("label >= 0").select("label", "u", "shape", "gc"))
-    home, _ = merge.merge_groups(merge.RowGroup.all_of(r), merge.Guards(separation=0.62, coverage=3.0, gc_difference=0.05, misfit=0.9))
-    return spark.createDataFrame(sorted(home.items()), "label int, bin int")
+    """Greedy merging of bins under all guards."""
+    return merge.merge_bins(_members(spark, sf_dir), LIMITS)[0]
 
 
 @query()
+def same_genome(spark, sf_dir):
+    """Merging under its own conditions: two samples, bins of ten contigs."""
+    return merge.merge_same_genome(rows(spark, sf_dir), LIMITS, 10).select("contig_id", "label")
+
+
+@query(f"""WITH RECURSIVE {fx.BIN_EDGES}, ed AS (SELECT DISTINCT a, b FROM (SELECT a, b FROM be WHERE a <> b AND ani >= 99.0 AND least(af_a, af_b) >= 80 UNION ALL SELECT b, a FROM be WHERE a <> b AND ani >= 99.0 AND least(af_a, af_b) >= 80)),
+rk AS (SELECT bin, row_number() OVER (ORDER BY length DESC, bin DESC) AS k FROM bl), nb AS (SELECT r.bin, r.k, list(s.k) FILTER (s.k < r.k) AS over FROM rk r LEFT JOIN ed ON ed.a = r.bin LEFT JOIN rk s ON s.bin = ed.b GROUP BY 1, 2),
+st AS (SELECT 0::BIGINT AS k, CAST([] AS BIGINT[]) AS kept UNION ALL SELECT st.k + 1, CASE WHEN len(list_intersect(coalesce(nb.over, []), st.kept)) = 0 THEN list_append(st.kept, st.k + 1) ELSE st.kept END FROM st JOIN nb ON nb.k = st.k + 1),
+fin AS (SELECT kept FROM st ORDER BY k DESC LIMIT 1)
+SELECT nb.bin, CASE WHEN list_contains(kept, nb.k) THEN nb.bin ELSE (SELECT rk.bin FROM rk WHERE rk.k = list_min(list_intersect(nb.over, kept))) END AS keeper FROM nb, fin""")
 def bin_dedup(spark, sf_dir):
-    """Redundant bins; one row a bin."""
-    sizes = {r["bin"]: r["n"] for r in fx.table(spark, sf_dir, "nation").join(fx.table(spark, sf_dir, "customer"), F.col("n_nationkey") == F.col("c_nationkey")).groupBy(F.col("n_name").alias("bin")).agg(F.count("*").alias("n")).collect()}
-    names = sorted(sizes)
-    pairs = [(a, b, 98.5 + (i * 5 + j) % 3, 75.0 + (i + j) % 30, 80.0 + (i * j) % 20) for i, a in enumerate(names) for j, b in enumerate(names) if i < j and (i + j) % 3 == 0]
-    kept, absorbed = merge.redundant_bins(sizes, pairs)
-    return spark.createDataFrame([(k, ",".join(absorbed.get(k, []))) for k in kept], "bin string, absorbed string")
+    """Which bin stands for each redundant one, from a table of edges."""
+    return merge.redundant_bins(*fx.bin_edges(spark, sf_dir))
+
+
+@query("""WITH p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE 40.0 + c_custkey % 37 END AS c_a, (c_custkey % 5) * 1.0 AS x_a, 42.0 + c_custkey % 31 AS c_b, (c_custkey % 4) * 1.0 AS x_b, 45.0 + c_custkey % 43 AS c_ab, (c_custkey % 8) * 1.0 AS x_ab FROM customer)
+SELECT id, c_ab - greatest(c_a, c_b) AS gain, x_ab - greatest(x_a, x_b) AS rise, 'ok' AS kind, CASE WHEN c_ab - greatest(c_a, c_b) >= 5 AND x_ab - greatest(x_a, x_b) <= 2 THEN 'merge' ELSE 'apart' END AS decision FROM p WHERE c_a IS NOT NULL
+UNION ALL SELECT id, NULL, NULL, 'ok', 'no_score' FROM p WHERE c_a IS NULL""")
+def marker_verdicts(spark, sf_dir):
+    """What completeness and contamination say of a union."""
+    k = F.col("c_custkey")
+    p = fx.table(spark, sf_dir, "customer").select(k.alias("id"), F.when(k % 9 != 0, 40.0 + k % 37).alias("c_a"), (k % 5 * 1.0).alias("x_a"), (42.0 + k % 31).alias("c_b"), (k % 4 * 1.0).alias("x_b"), (45.0 + k % 43).alias("c_ab"), (k % 8 * 1.0).alias("x_ab"))
+    return merge.marker_verdicts(p).select("id", "gain", "rise", F.lit("ok").alias("kind"), "decision")
+
+
+@query("WITH r AS (SELECT least(l_suppkey, l_partkey % 50) AS a, greatest(l_suppkey, l_partkey % 50) AS b, min(l_extendedprice) AS separation FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1, 2) SELECT a, b, separation FROM r ORDER BY separation, a, b LIMIT 40")
+def marker_candidates(spark, sf_dir):
+    """The closest pairs that GC alone kept apart."""
+    li = fx.table(spark, sf_dir, "lineitem")
+    why = F.when(F.col("l_returnflag") == "A", "gc_diff").otherwise("misfit")
+    other = F.col("l_partkey") % 50
+    return merge.marker_candidates(li.select(F.least("l_suppkey", other).alias("a"), F.greatest("l_suppkey", other).alias("b"), F.col("l_extendedprice").alias("separation"), why.alias("refusal")))
+
+
+@query(f"WITH {fx.CANDIDATES} SELECT name, round(c_ch, 6) AS ch, round(c_db, 6) AS db, round(c_si, 6) AS si, round(c_k10, 6) AS k10, round(c_k30, 6) AS k30 FROM ch")
+def metric_changes(spark, sf_dir):
+    """Q3: signed changes of the metrics that both sides have."""
+    names = {"ch": "calinski_harabasz", "db": "davies_bouldin", "si": "silhouette", "k10": "knn_agree@10", "k30": "knn_agree@30"}
+    x = quality.changes(fx.candidates(spark, sf_dir))
+    return x.select("name", *(F.round(F.col("changes")[m], 6).alias(c) for c, m in names.items()))
+
+
+@query(f"""WITH {fx.CANDIDATES}, k AS (SELECT *, coalesce(a_bp, 0) - coalesce(b_bp, 0) AS gain, list_filter([c_ch, c_db, c_si, r_k10, r_k30], lambda x: x IS NOT NULL) AS terms, list_filter([c_ch, c_db, c_si, c_k10, c_k30], lambda x: x IS NOT NULL) AS all_ch FROM ch),
+v AS (SELECT *, list_avg(terms) AS col, list_min(all_ch) AS low, len(all_ch) > 0 AS known, coalesce(b_ch, b_db, b_si, b_k10, b_k30) IS NOT NULL AS had,
+ concat_ws(';', CASE WHEN b_ch IS NOT NULL AND coalesce(c_ch < -0.1 - 1e-9, true) THEN 'calinski_harabasz' END, CASE WHEN b_k10 IS NOT NULL AND coalesce(c_k10 < -0.01 - 1e-9, true) THEN 'knn_agree@10' END, CASE WHEN b_k30 IS NOT NULL AND coalesce(c_k30 < -0.01 - 1e-9, true) THEN 'knn_agree@30' END,
+ CASE WHEN col < -0.05 - 1e-9 THEN 'collective' END, CASE WHEN a_bp IS NOT NULL AND gain < -2 - 1e-9 THEN 'assigned_bp' END, CASE WHEN b_n >= 5 AND a_n < 0.7 * b_n - 1e-9 THEN 'bin_collapse' END) AS why FROM k)
+SELECT name, CASE WHEN known THEN why = '' ELSE NOT had END AS passed, round(CASE WHEN known THEN col + 0.5 * gain / 100 WHEN had THEN -1e6 ELSE 0 END, 6) AS score, round(CASE WHEN known THEN col WHEN had THEN -1 ELSE 0 END, 6) AS collective,
+ round(CASE WHEN known THEN low WHEN had THEN -1 ELSE 0 END, 6) AS worst, CASE WHEN known THEN why WHEN had THEN 'metrics undefined' ELSE '' END AS reasons FROM v""")
+def judged_candidates(spark, sf_dir):
+    """Q4: the gate's verdict on each candidate."""
+    x = quality.judged(fx.candidates(spark, sf_dir), quality.Tolerance(points=1.0, collective=True))
+    return x.select("name", "passed", *(F.round(c, 6).alias(c) for c in ("score", "collective", "worst")), F.concat_ws(";", "reasons").alias("reasons"))
+
+
+@query(f"WITH {fx.CANDIDATES} SELECT name, NOT (a_n + 1e-9 < b_n) AS passed, round(weakest + 0.5 * (a_bp - b_bp) / 100, 6) AS score FROM cd")
+def judged_splits(spark, sf_dir):
+    """Q5: the gate's verdict on splits."""
+    return quality.judged_splits(fx.candidates(spark, sf_dir)).select("name", "passed", F.round("score", 6).alias("score"))
+
+
+@query(f"""WITH {SHAPES}, pr2 AS (SELECT p.label AS a, q.label AS b FROM (SELECT DISTINCT label FROM ex) p JOIN (SELECT DISTINCT label FROM ex) q ON p.label < q.label), fa AS (SELECT label, pos, abs(x - m) AS far FROM ex JOIN md USING (label, pos)),
+sd AS (SELECT a, b, pos, greatest(median(far) * 1.4826, 0.05) AS sd FROM pr2 JOIN fa ON fa.label = a OR fa.label = b GROUP BY 1, 2, 3)
+SELECT a, b, round(avg(abs(p.m - q.m) / sd), 5) AS z FROM sd JOIN md p ON p.label = a AND p.pos = sd.pos JOIN md q ON q.label = b AND q.pos = sd.pos GROUP BY 1, 2""")
+def pooled_coverage(spark, sf_dir):
+    """How far two bins' coverage is apart, in pooled deviations."""
+    r = rows(spark, sf_dir).where("label >= 0")
+    names = r.select("label").distinct()
+    pairs = names.withColumnRenamed("label", "a").join(F.broadcast(names.withColumnRenamed("label", "b")), F.col("a") < F.col("b"))
+    return groups.pooled_z(r, pairs).select("a", "b", F.round("z", 5).alias("z"))
 
 
 @query()

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loamwork.operators.quality import Verdict, judge
+from loamwork.operators.quality import Tolerance, Verdict, judge
 
 
 def label_key(rows: DataFrame) -> str:
@@ -38,9 +38,9 @@ class Gate:
             self.cache[key] = self.metrics(rows)
         return self.cache[key]
 
-    def step(self, name: str, before: DataFrame, stage: Callable[[DataFrame], DataFrame], gated: bool = True, **limits) -> DataFrame:
+    def step(self, name: str, before: DataFrame, stage: Callable[[DataFrame], DataFrame], gated: bool = True, tolerance: Tolerance = Tolerance()) -> DataFrame:
         after = stage(before)
-        v: Verdict = judge(self.measure(before), self.measure(after), **limits)
+        v: Verdict = judge(before.sparkSession, self.measure(before), self.measure(after), tolerance)
         use = v.passed or not (gated and self.enabled)
         self.log.append({"stage": name, "passed": v.passed, "used": use, "score": v.score, "reasons": "; ".join(v.reasons)})
         return after if use else before

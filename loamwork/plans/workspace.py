@@ -24,3 +24,12 @@ def settled(df: DataFrame) -> DataFrame:
     path = workspace(df.sparkSession)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Rows of a table that is broadcast at most.
+BROADCAST_ROWS = 100_000
+
+
+def few(table: DataFrame) -> bool:
+    """Has the table so few rows that it may be broadcast? Counted, not guessed."""
+    return table.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS

@@ -3,38 +3,10 @@
 import numpy as np
 
 import __spark_entry__ as entry
-from loamwork.operators import density, encoder, merge
+from loamwork.operators import density, encoder
 from loamwork.plans.q_bins import rows
 
 
-def _bins(n=700):
-    rnd = np.random.default_rng(5)
-    out = []
-    for label in range(10):
-        centre = np.eye(4)[label % 4] * 3
-        out += [(label, v, s, float(g)) for v, s, g in zip(rnd.normal(centre, 0.4, (n, 4)), rnd.normal(0, 0.1, (n, 3)), rnd.normal(0.4 + 0.1 * (label == 5), 0.01, n), strict=True)]
-    return [(k, (v / np.linalg.norm(v)).tolist(), s.tolist(), g) for k, v, s, g in out]
-
-
-def test_merging_takes_all_rows(spark):
-    made = _bins()
-    assert len(made) > 5000
-    by = {k: [r for r in made if r[0] == k] for k in range(10)}
-    arrays = {k: merge.Group(*(np.array([r[i] for r in g]) for i in (1, 2, 3))) for k, g in by.items()}
-    guards = merge.Guards(separation=0.62, coverage=3.0, gc_difference=0.05, gc_outside=0.9, misfit=0.9, reciprocal=True)
-    table = spark.createDataFrame(made, "label int, u array<double>, shape array<double>, gc double").cache()
-    home, notes = merge.merge_groups(merge.RowGroup.all_of(table), guards)
-    assert (home, notes) == merge.merge_groups(arrays, guards)
-    assert set(home) == set(range(10)) and home[9] == 1 and home[5] == 5
-
-
-def test_merged_groups_is_the_loop_over_all_members(spark, sf):
-    r = rows(spark, sf).where("label >= 0").select("label", "u", "shape", "gc").toPandas()
-    groups = {int(k): merge.Group(np.stack(g["u"].to_list()), np.stack(g["shape"].to_list()), g["gc"].to_numpy()) for k, g in r.groupby("label")}
-    home, _ = merge.merge_groups(groups, merge.Guards(separation=0.62, coverage=3.0, gc_difference=0.05, misfit=0.9))
-    assert {x.label: x.bin for x in entry.queries()["merged_groups"](spark, sf).collect()} == home
-
-
 def test_density_parts_take_whole_vectors(spark, sf):
     want = {}
     r = rows(spark, sf).where("label >= 0").toPandas()

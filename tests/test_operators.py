@@ -178,45 +178,23 @@ def test_vae_gradients_and_training():
         short.p[k][i] += 1e-5
 
 
-def _group(center, n, seed, gc=0.4):
-    rnd = np.random.default_rng(seed)
-    v = rnd.normal(center, 0.05, (n, 3))
-    return merge.Group(v / np.linalg.norm(v, axis=1, keepdims=True), rnd.normal(0, 0.1, (n, 4)), np.full(n, gc))
-
-
-def test_merging_and_guards():
-    g = {1: _group((1, 0, 0), 30, 1), 2: _group((1, 0, 0), 20, 2), 3: _group((0, 1, 0), 20, 3)}
-    home, notes = merge.merge_groups(g, merge.Guards(separation=1.0, coverage=3.0))
-    assert home == {1: 1, 2: 1, 3: 3} and not notes
-    g[2] = _group((1, 0, 0), 20, 2, gc=0.6)
-    home, notes = merge.merge_groups(g, merge.Guards(separation=1.0, coverage=3.0, gc_difference=0.1))
-    assert home == {1: 1, 2: 2, 3: 3} and notes == [(2, 1, "gc_diff")]
-
-
-def test_redundant_bins_are_not_transitive():
-    kept, absorbed = merge.redundant_bins({"a": 30, "b": 20, "c": 10}, [("a", "b", 99.5, 90, 90), ("b", "c", 99.5, 90, 90), ("a", "a", 100, 100, 100)])
-    assert kept == ["a", "c"] and absorbed == {"a": ["b"]}
-
-
-def test_marker_merges():
-    score = {frozenset([1]): (40.0, 1.0), frozenset([2]): (45.0, 1.0), frozenset([1, 2]): (80.0, 1.5), frozenset([3]): (50.0, 0.0), frozenset([1, 2, 3]): (82.0, 9.0)}.get
-    assert merge.marker_merges([(0.1, 1, 2), (0.2, 2, 3)], score) == {2: 1}
-
-
 def test_balanced_chunks():
     c = merge.balanced_chunks({"a": 9, "b": 5, "c": 4, "d": 1}, 2)
     assert sorted(map(sorted, c)) == [["a"], ["b", "c", "d"]] or sorted(map(sorted, c)) == [["a", "d"], ["b", "c"]]
 
 
-def test_judge():
+def test_judge(spark):
+    judge = lambda before, after: quality.judge(spark, before, after)
     ref = {"calinski_harabasz": 100.0, "knn_agree@10": 0.9, "silhouette": 0.5, "assigned_bp_pct": 80.0, "n_clusters": 10}
-    assert quality.judge(ref, ref | {"silhouette": 0.1}).passed
-    assert "calinski_harabasz" in quality.judge(ref, ref | {"calinski_harabasz": 80.0}).reasons[0]
-    assert not quality.judge(ref, ref | {"knn_agree@10": 0.86}).passed
-    assert quality.judge(ref, ref | {"assigned_bp_pct": 70.0}).reasons == ("assigned_bp",)
-    assert quality.judge(ref, ref | {"n_clusters": 4}).reasons == ("bin_collapse",)
-    assert quality.judge(ref, {}).reasons == ("metrics undefined",)
-    assert not quality.judge_split(ref, ref | {"n_clusters": 9}).passed
+    assert judge(ref, ref | {"silhouette": 0.1}).passed
+    assert "calinski_harabasz" in judge(ref, ref | {"calinski_harabasz": 80.0}).reasons[0]
+    assert not judge(ref, ref | {"knn_agree@10": 0.86}).passed
+    assert judge(ref, ref | {"assigned_bp_pct": 70.0}).reasons == ("assigned_bp",)
+    assert judge(ref, ref | {"n_clusters": 4}).reasons == ("bin_collapse",)
+    assert judge(ref, {}).reasons == ("metrics undefined",) and judge({}, {}).passed
+    assert judge(ref, ref | {"calinski_harabasz": float("nan")}).reasons == ("calinski_harabasz",)
+    split = spark.createDataFrame([(ref | {"n_clusters": 10.0}, ref | {"n_clusters": 9.0}, 0.5)], "before map<string,double>, after map<string,double>, weakest double")
+    assert not quality.judged_splits(split).first().passed
 
 
 def test_gate_reverts(spark):
