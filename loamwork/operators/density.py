@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -20,10 +21,10 @@ def auto_params(n: int) -> tuple[int, int]:
     return max(5, min(50, n // 500)), max(2, min(20, n // 100))
 
 
-def core_distances(rows: DataFrame, min_samples: int) -> DataFrame:
+def core_distances(rows: DataFrame, min_samples: int, search: Callable[..., DataFrame] = knn) -> DataFrame:
     """M8: contig_id, core: the distance of the min_samples-th neighbour; the point itself is the first."""
     v = rows.select("contig_id", "vec")
-    return knn(v, v, max(1, min_samples - 1)).groupBy("query_id").agg(F.max("distance").alias("core")).withColumnRenamed("query_id", "contig_id")
+    return search(v, v, max(1, min_samples - 1)).groupBy("query_id").agg(F.max("distance").alias("core")).withColumnRenamed("query_id", "contig_id")
 
 
 def reachability(neighbours: DataFrame, cores: DataFrame) -> DataFrame:

@@ -50,6 +50,12 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, drop_self: bool = True, que
     q, r = _blocks(queries, "q", qn), _blocks(refs, "r", rn)
     meetings = r.withColumn("q_block", F.explode(F.sequence(F.lit(0), F.lit(qn - 1)))).join(q, "q_block")
 
+    return _best(meetings.select("q_ids", "q_mat", "r_ids", "r_mat"), k, drop_self, parts)
+
+
+def _best(meetings: DataFrame, k: int, drop_self: bool, parts: int) -> DataFrame:
+    """query_id, ref_id, distance, rank of the k nearest over all meetings of blocks; a meeting sends at most k rows a query."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for qi, qm, ri, rm in zip(*(b.column(c).to_pylist() for c in ("q_ids", "q_mat", "r_ids", "r_mat")), strict=True):
@@ -68,21 +74,93 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, drop_self: bool = True, que
                     good = np.isfinite(d[rows, cols])
                     yield pa.RecordBatch.from_pydict({"query_id": ids[some][rows][good], "ref_id": ref[cols][good], "distance": exact[good]})
 
-    found = meetings.select("q_ids", "q_mat", "r_ids", "r_mat").mapInArrow(run, _ROWS)
+    found = meetings.mapInArrow(run, _ROWS)
     best = Window.partitionBy("query_id").orderBy("distance", "ref_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def knn_approximate(rows: DataFrame, k: int, radius: float, tables: int = 6, bucket: float = 1.0) -> DataFrame:
-    """K1: neighbours within a radius that share a bucket of random projections, ranked by exact distance; near-linear work."""
-    from pyspark.ml.feature import BucketedRandomProjectionLSH
-    from pyspark.ml.functions import array_to_vector
+#: Rows that an index is fitted on at most, those with the lowest hashes; every row is indexed.
+FIT_ROWS = 20_000
+#: Rows whose exact neighbours calibrate how many cells a search visits.
+CALIBRATION_ROWS = 200
+CELLS = 4096
 
-    v = rows.select("contig_id", array_to_vector("vec").alias("features"))
-    model = BucketedRandomProjectionLSH(inputCol="features", outputCol="hashes", bucketLength=bucket, numHashTables=tables, seed=7).fit(v)
-    pairs = model.approxSimilarityJoin(v, v, radius, "distance").select(F.col("datasetA.contig_id").alias("query_id"), F.col("datasetB.contig_id").alias("ref_id"), "distance").where("query_id <> ref_id")
-    best = Window.partitionBy("query_id").orderBy("distance", "ref_id")
-    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+class Cells:
+    """An inverted file: centroids of cells, and how many of them a search visits.
+
+    Fitted on a bounded sample, by Lloyd's steps; visits is the least number of cells with
+    which calibration rows find at least target of their exact neighbours within the sample.
+    """
+
+    def __init__(self, sample: np.ndarray, k: int, target: float = 0.95, cells: int | None = None, steps: int = 8, seed: int = 0):
+        rnd = np.random.default_rng(seed)
+        n = cells or int(np.clip(np.sqrt(len(sample)), 1, CELLS))
+        self.centres = sample[rnd.permutation(len(sample))[:n]].astype(np.float64)
+        for _ in range(steps):
+            own = self.nearest(sample, 1)[:, 0]
+            total = np.zeros_like(self.centres)
+            np.add.at(total, own, sample)
+            size = np.bincount(own, minlength=len(self.centres))
+            self.centres[size > 0] = total[size > 0] / size[size > 0, None]
+        self.visits = self._calibrated(sample, k, target)
+
+    def nearest(self, x: np.ndarray, m: int) -> np.ndarray:
+        """The m nearest cells of each row, the nearest first."""
+        out = np.empty((len(x), m), np.int64)
+        for at in range(0, len(x), 2048):
+            some = x[at : at + 2048]
+            d = (self.centres**2).sum(1)[None] - 2 * some @ self.centres.T
+            near = np.argpartition(d, m - 1, axis=1)[:, :m] if m < d.shape[1] else np.tile(np.arange(m), (len(some), 1))
+            out[at : at + 2048] = np.take_along_axis(near, np.argsort(np.take_along_axis(d, near, 1), axis=1, kind="stable"), 1)
+        return out
+
+    def _calibrated(self, sample: np.ndarray, k: int, target: float) -> int:
+        asked = sample[:CALIBRATION_ROWS]
+        d = (asked**2).sum(1)[:, None] + (sample**2).sum(1)[None] - 2 * asked @ sample.T
+        d[np.arange(len(asked)), np.arange(len(asked))] = np.inf
+        k = max(1, min(k, len(sample) - 1))
+        exact = np.argpartition(d, k - 1, axis=1)[:, :k]
+        place = np.empty((len(asked), len(self.centres)), np.int64)
+        np.put_along_axis(place, self.nearest(asked, len(self.centres)), np.arange(len(self.centres))[None], 1)
+        needed = np.take_along_axis(place, self.nearest(sample, 1)[:, 0][exact], 1)  # the visit that finds each neighbour
+        found = np.array([(needed < m).mean() for m in range(1, len(self.centres) + 1)])
+        return int(np.argmax(found >= target)) + 1
+
+
+def fit_cells(refs: DataFrame, k: int, target: float = 0.95, cells: int | None = None) -> Cells:
+    """Cells for refs (contig_id, vec), fitted on FIT_ROWS of them at most."""
+    rows = refs.select("contig_id", "vec").orderBy(F.xxhash64("contig_id"), "contig_id").limit(FIT_ROWS).toArrow()
+    return Cells(np.array(rows.column("vec").to_pylist(), np.float64).reshape(rows.num_rows, -1), k, target, cells)
+
+
+def knn_indexed(queries: DataFrame, refs: DataFrame, k: int, index: Cells | None = None, drop_self: bool = True) -> DataFrame:
+    """K1: knn() by an index: each query meets only the references in the cells that it visits. Distances are exact.
+
+    A cell's references are packed into blocks of BLOCK rows and its queries too, so that
+    a crowded cell is many small meetings. index is fitted on refs unless given.
+    """
+    index = index or fit_cells(refs, k)
+    shared = queries.sparkSession.sparkContext.broadcast(index)  # CELLS centres at most
+    parts = int(queries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def placed(rows: DataFrame, name: str, visits: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for at in range(0, b.num_rows, BLOCK):
+                    some = b.slice(at, BLOCK)
+                    ids, x = some.column("contig_id").to_numpy(), np.array(some.column("vec").to_pylist(), np.float64)
+                    cell = shared.value.nearest(x, visits).reshape(-1)
+                    row = np.repeat(np.arange(len(ids)), visits)
+                    order = np.argsort(cell, kind="stable")
+                    heads = np.flatnonzero(np.diff(cell[order], prepend=-1))
+                    groups = np.split(order, heads[1:])
+                    yield pa.RecordBatch.from_pydict({"cell": cell[order][heads], f"{name}_ids": [ids[row[g]].astype("<i8").tobytes() for g in groups], f"{name}_mat": [x[row[g]].astype("<f8").tobytes() for g in groups]})
+
+        return rows.select("contig_id", "vec").mapInArrow(run, f"cell long, {name}_ids binary, {name}_mat binary")
+
+    meetings = placed(queries, "q", index.visits).join(placed(refs, "r", 1), "cell")
+    return _best(meetings.select("q_ids", "q_mat", "r_ids", "r_mat"), k, drop_self, parts)
 
 
 def votes(neighbours: DataFrame, labels: DataFrame) -> DataFrame:

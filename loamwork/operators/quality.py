@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamwork.functions import vectors as V
-from loamwork.operators import groups
+from loamwork.operators import groups, sampling
 from loamwork.operators.neighbours import knn
 
 # Which way a metric improves, and whether its change counts relatively or in percentage points.
@@ -31,23 +34,63 @@ def indices(rows: DataFrame) -> DataFrame:
     return s.select(F.col("k").alias("n_clusters"), ch.alias("calinski_harabasz")).join(worst.agg(F.avg("w").alias("davies_bouldin")))
 
 
-def silhouette(rows: DataFrame) -> DataFrame:
-    """Q1, Q2: the mean silhouette, and its mean over bins. Exact distances: meant for a bounded sample, as in the gate."""
-    x = rows.where("label >= 0").select("contig_id", "label", "u")
-    y = x.select(F.col("contig_id").alias("other"), F.col("label").alias("bin"), F.col("u").alias("w"))
-    n = x.groupBy("label").agg(F.count("*").alias("n"))
-    sums = x.join(y, F.col("contig_id") != F.col("other")).groupBy("contig_id", "label", "bin").agg(F.sum(V.distance(F.col("u"), F.col("w"))).alias("d"), F.count("*").alias("k"))
-    own = F.max(F.when(F.col("bin") == F.col("label"), F.col("d") / F.col("k")))
-    s = sums.groupBy("contig_id", "label").agg(own.alias("a"), F.min(F.when(F.col("bin") != F.col("label"), F.col("d") / F.col("k"))).alias("b"))
-    s = s.join(F.broadcast(n), "label").select("label", F.when(F.col("n") == 1, 0.0).otherwise((F.col("b") - F.col("a")) / F.greatest("a", "b")).alias("s"))
-    by = s.groupBy("label").agg(F.sum("s").alias("t"), F.count("*").alias("n"))
+#: Rows that silhouettes, and queries and references that neighbour agreement, look at.
+SILHOUETTE_ROWS, AGREEMENT_ROWS = 10_000, (10_000, 150_000)
+
+
+def silhouettes(rows: DataFrame, sample: int = SILHOUETTE_ROWS) -> DataFrame:
+    """Q1: contig_id, label, s of a sample of labelled rows: each row's silhouette within the sample.
+
+    The sample is bounded, so it is broadcast; each row's distances to it are summed by bin in one pass.
+    """
+    some = sampling.hash_sample(rows.where("label >= 0").select("contig_id", "label", "u"), sample)
+    known = some.orderBy("contig_id").toArrow()
+    names, own = np.unique(known.column("label").to_numpy(), return_inverse=True) if known.num_rows else (np.zeros(0), np.zeros(0, int))
+    shared = rows.sparkSession.sparkContext.broadcast((np.array(known.column("u").to_pylist(), np.float64).reshape(known.num_rows, -1 if known.num_rows else 1), own, len(names), known.column("contig_id").to_numpy(), known.column("label").to_numpy()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        x, bins, k, ids, labels = shared.value
+        size = np.bincount(bins, minlength=k)
+        for b in batches:
+            for at in b.column(0).to_pylist():
+                part = slice(at * 512, (at + 1) * 512)
+                d = np.sqrt(np.maximum((x[part] ** 2).sum(1)[:, None] + (x**2).sum(1)[None] - 2 * x[part] @ x.T, 0))
+                d[np.arange(len(d)), np.arange(at * 512, at * 512 + len(d))] = 0
+                total = np.stack([np.bincount(bins, row, k) for row in d]) if len(d) else np.zeros((0, k))
+                mine = bins[part]
+                here = np.arange(len(d))
+                a = total[here, mine] / np.maximum(size[mine] - 1, 1)
+                other = total / np.maximum(size, 1)
+                other[here, mine] = np.inf
+                near = np.where(np.isnan(other), np.inf, other).min(1, initial=np.inf)
+                s = np.where((size[mine] > 1) & np.isfinite(near), (near - a) / np.maximum(np.maximum(a, near), 1e-300), 0.0)
+                yield pa.RecordBatch.from_pydict({"contig_id": ids[part], "label": labels[part].astype(np.int32), "s": s})
+
+    blocks = -(-known.num_rows // 512)
+    return rows.sparkSession.range(0, blocks, 1, max(1, blocks)).mapInArrow(run, "contig_id long, label int, s double")
+
+
+def silhouette(rows: DataFrame, sample: int = SILHOUETTE_ROWS) -> DataFrame:
+    """Q1, Q2: the mean silhouette, and its mean over bins."""
+    by = silhouettes(rows, sample).groupBy("label").agg(F.sum("s").alias("t"), F.count("*").alias("n"))
     return by.agg((F.sum("t") / F.sum("n")).alias("silhouette"), F.avg(F.col("t") / F.col("n")).alias("silhouette_macro"))
 
 
-def neighbour_agreement(rows: DataFrame, ks: tuple[int, ...] = (10, 30, 50)) -> DataFrame:
-    """Q1: the mean share of k neighbours with a row's own label, for each k; neighbours are found once."""
+def silhouette_reasons(rows: DataFrame, sample: int = SILHOUETTE_ROWS) -> DataFrame:
+    """Q2: one row with silhouette (null where it isn't defined) and why."""
+    n = rows.where("label >= 0").agg(F.count("*").alias("n"), F.count_distinct("label").alias("bins"))
+    why = F.when(F.col("bins") == 0, "no labelled rows").when(F.col("bins") == 1, "a single bin").when(F.col("n") <= F.col("bins"), "every bin has one row").otherwise("")
+    return n.join(silhouette(rows, sample)).select(F.when(why == "", F.col("silhouette")).alias("silhouette"), why.alias("reason"))
+
+
+def neighbour_agreement(rows: DataFrame, ks: tuple[int, ...] = (10, 30, 50), most: tuple[int, int] = AGREEMENT_ROWS, search: Callable[..., DataFrame] = knn) -> DataFrame:
+    """Q1: the mean share of k neighbours with a row's own label, for each k; neighbours are found once.
+
+    Queries and references are samples of most rows, by lowest hash; search finds the neighbours.
+    """
     x = rows.where("label >= 0").select("contig_id", "label", F.col("u").alias("vec"))
-    near = knn(x, x, max(ks)).join(x.select(F.col("contig_id").alias("ref_id"), F.col("label").alias("theirs")), "ref_id").join(x.select(F.col("contig_id").alias("query_id"), "label"), "query_id")
+    asked, known = (sampling.hash_sample(x, n) for n in most)
+    near = search(asked, known, max(ks)).join(known.select(F.col("contig_id").alias("ref_id"), F.col("label").alias("theirs")), "ref_id").join(asked.select(F.col("contig_id").alias("query_id"), "label"), "query_id")
     same = (F.col("theirs") == F.col("label")).cast("double")
     by = near.groupBy("query_id").agg(*(F.avg(F.when(F.col("rank") <= k, same)).alias(f"a{k}") for k in ks))
     return by.agg(*(F.avg(f"a{k}").alias(f"knn_agree@{k}") for k in ks))

@@ -5,6 +5,8 @@ Votes always use the labels from before the stage. Labels of -1 are noise.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from loamwork.operators import groups
 from loamwork.operators.neighbours import knn, votes
 from loamwork.plans.workspace import settled
 
+#: What finds neighbours: knn (exact, all blocks meet) or knn_indexed (for large tables).
+Search = Callable[..., DataFrame]
+
 
 def _relabelled(rows: DataFrame, moves: DataFrame) -> DataFrame:
     """rows with the labels of moves (contig_id, new_label)."""
@@ -23,15 +28,15 @@ def _vec(rows: DataFrame, column: str = "u") -> DataFrame:
     return rows.select("contig_id", F.col(column).alias("vec"))
 
 
-def rescue_by_votes(rows: DataFrame, k: int, radius: float, min_support: int, agreement: float, ref_prob: float) -> DataFrame:
+def rescue_by_votes(rows: DataFrame, k: int, radius: float, min_support: int, agreement: float, ref_prob: float, search: Search = knn) -> DataFrame:
     """K4: noise takes the majority label of its trusted neighbours within a radius."""
     refs = rows.where((F.col("label") >= 0) & (F.col("prob") >= ref_prob))
-    near = knn(_vec(rows.where("label < 0")), _vec(refs), k).where(F.col("distance") <= radius)
+    near = search(_vec(rows.where("label < 0")), _vec(refs), k).where(F.col("distance") <= radius)
     v = votes(near, refs).where((F.col("support") >= min_support) & (F.col("agree") >= min_support) & (F.col("agree") >= agreement * F.col("support")))
     return _relabelled(rows, v.select(F.col("query_id").alias("contig_id"), F.col("winner").alias("new_label")))
 
 
-def rescue_by_centroid(rows: DataFrame, max_distance: float, margin: float, k: int, radius: float, min_support: int, agreement: float, ref_prob: float) -> DataFrame:
+def rescue_by_centroid(rows: DataFrame, max_distance: float, margin: float, k: int, radius: float, min_support: int, agreement: float, ref_prob: float, search: Search = knn) -> DataFrame:
     """K3: noise takes the nearest centroid's label if it is near, clearly nearest, and local neighbours agree."""
     refs = rows.where((F.col("label") >= 0) & (F.col("prob") >= ref_prob))
     c = groups.means(refs, "label", "u").select(F.col("label").alias("bin"), V.unit(F.col("mean")).alias("centroid"))
@@ -40,7 +45,7 @@ def rescue_by_centroid(rows: DataFrame, max_distance: float, margin: float, k: i
     order = Window.partitionBy("contig_id").orderBy("d", "bin")
     first = d.withColumn("k", F.row_number().over(order)).withColumn("next", F.lead("d").over(order)).where("k = 1")
     first = first.where((F.col("d") <= max_distance) & (F.col("next").isNull() | (F.col("next") - F.col("d") >= margin)))
-    near = knn(_vec(noise), _vec(refs), k).where(F.col("distance") <= radius).join(refs.select(F.col("contig_id").alias("ref_id"), F.col("label").alias("vote")), "ref_id")
+    near = search(_vec(noise), _vec(refs), k).where(F.col("distance") <= radius).join(refs.select(F.col("contig_id").alias("ref_id"), F.col("label").alias("vote")), "ref_id")
     local = near.join(first.select(F.col("contig_id").alias("query_id"), "bin"), "query_id").groupBy("query_id", "bin").agg(F.count("*").alias("support"), F.sum((F.col("vote") == F.col("bin")).cast("long")).alias("agree"))
     ok = local.where((F.col("support") >= min_support) & (F.col("agree") >= min_support) & (F.col("agree") >= agreement * F.col("support")))
     return _relabelled(rows, ok.select(F.col("query_id").alias("contig_id"), F.col("bin").alias("new_label")))
@@ -68,11 +73,11 @@ def medoid_refinement(rows: DataFrame, max_distance: float, passes: int, converg
     return rows
 
 
-def recruit_short(rows: DataFrame, min_length: int, cluster_length: int, k: int, radius: float, min_support: int, agreement: float) -> DataFrame:
+def recruit_short(rows: DataFrame, min_length: int, cluster_length: int, k: int, radius: float, min_support: int, agreement: float, search: Search = knn) -> DataFrame:
     """K6: short unlabelled rows take the label of their near neighbours if these agree."""
     short = rows.where((F.col("label") < 0) & (F.col("length") >= min_length) & (F.col("length") < cluster_length))
     refs = rows.where((F.col("label") >= 0) & (F.col("length") >= cluster_length))
-    near = knn(_vec(short), _vec(refs), k).where(F.col("distance") <= radius)
+    near = search(_vec(short), _vec(refs), k).where(F.col("distance") <= radius)
     v = votes(near, refs).where((F.col("support") >= min_support) & (F.col("agree") >= agreement * F.col("support")))
     return _relabelled(rows, v.select(F.col("query_id").alias("contig_id"), F.col("winner").alias("new_label")))
 
@@ -87,9 +92,9 @@ def consensus_pass(rows: DataFrame, neighbours: DataFrame, k: int, share: float,
     return _relabelled(rows, fit.select("contig_id", F.col("winner").alias("new_label")))
 
 
-def consensus_reassign(rows: DataFrame, k: int, share: float, max_z: float, passes: int) -> DataFrame:
+def consensus_reassign(rows: DataFrame, k: int, share: float, max_z: float, passes: int, search: Search = knn) -> DataFrame:
     """K7: passes over neighbours that are found once; ends when nothing moves."""
-    near = settled(knn(_vec(rows.where("label >= 0")), _vec(rows.where("label >= 0")), k))
+    near = settled(search(_vec(rows.where("label >= 0")), _vec(rows.where("label >= 0")), k))
     for _ in range(passes):
         new = settled(consensus_pass(rows, near, k, share, max_z))
         same = not new.join(rows.select("contig_id", F.col("label").alias("old")), "contig_id").where("label <> old").limit(1).count()
@@ -110,19 +115,19 @@ def prune_outliers(rows: DataFrame, limit: float, min_bin: int, max_share: float
     return x.withColumn("was", F.col("label")).withColumn("label", F.when(F.col("pruned"), -1).otherwise(F.col("label")))
 
 
-def reassign_pruned(rows: DataFrame, k: int, min_votes: int, max_z: float) -> DataFrame:
+def reassign_pruned(rows: DataFrame, k: int, min_votes: int, max_z: float, search: Search = knn) -> DataFrame:
     """K9: pruned rows go to the best-fitting of the bins that hold enough of their neighbours."""
     refs = rows.where("label >= 0")
-    near = knn(_vec(rows.where("pruned")), _vec(refs), k).join(refs.select(F.col("contig_id").alias("ref_id"), F.col("label").alias("bin")), "ref_id")
+    near = search(_vec(rows.where("pruned")), _vec(refs), k).join(refs.select(F.col("contig_id").alias("ref_id"), F.col("label").alias("bin")), "ref_id")
     options = near.groupBy("query_id", "bin").agg(F.count("*").alias("n")).where(F.col("n") >= min_votes)
     x = options.join(rows.select(F.col("contig_id").alias("query_id"), "shape"), "query_id").join(F.broadcast(groups.shape_models(refs).withColumnRenamed("label", "bin")), "bin")
     best = x.groupBy("query_id").agg(F.min(F.struct(V.shape_z(F.col("shape"), F.col("median"), F.col("sd")).alias("z"), "bin")).alias("b")).where(F.col("b.z") <= max_z)
     return _relabelled(rows, best.select(F.col("query_id").alias("contig_id"), F.col("b.bin").alias("new_label")))
 
 
-def neighbour_jaccard(a: DataFrame, b: DataFrame, k: int) -> DataFrame:
+def neighbour_jaccard(a: DataFrame, b: DataFrame, k: int, search: Search = knn) -> DataFrame:
     """U4: contig_id, jaccard of its k neighbours in two spaces."""
-    sets = lambda x, n: knn(x, x, k).groupBy("query_id").agg(F.collect_set("ref_id").alias(n))
+    sets = lambda x, n: search(x, x, k).groupBy("query_id").agg(F.collect_set("ref_id").alias(n))
     return sets(a, "sa").join(sets(b, "sb"), "query_id").select(F.col("query_id").alias("contig_id"), V.jaccard(F.col("sa"), F.col("sb")).alias("jaccard"))
 
 

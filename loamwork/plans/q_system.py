@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loamwork.functions import vectors as V
-from loamwork.operators import density, encoder, groups, merge, quality
-from loamwork.operators.neighbours import knn, knn_approximate
+from loamwork.operators import density, encoder, groups, merge, quality, split
+from loamwork.operators.neighbours import knn, knn_indexed
 from loamwork.plans import fixtures as fx
 from loamwork.plans import runs
 from loamwork.plans.q_bins import BINS, CENTRES, SHAPES, rows
@@ -100,10 +100,27 @@ def density_parts(spark, sf_dir):
     return density.cluster_groups(r, "label", 4, 2)
 
 
+PIECES = split.PieceRules(min_contigs=30, min_cluster=3, min_samples=2, min_part_bp=20_000, limits=merge.Limits(separation=0.2, coverage=3.0))
+
+
+@query()
+def subclustered(spark, sf_dir):
+    """Large bins cut into density pieces, which move, merge, take in noise by votes, and stand if two are large."""
+    return split.subcluster(rows(spark, sf_dir), PIECES)
+
+
+@query()
+def split_decisions(spark, sf_dir):
+    """Q6: a split of each bin in two by the side of a plane, judged bin by bin."""
+    r = rows(spark, sf_dir).withColumn("cut", F.when(F.col("label") < 0, -1).when(F.col("contig_id") % 11 == 0, -1).otherwise(2 * F.col("label") + (F.element_at("u", 1) > 0).cast("int")))
+    return split.decide_splits(r, split.SplitRules(max_drop_points=60.0, min_z=0.01, max_loss=0.2))
+
+
 @query()
 def neighbours_approximate(spark, sf_dir):
-    """K1: hashed neighbours with exact distances."""
-    return knn_approximate(rows(spark, sf_dir).select("contig_id", "vec"), 5, 1.3)
+    """K1: neighbours by the index, for every row whose id is divisible by 50, among all rows."""
+    r = rows(spark, sf_dir).select("contig_id", "vec")
+    return knn_indexed(r.where("contig_id % 50 = 0"), r, 10)
 
 
 LIMITS = merge.Limits(separation=1.15, coverage=0.35, gc_difference=0.05, gc_outside=0.2, misfit=0.045, misfit_z=1.6, mixing=0.95, reciprocal=True)
@@ -131,7 +148,7 @@ def _members(spark, sf_dir):
 def merge_guards(spark, sf_dir):
     """The admissible pairs of bins with every guard's measure and verdict."""
     r = _members(spark, sf_dir)
-    stats = settled(merge.statistics(r))
+    stats = settled(merge.with_parent(merge.statistics(r)))
     g = merge.guarded(r, stats, merge.admissible(stats, merge.shape_scale(stats), LIMITS), LIMITS)
     measures = {"separation": 5, "coverage": 5, "gc_diff": 6, "misfit": 6, "gc_beyond": 6, "mix": 6}
     return g.select("a", "b", "small", "big", *(F.round(c, k).alias(c) for c, k in measures.items()), "refusal")
@@ -142,7 +159,7 @@ SELECT a, b FROM ps ORDER BY separation, a, b LIMIT 1""")
 def first_merge(spark, sf_dir):
     """The pair that greedy merging joins first."""
     r = _members(spark, sf_dir)
-    stats = settled(merge.statistics(r))
+    stats = settled(merge.with_parent(merge.statistics(r)))
     g = merge.guarded(r, stats, merge.admissible(stats, merge.shape_scale(stats), LIMITS), LIMITS)
     return g.where("refusal = ''").orderBy("separation", "a", "b").limit(1).select("a", "b")
 
