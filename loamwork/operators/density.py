@@ -84,10 +84,10 @@ def _dendrogram(edges: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.n
     return kids, height, np.array(size)
 
 
-def hdbscan(x: np.ndarray, min_cluster: int, min_samples: int, method: str = "eom", epsilon: float = 0.0) -> tuple[np.ndarray, np.ndarray]:
+def hdbscan(x: np.ndarray, min_cluster: int, min_samples: int, method: str = "eom", epsilon: float = 0.0, max_cluster: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """M8: (labels, probabilities); -1 is noise. method 'eom' keeps the most stable clusters, 'leaf' the finest.
 
-    With epsilon, a chosen cluster that was born below that distance gives way to its
+    With max_cluster, larger clusters give way to those below them. With epsilon, a chosen cluster that was born below that distance gives way to its
     first ancestor born above it.
     """
     n = len(x)
@@ -134,7 +134,8 @@ def hdbscan(x: np.ndarray, min_cluster: int, min_samples: int, method: str = "eo
         count[c] = len(node.points) + sum(count[k] for k in node.children)
         own = sum(min(r, top) - node.birth for _, r in node.points) + sum((nodes[k].birth - node.birth) * count[k] for k in node.children)
         below = sum(stability[k] for k in node.children)
-        chosen[c] = c != 0 and (not node.children if method == "leaf" else not node.children or own >= below)
+        fits = not max_cluster or count[c] <= max_cluster or not node.children
+        chosen[c] = c != 0 and (not node.children if method == "leaf" else not node.children or (own >= below and fits))
         stability[c] = own if chosen[c] else below
     final: set[int] = set()
     for c in range(1, len(nodes)):  # parents come before children
@@ -176,12 +177,12 @@ def _below(nodes: list[_Node], c: int, other: int) -> bool:
     return False
 
 
-def cluster_groups(rows: DataFrame, key: str, min_cluster: int, min_samples: int, method: str = "leaf", epsilon: float = 0.0) -> DataFrame:
+def cluster_groups(rows: DataFrame, key: str, min_cluster: int, min_samples: int, method: str = "leaf", epsilon: float = 0.0, max_cluster: int = 0) -> DataFrame:
     """M8: contig_id, part, prob: density clusters inside each group, exactly; a group is a task's, which takes time by the square of its rows."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("contig_id")
-        labels, prob = hdbscan(np.stack(pdf["vec"].to_list()), min_cluster, min_samples, method, epsilon)
+        labels, prob = hdbscan(np.stack(pdf["vec"].to_list()), min_cluster, min_samples, method, epsilon, max_cluster)
         return pd.DataFrame({"contig_id": pdf["contig_id"], "part": labels, "prob": prob})
 
     return rows.select(key, "contig_id", "vec").groupBy(key).applyInPandas(run, "contig_id long, part long, prob double")
