@@ -80,7 +80,7 @@ def best_winners(pairs: DataFrame) -> DataFrame:
     return best.select("loser", F.col("x.winner").alias("winner"), (-F.col("x.a")).alias("len_winner"), (-F.col("x.b")).alias("ani"), F.col("x.af_short").alias("af_short"), F.col("x.len_loser").alias("len_loser"))
 
 
-def final_representatives(best: DataFrame, rounds: int = 20) -> DataFrame:
+def final_representatives(best: DataFrame, rounds: int = 64) -> DataFrame:
     """Follows winners by pointer doubling to one that wasn't removed itself; lengths and ids rule cycles out."""
     now = best.select("loser", F.col("winner").alias("final"))
     for _ in range(rounds):
@@ -90,6 +90,8 @@ def final_representatives(best: DataFrame, rounds: int = 20) -> DataFrame:
         now = new.drop("moved")
         if not new.where("moved").limit(1).count():
             break
+    else:
+        raise RuntimeError(f"winners need more than {rounds} doublings: there is a cycle")
     return best.join(now.withColumnRenamed("final", "final_representative"), "loser")
 
 

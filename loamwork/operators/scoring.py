@@ -50,10 +50,13 @@ def coverage_variation(coverage: DataFrame, n_samples: int) -> DataFrame:
     return x.select("contig_id", mean.alias("mean_cov"), F.when(mean > 0, deviation / mean).otherwise(0.0).alias("cov_cv"))
 
 
-def z_scores(rows: DataFrame, column: str, out: str) -> DataFrame:
-    """Z-scores by the population deviation; a deviation of 0 counts as 1."""
-    stats = rows.agg(F.avg(column).alias("mean_"), F.stddev_pop(column).alias("sd_"))
-    return rows.join(F.broadcast(stats)).withColumn(out, (F.col(column) - F.col("mean_")) / F.when(F.col("sd_") == 0, 1.0).otherwise(F.col("sd_"))).drop("mean_", "sd_")
+def z_scores(rows: DataFrame, columns: dict[str, str]) -> DataFrame:
+    """Z-scores of columns under new names, by population deviations (0 counts as 1), from one aggregate."""
+    stats = rows.agg(*(f(c).alias(f"{n}_{c}") for c in columns for n, f in (("mean", F.avg), ("sd", F.stddev_pop))))
+    out = rows.join(F.broadcast(stats))  # one row
+    for c, name in columns.items():
+        out = out.withColumn(name, (F.col(c) - F.col(f"mean_{c}")) / F.when(F.col(f"sd_{c}") == 0, 1.0).otherwise(F.col(f"sd_{c}")))
+    return out.drop(*stats.columns)
 
 
 def warnings(policy: Policy, cv: float = 1.5, gc: float = 3.0, tnf: float | None = 2.5) -> Column:

@@ -168,3 +168,16 @@ cd AS (SELECT name, weakest, b_bp, a_bp, b_n, a_n, CASE WHEN name % 7 <> 4 THEN
  CASE WHEN name % 7 <> 4 THEN b_k30 END AS b_k30, CASE WHEN name % 7 NOT IN (2, 4, 5) THEN a_k30 END AS a_k30 FROM cr),
 ch AS (SELECT *, (a_ch - b_ch) / greatest(abs(b_ch), 1e-9) AS c_ch, -(a_db - b_db) / greatest(abs(b_db), 1e-9) AS c_db, (a_si - b_si) / greatest(abs(b_si), 1e-9) AS c_si, a_k10 - b_k10 AS c_k10, a_k30 - b_k30 AS c_k30,
  (a_k10 - b_k10) / greatest(abs(b_k10), 1e-9) AS r_k10, (a_k30 - b_k30) / greatest(abs(b_k30), 1e-9) AS r_k30 FROM cd)"""
+
+
+def contig_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """contig_id, sample, depth, breadth of the contigs of F1; contigs without a row have no coverage."""
+    n = table(spark, sf_dir, "documents").agg((F.max("doc_id") + 1).alias("n"))
+    rows = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").join(F.broadcast(n))
+    return rows.groupBy(F.concat(F.lit("c"), F.pmod("l_partkey", "n")).alias("contig_id"), F.concat("l_returnflag", "l_linestatus").alias("sample")).agg(F.sum("l_quantity").alias("depth"), (F.avg("l_discount") * 10).alias("breadth"))
+
+
+CONTIG_DEPTH = """cdp AS (SELECT 'c' || (l_partkey % n) AS contig_id, l_returnflag || l_linestatus AS sample, sum(l_quantity) AS depth, avg(l_discount) * 10 AS breadth FROM lineitem, (SELECT max(doc_id) + 1 AS n FROM documents) WHERE l_quantity >= 45 GROUP BY 1, 2),
+cvv AS (SELECT contig_id, CASE WHEN s > 0 THEN sqrt(greatest(0, (ss - s * s / 6) / 5)) / (s / 6) ELSE 0 END AS cov_cv FROM (SELECT contig_id, sum(depth) AS s, sum(depth * depth) AS ss FROM cdp GROUP BY 1)),
+cbs AS (SELECT contig_id, breadth FROM (SELECT *, row_number() OVER (PARTITION BY contig_id ORDER BY depth DESC, sample) AS k FROM cdp WHERE breadth >= 0.473) WHERE k = 1),
+cbr AS (SELECT m.contig_id, coalesce(cbs.breadth, most) AS breadth FROM (SELECT contig_id, max(breadth) AS most FROM cdp GROUP BY 1) m LEFT JOIN cbs USING (contig_id))"""

@@ -126,7 +126,7 @@ def shape_models(spark, sf_dir):
 
 @query(f"WITH {SHAPES} SELECT contig_id, label, round(z, 5) AS z FROM zs")
 def shape_scores(spark, sf_dir):
-    """How each member fits its bin's coverage."""
+    """How each member fits its bin's coverage."""
     r = rows(spark, sf_dir).where("label >= 0")
     return groups.shape_scores(r, groups.shape_models(r)).select("contig_id", "label", F.round("z", 5).alias("z"))
 
@@ -178,3 +178,12 @@ def training_subset(spark, sf_dir):
     """Ids chosen for training; unknown ones are ignored."""
     chosen = fx.table(spark, sf_dir, "labels").where("quality = 1").select(F.col("doc_id").alias("contig_id"))
     return rows(spark, sf_dir).join(chosen, "contig_id", "left_semi").select("contig_id")
+
+
+@query(L + " SELECT contig_id, round(vec[1], 6) AS weight, round(vec[3], 6) AS first_value, round(vec[64], 6) AS last_value, 62 AS n_values FROM lat")
+def coverage_split(spark, sf_dir):
+    """The weight of a coverage feature row apart from its features."""
+    from loamwork.operators.encoder import split_coverage
+
+    weight, values = split_coverage(F.col("vec"))
+    return rows(spark, sf_dir).select("contig_id", F.round(weight, 6).alias("weight"), F.round(F.element_at(values, 1), 6).alias("first_value"), F.round(F.element_at(values, -1), 6).alias("last_value"), F.size(values).alias("n_values"))

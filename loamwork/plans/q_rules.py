@@ -9,6 +9,7 @@ from loamwork.operators import classify, scoring
 from loamwork.operators.classify import CATEGORIES, EUKARYOTE_WORDS, ORGANELLES, PROBABILITY_COLUMNS, PROKARYOTE_WORDS, Policy
 from loamwork.plans import fixtures as fx
 from loamwork.plans.registry import query
+from loamwork.plans.workspace import settled
 
 POLICY = Policy(remove_mitochondrial=True, prokaryote_min_length=300, tiara_min_length=400, whokaryote_min_length=250)
 AGREE = Policy(agree_only=True, remove_plastid=True, remove_unknown=True, tiara_min_length=400, whokaryote_min_length=250)
@@ -132,13 +133,18 @@ def coverage_variation(spark, sf_dir):
 
 
 def _scored(spark, sf_dir):
-    """Classified contigs with GC and TNF z-scores and a coverage CV by rule."""
-    c = classify.classify(fx.calls(spark, sf_dir), POLICY)
-    gc = scoring.z_scores(c.withColumn("gc", sequence.gc_share(F.col("seq"))), "gc", "gc_z")
-    v = kmers.tnf(fx.contigs(spark, sf_dir)).select("contig_id", "features")
+    """Classified contigs with z-scores of GC and of the distance from the mean composition; composition is counted once."""
+    v = settled(kmers.tnf(fx.contigs(spark, sf_dir)).select("contig_id", "features"))
     far = v.join(F.broadcast(kmers.mean_vector(v))).select("contig_id", F.sqrt(F.aggregate(F.zip_with("features", "mean", lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, x: s + x)).alias("tnf_distance"))
-    tnf = scoring.z_scores(far, "tnf_distance", "tnf_z")
-    return gc.join(tnf, "contig_id").withColumn("cov_cv", F.when(F.col("ord") % 9 == 0, F.lit(None)).otherwise((F.col("ord") % 20) / 10.0)).withColumn("low_breadth", F.col("ord") % 17 == 0)
+    c = classify.classify(fx.calls(spark, sf_dir), POLICY).withColumn("gc", sequence.gc_share(F.col("seq"))).drop("seq").join(far, "contig_id")
+    return scoring.z_scores(settled(c), {"gc": "gc_z", "tnf_distance": "tnf_z"})
+
+
+def _with_coverage(spark, sf_dir):
+    """Scored contigs with the variation of their coverage (G12) and what the adaptive filter says of their breadth."""
+    x, depth = _scored(spark, sf_dir), settled(fx.contig_depth(spark, sf_dir))
+    breadth = scoring.adaptive_filter(x, scoring.adaptive_stats(depth, "sample", 0.473), 200, 400, min_breadth=0.473).select("contig_id", "low_breadth")
+    return x.join(scoring.coverage_variation(depth, 6).select("contig_id", "cov_cv"), "contig_id", "left").join(breadth, "contig_id")
 
 
 SCORED = CLASSIFIED + """, w AS (SELECT contig_id, substr(seq, CAST(i AS INT), 4) AS x FROM (SELECT contig_id, seq, unnest(range(1, length - 2)) AS i FROM c WHERE length >= 4)),
@@ -155,13 +161,26 @@ def composition_z(spark, sf_dir):
     return _scored(spark, sf_dir).select("contig_id", F.round("gc_z", 5).alias("gc_z"), F.round("tnf_z", 5).alias("tnf_z"))
 
 
-@query(SCORED + f""", q AS (SELECT cl.*, CASE WHEN classification IN {_PROK} THEN length >= 300 WHEN classification = 'Mitochondrial' THEN {_HIGH} ELSE false END AS gone,
- list_filter([CASE WHEN ord % 9 <> 0 AND (ord % 20) / 10.0 > 1.5 THEN 'high coverage variance' END, CASE WHEN abs(gc_z) > 2 THEN 'GC outlier' END, CASE WHEN abs(tnf_z) > 1.5 THEN 'TNF composition outlier' END, CASE WHEN classification = 'Unknown' THEN 'unclassified' END,
+@query(SCORED + f""", {fx.CONTIG_DEPTH}, q AS (SELECT cl.*, CASE WHEN classification IN {_PROK} THEN length >= 300 WHEN classification = 'Mitochondrial' THEN {_HIGH} ELSE false END AS gone,
+ list_filter([CASE WHEN cov_cv > 1.5 THEN 'high coverage variance' END, CASE WHEN abs(gc_z) > 2 THEN 'GC outlier' END, CASE WHEN abs(tnf_z) > 1.5 THEN 'TNF composition outlier' END, CASE WHEN classification = 'Unknown' THEN 'unclassified' END,
   CASE WHEN classification IN {_PROK} THEN 'prokaryote call retained: ' || CASE WHEN length < 300 THEN 'below_prokaryote_min_length' ELSE 'prokaryote_call_retained' END END,
   CASE WHEN classification = 'Mitochondrial' THEN 'mitochondrial call retained: mitochondrial_below_confidence' WHEN classification = 'Plastid' THEN 'plastid call retained: plastid_flagged_not_removed' END,
-  CASE WHEN ord % 17 = 0 THEN 'low breadth' END], lambda x: x IS NOT NULL) AS w FROM cl JOIN z USING (contig_id))
+  CASE WHEN length >= 400 AND coalesce(breadth, 0) < 0.473 THEN 'low breadth' END], lambda x: x IS NOT NULL) AS w FROM cl JOIN z USING (contig_id) LEFT JOIN cvv USING (contig_id) LEFT JOIN cbr USING (contig_id))
 SELECT contig_id, CASE WHEN gone THEN 'remove_high_confidence_contaminant' WHEN len(w) >= 2 THEN 'uncertain' WHEN len(w) = 1 THEN 'retain_with_warning' ELSE 'retain' END AS decision,
  array_to_string(CASE WHEN gone THEN list_append(w, 'borderline ' || classification) ELSE w END, '; ') AS reasons FROM q""")
 def contig_decisions(spark, sf_dir):
     """Decisions by several signals."""
-    return scoring.decisions(_scored(spark, sf_dir), POLICY, cv=1.5, gc=2.0, tnf=1.5)
+    return scoring.decisions(_with_coverage(spark, sf_dir), POLICY, cv=1.5, gc=2.0, tnf=1.5)
+
+
+_WIDE = ["contig", "s1 Mean", "s1 Covered Fraction", "s2 Mean", "s2 Breadth", "s2 Length"]
+
+
+@query("SELECT l_partkey AS contig, round(max(l_quantity) + max(l_extendedprice), 4) AS depth, round(max(l_discount) + max(l_tax), 4) AS breadth FROM lineitem GROUP BY 1")
+def depth_and_breadth(spark, sf_dir):
+    """Which columns of a wide table are depths and which are breadths, by their names."""
+    li = fx.table(spark, sf_dir, "lineitem").groupBy("l_partkey").agg(F.max("l_quantity"), F.max("l_discount"), F.max("l_extendedprice"), F.max("l_tax"), F.max("l_linenumber"))
+    wide = li.toDF(*_WIDE)
+    depth, breadth = scoring.split_columns(wide.columns)
+    total = lambda names: F.round(sum((F.col(f"`{n}`") for n in names[1:]), F.col(f"`{names[0]}`")), 4)
+    return wide.select("contig", total(depth).alias("depth"), total(breadth).alias("breadth"))
