@@ -64,16 +64,19 @@ def header(raw: bytes) -> dict[str, int]:
 
 
 def samples_of(raw: bytes) -> bytes:
-    """The samples of an image() as they were."""
+    """The samples of an image() as they were; an image that isn't whole is an error."""
     about, at, packed = header(raw[:HEADER]), HEADER, []
     while at < len(raw):
-        size, kind = struct.unpack_from(">I4s", raw, at)
+        size, kind = struct.unpack_from(">I4s", raw, at) if at + 12 <= len(raw) else (len(raw), b"")
+        data = raw[at + 8 : at + 8 + size]
+        if at + size + 12 > len(raw) or zlib.crc32(kind + data) != int.from_bytes(raw[at + 8 + size : at + 12 + size], "big"):
+            raise ValueError(f"damaged image: chunk at {at}")
         if kind == b"IDAT":
-            packed.append(raw[at + 8 : at + 8 + size])
+            packed.append(data)
         at += size + 12
     lines = np.frombuffer(zlib.decompress(b"".join(packed)), np.uint8).reshape(about["height"], about["width"] + 1)
     if lines[:, 0].any():
-        raise ValueError("a line is filtered")
+        raise ValueError("damaged image: a line is filtered")
     return lines[:, 1:].tobytes()
 
 

@@ -199,5 +199,5 @@ def test_metadata_reads_headers_alone(spark, tmp_path):
                 kept[r.offset : r.offset + media.HEADER] = raw[r.offset : r.offset + media.HEADER]
         path.write_bytes(kept)
     assert sorted(r.n_samples for r in media.metadata(places, str(tmp_path)).collect()) == sorted(len(_payload("abc " * (300 * i))) for i in range(6))
-    with pytest.raises(Exception, match="truncated|other bytes|zlib"):
+    with pytest.raises(Exception, match="damaged image"):
         media.features(places, str(tmp_path)).collect()
