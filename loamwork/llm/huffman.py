@@ -22,6 +22,8 @@ MAX_BITS = 18
 #: A block closes at the first document end beyond so many ids.
 BLOCK_IDS = 1 << 18
 CHECKPOINT = 128
+#: Chunks and words that a worker's memo keeps before it starts afresh.
+MEMO_CHUNKS, MEMO_WORDS = 1_000_000, 500_000
 FILE_SCHEMA = "part int, block int, doc_ids binary, sizes binary, payload binary, checkpoints binary"
 
 
@@ -131,7 +133,7 @@ def token_table(docs: DataFrame, tokenizer_path: str, end_id: int) -> DataFrame:
     key = ("library", tokenizer_path)
 
     def make():
-        memo = kept(key, lambda: ChunkMemo(LibraryEncoder(tokenizer_path)))
+        memo = kept(key, lambda: ChunkMemo(LibraryEncoder(tokenizer_path, MEMO_WORDS), MEMO_CHUNKS))
         end = np.uint32(end_id).tobytes()
 
         def apply(part):
