@@ -104,8 +104,9 @@ def ranks(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_pydict({"part": list(total), "counts": logs}, schema=arrow_schema("part int, counts binary"))
 
     out = np.zeros(1 << bits, np.uint8)
-    sent = docs.select("text").mapInArrow(tidy(local), "part int, counts binary").repartition("part")
-    for k, raw in ((r["part"], r["counts"]) for r in sent.mapInArrow(tidy(add), "part int, counts binary").toLocalIterator()):  # one byte a slot
+    sent = docs.select("text").mapInArrow(tidy(local), "part int, counts binary").repartition(1 << bits - part_bits, "part")
+    summed = sent.mapInArrow(tidy(add), "part int, counts binary").toArrow()  # a byte a slot: at most 1 << SKETCH_BITS[1] bytes
+    for k, raw in zip(summed.column("part").to_pylist(), summed.column("counts").to_pylist(), strict=True):
         out[k << part_bits : (k + 1) << part_bits] = np.frombuffer(raw, np.uint8)
     return out
 
