@@ -447,8 +447,9 @@ def _joined(docs: DataFrame) -> DataFrame:
             break
         pairs = materialize(pairs.join(tried, ["a", "b"], "left_anti"), "candidates")
         if pairs.limit(1).count():
-            tried, links = tried.union(pairs), links.union(_verified(docs, classes, pairs))
-            homes = materialize(components(links), "components")
+            tried = tried.union(pairs)
+            known = homes.select(F.col("component").alias("a"), F.col("node").alias("b"))  # joins what the earlier links join
+            homes = materialize(components(known.union(_verified(docs, classes, pairs))), "components")
     inside = classes.join(homes, classes.class_id == homes.node)
     low = inside.groupBy("component").agg(F.min("of_id").alias("low"))
     linked = inside.join(low, "component").select("class_id", "low")
