@@ -41,6 +41,11 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark table."""
+    return spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share; a temporary one only for local masters without a setting."""
     known = spark.conf.get("spark.checkpoint.dir", None)
@@ -238,6 +243,8 @@ def texts_of(part: pa.RecordBatch, column: str = "text") -> list[str]:
 
 
 def check_columns(df: DataFrame, *names: str) -> None:
-    """Fails early, with a clear message, when a needed column is missing."""
+    """Fails early, with a clear message, when a needed column is missing or doc_id holds no whole numbers."""
     if missing := [n for n in names if n not in df.columns]:
         raise ValueError(f"missing columns {missing}; there are {df.columns}")
+    if "doc_id" in names and (kind := dict(df.dtypes)["doc_id"]) not in ("tinyint", "smallint", "int", "bigint", "void"):
+        raise ValueError(f"doc_id has to hold whole numbers; it is {kind}")

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from loamwork.llm import bpe, huffman, jaccard, lm, media, packing, pii, quality, suffix, toxicity
-from loamwork.llm.common import documents, labels
+from loamwork.llm import bpe, huffman, jaccard, lm, media, merkle, packing, pieces, pii, quality, resample, sql, suffix, toxicity
+from loamwork.llm.common import benchmark, documents, labels
 
 
 def tokenizer(name: str) -> str:
@@ -73,11 +73,26 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.pseudonymize(documents(spark, sf_dir).select("doc_id", "text"), pii_key(spark))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights, scores and ranks of every document, drawn towards the benchmark's texts."""
+    return resample.resample(documents(spark, sf_dir), benchmark(spark, sf_dir))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots and checked proof of every document."""
+    return merkle.manifest(documents(spark, sf_dir))
+
+
+def op13_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece encoding and decoding of every document."""
+    return pieces.encode_decode(documents(spark, sf_dir), tokenizer("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {f.__name__: f for f in (op1_bpe, op2_best_fit_packing, op3_token_files, op4_toxicity, op5_suffix_array_dedup, op6_media_columns, op7_jaccard_join, op8_quality_rules, op9_lm_scoring, op10_pii)}
+    return {f.__name__: f for f in (op1_bpe, op2_best_fit_packing, op3_token_files, op4_toxicity, op5_suffix_array_dedup, op6_media_columns, op7_jaccard_join, op8_quality_rules, op9_lm_scoring, op10_pii, op11_importance_resampling, op12_merkle_manifest, op13_sentencepiece)}
 
 
 def oracle_sql() -> dict[str, str]:
     """Name to DuckDB SQL, where SQL can express the query."""
-    return {}
+    return {"op11_importance_resampling": sql.RESAMPLE, "op12_merkle_manifest": sql.MANIFEST}

@@ -5,7 +5,7 @@ import hashlib
 import pytest
 
 import corpus_pipeline
-from loamwork.llm import bpe, huffman, jaccard, lm, media, packing, pii, quality, suffix, toxicity
+from loamwork.llm import bpe, huffman, jaccard, lm, media, merkle, packing, pieces, pii, quality, resample, suffix, toxicity
 from loamwork.llm.queries import tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, n_words long, spans string, _spans string, n_email long, score double, is_target string, low long, class string"
@@ -32,6 +32,9 @@ OPERATORS = {
     "quality": lambda d, l: quality.judge(d, l),
     "lm": lambda d, l: lm.score(d, l.select("doc_id")),
     "pii": lambda d, l: pii.pseudonymize(d, b"k"),
+    "resample": lambda d, l: resample.resample(d, d),
+    "merkle": lambda d, l: merkle.manifest(d),
+    "pieces": lambda d, l: pieces.encode_decode(d, tokenizer("piece_bpe_32k.model")),
 }
 #: These give results about ids, so rows without one are left out.
 BY_ID = {"huffman", "media", "jaccard"}
@@ -58,6 +61,12 @@ def test_missing_columns(spark, name):
         OPERATORS[name](spark.createDataFrame([(1,)], "doc_id long"), _labels(spark)).collect()
 
 
+@pytest.mark.parametrize("name", sorted(OPERATORS.keys() - {"pii"}))  # pii passes ids through
+def test_ids_that_are_no_numbers(spark, name):
+    with pytest.raises(ValueError, match="whole numbers"):
+        OPERATORS[name](spark.createDataFrame([("a", "x", None, None, 1)], "doc_id string, text string, lang string, source string, n_chars long"), _labels(spark)).collect()
+
+
 def test_stages_keep_columns(spark):
     for name, stage in corpus_pipeline.STAGES[:-1]:
         sf = "/root/testdata/sf0.001"
