@@ -53,6 +53,36 @@ def knn(queries: DataFrame, refs: DataFrame, k: int, drop_self: bool = True, que
     return _best(meetings.select("q_ids", "q_mat", "r_ids", "r_mat"), k, drop_self, parts)
 
 
+def _listed(rows: DataFrame, key: str, blocks: DataFrame, name: str) -> DataFrame:
+    """Rows (key, contig_id, vec) in their group's blocks, packed: key, blocks, block, ids and matrix as bytes."""
+    kind = dict(rows.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(b.num_rows):
+                block, ids, vecs = (b.column(c)[at].as_py() for c in ("block", "ids", "vecs"))
+                yield pa.RecordBatch.from_pydict({key: b.column(key).slice(at, 1), "blocks": b.column("blocks").slice(at, 1), "block": [block], f"{name}_ids": [np.array(ids, "<i8").tobytes()], f"{name}_mat": [np.array(vecs, "<f8").tobytes()]})
+
+    placed = rows.select(key, "contig_id", "vec").join(blocks, key).withColumn("block", F.pmod(F.xxhash64("contig_id"), "blocks"))
+    lists = placed.groupBy(key, "blocks", "block").agg(F.collect_list(F.struct("contig_id", "vec")).alias("l"))  # about BLOCK rows
+    return lists.select(key, "blocks", "block", F.col("l.contig_id").alias("ids"), F.col("l.vec").alias("vecs")).mapInArrow(run, f"{key} {kind}, blocks long, block long, {name}_ids binary, {name}_mat binary")
+
+
+def knn_within(refs: DataFrame, key: str, k: int, queries: DataFrame | None = None) -> DataFrame:
+    """K2: query_id, ref_id, distance, rank of the exact k nearest other rows in the same group; queries are refs unless given. Both: key, contig_id, vec.
+
+    A group is dealt into blocks of about BLOCK rows, and each block of queries meets each
+    block of its group's references.
+    """
+    asked = refs if queries is None else queries
+    sizes = lambda rows: rows.groupBy(key).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    q = _listed(asked, key, sizes(asked), "q")
+    wide = sizes(asked).withColumnRenamed("blocks", "wide")
+    r = _listed(refs, key, sizes(refs), "r").join(wide, key).select(key, "r_ids", "r_mat", F.explode(F.sequence(F.lit(0), F.col("wide") - 1)).alias("block"))
+    parts = int(refs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return _best(q.join(r, [key, "block"]).select("q_ids", "q_mat", "r_ids", "r_mat"), k, True, parts)
+
+
 def _best(meetings: DataFrame, k: int, drop_self: bool, parts: int) -> DataFrame:
     """query_id, ref_id, distance, rank of the k nearest over all meetings of blocks; a meeting sends at most k rows a query."""
 

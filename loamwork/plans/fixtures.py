@@ -26,10 +26,11 @@ c AS (SELECT *, CAST(length(seq) AS BIGINT) AS length FROM contigs)"""
 
 
 def depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """contig_id, sample, depth, breadth; contigs without a row have no coverage."""
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity >= 49")
-    sample = F.concat("l_returnflag", "l_linestatus")
-    return rows.groupBy(F.col("l_partkey").alias("contig_id"), sample.alias("sample")).agg(F.sum("l_quantity").alias("depth"), (F.avg("l_discount") * 10).alias("breadth"))
+    """contig_id, sample, depth, breadth from all lines; what lies over 48 adds depth. Every fifth contig has no coverage: its lines count for the one before it."""
+    rows = table(spark, sf_dir, "lineitem")
+    contig, sample = F.expr("l_partkey - if(l_partkey % 5 = 0, 1, 0)"), F.concat("l_returnflag", "l_linestatus")
+    over = F.greatest(F.col("l_quantity") - 48, F.lit(0.0))
+    return rows.groupBy(contig.alias("contig_id"), sample.alias("sample")).agg(F.sum(over).alias("depth"), (F.avg("l_discount") * 10).alias("breadth"))
 
 
 def part_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,7 +38,7 @@ def part_contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("contig_id"), (F.lit(3800) + 100 * F.col("p_size")).cast("long").alias("length"))
 
 
-DEPTH = """cov AS (SELECT l_partkey AS contig_id, l_returnflag || l_linestatus AS sample, sum(l_quantity) AS depth, avg(l_discount) * 10 AS breadth FROM lineitem WHERE l_quantity >= 49 GROUP BY 1, 2),
+DEPTH = """cov AS (SELECT l_partkey - CASE WHEN l_partkey % 5 = 0 THEN 1 ELSE 0 END AS contig_id, l_returnflag || l_linestatus AS sample, sum(greatest(l_quantity - 48, 0)) AS depth, avg(l_discount) * 10 AS breadth FROM lineitem GROUP BY 1, 2),
 ids AS (SELECT p_partkey AS contig_id, CAST(3800 + 100 * p_size AS BIGINT) AS length FROM part)"""
 
 
@@ -123,14 +124,14 @@ def bin_edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     bins = li.groupBy(F.concat(F.lit("bin_"), F.col("l_suppkey")).alias("bin")).agg(F.sum("l_quantity").cast("long").alias("length"))
     n = li.agg(F.max("l_suppkey").alias("n"))
     k = F.col("l_orderkey")
-    x = li.where("l_linenumber = 1").join(F.broadcast(n))
+    x = li.join(F.broadcast(n))
     other = F.pmod(F.col("l_partkey") * 7 + k, "n") + 1
     return bins, x.select(F.concat(F.lit("bin_"), F.col("l_suppkey")).alias("a"), F.concat(F.lit("bin_"), other).alias("b"), (F.lit(97.0) + F.pmod(k, F.lit(23)) / 10.0).alias("ani"), (F.lit(70.0) + F.pmod(k * 3, F.lit(31))).alias("af_a"), (F.lit(70.0) + F.pmod(k * 11, F.lit(31))).alias("af_b"))
 
 
 BIN_EDGES = """bl AS (SELECT 'bin_' || l_suppkey AS bin, CAST(sum(l_quantity) AS BIGINT) AS length FROM lineitem GROUP BY 1),
 be AS (SELECT 'bin_' || l_suppkey AS a, 'bin_' || ((l_partkey * 7 + l_orderkey) % n + 1) AS b, 97.0 + (l_orderkey % 23) / 10.0 AS ani, 70.0 + (l_orderkey * 3) % 31 AS af_a, 70.0 + (l_orderkey * 11) % 31 AS af_b
-  FROM lineitem, (SELECT max(l_suppkey) AS n FROM lineitem) WHERE l_linenumber = 1)"""
+  FROM lineitem, (SELECT max(l_suppkey) AS n FROM lineitem))"""
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,13 +172,13 @@ ch AS (SELECT *, (a_ch - b_ch) / greatest(abs(b_ch), 1e-9) AS c_ch, -(a_db - b_d
 
 
 def contig_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """contig_id, sample, depth, breadth of the contigs of F1; contigs without a row have no coverage."""
+    """contig_id, sample, depth, breadth of the contigs of F1 from all lines; what lies over 44 adds depth."""
     n = table(spark, sf_dir, "documents").agg((F.max("doc_id") + 1).alias("n"))
-    rows = table(spark, sf_dir, "lineitem").where("l_quantity >= 45").join(F.broadcast(n))
-    return rows.groupBy(F.concat(F.lit("c"), F.pmod("l_partkey", "n")).alias("contig_id"), F.concat("l_returnflag", "l_linestatus").alias("sample")).agg(F.sum("l_quantity").alias("depth"), (F.avg("l_discount") * 10).alias("breadth"))
+    rows = table(spark, sf_dir, "lineitem").join(F.broadcast(n))
+    return rows.groupBy(F.concat(F.lit("c"), F.pmod("l_partkey", "n")).alias("contig_id"), F.concat("l_returnflag", "l_linestatus").alias("sample")).agg(F.sum(F.greatest(F.col("l_quantity") - 44, F.lit(0.0))).alias("depth"), (F.avg("l_discount") * 10).alias("breadth"))
 
 
-CONTIG_DEPTH = """cdp AS (SELECT 'c' || (l_partkey % n) AS contig_id, l_returnflag || l_linestatus AS sample, sum(l_quantity) AS depth, avg(l_discount) * 10 AS breadth FROM lineitem, (SELECT max(doc_id) + 1 AS n FROM documents) WHERE l_quantity >= 45 GROUP BY 1, 2),
+CONTIG_DEPTH = """cdp AS (SELECT 'c' || (l_partkey % n) AS contig_id, l_returnflag || l_linestatus AS sample, sum(greatest(l_quantity - 44, 0)) AS depth, avg(l_discount) * 10 AS breadth FROM lineitem, (SELECT max(doc_id) + 1 AS n FROM documents) GROUP BY 1, 2),
 cvv AS (SELECT contig_id, CASE WHEN s > 0 THEN sqrt(greatest(0, (ss - s * s / 6) / 5)) / (s / 6) ELSE 0 END AS cov_cv FROM (SELECT contig_id, sum(depth) AS s, sum(depth * depth) AS ss FROM cdp GROUP BY 1)),
 cbs AS (SELECT contig_id, breadth FROM (SELECT *, row_number() OVER (PARTITION BY contig_id ORDER BY depth DESC, sample) AS k FROM cdp WHERE breadth >= 0.473) WHERE k = 1),
 cbr AS (SELECT m.contig_id, coalesce(cbs.breadth, most) AS breadth FROM (SELECT contig_id, max(breadth) AS most FROM cdp GROUP BY 1) m LEFT JOIN cbs USING (contig_id))"""

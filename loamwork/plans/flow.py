@@ -115,10 +115,10 @@ def features(contigs: DataFrame, depth: DataFrame, s: Settings) -> DataFrame:
 
 
 def density_labels(rows: DataFrame, s: Settings) -> DataFrame:
-    """01: contig_id, label, prob by density clustering of the pool; one task clusters it, as mutual reachability needs all pairs."""
+    """01: contig_id, label, prob by density clustering of the pool over its neighbour graph."""
     pool = rows.where("pool").select(F.lit(0).alias("all"), "contig_id", "vec")
     size, samples = density.auto_params(pool.count())
-    found = density.cluster_groups(pool, "all", s.min_cluster or size, s.min_samples or samples, s.method, s.epsilon, s.max_cluster)
+    found = density.cluster(pool, "all", s.min_cluster or size, s.min_samples or samples, s.method, s.epsilon, s.max_cluster, search=neighbours.knn_indexed if s.indexed else None)
     return found.select("contig_id", F.col("part").cast("int").alias("label"), "prob")
 
 
@@ -178,32 +178,42 @@ def stages(s: Settings, scored: Callable | None = None) -> list[tuple[str, Calla
 
 
 class Folder:
-    """Stage tables of a run with their fingerprints, in any file system that Spark writes to."""
+    """Stage tables of a run with their fingerprints and what the gate logged, in any file system that Spark writes to."""
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path, self.reused = spark, path.rstrip("/"), []
 
-    def _known(self, name: str) -> str | None:
+    def note(self, name: str) -> dict | None:
+        """What was written beside a table."""
         place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}.print")
         if not place.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(place):
             return None
         first = self.spark.read.text(place.toString()).first()
-        return first[0] if first else None
+        return json.loads(first[0]) if first else None
 
-    def table(self, name: str, mark: str, make: Callable[[], DataFrame]) -> DataFrame:
-        """The stage's table: as it is if its fingerprint is mark, else made anew; the fingerprint is written last."""
-        if self._known(name) == mark:
+    def write_note(self, name: str, note: dict) -> None:
+        self.spark.createDataFrame([(json.dumps(note, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/{name}.print")
+
+    def table(self, name: str, mark: str, make: Callable[[], DataFrame], log: list[dict] | None = None) -> DataFrame:
+        """The stage's table: as it is if its fingerprint is mark, else made anew; the fingerprint is written last.
+
+        What make adds to log is kept with the table and comes back when the table is reused.
+        """
+        known, log = self.note(name), [] if log is None else log
+        if known and known.get("mark") == mark:
             self.reused.append(name)
+            log += known["log"]
         else:
+            before = len(log)
             make().write.mode("overwrite").parquet(f"{self.path}/{name}")
-            self.spark.createDataFrame([(mark,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/{name}.print")
+            self.write_note(name, {"mark": mark, "log": log[before:]})
         return self.spark.read.parquet(f"{self.path}/{name}")
 
 
 def cluster(rows: DataFrame, s: Settings, out: str, raw: Callable[[DataFrame, Settings], DataFrame] = density_labels, scored: Callable | None = None, mark: str = "") -> tuple[DataFrame, list[dict]]:
     """All clustering stages on features: (rows with their final label, the gate's log). raw gives the first labels and probabilities."""
     folder = Folder(rows.sparkSession, f"{out}/stages")
-    mark = runs.fingerprint(mark, asdict(s))
+    mark = runs.fingerprint(mark, asdict(s), getattr(scored, "version", getattr(scored, "__qualname__", None)))
     gate = Gate(metrics, enabled=s.gate)
     tolerance = quality.Tolerance(relative=s.tolerance)
     base = rows.drop("label", "prob", "pruned")
@@ -217,7 +227,7 @@ def cluster(rows: DataFrame, s: Settings, out: str, raw: Callable[[DataFrame, Se
         def made(before=now, name=name, stage=stage, gated=gated) -> DataFrame:
             return gate.step(name, before, lambda r: settled(stage(r).select(*columns)), gated, tolerance).select(*columns)
 
-        now = folder.table(name, mark, made)
+        now = folder.table(name, mark, made, gate.log)
     return now, gate.log
 
 
@@ -230,12 +240,16 @@ def run(spark: SparkSession, contigs_path: str, coverage_path: str, out: str, se
     bad = {k: v for k, v in coverage.violations(depth).first().asDict().items() if v}
     if bad:
         raise ValueError(f"{coverage_path} can't be used: {bad}")
-    mark = runs.fingerprint(contigs_path, coverage_path, asdict(settings))
-    rows = Folder(spark, f"{out}/stages").table("00_features", mark, lambda: features(contigs, depth, settings))
+    read = {"contigs": runs.content(contigs, "contig_id"), "coverage": runs.content(depth, "contig_id")}
+    folder, mark = Folder(spark, f"{out}/stages"), runs.fingerprint(read, asdict(settings))
+    changes = runs.changed_parts(folder.note("inputs") or {}, read)
+    rows = folder.table("00_features", mark, lambda: features(contigs, depth, settings))
+    folder.write_note("inputs", read)
     final, log = cluster(rows, settings, out, scored=scored, mark=mark)
     named = final.withColumn("contig_id", F.col("name")).select("contig_id", "label", "length")
     sinks.write_outputs(named, f"{out}/tables")
     sinks.write_bins(named.where("label >= 0"), contigs, f"{out}/bins")
-    about = {"settings": asdict(settings), "gate": log} | runs.provenance(spark, asdict(settings)) | runs.comparison({"run": named}).first().asDict()
+    compared = runs.comparison({"run": named}).first()  # no row where nothing is in a bin
+    about = {"settings": asdict(settings), "gate": log, "changed_inputs": changes} | runs.provenance(spark, asdict(settings)) | (compared.asDict() if compared else {"run": "run", "n_bins": 0})
     spark.createDataFrame([(json.dumps(about, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{out}/report")
     return about

@@ -61,11 +61,11 @@ def sample_n50(spark, sf_dir):
     return assembly.n50(fx.contigs(spark, sf_dir), ["sample"]).withColumn("tier", assembly.n50_tier(F.col("n50")))
 
 
-@query("SELECT doc_id, source || '_' || regexp_replace(trim(substr(text, 1, 24)), '[^A-Za-z0-9_.\\-]', '_', 'g') AS safe_id FROM documents")
+@query("SELECT doc_id, source || '_' || regexp_replace(trim(text), '[^A-Za-z0-9_.\\-]', '_', 'g') AS safe_id FROM documents")
 def safe_ids(spark, sf_dir):
     """B1: safe identifiers from free text."""
     d = fx.table(spark, sf_dir, "documents")
-    return d.select("doc_id", sequence.safe_id(F.col("source"), F.substring("text", 1, 24)).alias("safe_id"))
+    return d.select("doc_id", sequence.safe_id(F.col("source"), F.col("text")).alias("safe_id"))
 
 
 @query("SELECT p_partkey, CASE WHEN regexp_matches(p_brand, '#([0-9])[0-9]') THEN regexp_extract(p_brand, '#([0-9])[0-9]', 1) END AS tag FROM part")

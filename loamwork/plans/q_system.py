@@ -97,7 +97,14 @@ def core_distances(spark, sf_dir):
 def density_parts(spark, sf_dir):
     """M8: density clusters of the whole vectors inside each bin, K14's first step."""
     r = rows(spark, sf_dir).where("label >= 0")
-    return density.cluster_groups(r, "label", 4, 2)
+    return density.cluster(r, "label", 4, 2)
+
+
+@query()
+def density_clusters(spark, sf_dir):
+    """M8: density clusters of all rows by the finest method, over the graph of each row's nearest neighbours."""
+    r = rows(spark, sf_dir).withColumn("all", F.lit(0))
+    return density.cluster(r, "all", 4, 2)
 
 
 PIECES = split.PieceRules(min_contigs=30, min_cluster=3, min_samples=2, min_part_bp=20_000, limits=merge.Limits(separation=0.2, coverage=3.0))
@@ -255,31 +262,31 @@ def principal_components(spark, sf_dir):
     return encoder.principal_components(rows(spark, sf_dir), 8).select("contig_id", F.size("mu").alias("width"))
 
 
-_GATES = f"""WITH {fx.LATENT}, g AS (SELECT contig_id, vec[1:16] AS a, vec[17:32] AS b, prob AS ra, 1 - prob AS rb FROM lat), f AS (SELECT *, CASE WHEN ra + rb > 0 THEN ra / (ra + rb) ELSE 0.5 END AS ga FROM g),
+_GATES = f"""WITH {fx.LATENT}, g AS (SELECT contig_id, vec[1:32] AS a, vec[33:64] AS b, prob AS ra, 1 - prob AS rb FROM lat), f AS (SELECT *, CASE WHEN ra + rb > 0 THEN ra / (ra + rb) ELSE 0.5 END AS ga FROM g),
 w AS (SELECT *, list_transform(list_zip(a, b), lambda p: ga * p[1] + (1 - ga) * p[2]) AS z FROM f)"""
 
 
-@query(_GATES + " SELECT contig_id, round(ga, 6) AS gate, round(z[1], 6) AS first, round(z[16], 6) AS last FROM w")
+@query(_GATES + " SELECT contig_id, round(ga, 6) AS gate, round(z[1], 6) AS first, round(z[32], 6) AS last FROM w")
 def gated_fusion(spark, sf_dir):
     """M5: fusion by reliability gates."""
-    r = rows(spark, sf_dir).select("contig_id", F.slice("vec", 1, 16).alias("a"), F.slice("vec", 17, 16).alias("b"), F.col("prob").alias("ra"), (1 - F.col("prob")).alias("rb"))
+    r = rows(spark, sf_dir).select("contig_id", F.slice("vec", 1, 32).alias("a"), F.slice("vec", 33, 32).alias("b"), F.col("prob").alias("ra"), (1 - F.col("prob")).alias("rb"))
     g = encoder.gates({"a": F.col("ra"), "b": F.col("rb")})
     z = encoder.fused({"a": F.col("a"), "b": F.col("b")}, g)
-    return r.select("contig_id", F.round(g["a"], 6).alias("gate"), F.round(F.element_at(z, 1), 6).alias("first"), F.round(F.element_at(z, 16), 6).alias("last"))
+    return r.select("contig_id", F.round(g["a"], 6).alias("gate"), F.round(F.element_at(z, 1), 6).alias("first"), F.round(F.element_at(z, 32), 6).alias("last"))
 
 
 @query(_GATES + ", i AS (SELECT avg(list_distance(z, b)) / avg(sqrt(list_dot_product(z, z))) AS a, avg(list_distance(z, a)) / avg(sqrt(list_dot_product(z, z))) AS b FROM w) SELECT 'a' AS modality, round(a / (a + b), 6) AS influence FROM i UNION ALL SELECT 'b', round(b / (a + b), 6) FROM i")
 def modality_influence(spark, sf_dir):
     """M7: influence by leaving a modality out."""
-    r = rows(spark, sf_dir).select("contig_id", F.slice("vec", 1, 16).alias("a"), F.slice("vec", 17, 16).alias("b"), F.col("prob").alias("ra"), (1 - F.col("prob")).alias("rb"))
+    r = rows(spark, sf_dir).select("contig_id", F.slice("vec", 1, 32).alias("a"), F.slice("vec", 33, 32).alias("b"), F.col("prob").alias("ra"), (1 - F.col("prob")).alias("rb"))
     return encoder.influence(r, {"a": "a", "b": "b"}, {"a": "ra", "b": "rb"}).select("modality", F.round("influence", 6).alias("influence"))
 
 
-@query("WITH n AS (SELECT l_suppkey AS piece, l_linenumber AS bin, count(*) AS n, avg(l_discount) AS d FROM lineitem WHERE l_linenumber <= 3 GROUP BY 1, 2), t AS (SELECT piece, sum(n) AS f, min(d) AS m FROM n GROUP BY 1), w AS (SELECT *, row_number() OVER (PARTITION BY piece ORDER BY n DESC, bin) AS k FROM n) SELECT w.piece, w.bin FROM w JOIN t USING (piece) WHERE k = 1 AND n >= 0.35 * f AND d <= 1.05 * m")
+@query("WITH n AS (SELECT l_suppkey AS piece, l_linenumber AS bin, count(*) AS n, avg(l_discount) AS d FROM lineitem GROUP BY 1, 2), t AS (SELECT piece, sum(n) AS f, min(d) AS m FROM n GROUP BY 1), w AS (SELECT *, row_number() OVER (PARTITION BY piece ORDER BY n DESC, bin) AS k FROM n) SELECT w.piece, w.bin FROM w JOIN t USING (piece) WHERE k = 1 AND n >= 0.17 * f AND d <= 1.1 * m")
 def best_homes(spark, sf_dir):
     """Where a piece belongs."""
-    n = fx.table(spark, sf_dir, "lineitem").where("l_linenumber <= 3").groupBy(F.col("l_suppkey").alias("piece"), F.col("l_linenumber").alias("bin")).agg(F.count("*").alias("n"), F.avg("l_discount").alias("d"))
-    return merge.best_home(n.select("piece", "bin", "n"), n.select("piece", "bin", "d"), 0.35, 1.05).select("piece", F.col("bin").cast("int").alias("bin"))
+    n = fx.table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("piece"), F.col("l_linenumber").alias("bin")).agg(F.count("*").alias("n"), F.avg("l_discount").alias("d"))
+    return merge.best_home(n.select("piece", "bin", "n"), n.select("piece", "bin", "d"), 0.17, 1.1).select("piece", F.col("bin").cast("int").alias("bin"))
 
 
 @query("WITH v AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings), d AS (SELECT a.id AS query_id, b.id AS ref_id, list_distance(a.v, b.v) AS distance, row_number() OVER (PARTITION BY a.id ORDER BY list_distance(a.v, b.v), b.id) AS rank FROM v a, v b WHERE a.id <> b.id AND a.id % 50 = 0) SELECT query_id, ref_id, round(distance, 6) AS distance, CAST(rank AS INT) AS rank FROM d WHERE rank <= 10")

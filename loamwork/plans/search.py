@@ -86,19 +86,6 @@ def at_boundary(settings: dict, space: dict[str, list]) -> list[str]:
     return [k for k, v in settings.items() if len(space[k]) > 1 and v in (min(space[k]), max(space[k]))]
 
 
-def split_verdict(original: int, pieces: dict[int, int], kept_bp: float, weakest: float, least_share: float = 0.02, most_loss: float = 0.02) -> bool:
-    """Q6: a bin's split stands if at least two pieces hold enough of it and little sequence is lost; pieces: size by piece."""
-    big = [n for n in pieces.values() if n >= least_share * original]
-    return len(big) >= 2 and kept_bp >= 1 - most_loss and weakest > 0
-
-
-def stage_order(rescue: str = "late") -> list[str]:
-    """The clustering stages in their order; rescue is early or late."""
-    early = ["03_after_rescue"] if rescue == "early" else []
-    late = ["04d4_after_late_rescue"] if rescue == "late" else []
-    return ["01_hdbscan_raw", "02_probability_filtered", *early, "04_after_refinement", "04b_after_subcluster", "04c_after_prune", "04d_after_binmerge", "04d1_after_marker_merge", "04d2_after_reassign", "04d3_after_tnf_consensus", *late, "04e_after_recruit", "05_after_bin_filter", "06_final_exported"]
-
-
 def stage_table(log: Iterable[dict]) -> list[dict]:
     """Q8: the gate's log with the change of each stage's score."""
     out, before = [], 0.0

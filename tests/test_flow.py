@@ -6,7 +6,6 @@ import numpy as np
 import pytest
 
 from loamwork import __main__ as cli
-from loamwork.operators import density
 from loamwork.plans import flow
 
 
@@ -51,8 +50,8 @@ def test_flow_starts_where_it_stopped(spark, genomes, tmp_path, monkeypatch):
     assert rows.count() == 240 and rows.where("pool").count() == 220
     s, seen, whole = flow.Settings(min_cluster=15, min_samples=5, gate=False, sub_min_contigs=500), [], flow.Folder.table
 
-    def table(self, name, mark, make):
-        out = whole(self, name, mark, make)
+    def table(self, name, mark, make, log=None):
+        out = whole(self, name, mark, make, log)
         seen.append((name, name in self.reused))
         return out
 
@@ -74,8 +73,25 @@ def test_settings(tmp_path):
         flow.load_settings(None, colour=1)
 
 
-def test_largest_cluster():
-    x = np.concatenate([np.random.default_rng(1).normal(c, 0.1, (40, 2)) for c in ((0, 0), (1.2, 0), (9, 9))])
-    labels, _ = density.hdbscan(x, 10, 5)
-    few, _ = density.hdbscan(x, 10, 5, max_cluster=45)
-    assert max(np.bincount(few[few >= 0])) <= 45 <= max(np.bincount(labels[labels >= 0])) + 5
+def test_changed_inputs_are_seen(spark, tmp_path):
+    """The same paths, sizes and row numbers, another content."""
+    rnd = np.random.default_rng(3)
+    seqs = {f"c{n}": "".join("ACGT"[x] for x in rnd.integers(0, 4, 1500)) for n in range(60)}
+
+    def write(seqs, depth=2):
+        (tmp_path / "c.fa").write_text("".join(f">{n}\n{s}\n" for n, s in seqs.items()))
+        (tmp_path / "c.tsv").write_text("contig_id\tsample\tdepth\n" + "".join(f"{n}\ts{j}\t{depth + j + k % 3}.5\n" for k, n in enumerate(seqs) for j in range(3)))
+
+    s = flow.Settings(min_cluster=10, min_samples=3, sub_min_contigs=500)
+    go = lambda: flow.run(spark, str(tmp_path / "c.fa"), str(tmp_path / "c.tsv"), str(tmp_path / "out"), s)
+    table = lambda: spark.read.parquet(str(tmp_path / "out/stages/00_features"))
+    write(seqs)
+    first = go()
+    again = go()
+    assert first["changed_inputs"] == again["changed_inputs"] == {} and again["gate"] == first["gate"] and len(first["gate"]) == 10
+    write(seqs | {"c7": seqs["c7"][:700] + ("A" if seqs["c7"][700] != "A" else "C") + seqs["c7"][701:]})
+    assert go()["changed_inputs"] == {"contigs": 1}
+    write(seqs, depth=3)
+    assert go()["changed_inputs"]["coverage"] > 30
+    write(seqs | {f"d{n}": "ACGTTGCAAC" * 150 for n in range(3)})
+    assert go()["changed_inputs"].keys() == {"contigs", "coverage"} and table().count() == 61
