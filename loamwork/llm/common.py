@@ -47,10 +47,11 @@ def benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only for local masters without a setting."""
+    """The folder that driver and executors share, with its scheme; a temporary one only for local masters without a setting."""
     known = spark.conf.get("spark.checkpoint.dir", None)
-    if known:
-        return known.rstrip("/")
+    if known:  # a path without a scheme lies in Spark's default file system, whoever writes there
+        place = spark._jvm.org.apache.hadoop.fs.Path(known)
+        return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = tempfile.mkdtemp(prefix="loamwork-")

@@ -2,7 +2,9 @@
 
 A file is a table of blocks in ascending doc_id order. Each block decodes alone: it
 has the documents that it holds, their numbers of ids, the packed bits, and the bit
-offset of every CHECKPOINT-th id, so that a block's stretches decode side by side.
+offset of every CHECKPOINT-th id, so that a block's stretches decode side by side. One row
+before the blocks has the code's lengths, from which a canonical code follows, so a file
+needs nothing else to be read.
 """
 
 from __future__ import annotations
@@ -24,6 +26,8 @@ BLOCK_IDS = 1 << 18
 CHECKPOINT = 128
 #: Chunks and words that a worker's memo keeps before it starts afresh.
 MEMO_CHUNKS, MEMO_WORDS = 1_000_000, 500_000
+#: The part of the row with the code's lengths.
+HEAD = -1
 FILE_SCHEMA = "part int, block int, doc_ids binary, sizes binary, payload binary, checkpoints binary"
 
 
@@ -229,15 +233,22 @@ def encode_file(tokens: DataFrame, lengths: np.ndarray) -> DataFrame:
             yield close()
 
     coded = map_slices(tokens, make, "part int, doc_id long, n_tokens long, payload binary, checkpoints binary")
-    return coded.repartitionById(n_parts, "part").sortWithinPartitions("part", "doc_id").mapInArrow(tidy(blocks), FILE_SCHEMA)
+    made = coded.repartitionById(n_parts, "part").sortWithinPartitions("part", "doc_id").mapInArrow(tidy(blocks), FILE_SCHEMA)
+    head = tokens.sparkSession.createDataFrame([(HEAD, 0, bytearray(), bytearray(), bytearray(zlib.compress(lengths.tobytes())), bytearray())], FILE_SCHEMA)
+    return head.unionByName(made)
+
+
+def code_of(file: DataFrame) -> np.ndarray:
+    """The code lengths that a file holds; one small row."""
+    return np.frombuffer(zlib.decompress(bytes(file.where(F.col("part") == HEAD).select("payload").first()[0])), np.uint8)
 
 
 _DECODED = "part int, block int, doc_id long, inside long, n_tokens long, "
 
 
-def decode_file(file: DataFrame, lengths: np.ndarray, digests: bool = False) -> DataFrame:
+def decode_file(file: DataFrame, digests: bool = False) -> DataFrame:
     """part, block, doc_id, inside (ids of the block before the document), n_tokens and ids of every document in a file; with digests ids_crc32 in place of ids."""
-    shared = file.sparkSession.sparkContext.broadcast(lengths)
+    shared = file.sparkSession.sparkContext.broadcast(code_of(file))
     schema = _DECODED + ("ids_crc32 long" if digests else "ids binary")
 
     def run(batches):
@@ -253,7 +264,7 @@ def decode_file(file: DataFrame, lengths: np.ndarray, digests: bool = False) ->
             last = list(map(zlib.crc32, ids) if digests else ids)
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(([row["part"]] * k, [row["block"]] * k, docs, np.cumsum(sizes) - sizes, sizes, last), arrow, strict=True)], schema=arrow)
 
-    return file.mapInArrow(tidy(run), schema)
+    return file.where(F.col("part") > HEAD).mapInArrow(tidy(run), schema)
 
 
 def block_starts(file: DataFrame) -> DataFrame:
@@ -264,7 +275,7 @@ def block_starts(file: DataFrame) -> DataFrame:
             total = [int(np.frombuffer(s, "<i8").sum()) for s in part.column("sizes").to_pylist()]
             yield pa.RecordBatch.from_pydict({"part": part.column("part"), "block": part.column("block"), "ids": total}, schema=arrow_schema("part int, block int, ids long"))
 
-    sizes = file.select("part", "block", "sizes").mapInArrow(tidy(run), "part int, block int, ids long")
+    sizes = file.where(F.col("part") > HEAD).select("part", "block", "sizes").mapInArrow(tidy(run), "part int, block int, ids long")
     inside = F.sum("ids").over(_window("part", "block")) - F.col("ids")
     totals = sizes.groupBy("part").agg(F.sum("ids").alias("ids")).orderBy("part").collect()  # one row a part; parts() bounds them
     before, rows = 0, []
@@ -293,5 +304,5 @@ def write_and_read(docs: DataFrame, tokenizer_path: str, end_id: int = 2) -> Dat
         lengths = code_lengths(global_counts(tokens))
         file = materialize(encode_file(tokens, lengths), "token-file", keep=True)
 
-    read = decode_file(file, lengths, digests=True)
+    read = decode_file(file, digests=True)
     return read.join(block_starts(file), ["part", "block"]).select("doc_id", (F.col("block_start") + F.col("inside")).alias("start"), "n_tokens", "ids_crc32")

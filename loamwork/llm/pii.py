@@ -9,14 +9,16 @@ from __future__ import annotations
 
 import datetime
 import hashlib
+import ipaddress
 import re
+import unicodedata
 from functools import lru_cache
 
 from pyspark.sql import DataFrame
 
 from loamwork.llm.common import append_columns, check_columns, texts_of
 
-KINDS = ("email", "secret", "iban", "card", "phone", "ssn", "ip", "date")
+KINDS = ("email", "secret", "iban", "card", "phone", "ssn", "ip", "date", "mac")
 ROUNDS = 8
 _LOWER, _UPPER, _DIGIT, _HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 _FIRST_DAY = datetime.date(1900, 1, 1).toordinal()
@@ -36,9 +38,15 @@ SHORT_CODES = {"1", "7"} | set("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47
 _MAIL_CHAR = re.compile(r"[\w.%+-]")
 _AT_RIGHT = re.compile(r"(?:[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?\.)+[A-Za-z]{2,24}(?![A-Za-z0-9-])")
 _SECRET = re.compile(r"(?i:\b(?:token|secret|key|password|passwd|api[_-]?key)\s*[=:]\s*[\"']?)([0-9a-f]{32,}(?![0-9A-Za-z])|[0-9A-F]{32,}(?![0-9A-Za-z])|[0-9A-Za-z_+/-]{16,}(?![0-9A-Za-z_+/-]))")
-_IBAN_START = re.compile(r"(?<![0-9A-Za-z])([A-Z]{2})[0-9]{2}(?= ?[0-9A-Z]{4})")
+#: How issuers' keys begin, and what follows.
+_ISSUED = re.compile(
+    r"(?<![0-9A-Za-z_-])(?:AKIA([0-9A-Z]{16})|gh[pousr]_([0-9A-Za-z]{36})|sk_(?:live|test)_([0-9A-Za-z]{16,})|xox[abprs]-([0-9A-Za-z-]{16,})|AIza([0-9A-Za-z_-]{35}))(?![0-9A-Za-z_-])"
+)
+_IP6 = re.compile(r"(?<![0-9A-Za-z:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![0-9A-Za-z:]|\.[0-9])")
+_MAC = re.compile(r"(?<![0-9A-Za-z:-])[0-9A-Fa-f]{2}([:-])[0-9A-Fa-f]{2}(?:\1[0-9A-Fa-f]{2}){4}(?![0-9A-Za-z:-])")
+_IBAN_START = re.compile(r"(?<![0-9A-Za-z])([A-Z]{2}|[a-z]{2})[0-9]{2}(?= ?[0-9A-Za-z]{4})")
 #: An IBAN of each length: groups of four with or without blanks between them, and a rest.
-_IBAN = {n: re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){%d}%s(?![0-9A-Za-z])" % (n // 4 - 1, " ?[0-9A-Z]{%d}" % (n % 4) if n % 4 else "")) for n in set(IBAN_LENGTHS.values())}
+_IBAN = {n: re.compile(r"[A-Za-z]{2}[0-9]{2}(?: ?[0-9A-Za-z]{4}){%d}%s(?![0-9A-Za-z])" % (n // 4 - 1, " ?[0-9A-Za-z]{%d}" % (n % 4) if n % 4 else "")) for n in set(IBAN_LENGTHS.values())}
 _START = re.compile(r"(?<![0-9A-Za-z.])[+(]?[0-9]")
 #: Local and long forms, in groups; a long form with a leading 1; pairs after a leading 0; any groups after an international prefix.
 _PHONES = (
@@ -76,22 +84,35 @@ def feistel(value: int, size: int, key: bytes, tweak: bytes) -> int:
 def _digest(key: bytes, salt: bytes, data: bytes, width: int) -> int:
     out, block = b"", 0
     while len(out) < width:
-        out += hashlib.blake2b(block.to_bytes(4, "big") + salt + b"\0" + data, key=key[:64]).digest()
+        out += hashlib.blake2b(block.to_bytes(4, "big") + salt + b"\0" + data, key=key if len(key) <= 64 else hashlib.blake2b(key).digest()).digest()
         block += 1
     return int.from_bytes(out[:width], "big")
 
 
+@lru_cache(1 << 12)
+def _others(char: str) -> str:
+    """The class of a letter or digit that isn't ASCII: what is of its kind among the 128 code points around it. Letters with a capital of their own are a kind."""
+
+    def kind(c: str) -> tuple[str, bool]:
+        return unicodedata.category(c), len(c.upper()) == len(c.lower()) == 1 and c.upper().lower() == c.lower()
+
+    start = ord(char) & ~127
+    return "".join(c for c in map(chr, range(start, start + 128)) if c.isalnum() and kind(c) == kind(char)) if char.isalnum() and not char.isascii() else ""
+
+
 def permute(text: str, key: bytes, kind: str, classes: tuple[str, ...] = (_DIGIT, _LOWER, _UPPER)) -> str:
-    """text with the characters of the classes permuted together, each within its class."""
-    places = [(i, c) for i, ch in enumerate(text) for c in classes if ch in c]
+    """text with its letters and digits permuted together, each within its class: one of classes, or what _others gives."""
+    of = [next((c for c in classes if ch in c), "") or _others(ch) for ch in text]
     value, size = 0, 1
-    for i, c in places:
-        value, size = value * len(c) + c.index(text[i]), size * len(c)
-    form = "".join(next((c[0] for c in classes if ch in c), ch) for ch in text)
+    for ch, c in zip(text, of, strict=True):
+        if c:
+            value, size = value * len(c) + c.index(ch), size * len(c)
+    form = "".join(c[0] if c else ch for ch, c in zip(text, of, strict=True))
     value, out = feistel(value, size, key, f"{kind}:{form}".encode()), list(text)
-    for i, c in reversed(places):
-        value, at = divmod(value, len(c))
-        out[i] = c[at]
+    for i in reversed(range(len(text))):
+        if of[i]:
+            value, at = divmod(value, len(of[i]))
+            out[i] = of[i][at]
     return "".join(out)
 
 
@@ -120,11 +141,12 @@ def _card(value: str, key: bytes) -> str | None:
 
 
 def _iban(value: str, key: bytes) -> str | None:
-    plain = value.replace(" ", "")
+    plain = value.replace(" ", "").upper()
     if len(plain) != IBAN_LENGTHS.get(plain[:2]) or iban_rest(plain) != 1:
         return None
     body = permute(plain[4:], key, "iban", (_DIGIT, _UPPER))
-    return _spread(value, plain[:2] + f"{98 - iban_rest(plain[:2] + '00' + body):02d}" + body)
+    new = _spread(value, plain[:2] + f"{98 - iban_rest(plain[:2] + '00' + body):02d}" + body)
+    return new.lower() if value == value.lower() else new
 
 
 def _date(value: str, key: bytes) -> str | None:
@@ -153,6 +175,16 @@ def _date(value: str, key: bytes) -> str | None:
 
 
 def _ip(value: str, key: bytes) -> str | None:
+    """An address of version 6 has one pseudonym in all its forms, which is written in the short one."""
+    if ":" in value:
+        try:
+            at = ipaddress.IPv6Address(value)
+        except ValueError:
+            return None
+        if sum(map(bool, value.split(":"))) < 3:  # a::b may be anything
+            return None
+        new = str(ipaddress.IPv6Address(feistel(int(at), 1 << 128, key, b"ip6")))
+        return new.upper() if value != value.lower() else new
     parts = value.split(".")
     if any(int(p) > 255 or (len(p) > 1 and p[0] == "0") for p in parts):
         return None
@@ -160,6 +192,12 @@ def _ip(value: str, key: bytes) -> str | None:
     return ".".join(map(str, new.to_bytes(4, "big")))
 
 
+def _mac(value: str, key: bytes) -> str | None:
+    """The twelve digits are permuted together, whatever stands between them."""
+    new = _spread(value, permute(re.sub("[:-]", "", value).lower(), key, "mac", (_HEX,)))
+    return new.upper() if value != value.lower() else new
+
+
 def _phone(value: str, key: bytes) -> str | None:
     """The national digits are permuted, whatever stands between them; the calling code or trunk digit before them stays.
 
@@ -212,7 +250,7 @@ def _secret(value: str, key: bytes) -> str | None:
     return permute(value, key, "secret")
 
 
-_MAKERS = {"card": _card, "iban": _iban, "date": _date, "ip": _ip, "phone": _phone, "ssn": _ssn, "email": _email, "secret": _secret}
+_MAKERS = {"card": _card, "iban": _iban, "date": _date, "ip": _ip, "phone": _phone, "ssn": _ssn, "email": _email, "secret": _secret, "mac": _mac}
 
 
 @lru_cache(1 << 16)
@@ -242,9 +280,16 @@ def spans(text: str) -> list[tuple[int, int, str]]:
         before, at = at + 1, text.find("@", at + 1)
     if "=" in text or ":" in text:
         found += [(*m.span(1), "secret") for m in _SECRET.finditer(text) if pseudonym("secret", m[1], b"?") is not None]
+    for m in _ISSUED.finditer(text):
+        if pseudonym("secret", m[m.lastindex], b"?") is not None:
+            found.append((*m.span(m.lastindex), "secret"))
+    if ":" in text or "-" in text:
+        macs = [(*m.span(), "mac") for m in _MAC.finditer(text)]
+        found += macs
+        found += [(*m.span(), "ip") for m in _IP6.finditer(text) if pseudonym("ip", m[0], b"?") is not None and not any(a < m.end() and m.start() < b for a, b, _ in macs)]
     for m in _IBAN_START.finditer(text):
-        hit = _IBAN[n].match(text, m.start()) if (n := IBAN_LENGTHS.get(m[1])) else None
-        if hit and iban_rest(hit[0].replace(" ", "")) == 1:
+        hit = _IBAN[n].match(text, m.start()) if (n := IBAN_LENGTHS.get(m[1].upper())) else None
+        if hit and iban_rest(hit[0].replace(" ", "").upper()) == 1:
             found.append((*hit.span(), "iban"))
     end, taken = 0, sorted(found)
     for m in _START.finditer(text):

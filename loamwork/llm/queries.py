@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,8 +19,11 @@ def tokenizer(name: str) -> str:
 
 
 def pii_key(spark: SparkSession) -> bytes:
-    """The key of pseudonyms: the session's setting loamwork.pii.key; a public one where it is unset, as in tests."""
-    return spark.conf.get("loamwork.pii.key", "public-test-key").encode()
+    """The key of pseudonyms: the session's setting loamwork.pii.key. Where it is unset, as in tests, a public one and a warning."""
+    key = spark.conf.get("loamwork.pii.key", None)
+    if key is None:
+        warnings.warn("loamwork.pii.key is unset: pseudonyms made with the public test key can be undone by anyone", stacklevel=2)
+    return (key or "public-test-key").encode()
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -155,3 +155,14 @@ def test_encoding_query(spark, sf, byte_bpe):
         ids = library.encode(r.text or "", add_special_tokens=False).ids
         x = rows[r.doc_id]
         assert (x.n_tokens, x.ids_sha256, x.decoded_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((r.text or "").encode()).hexdigest())
+
+
+def test_a_file_is_enough_to_read_it(spark, sf, tmp_path, byte_bpe):
+    docs = queries.documents(spark, sf).where("doc_id < 50")
+    tokens = huffman.token_table(docs, byte_bpe, 2)
+    huffman.encode_file(tokens, huffman.code_lengths(huffman.global_counts(tokens))).write.parquet(str(tmp_path / "f"))
+    file = spark.read.parquet(str(tmp_path / "f"))
+    library = Tokenizer.from_file(byte_bpe)
+    want = {r.doc_id: [*library.encode(r.text or "", add_special_tokens=False).ids, 2] for r in docs.collect()}
+    assert {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in huffman.decode_file(file).collect()} == want
+    assert sum(r.n_tokens for r in huffman.decode_file(file, digests=True).collect()) == sum(map(len, want.values()))
