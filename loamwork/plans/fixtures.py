@@ -25,6 +25,13 @@ CONTIGS = """contigs AS (SELECT 'c' || doc_id AS contig_id, doc_id AS ord, sourc
 c AS (SELECT *, CAST(length(seq) AS BIGINT) AS length FROM contigs)"""
 
 
+def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """contig_id, ord, sample, seq, length with a base for every letter of documents, so that like texts are like sequences."""
+    d = table(spark, sf_dir, "documents")
+    seq = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "ACGTGCATTACGCGTAATGCCATGCA")
+    return d.select(F.concat(F.lit("c"), F.col("doc_id")).alias("contig_id"), F.col("doc_id").alias("ord"), F.col("source").alias("sample"), seq.alias("seq")).withColumn("length", F.length("seq").cast("long"))
+
+
 def depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """contig_id, sample, depth, breadth from all lines; what lies over 48 adds depth. Every fifth contig has no coverage: its lines count for the one before it."""
     rows = table(spark, sf_dir, "lineitem")

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loamwork.functions import kmers, sequence
-from loamwork.operators import assembly
+from loamwork.operators import ani, assembly
 from loamwork.plans import fixtures as fx
 from loamwork.plans.registry import query
+from loamwork.plans.workspace import settled
 from loamwork.sources import fasta
 from loamwork.plans.workspace import workspace
 
@@ -119,6 +120,23 @@ def tnf_weights(spark, sf_dir):
     return kmers.tnf(fx.contigs(spark, sf_dir), full=200).select("contig_id", "n_kmers", "weight")
 
 
+def _identities(spark, sf_dir):
+    c = settled(assembly.first_duplicates(fx.letters(spark, sf_dir)).where("duplicate_of = ''"))
+    return ani.contig_ani(c, least_identity=90.0, k=21), c
+
+
+@query()
+def contig_identities(spark, sf_dir):
+    """Identity and aligned fractions of all contigs that are alike, from their sequences; equal ones stand for each other."""
+    return _identities(spark, sf_dir)[0].select("ref_name", "query_name", *(F.round(x, 6).alias(x) for x in ("ani", "af_ref", "af_query")))
+
+
+@query()
+def sequence_containment(spark, sf_dir):
+    """K18 on X2's edges: which contigs of one source are contained in a longer one of another."""
+    return assembly.containment_pairs(*_identities(spark, sf_dir), min_ani=98.0, min_af=80.0).select("winner", "loser", F.round("ani", 6).alias("ani"), F.round("af_short", 6).alias("af_short"))
+
+
 PAIRS = f"""WITH {fx.CONTIGS}, {fx.ANI},
 p AS (SELECT a.*, q.length AS lq, r.length AS lr FROM ani a JOIN c q ON a.query_name = q.contig_id JOIN c r ON a.ref_name = r.contig_id WHERE ani >= 98.0 AND query_name <> ref_name AND q.sample <> r.sample),
 s AS (SELECT *, CASE WHEN lq < lr THEN af_query WHEN lq > lr THEN af_ref ELSE least(af_query, af_ref) END AS af_short, (lq > lr OR (lq = lr AND query_name < ref_name)) AS qw FROM p),
