@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamwork.operators.quantiles import quantiles
+
 
 def violations(coverage: DataFrame, expected: list[str] | None = None) -> DataFrame:
     """Counts of everything that makes a coverage table unusable, in one aggregate (and one for repeated keys)."""
@@ -38,17 +40,18 @@ def prevalent(coverage: DataFrame) -> DataFrame:
 
 def caps(coverage: DataFrame, percentile: float = 99.5) -> DataFrame:
     """For each sample the cap (linear percentile of positive depths) and the scale, the median of capped positive depths."""
-    positive = coverage.where("depth > 0")
-    cap = positive.groupBy("sample").agg(F.percentile("depth", percentile / 100.0).alias("cap"))
-    capped = positive.join(F.broadcast(cap), "sample").groupBy("sample").agg(F.first("cap").alias("cap"), F.median(F.least("depth", "cap")).alias("scale"), F.sum((F.col("depth") > F.col("cap")).cast("long")).alias("n_capped"))
-    return capped
+    positive = coverage.where("depth > 0").select("sample", "depth")
+    cap = quantiles(positive, ["sample"], "depth", {"cap": percentile / 100.0})
+    capped = positive.join(cap, "sample").select("sample", "depth", "cap", F.least("depth", "cap").alias("least"))
+    over = capped.groupBy("sample").agg(F.first("cap").alias("cap"), F.sum((F.col("depth") > F.col("cap")).cast("long")).alias("n_capped"))
+    return over.join(quantiles(capped, ["sample"], "least", {"scale": 0.5}), "sample").select("sample", "cap", "scale", "n_capped")
 
 
 def normalized(coverage: DataFrame, percentile: float = 99.5) -> DataFrame:
     """V6: log1p of capped depth over its sample's scale."""
     c = caps(coverage, percentile).select("sample", "cap", "scale")
     value = F.log1p(F.least("depth", "cap") / F.when(F.col("scale") > 0, F.col("scale")).otherwise(1.0))
-    return coverage.join(F.broadcast(c), "sample").select("contig_id", "sample", value.alias("value"))
+    return coverage.join(c, "sample").select("contig_id", "sample", value.alias("value"))
 
 
 def matrix(values: DataFrame, samples: list[str]) -> DataFrame:

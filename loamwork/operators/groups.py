@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.functions import vectors as V
+from loamwork.operators.quantiles import quantiles
 
 
 def _field(name: str):
@@ -27,21 +28,22 @@ def means(rows: DataFrame, key: str, vec: str = "vec") -> DataFrame:
 def centroids(rows: DataFrame, key: str = "label", vec: str = "u") -> DataFrame:
     """Key, centroid (the normalised mean) and radius (the median distance, at least 1e-6)."""
     c = means(rows, key, vec).select(key, V.unit(F.col("mean")).alias("centroid"))
-    far = rows.join(F.broadcast(c), key).select(key, V.distance(F.col(vec), F.col("centroid")).alias("d"))
-    return c.join(far.groupBy(key).agg(F.greatest(F.median("d"), F.lit(1e-6)).alias("radius")), key)
+    far = rows.join(c, key).select(key, V.distance(F.col(vec), F.col("centroid")).alias("d"))
+    return c.join(quantiles(far, [key], "d", {"half": 0.5}).select(key, F.greatest("half", F.lit(1e-6)).alias("radius")), key)
 
 
 def shape_models(rows: DataFrame, key: str = "label", vec: str = "shape", floor: float = 0.05) -> DataFrame:
     """Key, median and sd (1.4826 median absolute deviations, at least floor) position by position."""
     x = rows.select(key, F.posexplode(vec).alias("pos", "x"))
-    m = x.groupBy(key, "pos").agg(F.median("x").alias("median"))
-    sd = x.join(F.broadcast(m), [key, "pos"]).groupBy(key, "pos").agg(F.first("median").alias("median"), F.greatest(F.median(F.abs(F.col("x") - F.col("median"))) * 1.4826, F.lit(floor)).alias("sd"))
-    return _rebuilt(sd, [key], "median", "sd")
+    m = quantiles(x, [key, "pos"], "x", {"median": 0.5})
+    far = x.join(m, [key, "pos"]).select(key, "pos", F.abs(F.col("x") - F.col("median")).alias("far"))
+    sd = quantiles(far, [key, "pos"], "far", {"half": 0.5}).select(key, "pos", F.greatest(F.col("half") * 1.4826, F.lit(floor)).alias("sd"))
+    return _rebuilt(m.join(sd, [key, "pos"]), [key], "median", "sd")
 
 
 def shape_scores(rows: DataFrame, models: DataFrame, key: str = "label", vec: str = "shape") -> DataFrame:
     """Rows with z, the misfit to their own group's model."""
-    return rows.join(F.broadcast(models), key).withColumn("z", V.shape_z(F.col(vec), F.col("median"), F.col("sd"))).drop("median", "sd")
+    return rows.join(models, key).withColumn("z", V.shape_z(F.col(vec), F.col("median"), F.col("sd"))).drop("median", "sd")
 
 
 def misfit(rows: DataFrame, models: DataFrame, limit: float, key: str = "label", vec: str = "shape") -> DataFrame:

@@ -109,8 +109,8 @@ def _best(meetings: DataFrame, k: int, drop_self: bool, parts: int) -> DataFrame
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-#: Rows that an index is fitted on at most, those with the lowest hashes; every row is indexed.
-FIT_ROWS = 20_000
+#: Rows that an index is fitted on: FIT_ROWS, or FIT_PER_CELL a cell where that is more, those with the lowest hashes; every row is indexed.
+FIT_ROWS, FIT_PER_CELL = 20_000, 32
 #: Rows whose exact neighbours calibrate how many cells a search visits.
 CALIBRATION_ROWS = 200
 CELLS = 4096
@@ -125,7 +125,7 @@ class Cells:
 
     def __init__(self, sample: np.ndarray, k: int, target: float = 0.95, cells: int | None = None, steps: int = 8, seed: int = 0):
         rnd = np.random.default_rng(seed)
-        n = cells or int(np.clip(np.sqrt(len(sample)), 1, CELLS))
+        n = min(len(sample), cells or int(np.clip(np.sqrt(len(sample)), 1, CELLS)))
         self.centres = sample[rnd.permutation(len(sample))[:n]].astype(np.float64)
         for _ in range(steps):
             own = self.nearest(sample, 1)[:, 0]
@@ -159,8 +159,9 @@ class Cells:
 
 
 def fit_cells(refs: DataFrame, k: int, target: float = 0.95, cells: int | None = None) -> Cells:
-    """Cells for refs (contig_id, vec), fitted on FIT_ROWS of them at most."""
-    rows = refs.select("contig_id", "vec").orderBy(F.xxhash64("contig_id"), "contig_id").limit(FIT_ROWS).toArrow()
+    """Cells for refs (contig_id, vec): as many as the square root of their number, CELLS at most, fitted on a sample that grows with them."""
+    cells = cells or int(np.clip(np.sqrt(refs.count()), 1, CELLS))
+    rows = refs.select("contig_id", "vec").orderBy(F.xxhash64("contig_id"), "contig_id").limit(max(FIT_ROWS, FIT_PER_CELL * cells)).toArrow()
     return Cells(np.array(rows.column("vec").to_pylist(), np.float64).reshape(rows.num_rows, -1), k, target, cells)
 
 
