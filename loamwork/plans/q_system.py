@@ -116,11 +116,67 @@ def subclustered(spark, sf_dir):
     return split.subcluster(rows(spark, sf_dir), PIECES)
 
 
-@query()
+def _near(name: str, space: str, asked: str) -> str:
+    return f"""{name} AS (SELECT * FROM (SELECT q.contig_id AS query, r.contig_id AS ref, q.label, r.piece, list_distance(q.{space}, r.{space}) AS d, row_number() OVER (PARTITION BY q.contig_id ORDER BY list_distance(q.{space}, r.{space}), r.contig_id) AS k
+ FROM {asked} q JOIN kn r ON q.label = r.label AND q.contig_id <> r.contig_id) WHERE k <= 10)"""
+
+
+def _mix(name: str, near: str) -> str:
+    return f"""{name} AS (SELECT n.label, k.piece AS a, n.piece AS b, count(*) / any_value(t.slots) * (any_value(al.n) - 1) / any_value(sz.n) AS mix FROM {near} n JOIN kn k ON k.contig_id = n.query JOIN (SELECT label, piece, count(*) AS n FROM kn GROUP BY 1, 2) sz ON sz.label = n.label AND sz.piece = n.piece
+ JOIN (SELECT label, count(*) AS n FROM kn GROUP BY 1) al ON al.label = n.label JOIN (SELECT m.label, j.piece, count(*) AS slots FROM {near} m JOIN kn j ON j.contig_id = m.query GROUP BY 1, 2) t ON t.label = n.label AND t.piece = k.piece WHERE k.piece <> n.piece GROUP BY 1, 2, 3)"""
+
+
+def _gap(name: str, pairs: str, members: str) -> str:
+    """The pooled gap of pairs (label, a, b) over members (contig_id, label, piece)."""
+    return f"""{name}_e AS (SELECT m.label, m.piece, ex.pos, ex.x FROM {members} m JOIN ex USING (contig_id)), {name}_m AS (SELECT label, piece, pos, median(x) AS m FROM {name}_e GROUP BY 1, 2, 3), {name}_f AS (SELECT e.label, e.piece, e.pos, abs(e.x - m.m) AS far FROM {name}_e e JOIN {name}_m m USING (label, piece, pos)),
+{name}_s AS (SELECT p.label, p.a, p.b, f.pos, greatest(median(far) * 1.4826, 0.05) AS sd FROM {pairs} p JOIN {name}_f f ON f.label = p.label AND f.piece IN (p.a, p.b) GROUP BY 1, 2, 3, 4),
+{name} AS (SELECT s.label, s.a, s.b, avg(abs(p.m - q.m) / sd) AS gap FROM {name}_s s JOIN {name}_m p ON p.label = s.label AND p.piece = s.a AND p.pos = s.pos JOIN {name}_m q ON q.label = s.label AND q.piece = s.b AND q.pos = s.pos GROUP BY 1, 2, 3)"""
+
+
+# every bin is cut in two, so a bin has one pair of pieces and uniting them is one step
+SPLITS = SHAPES + f""", xs AS (SELECT contig_id, label, u, vec, length, CASE WHEN contig_id % 11 = 0 THEN -1 ELSE 2 * label + CAST(u[1] > 0 AS INT) END AS piece FROM nv WHERE label >= 0), kn AS (SELECT * FROM xs WHERE piece >= 0), op AS (SELECT * FROM xs WHERE piece < 0),
+{_near("nu", "u", "kn")}, {_near("nq", "vec", "kn")}, {_near("no", "u", "op")}, {_mix("mu", "nu")}, {_mix("mq", "nq")},
+mx AS (SELECT label, least(a, b) AS a, greatest(a, b) AS b, min(mix) AS mix FROM (SELECT label, a, b, least(mu.mix, mq.mix) AS mix FROM mu JOIN mq USING (label, a, b)) GROUP BY 1, 2, 3 HAVING count(*) = 2), {_gap("pg", "mx", "kn")},
+pairs AS (SELECT label, a, b, mix, gap, coalesce(mix >= 0.6 AND gap < 0.2, false) AS alike FROM mx LEFT JOIN pg USING (label, a, b))"""
+
+
+@query(f"WITH {SPLITS} SELECT label, a, b, round(mix, 6) AS mix, round(gap, 6) AS gap, alike FROM pairs")
+def split_pairs(spark, sf_dir):
+    """Q6: how mixed and how alike in coverage the two pieces of each bin are."""
+    x = _cut_rows(spark, sf_dir).where("label >= 0").withColumnRenamed("cut", "piece")
+    known = settled(x.where("piece >= 0").select(F.col("label").cast("long").alias("label"), "contig_id", F.col("piece").cast("long").alias("piece"), "u", "vec", "shape"))
+    near = {c: settled(split._nearby(known, c, 10)) for c in ("u", "vec")}
+    return split.piece_pairs(known, near, SPLIT_RULES).withColumn("mix", F.round("mix", 6)).withColumn("gap", F.round("gap", 6))
+
+
+_DECIDED = SPLITS + f""", lim AS (SELECT label, quantile_cont(d, 0.95) AS most FROM (SELECT query, any_value(label) AS label, avg(d) AS d FROM nu GROUP BY 1) GROUP BY 1), vo AS (SELECT query, label, piece, count(*) AS n, sum(d) AS d FROM no GROUP BY 1, 2, 3),
+won AS (SELECT query, label, arg_max(piece, n * 1000000 - piece) AS piece, max(n) AS n, sum(n) AS f, sum(d) / sum(n) AS far FROM vo GROUP BY 1, 2),
+me1 AS (SELECT k.label, k.piece, pos, median(x) AS m FROM kn k JOIN ex USING (contig_id) GROUP BY 1, 2, 3), me2 AS (SELECT k.label, k.piece, e.pos, any_value(m) AS m, greatest(median(abs(x - m)) * 1.4826, 0.05) AS sd FROM kn k JOIN ex e USING (contig_id) JOIN me1 ON me1.label = k.label AND me1.piece = k.piece AND me1.pos = e.pos GROUP BY 1, 2, 3),
+fit AS (SELECT w.query AS contig_id, w.piece FROM won w JOIN lim USING (label) JOIN ex e ON e.contig_id = w.query JOIN me2 m ON m.label = w.label AND m.piece = w.piece AND m.pos = e.pos WHERE 2 * n >= f AND far <= most + 1e-9 GROUP BY 1, 2 HAVING avg(abs(e.x - m.m) / m.sd) <= 3.0 + 1e-9),
+si AS (SELECT label, piece, count(*) AS n FROM kn GROUP BY 1, 2), un AS (SELECT p.label, p.a, p.b, CASE WHEN s.n >= t.n THEN a ELSE b END AS keep FROM pairs p JOIN si s ON s.label = p.label AND s.piece = a JOIN si t ON t.label = p.label AND t.piece = b WHERE alike),
+nw AS (SELECT x.contig_id, x.label, x.length, fit.piece IS NOT NULL AS took, CASE WHEN coalesce(fit.piece, x.piece) IN (un.a, un.b) THEN un.keep ELSE coalesce(fit.piece, x.piece) END AS piece FROM xs x LEFT JOIN fit USING (contig_id) LEFT JOIN un ON un.label = x.label),
+pu AS (SELECT label, piece, avg(s) AS pure FROM (SELECT q.label, q.piece, n.query, avg(CAST(q.piece = r.piece AS INT)) AS s FROM nu n JOIN nw q ON q.contig_id = n.query JOIN nw r ON r.contig_id = n.ref GROUP BY 1, 2, 3) GROUP BY 1, 2),
+ps AS (SELECT label, piece, sum(length) AS bp FROM nw WHERE piece >= 0 GROUP BY 1, 2), we AS (SELECT label, count(*) AS pieces, 100 * (1 - min(coalesce(pure, 0))) AS dp FROM ps LEFT JOIN pu USING (label, piece) GROUP BY 1),
+tw AS (SELECT label, min(piece) AS a, max(piece) AS b FROM ps GROUP BY 1 HAVING count(*) = 2), {_gap("tg", "tw", "nw")},
+be AS (SELECT label, count(*) AS contigs, count(DISTINCT piece) FILTER (piece >= 0) AS raw FROM xs GROUP BY 1), af AS (SELECT label, count(*) FILTER (took) AS reattached, coalesce(sum(length) FILTER (piece < 0), 0) / sum(length) AS unassigned FROM nw GROUP BY 1),
+al AS (SELECT *, coalesce(dp <= 60 + 1e-9, false) AS apart, coalesce(gap >= 0.2 - 1e-9, false) AS dist FROM be JOIN af USING (label) LEFT JOIN we USING (label) LEFT JOIN tg USING (label)),
+ve AS (SELECT *, CASE WHEN pieces < 2 THEN 'one genome' WHEN NOT (apart AND dist) THEN 'not enough evidence' WHEN unassigned > 0.05 + 1e-9 THEN 'too much is lost' END AS why FROM al)"""
+
+
+@query(f"""WITH {_DECIDED} SELECT label AS parent, contigs, raw AS raw_pieces, pieces, reattached, raw - pieces AS rejoined, round(unassigned, 6) AS unassigned, round(dp, 6) AS drop_points, round(gap, 6) AS gap,
+ CASE WHEN why IS NULL THEN 'split' ELSE 'keep_parent' END AS decision, coalesce(why, 'tnf_separable+coverage_distinct') AS reason FROM ve""")
 def split_decisions(spark, sf_dir):
     """Q6: a split of each bin in two by the side of a plane, judged bin by bin."""
-    r = rows(spark, sf_dir).withColumn("cut", F.when(F.col("label") < 0, -1).when(F.col("contig_id") % 11 == 0, -1).otherwise(2 * F.col("label") + (F.element_at("u", 1) > 0).cast("int")))
-    return split.decide_splits(r, split.SplitRules(max_drop_points=60.0, min_z=0.01, max_loss=0.2))
+    found = split.decide_splits(_cut_rows(spark, sf_dir), SPLIT_RULES)
+    return found.select(*(F.round(c, 6).alias(c) if c in ("unassigned", "drop_points", "gap") else F.col(c) for c in found.columns))
+
+
+SPLIT_RULES = split.SplitRules(max_drop_points=60.0, min_z=0.2, max_loss=0.05, rejoin_mix=0.6)
+
+
+def _cut_rows(spark, sf_dir):
+    r = rows(spark, sf_dir)
+    return r.withColumn("cut", F.when(F.col("label") < 0, -1).when(F.col("contig_id") % 11 == 0, -1).otherwise(2 * F.col("label") + (F.element_at("u", 1) > 0).cast("int")))
 
 
 @query()
