@@ -57,6 +57,24 @@ def mutual(best: DataFrame) -> DataFrame:
     return best.join(back, "other").where("comp < other AND x = bx AND y = by").select("comp", "other", "w", "x", "y")
 
 
+def components(pairs: DataFrame) -> DataFrame:
+    """Node, component (its lowest node) of everything that pairs (a, b) link.
+
+    A round hangs every component on its lowest neighbour, if that is lower, and contracts.
+    """
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    where = settled(nodes.select("node", F.col("node").alias("comp")))
+    left = settled(pairs.where("a <> b").select("a", "b").distinct())
+    while not left.isEmpty():
+        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        lowest = both.groupBy("a").agg(F.min("b").alias("parent")).where("parent < a").select(F.col("a").alias("comp"), "parent")
+        names = roots(lowest)
+        where = settled(where.join(names, "comp", "left").select("node", F.coalesce("root", "comp").alias("comp")))
+        left = renamed(left, names)
+        left = settled(left.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    return where.withColumnRenamed("comp", "component")
+
+
 def spanning_forest(points: DataFrame, edges: DataFrame) -> DataFrame:
     """M8: x, y, w of one tree a group. points: key, contig_id, vec, core. edges: x, y, w within groups, x < y, each once."""
     where = points.select("contig_id", F.col("contig_id").alias("comp"))

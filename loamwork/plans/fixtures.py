@@ -32,6 +32,15 @@ def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(F.concat(F.lit("c"), F.col("doc_id")).alias("contig_id"), F.col("doc_id").alias("ord"), F.col("source").alias("sample"), seq.alias("seq")).withColumn("length", F.length("seq").cast("long"))
 
 
+def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """read_id, sample, seq: windows of 100 letters of F11's contigs, every 40; every third comes from the other strand."""
+    c = letters(spark, sf_dir).where("length >= 100")
+    x = c.select("contig_id", "sample", "seq", F.explode(F.expr("sequence(0, length - 100, 40)")).alias("at"))
+    turned = F.reverse(F.translate("seq", "ACGT", "TGCA"))
+    x = x.withColumn("seq", F.expr("substr(seq, at + 1, 100)"))
+    return x.select(F.concat_ws("_", "contig_id", "at").alias("read_id"), "sample", F.when(F.col("at") % 3 == 0, turned).otherwise(F.col("seq")).alias("seq"))
+
+
 def depth(spark: SparkSession, sf_dir: str) -> DataFrame:
     """contig_id, sample, depth, breadth from all lines; what lies over 48 adds depth. Every fifth contig has no coverage: its lines count for the one before it."""
     rows = table(spark, sf_dir, "lineitem")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loamwork.operators import coverage, neighbours
+from loamwork.operators import coverage, neighbours, mapping
 from loamwork.plans import fixtures as fx
 from loamwork.plans.registry import query
 
@@ -107,3 +107,19 @@ def manifest_alignment(spark, sf_dir):
 def manifest_hash(spark, sf_dir):
     """The digest of a contig order."""
     return coverage.manifest_hash(fx.part_contigs(spark, sf_dir).select(F.col("contig_id").alias("ord"), F.col("contig_id").cast("string").alias("contig_id")))
+
+
+@query(f"""WITH {fx.HITS}, s AS (SELECT contig_id, target AS sample, least(qstart, qend) - 1 AS lo, greatest(qstart, qend) AS hi FROM hits), b AS (SELECT contig_id, sample, unnest(range(CAST(lo AS BIGINT), CAST(hi AS BIGINT))) AS base FROM s)
+SELECT contig_id, sample, round(count(*) / any_value(length), 9) AS depth, round(count(DISTINCT base) / any_value(length), 9) AS breadth FROM b JOIN ids USING (contig_id) GROUP BY 1, 2""")
+def span_depth(spark, sf_dir):
+    """Mean depth and covered share of each contig and target by a sweep over spans' ends; the SQL counts every base."""
+    h = fx.hits(spark, sf_dir)
+    spans = h.select("contig_id", F.col("target").alias("sample"), (F.least("qstart", "qend") - 1).alias("lo"), F.greatest("qstart", "qend").alias("hi"))
+    d = mapping.depth_and_breadth(spans, fx.part_contigs(spark, sf_dir), ["contig_id", "sample"])
+    return d.select("contig_id", "sample", F.round("depth", 9).alias("depth"), F.round("breadth", 9).alias("breadth"))
+
+
+@query()
+def mapped_depth(spark, sf_dir):
+    """Reads of all contigs mapped by their seeds, and the depth and breadth that they make."""
+    return mapping.coverage(fx.reads(spark, sf_dir), fx.letters(spark, sf_dir))

@@ -249,6 +249,15 @@ def bin_dedup(spark, sf_dir):
     return merge.redundant_bins(*fx.bin_edges(spark, sf_dir))
 
 
+@query(f"""WITH RECURSIVE {fx.BIN_EDGES}, lk AS (SELECT least(a, b) AS a, greatest(a, b) AS b FROM be WHERE a <> b GROUP BY 1, 2 HAVING sum(CASE WHEN ani >= 98.5 THEN 1 ELSE 0 END) >= 9), two AS (SELECT a, b FROM lk UNION ALL SELECT b, a FROM lk),
+rc AS (SELECT bin, bin AS other FROM bl UNION SELECT rc.bin, two.b FROM rc JOIN two ON rc.other = two.a), best AS (SELECT rc.bin, min((-length, other)) AS m FROM rc JOIN bl ON bl.bin = rc.other GROUP BY 1)
+SELECT bin, m[2] AS stands_for FROM best""")
+def linked_bins(spark, sf_dir):
+    """Chains of linked bins under the name of their longest one."""
+    bins, e = fx.bin_edges(spark, sf_dir)
+    return merge.linked_bins(bins, e.select("a", "b", (F.col("ani") >= 98.5).cast("int").alias("links")), 9)
+
+
 @query("""WITH p AS (SELECT c_custkey AS id, CASE WHEN c_custkey % 9 = 0 THEN NULL ELSE 40.0 + c_custkey % 37 END AS c_a, (c_custkey % 5) * 1.0 AS x_a, 42.0 + c_custkey % 31 AS c_b, (c_custkey % 4) * 1.0 AS x_b, 45.0 + c_custkey % 43 AS c_ab, (c_custkey % 8) * 1.0 AS x_ab FROM customer)
 SELECT id, c_ab - greatest(c_a, c_b) AS gain, x_ab - greatest(x_a, x_b) AS rise, 'ok' AS kind, CASE WHEN c_ab - greatest(c_a, c_b) >= 5 AND x_ab - greatest(x_a, x_b) <= 2 THEN 'merge' ELSE 'apart' END AS decision FROM p WHERE c_a IS NOT NULL
 UNION ALL SELECT id, NULL, NULL, 'ok', 'no_score' FROM p WHERE c_a IS NULL""")
