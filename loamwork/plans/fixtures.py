@@ -25,10 +25,18 @@ CONTIGS = """contigs AS (SELECT 'c' || doc_id AS contig_id, doc_id AS ord, sourc
 c AS (SELECT *, CAST(length(seq) AS BIGINT) AS length FROM contigs)"""
 
 
+def _bases():
+    return F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "ACGTGCATTACGCGTAATGCCATGCA")
+
+
+def letter_library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """name, seq of the benchmark's texts."""
+    return table(spark, sf_dir, "benchmark").select(F.concat(F.lit("b"), F.col("item_id")).alias("name"), _bases().alias("seq"))
+
+
 def letters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """contig_id, ord, sample, seq, length with a base for every letter of documents, so that like texts are like sequences."""
-    d = table(spark, sf_dir, "documents")
-    seq = F.translate(F.regexp_replace(F.lower("text"), "[^a-z]", ""), "abcdefghijklmnopqrstuvwxyz", "ACGTGCATTACGCGTAATGCCATGCA")
+    d, seq = table(spark, sf_dir, "documents"), _bases()
     return d.select(F.concat(F.lit("c"), F.col("doc_id")).alias("contig_id"), F.col("doc_id").alias("ord"), F.col("source").alias("sample"), seq.alias("seq")).withColumn("length", F.length("seq").cast("long"))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from loamwork.operators import repeats
+from loamwork.operators import repeats, search
 from loamwork.operators.repeats import CLASS_KEYWORDS, CLASS_TOKENS, SKIP_TOKENS
 from loamwork.plans import fixtures as fx
 from loamwork.plans.registry import query
@@ -82,3 +82,9 @@ def te_orphan_hits(spark, sf_dir):
     """Hits on contigs missing from a list (here the shorter contigs only)."""
     listed = fx.part_contigs(spark, sf_dir).where("length < 8000")
     return repeats.unknown_contigs(fx.hits(spark, sf_dir), listed).groupBy("contig_id").agg(F.count("*").alias("n"))
+
+
+@query()
+def passage_hits(spark, sf_dir):
+    """Hits of the benchmark's texts, as sequences, on all contigs."""
+    return search.search(fx.letters(spark, sf_dir).select(F.col("contig_id").alias("name"), "seq"), fx.letter_library(spark, sf_dir), max_evalue=1e-12)
