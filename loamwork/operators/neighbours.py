@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -194,6 +194,15 @@ def knn_indexed(queries: DataFrame, refs: DataFrame, k: int, index: Cells | None
     return _best(meetings.select("q_ids", "q_mat", "r_ids", "r_mat"), k, drop_self, parts)
 
 
+def knn_by_size(exact_pairs: float) -> Callable[..., DataFrame]:
+    """K1: knn() where queries x references, both counted, are at most exact_pairs; knn_indexed() beyond."""
+
+    def search(queries: DataFrame, refs: DataFrame, k: int) -> DataFrame:
+        return (knn if queries.count() * refs.count() <= exact_pairs else knn_indexed)(queries, refs, k)
+
+    return search
+
+
 def votes(neighbours: DataFrame, labels: DataFrame) -> DataFrame:
     """query_id, support, winner (the lowest of equals), agree: how the neighbours' labels vote."""
     by = neighbours.join(labels.select(F.col("contig_id").alias("ref_id"), F.col("label").alias("vote")), "ref_id").groupBy("query_id", "vote").agg(F.count("*").alias("n"))

@@ -68,7 +68,8 @@ class Settings:
     bin_n50: int = 1000
     gate: bool = True
     tolerance: float = 0.10
-    indexed: bool = False  # neighbours by the index in place of exact passes
+    indexed: bool = False  # neighbours by the index at every size
+    exact_pairs: float = 1e11  # queries x references up to which neighbours are exact, if not indexed
 
 
 def load_settings(path: str | None = None, **given) -> Settings:
@@ -117,8 +118,10 @@ def features(contigs: DataFrame, depth: DataFrame, s: Settings) -> DataFrame:
 def density_labels(rows: DataFrame, s: Settings) -> DataFrame:
     """01: contig_id, label, prob by density clustering of the pool over its neighbour graph."""
     pool = rows.where("pool").select(F.lit(0).alias("all"), "contig_id", "vec")
-    size, samples = density.auto_params(pool.count())
-    found = density.cluster(pool, "all", s.min_cluster or size, s.min_samples or samples, s.method, s.epsilon, s.max_cluster, search=neighbours.knn_indexed if s.indexed else None)
+    n = pool.count()
+    size, samples = density.auto_params(n)
+    search = neighbours.knn_indexed if s.indexed or n * n > s.exact_pairs else None
+    found = density.cluster(pool, "all", s.min_cluster or size, s.min_samples or samples, s.method, s.epsilon, s.max_cluster, search=search)
     return found.select("contig_id", F.col("part").cast("int").alias("label"), "prob")
 
 
@@ -137,7 +140,7 @@ def stages(s: Settings, scored: Callable | None = None) -> list[tuple[str, Calla
 
     scored values merged bins by an external tool (marker_merges); without it that stage is off.
     """
-    search = neighbours.knn_indexed if s.indexed else neighbours.knn
+    search = neighbours.knn_indexed if s.indexed else neighbours.knn_by_size(s.exact_pairs)
     limits = merge.Limits(separation=s.merge_separation, coverage=s.merge_coverage, misfit=s.merge_misfit, mixing=s.merge_mixing, reciprocal=True)
     pieces = split.PieceRules(min_contigs=s.sub_min_contigs, min_part_bp=s.sub_min_part_bp, limits=limits)
 

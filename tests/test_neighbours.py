@@ -49,3 +49,11 @@ def test_silhouettes_are_brute_force(spark):
         assert abs(got[i] - want) < 1e-6
     assert quality.silhouettes(table, 100).count() == 100
     assert quality.silhouette_reasons(table.where("label = 1")).first().reason == "a single bin" and quality.silhouette_reasons(table.where("label < 0")).first().reason == "no labelled rows"
+
+
+def test_size_decides_between_exact_and_indexed(spark, monkeypatch):
+    rows = spark.range(40).selectExpr("id AS contig_id", "array(double(id), double(id % 7)) AS vec")
+    seen = []
+    monkeypatch.setattr(neighbours, "knn_indexed", lambda q, r, k: seen.append(k) or neighbours.knn(q, r, k))
+    exact = neighbours.knn_by_size(1600)(rows, rows, 3).count()
+    assert not seen and neighbours.knn_by_size(1599)(rows, rows, 3).count() == exact == 120 and seen == [3]
