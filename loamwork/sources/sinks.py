@@ -3,23 +3,42 @@
 from __future__ import annotations
 
 import json
+import uuid
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loamwork.operators import bins
 from loamwork.sources.fasta import write_fasta
 
 
+def committed(spark: SparkSession, path: str, write: Callable[[str], None]) -> None:
+    """write(folder) into a new folder beside path, which takes its place once everything is written.
+
+    Files of an earlier run go only then; a write that fails leaves them as they are.
+    """
+    hadoop, new = spark._jvm.org.apache.hadoop.fs.Path, f"{path.rstrip('/')}.{uuid.uuid4().hex}"
+    files = hadoop(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    try:
+        write(new)
+    except BaseException:
+        files.delete(hadoop(new), True)
+        raise
+    files.delete(hadoop(path), True)
+    if not files.rename(hadoop(new), hadoop(path)):
+        raise OSError(f"{new} can't be renamed to {path}")
+
+
 def write_tsv(rows: DataFrame, path: str) -> None:
-    """A TSV with a header."""
-    rows.write.option("sep", "\t").option("header", True).csv(path)
+    """A TSV with a header, in place of one from before."""
+    committed(rows.sparkSession, path, lambda new: rows.write.option("sep", "\t").option("header", True).csv(new))
 
 
 def write_bins(rows: DataFrame, contigs: DataFrame, path: str) -> None:
-    """One folder of FASTA a bin, bins dealt out by their own rows."""
+    """One folder of FASTA a bin, bins dealt out by their own rows; bins from before go."""
     named = rows.join(F.broadcast(bins.dense_ids(rows).select("label", "bin_id")), "label").select("contig_id", "bin_id")
-    write_fasta(contigs.join(named, "contig_id"), path, by="bin_id")
+    committed(rows.sparkSession, path, lambda new: write_fasta(contigs.join(named, "contig_id"), new, by="bin_id"))
 
 
 def write_outputs(rows: DataFrame, path: str) -> None:
