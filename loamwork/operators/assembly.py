@@ -5,18 +5,26 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from loamwork.operators.ordered import running
 from loamwork.plans.workspace import settled
 
 
 def n50(lengths: DataFrame, keys: list[str], length: str = "length") -> DataFrame:
     """Keys, n50, l50: the first length, longest first, at which half of the total is reached.
 
-    Lengths are counted first, so the running sum is over distinct lengths, not rows.
+    Lengths are counted first, so the running sum is over distinct lengths, not rows; without
+    keys it runs over ranges of lengths side by side.
     """
     by = lengths.groupBy(*keys, F.col(length).alias("len")).agg(F.count("*").alias("n"))
-    upto = Window.partitionBy(*keys).orderBy(F.desc("len")).rowsBetween(Window.unboundedPreceding, 0)
-    all_rows = Window.partitionBy(*keys)
-    runs = by.select(*keys, "len", "n", F.sum(F.col("len") * F.col("n")).over(upto).alias("run"), F.sum("n").over(upto).alias("rank"), F.sum(F.col("len") * F.col("n")).over(all_rows).alias("total"))
+    bp, order = F.col("len") * F.col("n"), F.desc("len")
+    if not keys:
+        return _half(running(by, [order], {"run": bp, "rank": F.col("n")}).join(F.broadcast(by.agg(F.sum(bp).alias("total")))), keys)  # one row
+    upto = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return _half(by.select(*keys, "len", "n", F.sum(bp).over(upto).alias("run"), F.sum("n").over(upto).alias("rank"), F.sum(bp).over(Window.partitionBy(*keys)).alias("total")), keys)
+
+
+def _half(runs: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, n50, l50 from counted lengths with running and whole sums."""
     before = F.col("run") - F.col("len") * F.col("n")
     hit = runs.where((F.col("run") * 2 >= F.col("total")) & (before * 2 < F.col("total")))
     need = F.when(F.col("len") > 0, F.ceil((F.col("total") / 2.0 - before) / F.col("len"))).otherwise(1)
@@ -24,13 +32,21 @@ def n50(lengths: DataFrame, keys: list[str], length: str = "length") -> DataFram
 
 
 def assembly_stats(contigs: DataFrame) -> DataFrame:
-    """G1: one row of counts and length statistics; zeros for no contigs."""
-    c = contigs.withColumn("all", F.lit(0))
-    agg = c.groupBy("all").agg(
-        F.count("*").alias("n_contigs"), F.sum("length").alias("total_bp"), F.avg("length").alias("mean_len"), F.median("length").alias("median_len"),
-        F.max("length").alias("max_len"), F.min("length").alias("min_len"), *(F.sum((F.col("length") < x).cast("long")).alias(f"lt_{x}") for x in (200, 500, 1000)),
-    )
-    return agg.join(n50(c, ["all"]), "all").drop("all")
+    """G1: one row of counts and length statistics; no row for no contigs.
+
+    Lengths are counted once; the median, N50 and L50 come from one running sum over the counts.
+    """
+    by = contigs.groupBy(F.col("length").alias("len")).agg(F.count("*").alias("n"))
+    runs = settled(running(by.where("len IS NOT NULL"), [F.desc("len")], {"run": F.col("len") * F.col("n"), "rank": F.col("n")}))
+    rows, known = F.sum("n"), F.sum(F.when(F.col("len").isNotNull(), F.col("n")))
+    few = (F.coalesce(F.sum(F.when(F.col("len") < x, F.col("n")).otherwise(0)), F.lit(0)).alias(f"lt_{x}") for x in (200, 500, 1000))
+    bp = F.sum(F.col("len") * F.col("n"))
+    agg = by.agg(rows.alias("n_contigs"), bp.alias("total_bp"), (bp / known).alias("mean_len"), F.max("len").alias("max_len"), F.min("len").alias("min_len"), *few, known.alias("known"))
+    total = F.broadcast(agg.select(F.col("total_bp").alias("total"), "known"))  # one row
+    x = runs.join(total)
+    reaches = lambda place: F.max(F.when(F.col("rank") >= place, F.col("len")))
+    middle = x.agg(((reaches(F.floor((F.col("known") + 1) / 2)) + reaches(F.floor(F.col("known") / 2) + 1)) / 2.0).alias("median_len"))
+    return agg.join(F.broadcast(middle)).join(F.broadcast(_half(x, []))).drop("known")
 
 
 def n50_tier(value: Column) -> Column:

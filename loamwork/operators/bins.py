@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loamwork.operators.assembly import n50
+from loamwork.operators.ordered import running
 
 
 def eukaryote_bins(classified: DataFrame, share: float = 0.5) -> DataFrame:
@@ -62,7 +63,7 @@ def filter_bins(rows: DataFrame, min_contigs: int, min_bp: int, min_n50: int) ->
 def dense_ids(rows: DataFrame) -> DataFrame:
     """Label, dense, bin_id: bin_001 and so on in label order, as many digits as needed, at least three."""
     labels = rows.where("label >= 0").select("label").distinct()
-    numbered = labels.withColumn("dense", F.row_number().over(Window.orderBy("label")))  # a row a bin
+    numbered = running(labels, [F.asc("label")], {"dense": F.lit(1)}).withColumn("dense", F.col("dense").cast("int"))
     n = labels.agg(F.greatest(F.lit(3), F.length(F.count("*").cast("string"))).alias("digits"))
     return numbered.join(F.broadcast(n)).select("label", "dense", F.concat(F.lit("bin_"), F.lpad(F.col("dense").cast("string"), F.col("digits").cast("int"), F.lit("0"))).alias("bin_id"))
 
@@ -75,10 +76,12 @@ def summary(rows: DataFrame) -> DataFrame:
 
 
 def size_gini(sizes: Column | str, rows: DataFrame) -> DataFrame:
-    """The Gini coefficient of sizes; sizes are few (a row a bin)."""
-    k = F.row_number().over(Window.orderBy("x"))
-    x = rows.select(F.col(sizes).cast("double").alias("x") if isinstance(sizes, str) else sizes.alias("x")).withColumn("k", k)
-    return x.agg(F.coalesce((2 * F.sum(F.col("k") * F.col("x")) - (F.count("*") + 1) * F.sum("x")) / (F.count("*") * F.sum("x")), F.lit(0.0)).alias("size_gini"))
+    """The Gini coefficient of sizes; equal sizes are counted, so that they share a run of places."""
+    x = rows.select(F.col(sizes).cast("double").alias("x") if isinstance(sizes, str) else sizes.alias("x")).groupBy("x").agg(F.count("*").alias("n"))
+    placed, n = running(x, [F.asc("x")], {"upto": F.col("n")}), F.col("n")
+    places = n * F.col("upto") - n * (n - 1) / 2  # the sum of the run's places
+    all_n, all_x = F.sum("n"), F.sum(n * F.col("x"))
+    return placed.agg(F.coalesce((2 * F.sum(places * F.col("x")) - (all_n + 1) * all_x) / (all_n * all_x), F.lit(0.0)).alias("size_gini"))
 
 
 def shares(rows: DataFrame) -> DataFrame:

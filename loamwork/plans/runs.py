@@ -154,7 +154,7 @@ def comparison(runs: dict[str, DataFrame]) -> DataFrame:
     lines = []
     for name, rows in runs.items():
         s = bins.bin_sizes(rows)
-        big = n50(s.withColumn("all", F.lit(0)), ["all"], "total_bp").select("n50")
+        big = n50(s, [], "total_bp").select("n50")
         one = s.agg(F.count("*").alias("n_bins"), F.coalesce(F.sum("n_contigs"), F.lit(0)).alias("n_binned"), F.coalesce(F.sum("total_bp"), F.lit(0)).alias("binned_bp"), F.coalesce(F.max("total_bp"), F.lit(0)).alias("largest_bp"))
         lines.append(one.join(big).select(F.lit(name).alias("run"), "*"))
     out = lines[0]
