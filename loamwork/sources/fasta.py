@@ -9,8 +9,8 @@ from loamwork.functions.sequence import wrapped
 
 
 def records(spark: SparkSession, path: str) -> DataFrame:
-    """header and body of each record; '>' parts records, so no file needs to fit in memory."""
-    raw = spark.read.option("lineSep", ">").text(path).where(F.trim("value") != "")
+    """header and body of each record; a '>' that begins a line parts records (a second one is dropped), so tasks read parts of a file."""
+    raw = spark.read.option("lineSep", "\n>").text(path).select(F.regexp_replace("value", "^>", "").alias("value")).where(F.trim("value") != "")
     at = F.expr("instr(value, '\n')")
     return raw.select(F.when(at == 0, F.col("value")).otherwise(F.expr("substr(value, 1, instr(value, '\n') - 1)")).alias("header"), F.when(at == 0, "").otherwise(F.expr("substr(value, instr(value, '\n') + 1)")).alias("body"))
 
