@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from loamwork.functions import kmers, sequence
 from loamwork.functions import vectors as V
 from loamwork.operators import assembly, bins, coverage, density, merge, neighbours, quality, refine, split
+from loamwork.operators.trials import Votes
 from loamwork.plans import runs
-from loamwork.plans.search import Gate
+from loamwork.plans.search import Gate, tuned_votes
 from loamwork.plans.workspace import settled
 from loamwork.sources import fasta, sinks
 
@@ -69,6 +70,7 @@ class Settings:
     gate: bool = True
     tolerance: float = 0.10
     indexed: bool = False  # neighbours by the index at every size
+    tune: bool = False  # votes of the rescue by a search around their settings
     exact_pairs: float = 1e11  # queries x references up to which neighbours are exact, if not indexed
 
 
@@ -148,8 +150,11 @@ def stages(s: Settings, scored: Callable | None = None) -> list[tuple[str, Calla
         return rows.drop("label").join(labels.select("contig_id", F.col("label").cast("int").alias("label")), "contig_id")
 
     def rescue(rows: DataFrame) -> DataFrame:
-        kept = rows.where("NOT pool OR pruned")
-        return refine.rescue_by_votes(rows.where("pool AND NOT pruned"), s.rescue_k, s.rescue_radius, s.rescue_support, s.rescue_agreement, s.min_probability, search).unionByName(kept)
+        kept, pool = rows.where("NOT pool OR pruned"), rows.where("pool AND NOT pruned")
+        v = Votes(s.rescue_k, s.rescue_radius, s.rescue_support, s.rescue_agreement)
+        if s.tune:
+            v, _ = tuned_votes(pool, v, s.min_probability, search, quality.Tolerance(relative=s.tolerance))
+        return refine.rescue_by_votes(pool, v.k, v.radius, v.support, v.agreement, s.min_probability, search).unionByName(kept)
 
     def cut(rows: DataFrame) -> DataFrame:
         proposed = split.subcluster(rows, pieces, search).withColumnRenamed("label", "cut")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from loamwork.operators import quality, refine
+from loamwork.operators import quality, refine, trials
 from loamwork.plans import fixtures as fx
 from loamwork.plans.q_bins import CENTRES, SHAPES, rows
 from loamwork.plans.registry import query
+from loamwork.plans.workspace import settled
 
 N = f"WITH {fx.LATENT}"
 _VOTE = """vo AS (SELECT q, l, count(*) AS n FROM nr GROUP BY 1, 2), tl AS (SELECT q, sum(n) AS support, max(n) AS agree FROM vo GROUP BY 1), wi AS (SELECT vo.q, min(l) AS winner, any_value(support) AS support, any_value(agree) AS agree FROM vo JOIN tl ON vo.q = tl.q AND vo.n = tl.agree GROUP BY 1)"""
@@ -143,3 +144,22 @@ def neighbour_agreement(spark, sf_dir):
     """Q1: neighbour agreement at 10, 30 and 50."""
     x = quality.neighbour_agreement(rows(spark, sf_dir))
     return x.select(*(F.round(F.col(f"`knn_agree@{k}`"), 6).alias(f"knn_agree_{k}") for k in (10, 30, 50)))
+
+
+_TRIALS = [trials.Votes(15, 1.2, 3, 0.3), trials.Votes(15, 1.2, 3, 0.2), trials.Votes(20, 1.25, 3, 0.2), trials.Votes(8, 1.3, 2, 0.25), trials.Votes(20, 1.2, 20, 0.9), trials.Votes(15, 1.2, 3, 0.31)]
+
+
+@query(N + ", " + _near("{0}.label < 0", "{0}.label >= 0 AND {0}.prob >= 0.2", 20) + ", ca(candidate, kk, radius, sup, agr) AS (VALUES " + ", ".join(f"({i}, {v.k}, {v.radius}, {v.support}, {v.agreement})" for i, v in enumerate(_TRIALS)) + """),
+vo AS (SELECT candidate, q, l, count(*) AS n FROM nr JOIN ca ON nr.k <= kk AND d <= radius GROUP BY ALL), tl AS (SELECT candidate, q, sum(n) AS support, max(n) AS agree FROM vo GROUP BY ALL),
+mo AS (SELECT candidate, q, min(l) AS winner FROM vo JOIN tl USING (candidate, q) JOIN ca USING (candidate) WHERE n = agree AND support >= sup AND agree >= sup AND agree >= agr * support GROUP BY ALL),
+lb AS (SELECT ca.candidate, nv.contig_id, nv.u, lat.length, coalesce(winner, nv.label) AS label, winner FROM ca CROSS JOIN nv JOIN lat USING (contig_id) LEFT JOIN mo ON mo.candidate = ca.candidate AND mo.q = nv.contig_id),
+sx AS (SELECT candidate, label, pos, sum(x) AS s, count(*) AS n, sum(x * x) AS sq FROM (SELECT candidate, label, unnest(u) AS x, unnest(range(0, 64)) AS pos FROM lb WHERE label >= 0) GROUP BY ALL),
+gx AS (SELECT candidate, label, max(n) AS n, sum(s * s) / max(n) AS a, sum(sq) AS sq FROM sx GROUP BY ALL), tx AS (SELECT candidate, sum(s * s) AS w FROM (SELECT candidate, pos, sum(s) AS s FROM sx GROUP BY ALL) GROUP BY ALL),
+ch AS (SELECT candidate, count(*) AS n_clusters, (sum(a) - any_value(w) / sum(n)) * (sum(n) - count(*)) / ((sum(sq) - sum(a)) * (count(*) - 1)) AS calinski_harabasz FROM gx JOIN tx USING (candidate) GROUP BY ALL),
+dg AS (SELECT candidate, count(winner) AS n_moved, coalesce(string_agg(contig_id || ':' || winner, ',' ORDER BY contig_id), '') AS h, 100.0 * sum(length) FILTER (label >= 0) / CAST(sum(length) AS DOUBLE) AS assigned_bp_pct FROM lb GROUP BY ALL)
+SELECT candidate, n_moved, min(candidate) OVER (PARTITION BY h) AS first, n_clusters, calinski_harabasz, assigned_bp_pct FROM dg JOIN ch USING (candidate)""")
+def tried_votes(spark, sf_dir):
+    """Q7: six settings of the vote stage over one list of neighbours, with what the judge looks at."""
+    x = settled(rows(spark, sf_dir))
+    found = trials.vote_trials(x, trials.vote_neighbours(x, 20, 0.2), _TRIALS)
+    return found.drop("passed", "score")

@@ -11,7 +11,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from loamwork.operators.neighbours import knn
 from loamwork.operators.quality import Tolerance, Verdict, judge
+from loamwork.operators.trials import Votes, vote_neighbours, vote_trials
 
 
 def label_key(rows: DataFrame) -> str:
@@ -46,39 +48,68 @@ class Gate:
         return after if use else before
 
 
-def coarse_then_fine(space: dict[str, list], evaluate: Callable[[dict], float], budget: int = 40, seconds: float = 2400.0, combos: int = 8) -> tuple[dict, float, list[tuple[dict, float]]]:
-    """Q7: (best settings, score, all trials). Screens one parameter at a time in turn, refines around the best two values of each, then tries a grid of the best pairs."""
+def search_rounds(space: dict[str, list], evaluate: Callable[[list[dict]], list[float]], budget: int = 40, seconds: float = 2400.0, combos: int = 8) -> tuple[dict, float, list[tuple[dict, float]]]:
+    """Q7: (best settings, score, all trials), where evaluate scores all new settings of a round at once.
+
+    Three rounds: one parameter at a time in turn around the middle; the value between the
+    best two of each; a grid of the best two. Neither budget nor time is passed; the middle
+    is always tried. Of equal scores the first tried wins.
+    """
     start, tried, trials = time.monotonic(), {}, []
+    name = lambda settings: tuple(sorted(settings.items()))
     middle = {k: v[len(v) // 2] for k, v in space.items()}
 
-    def at(settings: dict) -> float:
-        key = tuple(sorted(settings.items()))
-        if key not in tried:
-            if len(trials) >= budget or time.monotonic() - start > seconds:
-                return float("-inf")
-            tried[key] = evaluate(settings)
-            trials.append((dict(settings), tried[key]))
-        return tried[key]
-
-    at(middle)
-    best: dict[str, list] = {k: [] for k in space}
-    for level in range(max(map(len, space.values()), default=0)):  # round robin, so that a budget is shared
-        for k, values in space.items():
-            if level < len(values):
-                best[k].append((at(middle | {k: values[level]}), values[level]))
-    for k in space:
-        best[k].sort(key=lambda x: -x[0])
-        top = [v for _, v in best[k][:2] if isinstance(v, (int, float)) and not isinstance(v, bool)]
-        if len(top) == 2 and top[0] != top[1]:
-            half = (top[0] + top[1]) / 2
-            half = int(half) if all(isinstance(v, int) for v in top) else half
-            best[k].insert(0, (at(middle | {k: half}), half))
-            best[k].sort(key=lambda x: -x[0])
-    grid = itertools.islice(itertools.product(*([v for _, v in best[k][:2]] for k in space)), combos)
-    for values in grid:
-        at(dict(zip(space, values, strict=True)))
-    settings, score = max(trials, key=lambda t: t[1])
-    return settings, score, trials
+    def go(wanted: Iterable[dict]) -> None:
+        fresh = list({name(x): x for x in wanted if name(x) not in tried}.values())[: max(0, budget - len(trials)) if trials else max(1, budget)]
+        if fresh and (not trials or time.monotonic() - start <= seconds):
+            for settings, score in zip(fresh, evaluate(fresh), strict=True):
+                tried[name(settings)] = score
+                trials.append((dict(settings), score))
+
+    score = lambda k, v: tried.get(name(middle | {k: v}), float("-inf"))
+    ranked = lambda: {k: sorted(values[k], key=lambda v: -score(k, v)) for k in space}
+    values = {k: list(v) for k, v in space.items()}
+    deepest = max(map(len, space.values()), default=0)
+    go([middle, *(middle | {k: v[level]} for level in range(deepest) for k, v in space.items() if level < len(v))])  # in turn, so that a budget is shared
+    for k, (a, b) in ((k, v[:2]) for k, v in ranked().items() if len(v) > 1):
+        if all(isinstance(x, (int, float)) and not isinstance(x, bool) for x in (a, b)):
+            half = (a + b) / 2
+            values[k].append(int(half) if isinstance(a, int) and isinstance(b, int) else half)
+    go(middle | {k: v[-1]} for k, v in values.items())
+    go(dict(zip(space, v, strict=True)) for v in itertools.islice(itertools.product(*(v[:2] for v in ranked().values())), combos))
+    best = max(trials, key=lambda t: t[1])
+    return *best, trials
+
+
+def coarse_then_fine(space: dict[str, list], evaluate: Callable[[dict], float], budget: int = 40, seconds: float = 2400.0, combos: int = 8) -> tuple[dict, float, list[tuple[dict, float]]]:
+    """Q7: search_rounds() for what can only score one setting at a time."""
+    return search_rounds(space, lambda many: [evaluate(x) for x in many], budget, seconds, combos)
+
+
+def tuned_votes(rows: DataFrame, middle: Votes, ref_prob: float, search: Callable[..., DataFrame] = knn, tolerance: Tolerance = Tolerance(), budget: int = 40) -> tuple[Votes, list[dict]]:
+    """Q7: the settings of the vote stage that the judge scores best, and the table of all trials.
+
+    Every round is one plan over the same neighbours. Settings that fail the judge rank
+    behind all others, and a round's settings that give the same labels are scored as one.
+    """
+    space = {"k": _spread(middle.k), "radius": [0.8 * middle.radius, middle.radius, 1.25 * middle.radius], "support": _spread(middle.support), "agreement": sorted({max(0.05, middle.agreement - 0.15), middle.agreement, min(1.0, middle.agreement + 0.15)})}
+    near, table = vote_neighbours(rows, max(space["k"]), ref_prob, search), []
+
+    def evaluate(many: list[dict]) -> list[float]:
+        got = {r["candidate"]: r.asDict() for r in vote_trials(rows, near, [Votes(**x) for x in many], tolerance).collect()}  # a row a candidate
+        scores = []
+        for i, settings in enumerate(many):
+            row = got.get(i) or {"passed": False, "score": float("-inf"), "first": i}
+            table.append(settings | row | {"at_boundary": at_boundary(settings, space)})
+            scores.append(row["score"] if row["passed"] else row["score"] - 1e9)
+        return scores
+
+    best, _, _ = search_rounds(space, evaluate, budget)
+    return Votes(**best), table
+
+
+def _spread(value: int) -> list[int]:
+    return sorted({max(1, value // 2), value, 2 * value})
 
 
 def at_boundary(settings: dict, space: dict[str, list]) -> list[str]:
