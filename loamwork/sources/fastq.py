@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader
 from pyspark.sql.types import StructType
 
-from loamwork.sources.ranges import RANGE_BYTES, Range, cut, listed, located
+from loamwork.sources.ranges import RANGE_BYTES, Range, cut, listed, located, qualified
 
 FIELDS = "read_id string, seq string, quality string, file string"
 BATCH_BYTES = 4 << 20
@@ -121,7 +121,7 @@ def read_fastq(spark: SparkSession, path: str, reads: int = 0, files: int = 0, s
     """
     spark.dataSource.register(FastqSource)
     options = {"reads": reads, "files": files, "seed": seed, "partitionBytes": partition_bytes}
-    return spark.read.format("loamwork_fastq").schema(columns).options(**options).load(path)
+    return spark.read.format("loamwork_fastq").schema(columns).options(**options).load(qualified(spark, path))
 
 
 def write_fastq(reads: DataFrame, path: str) -> None:

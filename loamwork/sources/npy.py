@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, WriterCommitMessage
 from pyspark.sql.types import StructType
 
-from loamwork.sources.ranges import RANGE_BYTES, Range, cut, listed, located
+from loamwork.sources.ranges import RANGE_BYTES, Range, cut, listed, located, qualified
 
 _BATCH_ROWS = 4096
 
@@ -151,10 +151,10 @@ class NpySource(DataSource):
 def read_npy(spark: SparkSession, path: str, partition_bytes: int = RANGE_BYTES) -> DataFrame:
     """File, ord, vec of a .npy matrix or a folder of them, read by ranges of rows; a manifest maps ord to an id."""
     spark.dataSource.register(NpySource)
-    return spark.read.format("loamwork_npy").option("partitionBytes", partition_bytes).load(path)
+    return spark.read.format("loamwork_npy").option("partitionBytes", partition_bytes).load(qualified(spark, path))
 
 
 def write_npy(rows: DataFrame, path: str, overwrite: bool = True, file_bytes: int = RANGE_BYTES) -> None:
     """Rows' vec (array<double>, equally long) as .npy files of a folder."""
     rows.sparkSession.dataSource.register(NpySource)
-    rows.select("vec").write.format("loamwork_npy").option("fileBytes", file_bytes).mode("overwrite" if overwrite else "append").save(path)
+    rows.select("vec").write.format("loamwork_npy").option("fileBytes", file_bytes).mode("overwrite" if overwrite else "append").save(qualified(rows.sparkSession, path))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyarrow import fs
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import InputPartition
 
 #: Bytes of a file that one task reads, unless an option says otherwise.
@@ -20,6 +21,12 @@ class Range(InputPartition):
     end: int
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """path with the scheme that Spark itself would use, so that tasks open it in the same file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(place).toString()
+
+
 def located(path: str) -> tuple[fs.FileSystem, str]:
     """The file system and path of a URI (file, hdfs, s3, ...) or a plain path."""
     if path.startswith("file:/"):

@@ -33,7 +33,7 @@ def genomes(tmp_path_factory):
 
 def test_flow_finds_the_genomes(spark, genomes, tmp_path, capsys):
     (tmp_path / "config.yaml").write_text("# settings\nmin_cluster: 15\nmin_samples: 5\nbin_contigs: 10\nsub_min_contigs: 500\n")
-    args = ["run", "--contigs", str(genomes / "c.fa"), "--coverage", str(genomes / "c.tsv"), "--out", str(tmp_path / "out"), "--config", str(tmp_path / "config.yaml"), "--set", "rescue_radius=0.8"]
+    args = ["run", "--contigs", str(genomes / "c.fa"), "--coverage", str(genomes / "c.tsv"), "--out", str(tmp_path / "out"), "--config", str(tmp_path / "config.yaml"), "--set", "rescue_radius=0.8", "--set", "tune=true"]
     cli.main(args)
     about = json.loads(capsys.readouterr().out.strip().splitlines()[-1])
     assert about["n_bins"] == 4 and about["settings"]["rescue_radius"] == 0.8 and about["settings"]["bin_contigs"] == 10
