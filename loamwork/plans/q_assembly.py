@@ -222,13 +222,13 @@ def read_types(spark, sf_dir):
 
 @query(C + """ SELECT contig_id, length, md5(seq) AS digest, md5(repeat(chr(CAST(53 + ord % 25 AS INT)), CAST(length AS INT))) AS quality FROM c WHERE length > 0""")
 def fastq_reads(spark, sf_dir):
-    """Contigs written as FASTQ and read back by byte ranges that cut records; a quality may begin with '@'."""
+    """Contigs written as FASTQ and read back by byte ranges; a quality may begin with '@'."""
     from loamwork.sources import fastq
 
     path = f"{workspace(spark)}/reads"
     c = fx.contigs(spark, sf_dir).where("length > 0")
     fastq.write_fastq(c.select(F.col("contig_id").alias("read_id"), "seq", F.expr("repeat(char(cast(53 + ord % 25 as int)), cast(length as int))").alias("quality")), path)
-    x = fastq.read_fastq(spark, path, columns="read_id string, seq string, quality string", partition_bytes=1 << 17)
+    x = fastq.read_fastq(spark, path, columns="read_id string, seq string, quality string")
     return x.select(F.col("read_id").alias("contig_id"), F.length("seq").cast("long").alias("length"), F.md5(F.col("seq").cast("binary")).alias("digest"), F.md5(F.col("quality").cast("binary")).alias("quality"))
 
 
@@ -239,8 +239,8 @@ def npy_rows(spark, sf_dir):
 
     path = f"{workspace(spark)}/vectors"
     e = fx.table(spark, sf_dir, "embeddings")
-    npy.write_npy(e.select(F.concat(F.array(F.col("vec_id").cast("double")), F.col("embedding").cast("array<double>")).alias("vec")), path, file_bytes=1 << 17)
-    x = npy.read_npy(spark, path, partition_bytes=1 << 15)
+    npy.write_npy(e.select(F.concat(F.array(F.col("vec_id").cast("double")), F.col("embedding").cast("array<double>")).alias("vec")), path)
+    x = npy.read_npy(spark, path)
     values = F.expr("slice(vec, 2, size(vec) - 1)")
     total = F.aggregate(values, F.lit(0).cast("long"), lambda s, v: s + F.round(v * 16777216).cast("long"))
     return x.select(F.get("vec", F.lit(0)).cast("long").alias("vec_id"), F.size(values).alias("width"), total.alias("total"))
