@@ -32,10 +32,10 @@ def coverage_identical(spark, sf_dir):
     return coverage.identical_rows(fx.depth(spark, sf_dir))
 
 
-@query(D + ", u AS (SELECT contig_id FROM ids WHERE contig_id % 5 <> 0), v AS (SELECT DISTINCT contig_id FROM cov) SELECT coalesce(u.contig_id, v.contig_id) AS contig_id, CASE WHEN u.contig_id IS NULL THEN 'coverage_only' WHEN v.contig_id IS NULL THEN 'contigs_only' ELSE 'both' END AS side FROM u FULL JOIN v ON u.contig_id = v.contig_id")
+@query(D + ", u AS (SELECT contig_id FROM ids), v AS (SELECT DISTINCT contig_id FROM cov) SELECT coalesce(u.contig_id, v.contig_id) AS contig_id, CASE WHEN u.contig_id IS NULL THEN 'coverage_only' WHEN v.contig_id IS NULL THEN 'contigs_only' ELSE 'both' END AS side FROM u FULL JOIN v ON u.contig_id = v.contig_id")
 def coverage_reconcile(spark, sf_dir):
     """Ids of two sources."""
-    return coverage.reconcile(fx.part_contigs(spark, sf_dir).where("contig_id % 5 <> 0"), fx.depth(spark, sf_dir))
+    return coverage.reconcile(fx.part_contigs(spark, sf_dir), fx.depth(spark, sf_dir))
 
 
 @query(D + " SELECT contig_id FROM cov GROUP BY 1 HAVING max(depth) > 0")
