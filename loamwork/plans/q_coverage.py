@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from loamwork.operators import coverage, neighbours, mapping
 from loamwork.plans import fixtures as fx
 from loamwork.plans.registry import query
+from loamwork.plans.workspace import settled
 
 SAMPLES = ["AF", "AO", "NF", "NO", "RF", "RO"]
 D = f"WITH {fx.DEPTH}"
@@ -67,15 +68,14 @@ KNN = MAT + """, kn AS (SELECT query_id, ref_id, distance, row_number() OVER (PA
 df AS (SELECT query_id AS contig_id, avg(distance) AS mean_dist, stddev_pop(distance) AS std_dist FROM kn WHERE rank <= 10 GROUP BY 1)"""
 
 
-def _distances(spark, sf_dir):
-    m = _matrix(spark, sf_dir)
-    return coverage.distance_features(neighbours.knn(m, m, 10))
+def _distances(m):
+    return coverage.distance_features(neighbours.knn_distinct(m, 10))
 
 
 @query(KNN + " SELECT contig_id, round(mean_dist, 5) AS mean_dist, round(std_dist, 5) AS std_dist FROM df")
 def coverage_neighbours(spark, sf_dir):
     """Mean and deviation of the distances of ten neighbours."""
-    d = _distances(spark, sf_dir)
+    d = _distances(settled(_matrix(spark, sf_dir)))
     return d.select("contig_id", F.round("mean_dist", 5).alias("mean_dist"), F.round("std_dist", 5).alias("std_dist"))
 
 
@@ -84,7 +84,8 @@ al AS (SELECT ids.contig_id, list_concat([CASE WHEN vec IS NULL THEN 0.0 ELSE 1.
 SELECT contig_id, CAST(i - 1 AS INT) AS pos, round(f[i], 5) AS x FROM (SELECT contig_id, f, unnest(range(1, 11)) AS i FROM al)""")
 def coverage_features(spark, sf_dir):
     """The feature rows of all contigs, placeholders included."""
-    rows = coverage.feature_rows(fx.part_contigs(spark, sf_dir), _matrix(spark, sf_dir), coverage.present(fx.depth(spark, sf_dir)), _distances(spark, sf_dir), 6)
+    m = settled(_matrix(spark, sf_dir))
+    rows = coverage.feature_rows(fx.part_contigs(spark, sf_dir), m, coverage.present(fx.depth(spark, sf_dir)), _distances(m), 6)
     return rows.select("contig_id", F.posexplode("features").alias("pos", "x")).withColumn("x", F.round("x", 5))
 
 
