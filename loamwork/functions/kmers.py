@@ -78,6 +78,37 @@ def kmer_rows(contigs: DataFrame, k: int = K) -> DataFrame:
     return windows.where(~F.col("window").rlike("[^ACGT]")).groupBy("contig_id", canonical(F.col("window")).alias("kmer")).agg(F.count("*").alias("n"))
 
 
+#: Letters that are counted at a time.
+LETTERS = 1 << 20
+
+
+def kmer_totals(contigs: DataFrame, k: int = K) -> DataFrame:
+    """kmer, n: kmer_rows() summed over all contigs; a task counts its sequences and sends a row a canonical k-mer and slice."""
+    names, index = canonical_index(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            total, held, size = np.zeros(len(names), np.int64), [], 0
+            for s in [*b.column("seq").to_pylist(), None]:
+                if s is not None:
+                    held.append(s)
+                    size += len(s)
+                if s is None or size >= LETTERS:
+                    code = _CODES[np.frombuffer("N".join(held).encode("ascii"), np.uint8)]  # no window spans two
+                    n = len(code) - k + 1
+                    if n > 0:
+                        value, good = np.zeros(n, np.int64), np.ones(n, bool)
+                        for i in range(k):
+                            value = value * 4 + code[i : i + n]
+                            good &= code[i : i + n] >= 0
+                        total += np.bincount(index[value[good]], minlength=len(names))
+                    held, size = [], 0
+            there = np.flatnonzero(total)
+            yield pa.RecordBatch.from_pydict({"kmer": pa.array([names[i] for i in there], pa.string()), "n": total[there]})
+
+    return contigs.where("seq IS NOT NULL").select("seq").mapInArrow(run, "kmer string, n long").groupBy("kmer").agg(F.sum("n").alias("n"))
+
+
 def mean_vector(vectors: DataFrame, column: str = "features") -> DataFrame:
     """The mean of all vectors as one row; only positions meet in the shuffle."""
     means = vectors.select(F.posexplode(column).alias("pos", "x")).groupBy("pos").agg(F.avg("x").alias("x"))

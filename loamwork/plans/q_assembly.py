@@ -110,8 +110,8 @@ def tnf_shares(spark, sf_dir):
 
 @query(KMERS + " SELECT kmer, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY 1")
 def tnf_counts(spark, sf_dir):
-    """V3: canonical 4-mer counts of the assembly, by DataFrame operations alone."""
-    return kmers.kmer_rows(fx.contigs(spark, sf_dir)).groupBy("kmer").agg(F.sum("n").alias("n"))
+    """V3: canonical 4-mer counts of the assembly, counted by task and summed."""
+    return kmers.kmer_totals(fx.contigs(spark, sf_dir))
 
 
 @query(KMERS + ", t AS (SELECT contig_id, CAST(sum(n) AS BIGINT) AS n FROM k GROUP BY 1) SELECT contig_id, coalesce(n, 0) AS n_kmers, CASE WHEN coalesce(n, 0) < 50 THEN 0.0::DOUBLE ELSE least(1.0, n / 200.0::DOUBLE) END AS weight FROM c LEFT JOIN t USING (contig_id)")
