@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loamwork.operators.assembly import n50
 from loamwork.operators.ordered import running
+from loamwork.plans.workspace import settled
 
 
 def eukaryote_bins(classified: DataFrame, share: float = 0.5) -> DataFrame:
@@ -98,10 +99,23 @@ def known_ids(table: DataFrame, ids: DataFrame, least: float = 0.5) -> DataFrame
     return x.agg(F.count("*").alias("n"), F.count("known").alias("matched")).withColumn("usable", F.col("matched") >= least * F.col("n"))
 
 
+#: Contigs of a set that another set must hold before all are compared.
+PIVOTS = 4
+
+
 def merge_covers(before: DataFrame, after: DataFrame) -> DataFrame:
-    """Relational division: which sets of before (set_id, contig_id) each set of after holds whole, and whether they make it up."""
+    """Relational division: which sets of before (set_id, contig_id) each set of after holds whole, and whether they make it up.
+
+    What holds a set holds its rarest PIVOTS contigs, so only sets of after that do are
+    looked at contig by contig: work follows the rows, not all pairs of sets that share one.
+    """
+    before, after = settled(before.select("set_id", "contig_id")), settled(after.select("out_id", "contig_id"))
     total = before.groupBy("set_id").agg(F.count("*").alias("of"))
-    inside = after.join(before, "contig_id").groupBy("out_id", "set_id").agg(F.count("*").alias("n")).join(total, "set_id").where("n = of")
+    seen = before.join(after.groupBy("contig_id").agg(F.count("*").alias("often")), "contig_id", "left")
+    rare = seen.withColumn("k", F.row_number().over(Window.partitionBy("set_id").orderBy(F.coalesce("often", F.lit(0)), "contig_id"))).where(F.col("k") <= PIVOTS)
+    hopeful = after.join(rare, "contig_id").groupBy("out_id", "set_id").agg(F.count("*").alias("n")).join(total, "set_id").where(F.col("n") == F.least("of", F.lit(PIVOTS)))
+    hopeful = settled(hopeful.select("out_id", "set_id", "of"))
+    inside = hopeful.join(before, "set_id").join(after, ["out_id", "contig_id"]).groupBy("out_id", "set_id", "of").agg(F.count("*").alias("n")).where("n = of")
     size = after.groupBy("out_id").agg(F.count("*").alias("size"))
     return inside.groupBy("out_id").agg(F.count("*").alias("sources"), F.sum("of").alias("covered")).join(size, "out_id").select("out_id", "sources", (F.col("covered") == F.col("size")).alias("exact"))
 
