@@ -32,6 +32,10 @@ _MARGIN = 4
 STEP = 65536
 #: Pre-tokens whose ids a worker keeps, and the characters that they have at most.
 MEMO_WORDS, WORD_CHARS = 200_000, 64
+#: Characters of texts whose new pre-tokens are merged together.
+TOGETHER = 1 << 20
+#: Pre-tokens that are merged side by side, and the bytes that they have at most.
+ROWS, ROW_BYTES = 4096, 64
 _NONE, _ID = 1 << 60, (1 << 30) - 1
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -53,11 +57,70 @@ class MergeList:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.text = {i: bytes(letters[c] for c in s) for s, i in vocab.items() if s not in self.special}
         self.text |= {i: s.encode() for s, i in self.special.items()}
+        self.texts = [self.text.get(i, b"") for i in range(max(self.text) + 1)]
         self.byte = [vocab[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
         pairs = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         self.rule = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate(pairs)}
         self.order = {pair: rank << 30 | new for pair, (rank, new) in self.rule.items()}
         self.lookahead = self._lookahead()
+        self.byte_ids = np.array(self.byte, np.int64)
+        pair = np.array(sorted(self.rule), np.int64).reshape(-1, 2)
+        # the last key is above all pairs, so that a search always ends at one
+        self.keys = np.append(pair[:, 0] << 32 | pair[:, 1], np.int64(1) << 62)
+        self.orders = np.array([*(self.order[a, b] for a, b in pair.tolist()), _NONE], np.int64)
+        self.first = self.order_of(np.repeat(self.byte_ids, 256), np.tile(self.byte_ids, 256)).reshape(256, 256)
+
+    def order_of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """rank << 30 | new id of each pair, _NONE where no rule merges it."""
+        key = a << 32 | b
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.orders[at], _NONE)
+
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """merge() of many short pre-tokens, as little-endian uint32 bytes; words of like lengths take their steps side by side."""
+        out = [b""] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        by_size = np.argsort(size, kind="stable")
+        for k in range(0, len(words), ROWS):
+            some = by_size[k : k + ROWS]
+            ids, count = self._side_by_side([words[i] for i in some.tolist()], size[some])
+            ends = np.cumsum(count)
+            raw = ids[np.arange(ids.shape[1]) < count[:, None]].astype("<u4").tobytes()
+            for i, a, b in zip(some.tolist(), (4 * (ends - count)).tolist(), (4 * ends).tolist(), strict=True):
+                out[i] = raw[a:b]
+        return out
+
+    def _side_by_side(self, words: list[bytes], size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, a row a word, and how many of a row count). A step merges one pair of every word that still has one, so rows get shorter together."""
+        width = int(size.max())
+        raw = np.frombuffer(b"".join([w.ljust(width, b"\0") for w in words]), np.uint8).reshape(-1, width)
+        ids = self.byte_ids[raw]
+        order = np.where(np.arange(1, width) < size[:, None], self.first[raw[:, :-1], raw[:, 1:]], _NONE)
+        done, count, row = ids.copy(), size.copy(), np.arange(len(words))
+        while width > 1:
+            at = order.argmin(1)
+            best = order[np.arange(len(row)), at]
+            on = best != _NONE
+            if not on.all():
+                over = row[~on]
+                done[over, :width] = ids[~on]
+                row, ids, order, at, best = row[on], ids[on], order[on], at[on], best[on]
+            if not len(row):
+                return done, count
+            width -= 1
+            count[row] -= 1
+            every, place = np.arange(len(row)), np.arange(width)
+            new = best & _ID
+            ids = np.where(place > at[:, None], ids[:, 1:], ids[:, :-1])
+            ids[every, at] = new
+            if width > 1:
+                order = np.where(place[:-1] >= at[:, None], order[:, 1:], order[:, :-1])
+                has = np.flatnonzero(at > 0)
+                order[has, at[has] - 1] = self.order_of(ids[has, at[has] - 1], new[has])
+                has = np.flatnonzero(at + 1 < count[row])
+                order[has, at[has]] = self.order_of(new[has], ids[has, at[has] + 1])
+        done[row, :width] = ids
+        return done, count
 
     def _lookahead(self) -> int:
         """Bytes after a token's end that can still decide whether it stands.
@@ -152,6 +215,19 @@ class WordMemo(dict):
         super().__init__()
         self.merges, self.limit = merges, limit
 
+    def learn(self, words: set[str]) -> None:
+        """Merges the short ones of words that aren't known, all together: none fills a transducer's window."""
+        new = words - self.keys()
+        if len(self) + len(new) > self.limit:
+            self.clear()
+            new = words
+        short = {w: raw for w in new if len(w) <= WORD_CHARS and len(raw := w.encode()) <= ROW_BYTES}
+        self.update(zip(short, self.merges.merge_many(list(short.values())), strict=True))
+
+    def ids(self, pieces: list[bytes | list[str]]) -> bytes:
+        """The ids of pieces: ids already, or pre-tokens."""
+        return b"".join([p if isinstance(p, bytes) else b"".join(map(self.__getitem__, p)) for p in pieces])
+
     def __missing__(self, word: str) -> bytes:
         run = RunEncoder(self.merges)
         ids = array("I", run.feed(word.encode()))
@@ -178,24 +254,28 @@ class StreamEncoder:
         self.run, self.kind = None, None
 
     def feed(self, text: str) -> bytes:
-        self.tail += text
-        return self._drain(final=False)
+        return self._ids(self.pieces(text, final=False))
 
     def finish(self, text: str = "") -> bytes:
-        self.tail += text
-        return self._drain(final=True)
+        return self._ids(self.pieces(text, final=True))
+
+    def _ids(self, pieces: list[bytes | list[str]]) -> bytes:
+        self.memo.learn(pre_tokens(pieces))
+        return self.memo.ids(pieces)
 
-    def _drain(self, final: bool) -> bytes:
-        out: list[bytes] = []
+    def pieces(self, text: str, final: bool) -> list[bytes | list[str]]:
+        """What has become stable with text: runs of pre-tokens, and ids of what isn't looked up."""
+        self.tail += text
+        out: list[bytes | list[str]] = []
         while self.specials and (m := self.specials.search(self.tail)):
             rest, self.tail = self.tail[m.end() :], self.tail[: m.start()]
             self._segment(len(self.tail), True, out)
             out.append(array("I", [self.merges.special[m[0]]]).tobytes())
             self.tail = rest
         self._segment(len(self.tail) if final else max(0, len(self.tail) - self.widest), final, out)
-        return b"".join(out)
+        return out
 
-    def _segment(self, upto: int, final: bool, out: list[bytes]) -> None:
+    def _segment(self, upto: int, final: bool, out: list[bytes | list[str]]) -> None:
         """Encodes tail[:upto]; unless final, what may still change stays."""
         head, keep = self.tail[:upto], self.tail[upto:]
         at = self._extend(head, 0, final, out) if self.run is not None else 0
@@ -203,7 +283,7 @@ class StreamEncoder:
             words, end = self.split.findall(head, at), len(head)  # pre-tokens leave no gaps
             while words and not final and end > upto - _MARGIN:
                 end -= len(words.pop())
-            out += map(self.memo.__getitem__, words)
+            out.append(words)
             at = end
             if not final and len(head) - at > self.hold:
                 lead = at + (head[at] == " " and not head[at + 1].isspace())
@@ -234,7 +314,7 @@ class TextDecoder:
     """Byte-to-text state machine: takes ids in parts and gives text as soon as characters are whole."""
 
     def __init__(self, merges: MergeList):
-        self.bytes_of, self.state = merges.text.__getitem__, codecs.getincrementaldecoder("utf-8")("replace")
+        self.bytes_of, self.state = merges.texts.__getitem__, codecs.getincrementaldecoder("utf-8")("replace")
 
     def feed(self, ids: list[int]) -> str:
         return self.state.decode(b"".join(map(self.bytes_of, ids)))
@@ -250,6 +330,27 @@ def stream(merges: MergeList, text: str, memo: WordMemo | None = None, step: int
         yield encoder.finish(text[at:]) if at + step >= len(text) else encoder.feed(text[at : at + step])
 
 
+def pre_tokens(pieces: list[bytes | list[str]]) -> set[str]:
+    """The different pre-tokens of pieces."""
+    return set().union(*(p for p in pieces if isinstance(p, list)))
+
+
+def streams(merges: MergeList, texts: list[str], memo: WordMemo, step: int = STEP) -> Iterator[Iterator[bytes]]:
+    """stream() of each text in turn; texts of one block have their new pre-tokens merged together, about TOGETHER characters at a time."""
+    at = 0
+    while at < len(texts):
+        upto, size = at, 0
+        while upto < len(texts) and (upto == at or size + len(texts[upto]) <= TOGETHER):
+            size += len(texts[upto])
+            upto += 1
+        some = texts[at:upto]
+        pieces = [StreamEncoder(merges, memo=memo).pieces(t, final=True) if len(t) <= step else None for t in some]
+        memo.learn(set().union(*map(pre_tokens, filter(None, pieces))))
+        for text, known in zip(some, pieces, strict=True):
+            yield stream(merges, text, memo, step) if known is None else iter([memo.ids(known)])
+        at = upto
+
+
 def encode_text(merges: MergeList, text: str, step: int = STEP) -> list[int]:
     """All ids of one text, streamed."""
     return np.frombuffer(b"".join(stream(merges, text, step=step)), "<u4").tolist()
@@ -268,21 +369,22 @@ def encode_decode(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def make():
         merges, memo = kept(key, lambda: (m := MergeList(tokenizer_path), WordMemo(m)))
-        decimal = {i: str(i) for i in merges.text}.__getitem__
+        decimal = np.array([b",%d" % i for i in range(len(merges.texts))])  # padded with zero bytes
 
-        def one(text: str) -> tuple[int, str, str]:
+        def one(blocks: Iterator[bytes]) -> tuple[int, str, str]:
             n, a, b, decoder = 0, hashlib.sha256(), hashlib.sha256(), TextDecoder(merges)
-            for packed in stream(merges, text, memo):
+            for packed in blocks:
                 if packed:
-                    ids = np.frombuffer(packed, "<u4").tolist()
-                    a.update((("," if n else "") + ",".join(map(decimal, ids))).encode())
-                    b.update(decoder.feed(ids).encode())
+                    ids = np.frombuffer(packed, "<u4")
+                    joined = decimal[ids].tobytes().translate(None, b"\0")
+                    a.update(joined if n else memoryview(joined)[1:])
+                    b.update(decoder.feed(ids.tolist()).encode())
                     n += len(ids)
             b.update(decoder.finish().encode())
             return n, a.hexdigest(), b.hexdigest()
 
         def apply(part):
-            n, ids_sha, text_sha = zip(*map(one, texts_of(part)), strict=True) if part.num_rows else ((),) * 3
+            n, ids_sha, text_sha = zip(*map(one, streams(merges, texts_of(part), memo)), strict=True) if part.num_rows else ((),) * 3
             return {"doc_id": part.column("doc_id"), "n_tokens": n, "ids_sha256": ids_sha, "decoded_sha256": text_sha}
 
         return apply
