@@ -30,6 +30,9 @@ BATCH_CHARS = 4 << 20
 #: Marks a key that stands at the start of a text or line.
 FIRST = "\0"
 _LINE_END = f" \n {FIRST}"
+#: A full stop or comma that ends a chunk, right after a letter or number: a pre-token of its own.
+_MARK = re.compile(r"([.,])(?<=[^\W_].)(?=[ \n])")
+_CUT_MARK = rf" {FIRST}\1"
 _OTHER_WHITE = re.compile(r"[^\S \n]")
 _BOUNDARY = re.compile(r"(?= \S)")
 
@@ -50,9 +53,9 @@ class _Memo:
         self.encode_many, self.limit = encode_many, limit
         self.memo: dict[str, bytes] = {}
 
-    def _chunk(self, key: str) -> str:
-        """The text that a key stands for."""
-        return key
+    def _chunks(self, keys: list[str]) -> list[str]:
+        """The texts that keys stand for."""
+        return keys
 
     def _known(self, keys: list[str]) -> list[bytes]:
         if len(self.memo) > self.limit:
@@ -61,10 +64,11 @@ class _Memo:
         found = list(map(memo.get, keys))
         missing = [i for i, ids in enumerate(found) if ids is None]
         if missing:
-            for i, ids in zip(missing, self.encode_many([self._chunk(keys[i]) for i in missing]), strict=True):
+            new = [keys[i] for i in missing]
+            made = self.encode_many(self._chunks(new))
+            for i, ids in zip(missing, made, strict=True):
                 found[i] = ids
-                if len(keys[i]) <= MEMO_CHARS:
-                    memo[keys[i]] = ids
+            memo.update(zip(new, made, strict=True) if max(map(len, new)) <= MEMO_CHARS else ((k, x) for k, x in zip(new, made, strict=True) if len(k) <= MEMO_CHARS))
         return found
 
     def _joined(self, prepared: list[str]) -> list[bytes]:
@@ -96,16 +100,16 @@ class _Memo:
 
 
 class ChunkMemo(_Memo):
-    """For tokenizers that keep white space. A key is a chunk after a blank, or one at a line's start with FIRST before it."""
+    """For tokenizers that keep white space. A key is a chunk after a blank, or one without, at a line's start or a mark, with FIRST before it."""
 
-    def _chunk(self, key: str) -> str:
-        return key[1:] if key[:1] == FIRST else key if key == "\n" else " " + key
+    def _chunks(self, keys: list[str]) -> list[str]:
+        return [k[1:] if k[:1] == FIRST else k if k == "\n" else " " + k for k in keys]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text, four bytes an id."""
         fine = [i for i, t in enumerate(texts) if plain(t) and FIRST not in t]
         out: list[bytes] = [b""] * len(texts)
-        for i, ids in zip(fine, self._joined([FIRST + texts[i].replace("\n", _LINE_END) for i in fine]), strict=True):
+        for i, ids in zip(fine, self._joined([FIRST + _MARK.sub(_CUT_MARK, texts[i]).replace("\n", _LINE_END) for i in fine]), strict=True):
             out[i] = ids
         for i in sorted(set(range(len(texts))) - set(fine)):
             chunks = _BOUNDARY.split(texts[i])
@@ -124,9 +128,10 @@ class BlankMemo(_Memo):
 class LibraryEncoder:
     """encode_many of the tokenizers library: chunks to ids as bytes, four an id.
 
-    No truncation, padding or added special tokens. A chunk that is one word, maybe with
-    a full stop or comma, is put together from its parts; new words go to the library
-    many at a time, since its ids show where each word begins or ends.
+    No truncation, padding or added special tokens. New words go to the library many at a
+    time, since its ids show where each word begins or ends. Where tokens keep their blank,
+    so do whole chunks; else a chunk that is one word, maybe with a full stop or comma, is
+    put together from its parts.
     """
 
     def __init__(self, path: str, words: int = MEMO_WORDS):
@@ -143,6 +148,8 @@ class LibraryEncoder:
         edge[[i for s, i in vocab.items() if (s.endswith(self.suffix) if self.suffix else s.startswith("\u0120"))]] = True
         self.edge, self.limit, self.words = edge, words, {}
         self.tails = {t: self._library([t])[0] for t in ".,"}
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.line = np.frombuffer(self._library(["\n"])[0], "<u4")
 
     def _library(self, chunks: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
@@ -151,24 +158,61 @@ class LibraryEncoder:
         """Encodes plain words, all in one text; self.edge tells them apart again."""
         for k in range(0, len(words), step):
             some = words[k : k + step]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.lead + " ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
-            at = np.flatnonzero(self.edge[ids])
-            ends = at + 1 if self.suffix else np.append(at[1:], len(ids))
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.edge[ids]) + 1
             if len(ends) != len(some):  # a word that isn't one word to the library
-                self.words.update(zip(some, self._library([self.lead + w for w in some]), strict=True))
+                self.words.update(zip(some, self._library(some), strict=True))
                 continue
             raw, begin = ids.tobytes(), 0
             for word, end in zip(some, (4 * ends).tolist(), strict=True):
                 self.words[word] = raw[begin:end]
                 begin = end
 
+    def _together(self, chunks: list[str], between: str, step: int = 1024) -> list[bytes]:
+        """Chunks that are each a blank and printable characters (between is empty), or such characters alone (a line end), many in one text."""
+        out: list[bytes] = []
+        for k in range(0, len(chunks), step):
+            some = chunks[k : k + step]
+            text = between.join(some)
+            if any(t in text for t in self.added):
+                out += self._library(some)
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+            if between:  # a line end is a token of its own
+                stop = np.append(np.flatnonzero(ids == self.line[0]), len(ids))
+                start = np.append(0, stop[:-1] + 1)
+            else:
+                start = np.flatnonzero(self.edge[ids])
+                stop = np.append(start[1:], len(ids))
+            if len(start) != len(some):  # a chunk that the library cuts or joins
+                out += self._library(some)
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip((4 * start).tolist(), (4 * stop).tolist(), strict=True)]
+        return out
+
+    def _kept_blanks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks that keep their blank; printable characters include no white one but the blank."""
+        out: list[bytes] = [b""] * len(chunks)
+        blanks = [c.rfind(" ") if c.isprintable() else 1 for c in chunks]
+        led = [i for i, at in enumerate(blanks) if at == 0]
+        bare = [i for i, at in enumerate(blanks) if at < 0 and chunks[i]] if len(self.line) == 1 else []
+        for which, between in ((led, ""), (bare, "\n")):
+            for i, ids in zip(which, self._together([chunks[i] for i in which], between), strict=True):
+                out[i] = ids
+        known = {*led, *bare}
+        rest = [i for i in range(len(chunks)) if i not in known]
+        for i, ids in zip(rest, self._library([chunks[i] for i in rest]), strict=True):
+            out[i] = ids
+        return out
+
     def __call__(self, chunks: list[str]) -> list[bytes]:
+        if self.lead:
+            return self._kept_blanks(chunks)
         if len(self.words) > self.limit:
             self.words = {}
-        n, words = len(self.lead), self.words
-        cores = [c[n:] for c in chunks] if n else chunks
-        if self.suffix:
-            cores = [w.lower() if w.isascii() else w for w in cores]
+        words = self.words
+        cores = [w.lower() if w.isascii() else w for w in chunks]
         # plain words at once; then those with one tail mark; the library has the rest
         plain = {w for w in cores if w.isalpha()}
         marked = {w: (w[:-1], w[-1]) for w in cores if w[-1:] in self.tails and w[:-1].isalpha()}
@@ -176,8 +220,7 @@ class LibraryEncoder:
         self._learn(list(plain - words.keys()))
         marks = {w: words[core] + self.tails[tail] for w, (core, tail) in marked.items()}
         known = [words.get(w) or marks.get(w) for w in cores]
-        lead = self.lead
-        odd = [i for i, ids in enumerate(known) if ids is None or (n and chunks[i][:1] != lead)]
+        odd = [i for i, ids in enumerate(known) if ids is None]
         for i, ids in zip(odd, self._library([chunks[i] for i in odd]), strict=True):
             known[i] = ids
         return known

@@ -40,3 +40,31 @@ def test_short_words_of_texts_are_never_merged_one_by_one(merges, monkeypatch):
         assert got == want
         if step == bpe.STEP:
             assert not [w for w in alone if len(w) <= bpe.ROW_BYTES]
+
+
+@pytest.mark.parametrize("words", [1, 100_000])
+def test_chunks_sent_together_get_the_librarys_ids(words):
+    from tokenizers import Tokenizer
+
+    from loamwork.llm import tokenize
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    odd = ["", " ", ".", ". start", "a.", "a. b", "a.\nb", "a...\nb.. c, d", "end?. next", "a . b , c", "x.y, z", "² . ³. ¼, x", "_. a_, b", "'s. it's, ok", "\n. a", "one <|endoftext|> two. <|endoftext|>\nthree",
+           "a᠎. b᠎\nc ᠎d", "a . b", "a\x1c. b", "日本. 中文, 字。 x", "\x00. a\x00, b", "a.  b", "a. ", ".\n,\n.", "́. é, x", "﻿. a ​, b", "\U0001f600. x \U0001f600, y"]
+    texts = odd + _texts(150) + [". ".join(odd), ",\n".join(odd)]
+    memo = tokenize.ChunkMemo(tokenize.LibraryEncoder(path, words), 300)
+    got = [np.frombuffer(x, "<u4").tolist() for x in memo.encode(texts)]
+    assert got == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert [memo.encode([t]) for t in odd] == [[x] for x in memo.encode(odd)]
+
+
+def test_a_word_with_a_mark_is_no_new_chunk():
+    """F op3: a word went to the memo, and to the library where it was new, once a mark behind it."""
+    from loamwork.llm import tokenize
+
+    seen = []
+    encoder = tokenize.LibraryEncoder(public_tokenizers.path("byte_bpe_50k.json"))
+    memo = tokenize.ChunkMemo(lambda chunks: seen.extend(chunks) or encoder(chunks))
+    memo.encode(["so it goes. so it goes, so it\ngoes. it goes"])
+    assert sorted(seen) == sorted(["so", " so", " it", "goes", " goes", ".", ",", "\n"])
