@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from loamwork.functions import vectors as V
 from loamwork.operators import groups, sampling
 from loamwork.operators.neighbours import knn
+from loamwork.plans.workspace import settled
 
 # Which way a metric improves, and whether its change counts relatively or in percentage points.
 METRICS = {"calinski_harabasz": (1, "rel"), "davies_bouldin": (-1, "rel"), "silhouette": (1, "rel"), "silhouette_macro": (1, "rel"), "knn_agree@10": (1, "pp"), "knn_agree@30": (1, "pp"), "knn_agree@50": (1, "pp")}
@@ -34,8 +35,8 @@ def indices(rows: DataFrame) -> DataFrame:
     return s.select(F.col("k").alias("n_clusters"), ch.alias("calinski_harabasz")).join(worst.agg(F.avg("w").alias("davies_bouldin")))
 
 
-#: Rows that silhouettes, and queries and references that neighbour agreement, look at.
-SILHOUETTE_ROWS, AGREEMENT_ROWS = 10_000, (10_000, 150_000)
+#: Fixed value: rows that silhouettes look at.
+SILHOUETTE_ROWS = 10_000
 
 
 def silhouettes(rows: DataFrame, sample: int = SILHOUETTE_ROWS) -> DataFrame:
@@ -83,14 +84,13 @@ def silhouette_reasons(rows: DataFrame, sample: int = SILHOUETTE_ROWS) -> DataFr
     return n.join(silhouette(rows, sample)).select(F.when(why == "", F.col("silhouette")).alias("silhouette"), why.alias("reason"))
 
 
-def neighbour_agreement(rows: DataFrame, ks: tuple[int, ...] = (10, 30, 50), most: tuple[int, int] = AGREEMENT_ROWS, search: Callable[..., DataFrame] = knn) -> DataFrame:
+def neighbour_agreement(rows: DataFrame, ks: tuple[int, ...] = (10, 30, 50), search: Callable[..., DataFrame] = knn) -> DataFrame:
     """Q1: the mean share of k neighbours with a row's own label, for each k; neighbours are found once.
 
-    Queries and references are samples of most rows, by lowest hash; search finds the neighbours.
+    All labelled rows are asked, and all of them are references; search finds the neighbours.
     """
-    x = rows.where("label >= 0").select("contig_id", "label", F.col("u").alias("vec"))
-    asked, known = (sampling.hash_sample(x, n) for n in most)
-    near = search(asked, known, max(ks)).join(known.select(F.col("contig_id").alias("ref_id"), F.col("label").alias("theirs")), "ref_id").join(asked.select(F.col("contig_id").alias("query_id"), "label"), "query_id")
+    x = settled(rows.where("label >= 0").select("contig_id", "label", F.col("u").alias("vec")))
+    near = search(x, x, max(ks)).join(x.select(F.col("contig_id").alias("ref_id"), F.col("label").alias("theirs")), "ref_id").join(x.select(F.col("contig_id").alias("query_id"), "label"), "query_id")
     same = (F.col("theirs") == F.col("label")).cast("double")
     by = near.groupBy("query_id").agg(*(F.avg(F.when(F.col("rank") <= k, same)).alias(f"a{k}") for k in ks))
     return by.agg(*(F.avg(f"a{k}").alias(f"knn_agree@{k}") for k in ks))

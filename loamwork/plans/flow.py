@@ -10,6 +10,7 @@ import json
 from ast import literal_eval
 from collections.abc import Callable
 from dataclasses import asdict, dataclass, fields, replace
+from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,11 +128,16 @@ def density_labels(rows: DataFrame, s: Settings) -> DataFrame:
     return found.select("contig_id", F.col("part").cast("int").alias("label"), "prob")
 
 
-def metrics(rows: DataFrame) -> dict:
+def searches(s: Settings) -> Callable[..., DataFrame]:
+    """What finds neighbours at the run's size."""
+    return neighbours.knn_indexed if s.indexed else neighbours.knn_by_size(s.exact_pairs)
+
+
+def metrics(rows: DataFrame, search: Callable[..., DataFrame] = neighbours.knn) -> dict:
     """Q1: what the gate compares."""
     pool = rows.where("pool")
     out: dict = {}
-    for table in (quality.indices(pool), quality.neighbour_agreement(pool), quality.silhouette(pool), bins.shares(pool), bins.size_gini("total_bp", bins.bin_sizes(pool))):
+    for table in (quality.indices(pool), quality.neighbour_agreement(pool, search=search), quality.silhouette(pool), bins.shares(pool), bins.size_gini("total_bp", bins.bin_sizes(pool))):
         first = table.first()
         out |= {k: None if v is None else float(v) for k, v in (first.asDict() if first else {}).items()}
     return out
@@ -142,7 +148,7 @@ def stages(s: Settings, scored: Callable | None = None) -> list[tuple[str, Calla
 
     scored values merged bins by an external tool (marker_merges); without it that stage is off.
     """
-    search = neighbours.knn_indexed if s.indexed else neighbours.knn_by_size(s.exact_pairs)
+    search = searches(s)
     limits = merge.Limits(separation=s.merge_separation, coverage=s.merge_coverage, misfit=s.merge_misfit, mixing=s.merge_mixing, reciprocal=True)
     pieces = split.PieceRules(min_contigs=s.sub_min_contigs, min_part_bp=s.sub_min_part_bp, limits=limits)
 
@@ -222,7 +228,7 @@ def cluster(rows: DataFrame, s: Settings, out: str, raw: Callable[[DataFrame, Se
     """All clustering stages on features: (rows with their final label, the gate's log). raw gives the first labels and probabilities."""
     folder = Folder(rows.sparkSession, f"{out}/stages")
     mark = runs.fingerprint(mark, asdict(s), getattr(scored, "version", getattr(scored, "__qualname__", None)))
-    gate = Gate(metrics, enabled=s.gate)
+    gate = Gate(partial(metrics, search=searches(s)), enabled=s.gate)
     tolerance = quality.Tolerance(relative=s.tolerance)
     base = rows.drop("label", "prob", "pruned")
     now = folder.table("01_raw", mark, lambda: base.join(raw(base, s), "contig_id", "left").withColumn("label", F.coalesce("label", F.lit(-1))).withColumn("prob", F.coalesce("prob", F.lit(0.0))).withColumn("pruned", F.lit(False)))
