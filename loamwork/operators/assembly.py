@@ -64,6 +64,27 @@ def first_duplicates(contigs: DataFrame) -> DataFrame:
     return d.join(first, "digest").withColumn("duplicate_of", F.when(F.col("contig_id") != F.col("first.contig_id"), F.col("first.contig_id")).otherwise("")).drop("digest", "first")
 
 
+def sequence_copies(contigs: DataFrame) -> DataFrame:
+    """contig_id, sample, length, first (the first contig with the same upper-case sequence) and nearest (the first of those in the contig's own sample)."""
+    d = contigs.select("contig_id", "sample", "length", "ord", F.sha2(F.upper("seq"), 256).alias("digest"))
+    order = F.min(F.struct("ord", "contig_id"))
+    own = d.groupBy("digest", "sample").agg(order.alias("n"))
+    first = own.groupBy("digest").agg(F.min("n").alias("f"))
+    same = own.join(first, "digest").select("digest", F.col("sample").alias("of"), F.col("f.contig_id").alias("first"), F.col("n.contig_id").alias("nearest"))
+    return d.join(same, "digest").where(F.col("sample").eqNullSafe(F.col("of"))).select("contig_id", "sample", "length", "first", "nearest")
+
+
+def pairs_of_copies(pairs: DataFrame, copies: DataFrame, least: int) -> DataFrame:
+    """Pairs (ref_name, query_name, ani, af_ref, af_query) of first contigs as those of each sample's nearest, and those of equal sequences of at least least letters in two samples. copies: sequence_copies()."""
+    near = settled(copies.where("contig_id = nearest").select("first", "nearest", "length"))
+    side = lambda s: near.select(F.col("first").alias(f"{s}_name"), F.col("nearest").alias(s))
+    spread = pairs.join(side("ref"), "ref_name").join(side("query"), "query_name").select("ref", "query", "ani", "af_ref", "af_query")
+    whole = (F.lit(100.0).alias(c) for c in ("ani", "af_ref", "af_query"))
+    a, b = near.where(F.col("length") >= least), near.select("first", F.col("nearest").alias("query"))
+    equal = a.join(b, "first").where("nearest < query").select(F.col("nearest").alias("ref"), "query", *whole)
+    return spread.unionByName(equal).toDF("ref_name", "query_name", "ani", "af_ref", "af_query")
+
+
 def numbered_names(files: DataFrame, name: str = "name", order: str = "file") -> DataFrame:
     """The second and later files of a name get _1, _2 in file order."""
     k = F.row_number().over(Window.partitionBy(name).orderBy(order)) - 1
@@ -77,7 +98,9 @@ def containment_pairs(pairs: DataFrame, contigs: DataFrame, min_ani: float = 99.
     """
     c = contigs.select("contig_id", "length", "sample")
     side = lambda p: c.select(F.col("contig_id").alias(f"{p}_name"), F.col("length").alias(f"len_{p}"), F.col("sample").alias(f"sample_{p}"))
-    x = pairs.where((F.col("ani") >= min_ani) & (F.col("query_name") != F.col("ref_name"))).join(side("query"), "query_name").join(side("ref"), "ref_name")
+    # neither side's share counts if the larger doesn't
+    pairs = pairs.where((F.col("ani") >= min_ani) & (F.greatest("af_query", "af_ref") >= min_af) & (F.col("query_name") != F.col("ref_name")))
+    x = pairs.join(side("query"), "query_name").join(side("ref"), "ref_name")
     if cross_sample:
         x = x.where("sample_query <> sample_ref")
     q, r = F.col("len_query"), F.col("len_ref")

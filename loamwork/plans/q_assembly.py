@@ -120,21 +120,37 @@ def tnf_weights(spark, sf_dir):
     return kmers.tnf(fx.contigs(spark, sf_dir), full=200).select("contig_id", "n_kmers", "weight")
 
 
-def _identities(spark, sf_dir):
-    c = settled(assembly.first_duplicates(fx.letters(spark, sf_dir)).where("duplicate_of = ''"))
-    return ani.contig_ani(c, least_identity=90.0, k=21), c
+#: Letters of a seed of X2's edges.
+_K = 21
+
+
+def _identities(c):
+    """X2's edges between the contigs c that are the first with their sequence."""
+    return ani.contig_ani(settled(assembly.first_duplicates(c).where("duplicate_of = ''").select("contig_id", "seq")), least_identity=90.0, k=_K)
 
 
 @query()
 def contig_identities(spark, sf_dir):
     """Identity and aligned fractions of all contigs that are alike, from their sequences; equal ones stand for each other."""
-    return _identities(spark, sf_dir)[0].select("ref_name", "query_name", *(F.round(x, 6).alias(x) for x in ("ani", "af_ref", "af_query")))
+    return _identities(fx.letters(spark, sf_dir)).select("ref_name", "query_name", *(F.round(x, 6).alias(x) for x in ("ani", "af_ref", "af_query")))
 
 
 @query()
 def sequence_containment(spark, sf_dir):
-    """K18 on X2's edges: which contigs of one source are contained in a longer one of another."""
-    return assembly.containment_pairs(*_identities(spark, sf_dir), min_ani=98.0, min_af=80.0).select("winner", "loser", F.round("ani", 6).alias("ani"), F.round("af_short", 6).alias("af_short"))
+    """K18 on X2's edges: which contigs of one source are contained in a longer one of another.
+
+    A pair's ends stand for all contigs of their source with the same sequence; rows of the link 'copy' name these.
+    """
+    return contained(fx.letters(spark, sf_dir))
+
+
+def contained(c):
+    """winner, loser, ani, af_short, link: the pairs of K18 ('contained') between the first contigs of a sequence in each sample, and every other contig ('copy') under the one of its sample that stands for it."""
+    copies = settled(assembly.sequence_copies(c))
+    alike = _identities(c).where("ani >= 98.0 AND greatest(af_ref, af_query) >= 80.0")
+    pairs = assembly.containment_pairs(assembly.pairs_of_copies(alike, copies, _K), copies, min_ani=98.0, min_af=80.0).select("winner", "loser", F.round("ani", 6).alias("ani"), F.round("af_short", 6).alias("af_short"), F.lit("contained").alias("link"))
+    whole = (F.lit(100.0).alias(x) for x in ("ani", "af_short"))
+    return pairs.unionByName(copies.where("contig_id <> nearest").select(F.col("nearest").alias("winner"), F.col("contig_id").alias("loser"), *whole, F.lit("copy").alias("link")))
 
 
 PAIRS = f"""WITH {fx.CONTIGS}, {fx.ANI},
