@@ -132,7 +132,7 @@ def _identities(c):
 @query()
 def contig_identities(spark, sf_dir):
     """Identity and aligned fractions of all contigs that are alike, from their sequences; equal ones stand for each other."""
-    return _identities(fx.letters(spark, sf_dir)).select("ref_name", "query_name", *(F.round(x, 6).alias(x) for x in ("ani", "af_ref", "af_query")))
+    return _identities(settled(fx.letters(spark, sf_dir))).select("ref_name", "query_name", *(F.round(x, 6).alias(x) for x in ("ani", "af_ref", "af_query")))
 
 
 @query()
@@ -146,6 +146,7 @@ def sequence_containment(spark, sf_dir):
 
 def contained(c):
     """winner, loser, ani, af_short, link: the pairs of K18 ('contained') between the first contigs of a sequence in each sample, and every other contig ('copy') under the one of its sample that stands for it."""
+    c = settled(c)
     copies = settled(assembly.sequence_copies(c))
     alike = _identities(c).where("ani >= 98.0 AND greatest(af_ref, af_query) >= 80.0")
     pairs = assembly.containment_pairs(assembly.pairs_of_copies(alike, copies, _K), copies, min_ani=98.0, min_af=80.0).select("winner", "loser", F.round("ani", 6).alias("ani"), F.round("af_short", 6).alias("af_short"), F.lit("contained").alias("link"))
