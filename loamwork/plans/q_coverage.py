@@ -123,4 +123,5 @@ def span_depth(spark, sf_dir):
 @query()
 def mapped_depth(spark, sf_dir):
     """Reads of all contigs mapped by their seeds, and the depth and breadth that they make."""
-    return mapping.coverage(fx.reads(spark, sf_dir), fx.letters(spark, sf_dir))
+    c = settled(fx.letters(spark, sf_dir))  # letters cost more than what is read of them
+    return mapping.coverage(fx.reads_of(c), c)
